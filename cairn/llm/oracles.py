@@ -10,7 +10,7 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
 r AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s),
 l AS (SELECT *, (budget - (sum(cap) OVER o - cap)) / (sum(weight) OVER () - sum(weight) OVER o + weight) AS level FROM r
       WINDOW o AS (ORDER BY cap / weight, weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
-t AS (SELECT source, source_size, least(cap, weight * coalesce((SELECT min(level) FROM l WHERE level * weight <= cap), 1e300)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, weight * coalesce((SELECT level FROM l WHERE level * weight <= cap ORDER BY cap / weight, weight, source NULLS LAST LIMIT 1), 1e300)) AS target FROM l),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(floor(target) / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
 c AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.whole, CAST(floor(q.target) AS BIGINT) - q.whole * q.source_size AS quota,
              CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.mark, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
