@@ -10,10 +10,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, checkpointed
 
 #: Bytes of text that one task holds in its table before it partitions to files.
 TABLE_BYTES = 48 << 20
@@ -139,6 +139,10 @@ def _task(final: bool, limit: int):
     return run
 
 
+def _normal(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE, " ").cast("binary")
+
+
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -152,8 +156,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     repeated rows (same id, same text) exactly one is kept. An empty table gives no rows;
     other columns are not read, so their names don't matter.
     """
-    content = F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), SPACE, " ").cast("binary")
-    plain = docs.select(F.col(doc_id).cast("long").alias("best"), content.alias("content"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("best"), _normal(F.col(text)).alias("content"))
     merged = plain.withColumn("n", F.lit(1).cast("long")).mapInArrow(_task(False, table_bytes), "h long, content binary, best long, n long")
     groups = merged.repartition("h").select("content", "best", "n").mapInArrow(_task(True, table_bytes), "digest string, best long, n long")
     # repeated rows are counted, not windowed, so that a third of all rows may be one repeated row
@@ -165,9 +168,12 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Of rows with the same id and text one stays."""
-    found = exact_duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    content = F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), SPACE, " ")
-    marked = docs.withColumn("__own", F.sha2(content.cast("binary"), 256))
-    stay = marked.join(found, marked["__own"].eqNullSafe(found["__digest"]) & marked[doc_id].cast("long").eqNullSafe(found["__id"]), "left_semi")
-    return stay.dropDuplicates([doc_id, "__own"]).drop("__own")
+    """The rows that stay, with all their columns. Of repeated rows (same id and text) one stays."""
+    found = checkpointed(exact_duplicates(docs, doc_id, text))
+    marked = docs.withColumn("__own", F.sha2(_normal(F.col(text)), 256))
+    away = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    same = marked["__own"].eqNullSafe(F.col("__digest")) & marked[doc_id].cast("long").eqNullSafe(F.col("__id"))
+    stay = marked.join(away.where("not kept"), same, "left_anti")
+    if not away.where("kept and rows > 1").isEmpty():
+        stay = stay.dropDuplicates([doc_id, "__own"])
+    return stay.drop("__own")

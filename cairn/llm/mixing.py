@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NONSPACE, bounded_broadcast, checkpointed
+from .common import NONSPACE, SPACE, bounded_broadcast, checkpointed
 
 #: Sources up to this many go out as a broadcast table; more are joined by shuffle.
 BROADCAST_SOURCES = 50_000
@@ -50,6 +50,43 @@ def water_fill(sources: DataFrame, budget: float, epochs: float) -> DataFrame:
     return sources.withColumn("target", F.least(cap, F.col("weight") * F.lit(level or 0.0)))
 
 
+def _marked(docs: DataFrame, doc_id: str, text: str, source: str, seed: str) -> DataFrame:
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+    return docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), mark.alias("mark"))
+
+
+def mixing_plan(rows: DataFrame, weights: tuple[int, ...], share: float, epochs: int) -> tuple[DataFrame, int]:
+    """One row per source: own, source_size, target, whole, quota, edge, base; and their number.
+
+    `whole` is how often all of a source is taken, `quota` the words of the last, partial round;
+    the round's running sum of words passes the quota in the hash bucket `edge`, before which it
+    is at `base`.
+    """
+    by_bucket = rows.groupBy("source", F.substring("mark", 1, _BUCKET_HEX).alias("bucket")).agg(F.sum("size").alias("words"))
+    filled = ranked_sources(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
+    total = filled.agg(F.sum("source_size").alias("t"), F.count("*").alias("n")).first()
+    budget = (total["t"] or 0) * Fraction(str(share))
+    filled = water_fill(filled, float(budget), epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")
+    filled = filled.withColumn("whole", whole).withColumn("quota", (F.floor("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    upto = F.sum("words").over(Window.partitionBy("own").orderBy("bucket"))
+    edge = by_bucket.select(F.col("source").alias("own"), "bucket", "words").withColumn("upto", upto).join(bounded_broadcast(filled, total["n"], BROADCAST_SOURCES), F.col("own").eqNullSafe(F.col("source")))
+    edge = edge.where((F.col("upto") - F.col("words") <= F.col("quota")) & (F.col("quota") < F.col("upto"))).select(F.col("source").alias("edge_source"), F.col("bucket").alias("edge"), (F.col("upto") - F.col("words")).alias("base"))
+    plan = filled.join(bounded_broadcast(edge, total["n"], BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("edge_source")), "left")
+    return plan.drop("edge_source", "weight").withColumnRenamed("source", "own"), total["n"]
+
+
+def _with_share(rows: DataFrame, plan: DataFrame, n: int) -> DataFrame:
+    """Adds the plan's columns and `again`, the words that the partial round takes of each row."""
+    full = rows.join(bounded_broadcast(plan, n, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("own"))).drop("own").withColumn("bucket", F.substring("mark", 1, _BUCKET_HEX))
+    at_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
+    away = full.where(~at_edge).withColumn("again", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(0).cast("long"))
+    order = Window.partitionBy("source").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.col("base") + F.sum("size").over(order) - F.col("size")
+    near = full.where(at_edge).withColumn("again", F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - before)).cast("long"))
+    return away.unionByName(near)
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix-1") -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, whole, taken.
 
@@ -63,29 +100,24 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     empty string. Repeated rows count each time. An empty table gives no rows; extra columns
     are not read.
     """
-    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), mark.alias("mark"))
-    rows = checkpointed(rows)  # two passes over these short rows, one over the texts
-    bucket = F.substring("mark", 1, _BUCKET_HEX)
-    by_bucket = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    filled = ranked_sources(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
-    total = filled.agg(F.sum("source_size").alias("t"), F.count("*").alias("n")).first()
-    share_of = Fraction(str(share))
-    filled = water_fill(filled, (total["t"] or 0) * share_of.numerator / share_of.denominator, epochs)
-    quota = F.when(F.col("source_size") > 0, F.floor(F.col("target")) - F.col("whole") * F.col("source_size")).otherwise(0)
-    filled = filled.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn("quota", quota.cast("long"))
-    small = bounded_broadcast(filled, total["n"], BROADCAST_SOURCES)
-    # the bucket in which a source's running sum of words passes its quota
-    run = F.sum("words").over(Window.partitionBy("own").orderBy("bucket"))
-    edge = by_bucket.select(F.col("source").alias("own"), "bucket", "words").withColumn("upto", run).join(small, F.col("own").eqNullSafe(F.col("source")))
-    edge = edge.where((F.col("upto") - F.col("words") <= F.col("quota")) & (F.col("quota") < F.col("upto"))).select(F.col("source").alias("edge_source"), F.col("bucket").alias("edge"), (F.col("upto") - F.col("words")).alias("base"))
-    plan = filled.join(bounded_broadcast(edge, total["n"], BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source").withColumnRenamed("source", "own")
-    full = rows.join(bounded_broadcast(plan, total["n"], BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("own"))).drop("own").withColumn("bucket", bucket)
-    at_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
-    # with no edge, the quota is either nothing or, at most by rounding, all
-    whole_again = F.when(F.col("edge").isNull(), F.lit(0)).when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(0)
-    away = full.where(~at_edge).withColumn("again", whole_again.cast("long"))
-    order = Window.partitionBy("source").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("base") + F.sum("size").over(order)
-    near = full.where(at_edge).withColumn("again", F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - (upto - F.col("size")))).cast("long"))
-    return away.unionByName(near).select("doc_id", "size", "source", "source_size", "target", "whole", (F.col("whole") * F.col("size") + F.col("again")).alias("taken"))
+    rows = checkpointed(_marked(docs, doc_id, text, source, seed).drop("row"))  # two passes over these short rows, one over the texts
+    out = _with_share(rows, *mixing_plan(rows, weights, share, epochs))
+    return out.select("doc_id", "size", "source", "source_size", "target", "whole", (F.col("whole") * F.col("size") + F.col("again")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix-1") -> DataFrame:
+    """The mix itself: each row of `docs` once for each time it is taken, with mix_copy (from 1) and mix_words.
+
+    A partial copy, one at most for each source, has only its first mix_words words as text,
+    joined by blanks. Rows without words, and those that the mix leaves out, are not there.
+    Texts are not shuffled: the plan by source comes to them.
+    """
+    rows = _marked(docs, doc_id, text, source, seed)
+    plan, n = mixing_plan(checkpointed(rows.drop("row")), weights, share, epochs)
+    copies = F.sequence(F.lit(1).cast("long"), F.col("whole") + (F.col("again") > 0).cast("long"))
+    taken = _with_share(rows, plan, n).where((F.col("size") > 0) & (F.col("whole") + F.col("again") > 0)).withColumn("copy", F.explode(copies))
+    words = F.when(F.col("copy") <= F.col("whole"), F.col("size")).otherwise(F.col("again"))
+    out = taken.withColumn("words", words).select("row.*", F.col("copy").alias("mix_copy__"), F.col("words").alias("mix_words__"), F.col("size").alias("mix_size__"))
+    first = F.array_join(F.slice(F.array_remove(F.split(F.col(text), SPACE), ""), F.lit(1), F.col("mix_words__").cast("int")), " ")
+    out = out.withColumn(text, F.when(F.col("mix_words__") < F.col("mix_size__"), first).otherwise(F.col(text)))
+    return out.withColumns({"mix_copy": F.col("mix_copy__"), "mix_words": F.col("mix_words__")}).drop("mix_copy__", "mix_words__", "mix_size__")

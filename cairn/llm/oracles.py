@@ -18,6 +18,18 @@ c AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.whole, CAST(floor(q.ta
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(whole * size + greatest(0, least(size, quota - (upto - size))) AS BIGINT) AS taken FROM c
 """
 
+OP5 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT rid, w[s:s + 4] AS gram FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+c AS (SELECT a.rid AS x, b.rid AS y, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.rid < b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT x, y FROM c JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * common >= 75 * (p.n + q.n - common)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT * FROM (WITH RECURSIVE reach(a, b) AS (SELECT rid, rid FROM d UNION SELECT reach.a, e.y FROM reach JOIN e ON e.x = reach.b) SELECT * FROM reach))
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (rid)
+JOIN (SELECT a, min(doc_id) AS component_id FROM r JOIN d ON d.rid = r.b GROUP BY a) m ON m.a = d.rid
+"""
+
 OP6 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_DOC_WORDS} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_DOC_WORDS} AS w FROM benchmark),
@@ -51,4 +63,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLES = {"op1_mix_sources": OP1, "op6_decontaminate": OP6, "op8_exact_dedup": OP8, "op10_chat_format": OP10}
+ORACLES = {"op1_mix_sources": OP1, "op5_near_dup_join": OP5, "op6_decontaminate": OP6, "op8_exact_dedup": OP8, "op10_chat_format": OP10}

@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 
 from .common import fold
 
+#: Bytes of a text that are compressed at a time.
+BLOCK = 256
+
 
 @dataclass(frozen=True)
 class CompressionModel:
@@ -27,7 +30,7 @@ class CompressionModel:
     def scorer(self):
         if not self.good or not self.bad:
             return lambda data: self.prior
-        good, bad = (zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (self.good, self.bad))
+        good, bad = (zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (self.good, self.bad))
         return lambda data: _sigmoid(self.slope * _difference(good, bad, data) + self.offset) if data else self.prior
 
 
@@ -36,14 +39,24 @@ def _sigmoid(x):
 
 
 def _difference(good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor, data: bytes) -> float:
-    """Sizes under the bad and the good dictionary, as a share of their sum: above 0 if the good one fits better."""
-    g, b = len(good.compress(data)), len(bad.compress(data))
+    """Sizes under the bad and the good dictionary, as a share of their sum: above 0 if the good one fits better.
+
+    A text is compressed block by block, so that a long one doesn't become its own dictionary.
+    """
+    g = b = 0
+    for block in blocks(data):
+        g += len(good.compress(block))
+        b += len(bad.compress(block))
     return (b - g) / (b + g)
 
 
+def blocks(data: bytes) -> list[bytes]:
+    return [data[k : k + BLOCK] for k in range(0, len(data), BLOCK)]
+
+
 def _dictionary(texts: list[bytes], size: int) -> bytes:
     try:
-        trained = zstandard.train_dictionary(size, texts).as_bytes()
+        trained = zstandard.train_dictionary(size, [b for t in texts for b in blocks(t)]).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little text to choose from: all of it is the dictionary
         trained = b""
     return trained or b"".join(texts)[-size:]
@@ -61,7 +74,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return float(w[0] / scale), float(w[1] - w[0] * x.mean() / scale)
 
 
-def fit(good: list[bytes], bad: list[bytes], dict_bytes: int = 64 << 10, level: int = 3) -> CompressionModel:
+def fit(good: list[bytes], bad: list[bytes], dict_bytes: int = 16 << 10, level: int = 1) -> CompressionModel:
     """Dictionaries from two thirds of the texts, the calibration from the other third.
 
     Without texts of both classes the score is constant: the share of the class there is, or a half.
@@ -91,11 +104,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, max_byte
     return tuple([bytes(r["data"]) for r in rows if r["quality"] == q and r["data"]] for q in (1, 0))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_bytes: int = 8192, dict_bytes: int = 64 << 10, level: int = 3, threshold: float = 0.3) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_bytes: int = 8192, dict_bytes: int = 16 << 10, level: int = 1, threshold: float = 0.3) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Two dictionaries are built from labelled texts outside the held-out fold; every whole text
-    is compressed with both, and the difference of sizes over their sum goes through a logistic
+    is compressed with both, in blocks, and the difference of sizes over their sum goes through a logistic
     curve fitted on training texts that the dictionaries have not seen. The fit reads at most
     `per_class` texts of a class and `max_bytes` of each; scoring reads all of every text.
 
