@@ -127,10 +127,11 @@ def plaintext_body(spark, sf):
     return view(spark, sf, "v_books").select("source_id", X.plaintext_body(F.col("raw")).alias("body"))
 
 
-@query(
-    rf"""SELECT source_id, nullif({_STRIP.format(f"regexp_extract(CASE WHEN instr(raw, '{V.BOOK_START}') > 0 THEN substr(raw, 1, instr(raw, '{V.BOOK_START}') - 1) ELSE raw END, '(?m)^Title:\s*(.+)$', 1)")}, '') AS title FROM v_books""",
-    "v_books",
-)
+_HEADER = f"CASE WHEN instr(raw, '{V.BOOK_START}') > 0 THEN substr(raw, 1, instr(raw, '{V.BOOK_START}') - 1) ELSE raw END"
+_TITLE = rf"regexp_extract({_HEADER}, '(?m)^Title:\s*(.+)$', 1)"
+
+
+@query(f"SELECT source_id, nullif({_STRIP.format(_TITLE)}, '') AS title FROM v_books", "v_books")
 def plaintext_title(spark, sf):
     return view(spark, sf, "v_books").select("source_id", X.plaintext_title(F.col("raw")).alias("title"))
 

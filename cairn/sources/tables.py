@@ -15,7 +15,7 @@ def read_fetched(spark: SparkSession, path: str, stream: bool = False) -> DataFr
 
 
 def active_chunks(chunks: DataFrame, source_ids: DataFrame | None = None) -> DataFrame:
-    live = chunks.where("is_active")
+    live = chunks.where(F.col("is_active").cast("boolean"))  # a partition column reads as text
     return live if source_ids is None else live.join(source_ids.select("source_id"), "source_id", "left_semi")
 
 
