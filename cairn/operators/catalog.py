@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import vocabulary as V
 
@@ -21,11 +20,10 @@ def chunk_count(chunks: DataFrame, source_id: int) -> DataFrame:
 
 def register_sources(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): a URL that is known, or came earlier in the batch, is rejected."""
-    first = F.row_number().over(Window.partitionBy("url").orderBy("request_id"))
-    known = existing.select("url").distinct().withColumn("known", F.lit(True))
-    marked = incoming.withColumn("turn", first).join(known, "url", "left").withColumn("ok", F.col("known").isNull() & (F.col("turn") == 1))
-    accepted = marked.where("ok").drop("turn", "known", "ok").withColumns({"status": F.lit("pending"), "chunk_count": F.lit(0).cast("long")})
-    return accepted, marked.where("not ok").drop("turn", "known", "ok")
+    first = incoming.groupBy("url").agg(F.min_by(F.struct(*incoming.columns), "request_id").alias("r")).select("r.*")
+    accepted = first.join(existing.select("url"), "url", "left_anti")
+    rejected = incoming.join(accepted.select("request_id"), "request_id", "left_anti")
+    return accepted.withColumns({"status": F.lit("pending"), "chunk_count": F.lit(0).cast("long")}), rejected
 
 
 def apply_patches(sources: DataFrame, patches: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:

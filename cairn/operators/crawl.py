@@ -73,18 +73,24 @@ def robots_filter(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     return joined.groupBy(*urls.columns).agg(F.coalesce(first, F.lit(True)).alias("allowed"))
 
 
-def throttle(requests: DataFrame, host: str, ts: str, order: str, interval_s: float = V.HOST_INTERVAL_S) -> DataFrame:
+def throttle(requests: DataFrame, host: str, ts: str, order: str, interval_s: float = V.HOST_INTERVAL_S, bucket_s: int = 3600) -> DataFrame:
     """Adds slot_us: the microsecond at which each request may start, a host's at least an interval apart, none dropped.
 
-    The running maximum of t - n * interval, plus n * interval, is what waiting one by one gives.
-    A host's rows are one window; cut a hot host by time beforehand if it outgrows a task.
+    With requests of a host numbered n by time, the running maximum of t - n * interval, plus
+    n * interval, is what waiting one by one gives. Numbers and maxima are first taken inside
+    buckets of time and then carried over from bucket to bucket, so a busy host is many groups.
     """
     step = int(interval_s * 1_000_000)
-    w = Window.partitionBy(host).orderBy(ts, order)
-    n = F.row_number().over(w).cast("long")
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    slack = requests.withColumn("__n", n * step).withColumn("__s", t - F.col("__n"))
-    return slack.withColumn("slot_us", F.max("__s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("__n")).drop("__n", "__s")
+    rows = requests.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__b", F.floor(F.col("__t") / F.lit(bucket_s * 1_000_000)))
+    inside = Window.partitionBy(host, "__b").orderBy(ts, order)
+    rows = rows.withColumn("__n", F.row_number().over(inside).cast("long") * step).withColumn("__s", F.col("__t") - F.col("__n"))
+    buckets = rows.groupBy(host, "__b").agg(F.count("*").alias("__c"), F.max("__s").alias("__m"))
+    before = Window.partitionBy(host).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn("__base", F.coalesce(F.sum("__c").over(before), F.lit(0)) * step)
+    buckets = buckets.withColumn("__low", F.max(F.col("__m") - F.col("__base")).over(before)).select(F.col(host).alias("__h"), F.col("__b").alias("__k"), "__base", "__low")
+    both = rows.withColumn("__r", F.max("__s").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(buckets, F.col(host).eqNullSafe(F.col("__h")) & F.col("__b").eqNullSafe(F.col("__k")))
+    slot = F.greatest(F.col("__low"), F.col("__r") - F.col("__base")) + F.col("__base") + F.col("__n")
+    return both.select(*requests.columns, slot.alias("slot_us"))
 
 
 def conditional_headers(etag: Column, last_modified: Column) -> Column:

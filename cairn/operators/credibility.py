@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vocabulary as V
@@ -101,8 +100,8 @@ def lookup_entities(requests: DataFrame, cache: DataFrame, entity_key=T.entity_k
     keyed = requests.withColumn("normalized_key", entity_key(F.col("display_name")))
     known = cache.select("normalized_key").distinct()
     hits = keyed.join(known, "normalized_key", "left_semi").withColumn("cached", F.lit(True))
-    first = F.row_number().over(Window.partitionBy("normalized_key").orderBy("request_id"))
-    misses = keyed.join(known, "normalized_key", "left_anti").withColumn("turn", first).where("turn = 1").drop("turn").withColumn("cached", F.lit(False))
+    missed = keyed.join(known, "normalized_key", "left_anti")
+    misses = missed.groupBy("normalized_key").agg(F.min_by(F.struct(*missed.columns), "request_id").alias("r")).select("r.*").withColumn("cached", F.lit(False))
     return hits.unionByName(misses)
 
 

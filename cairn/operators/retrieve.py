@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,15 +22,16 @@ def active(chunks: DataFrame) -> DataFrame:
     return chunks.where("is_active")
 
 
-def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of non-null vectors of the first row's dimension, and which rows they are."""
-    rows = column.to_pylist()
-    known = [i for i, v in enumerate(rows) if v]
-    if not known:
-        return np.zeros((0, 0)), np.array([], np.int64)
-    m = np.array([rows[i] for i in known], float)
+def _vectors(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the rows that are not null, not zero and of the first row's dimension, and which rows they are."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    if not sizes.any():
+        return np.zeros((0, 0)), np.zeros(0, np.int64)
+    rows = np.flatnonzero(sizes == sizes[sizes > 0][0])
+    m = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
     length = np.linalg.norm(m, axis=1)
-    return m[length > 0] / length[length > 0, None], np.array(known)[length > 0]
+    good = length > 0  # not for vectors with a null either
+    return m[good] / length[good, None], rows[good]
 
 
 def nearest(questions: DataFrame, chunks: DataFrame, k: int = V.TOP_K, threshold: float | None = V.RELEVANCE, by_tradition: bool = True, block: int = QUESTION_BLOCK) -> DataFrame:
