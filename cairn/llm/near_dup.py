@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from .common import checkpointed, space_words
 
 #: N-grams that a task holds before it deals them out.
 BLOCK = 2_000_000
+#: Turns that only link groups, and how many n-grams of a document each looks at. The last product is complete without them.
+STAR_TURNS, STAR_GRAMS = 2, 4
 _CACHE = 400_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -71,9 +74,10 @@ def _deal(n: int, buckets: int):
         shingles, held, size = Shingler(n), [], 0
 
         def out() -> pa.RecordBatch:
-            x = np.sort(np.concatenate(held))
-            parts = np.split(x, np.searchsorted(x, edges))
-            return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([_planes(p) for p in parts], pa.binary())], ["bucket", "hashes"])
+            x, count = np.unique(np.concatenate(held), return_counts=True)  # a frequent n-gram goes out once
+            cuts = np.searchsorted(x, edges)
+            planes, counts = [_planes(p) for p in np.split(x, cuts)], [c.astype(np.uint32).tobytes() for c in np.split(count, cuts)]
+            return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(planes, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "hashes", "counts"])
 
         for b in batches:
             for t in b.column(0):
@@ -92,26 +96,28 @@ def _shared_ngrams(uri: str):
     """A bucket's n-grams that more than one document has, with their counts, to sorted arrays in the store."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(bucket: int, parts: list[np.ndarray]) -> int:
-            x = np.concatenate(parts)
-            x.sort()
-            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
-            count = np.diff(np.r_[first, len(x)])
-            more = count > 1
+        def close(bucket: int, hashes: list[np.ndarray], counts: list[np.ndarray]) -> int:
+            x, n = np.concatenate(hashes), np.concatenate(counts)
+            order = np.argsort(x)
+            x, n = x[order], n[order].astype(np.int64)
+            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])[: len(x)]
+            n = np.add.reduceat(n, first) if len(x) else n
+            more = n > 1
             store.save(uri, f"{bucket}.hash", x[first[more]])
-            store.save(uri, f"{bucket}.count", np.minimum(count[more], 2**32 - 1).astype(np.uint32))
+            store.save(uri, f"{bucket}.count", np.minimum(n[more], 2**32 - 1).astype(np.uint32))
             return int(more.sum())
 
-        bucket, parts, kept = None, [], 0
+        bucket, hashes, counts, kept = None, [], [], 0
         for b in batches:
-            for k, data in zip(b.column("bucket"), b.column("hashes"), strict=True):
+            for k, data, count in zip(*b.columns, strict=True):
                 if k.as_py() != bucket:
-                    if parts:
-                        kept += close(bucket, parts)
-                    bucket, parts = k.as_py(), []
-                parts.append(_unplanes(data.as_py()))
-        if parts:
-            kept += close(bucket, parts)
+                    if hashes:
+                        kept += close(bucket, hashes, counts)
+                    bucket, hashes, counts = k.as_py(), [], []
+                hashes.append(_unplanes(data.as_py()))
+                counts.append(np.frombuffer(count.as_py(), np.uint32))
+        if hashes:
+            kept += close(bucket, hashes, counts)
         yield pa.RecordBatch.from_arrays([pa.array([kept], pa.int64())], ["kept"])
 
     return run
@@ -127,6 +133,7 @@ def _prefixes(n: int, buckets: int, uri: str, percent: int):
         part_no = TaskContext.get().partitionId()
 
         def counts(x: np.ndarray) -> np.ndarray:
+            """How many documents have each of the sorted n-grams, of which one is in hand."""
             out = np.ones(len(x), np.uint32)
             cuts = np.r_[0, np.searchsorted(x, edges), len(x)]
             for k in np.flatnonzero(np.diff(cuts)):
@@ -137,31 +144,46 @@ def _prefixes(n: int, buckets: int, uri: str, percent: int):
                 out[cuts[k] : cuts[k + 1]][there] = count[at[there]]
             return out
 
-        def one(text: str | None) -> tuple:
-            x = shingles(text)
-            if not len(x):
-                return 0, None, None, None
-            key = hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest()
-            if key in seen:
-                return len(x), key, None, None
-            if len(seen) > 200_000:
-                seen.clear()
-            seen.add(key)
-            df = counts(x)
-            width = len(x) - -(-percent * len(x) // 100) + 1
-            order = np.lexsort((x, df))[:width]
-            prefix = x[order[df[order] > 1]]
-            if not len(prefix):
-                return len(x), key, None, None
-            return len(x), key, prefix.view(np.int64), sets.append(x)
+        def prefix(x: np.ndarray, df: np.ndarray) -> tuple[int, np.ndarray | None]:
+            """How many of a set's n-grams no other document has; and, after these, the first by count and hash."""
+            width, alone = len(x) - -(-percent * len(x) // 100) + 1, int(np.count_nonzero(df == 1))
+            if alone >= width:
+                return alone, None
+            return alone, x[np.argsort(df, kind="stable")[alone:width]].view(np.int64)
+
+        def rows(texts: list[str | None]) -> list[list]:
+            """n, key, n-grams of its own, prefix and place of each text's set. Several texts' n-grams are looked up at once."""
+            every = [shingles(t) for t in texts]
+            keys = [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() if len(x) else None for x in every]
+            fresh = []
+            for i, key in enumerate(keys):
+                if len(seen) > 200_000:
+                    seen.clear()
+                if key is not None and key not in seen:
+                    seen.add(key)
+                    fresh.append(i)
+            alone, found, at = ([None] * len(texts) for _ in range(3))
+            if fresh:
+                grams, back = np.unique(np.concatenate([every[i] for i in fresh]), return_inverse=True)
+                df = counts(grams)[back]
+                ends = np.cumsum([len(every[i]) for i in fresh])
+                for i, e in zip(fresh, ends, strict=True):
+                    alone[i], found[i] = prefix(every[i], df[e - len(every[i]) : e])
+                    if found[i] is not None:
+                        at[i] = sets.append(every[i])
+            return [[len(x) for x in every], keys, alone, found, at]
 
         with store.Writer(uri, f"{part_no}.sets") as sets:
             for b in batches:
-                for k in range(0, b.num_rows, 500):
-                    part = b.slice(k, 500)
-                    size, key, prefix, at = zip(*(one(t.as_py()) for t in part.column("text")), strict=True)
-                    arrays = [part.column("doc_id"), pa.array(size, pa.int32()), pa.array(key, pa.string()), pa.array(prefix, pa.list_(pa.int64())), pa.array([part_no] * len(size), pa.int32()), pa.array(at, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "key", "prefix", "part", "at"])
+                texts, held, begun, size = b.column("text"), [], 0, 0
+                for i in range(b.num_rows):
+                    held.append(texts[i].as_py())
+                    size += len(held[-1] or "")
+                    if size > 4_000_000 or i == b.num_rows - 1:
+                        sizes, keys, alone, found, at = rows(held)
+                        ids = b.column("doc_id").slice(begun, len(held))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(keys, pa.string()), pa.array(alone, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array([part_no] * len(sizes), pa.int32()), pa.array(at, pa.int64())], ["doc_id", "n", "key", "alone", "prefix", "part", "at"])
+                        held, begun, size = [], i + 1, 0
 
     return run
 
@@ -169,48 +191,54 @@ def _prefixes(n: int, buckets: int, uri: str, percent: int):
 def _product(every_pair: bool, percent: int):
     """Postings sorted by n-gram to (a, b, common): a block of columns times its own transpose.
 
-    Pairs whose sizes rule a link out are not formed. Without `every_pair`, a row is paired only
-    with the first of its n-gram whose size allows it; with it, with all of another component.
+    Pairs whose sizes or places of the n-gram rule a link out are not formed. Without
+    `every_pair`, a row is paired only with the first of its n-gram whose size allows it, where
+    the first is the one with the smallest share of n-grams of its own (`pos` is their number
+    then): of a text and its changed copies, that is the text. Rows of one component are not paired.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_a: list[np.ndarray] = []
         held_b: list[np.ndarray] = []
         size = 0
-        carry: tuple | None = None
+        carry: list[np.ndarray] | None = None
 
         def out() -> pa.RecordBatch:
             nonlocal held_a, held_b, size
-            pair = np.char.add(np.concatenate(held_a), np.concatenate(held_b))
-            pair, common = np.unique(pair, return_counts=True)
+            pair, common = np.unique(np.char.add(np.concatenate(held_a), np.concatenate(held_b)), return_counts=True)
             held_a, held_b, size = [], [], 0
             both = [p.decode() for p in pair]
             return pa.RecordBatch.from_arrays([pa.array([p[:32] for p in both]), pa.array([p[32:] for p in both]), pa.array(common, pa.int64())], ["a", "b", "common"])
 
-        def pairs(n: np.ndarray, key: np.ndarray, comp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def pairs(n: np.ndarray, pos: np.ndarray, key: np.ndarray, comp: np.ndarray) -> Iterator[pa.RecordBatch]:
             """One n-gram's rows, by size and key."""
-            nonlocal size
+            names, own, count = np.unique(comp, return_inverse=True, return_counts=True)
+            if len(names) == 1:
+                return
             order = np.lexsort((key, n))
-            n, key, comp = n[order], key[order], comp[order]
-            low = np.searchsorted(n, -(-percent * n // 100))  # the first row of a size that b may link with
-            if every_pair:
-                for j in range(1, len(n)):
-                    i = np.arange(low[j], j)
-                    i = i[comp[i] != comp[j]]
-                    if len(i):
-                        yield from put(key[i], np.repeat(key[j : j + 1], len(i)))
-            else:
-                lead, leads = 0, np.zeros(len(n), np.int64)
-                for j in range(1, len(n)):
-                    if low[j] > lead:
-                        lead = j
-                    leads[j] = lead
-                j = np.flatnonzero((leads != np.arange(len(n))) & (comp[leads] != comp))
-                if len(j):
-                    yield from put(key[leads[j]], key[j])
+            n, pos, key, own = n[order], pos[order], key[order], own[order]
+            low, high = np.searchsorted(n, -(-percent * n // 100)), np.searchsorted(n, 100 * n // percent, "right")
+            if not every_pair:
+                left = np.lexsort((key, pos / n))
+                while len(left) > 1:
+                    lead, left = left[0], left[1:]
+                    fits = (low[lead] <= left) & (left < high[lead])
+                    j = left[fits & (own[left] != own[lead])]
+                    yield from put(np.repeat(key[lead : lead + 1], len(j)), key[j])
+                    left = left[~fits]
+                return
+            largest = count.argmax()
+            for j in np.flatnonzero(own != largest):  # pairs of two other components come up once, at the later row
+                i = np.arange(low[j], high[j])
+                i = i[(own[i] != own[j]) & ((own[i] == largest) | (i < j))]
+                # as the first n-gram that both have, it leaves room for so many in all
+                room = np.minimum(n[i] - pos[i], n[j] - pos[j])
+                yield from put(key[i := i[room * (100 + percent) >= percent * (n[i] + n[j])]], np.repeat(key[j : j + 1], len(i)))
 
         def put(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
             nonlocal size
+            if not len(a):
+                return
             swap = a > b
             held_a.append(np.where(swap, b, a))
             held_b.append(np.where(swap, a, b))
@@ -219,16 +247,16 @@ def _product(every_pair: bool, percent: int):
                 yield out()
 
         for b in batches:
-            gram = b.column("gram").to_numpy()
-            n, key, comp = b.column("n").to_numpy().astype(np.int64), np.array(b.column("key").to_pylist(), "S32"), np.array(b.column("comp").to_pylist(), "S32")
+            gram, n, pos = (b.column(c).to_numpy().astype(np.int64) for c in ("gram", "n", "pos"))
+            now = [gram, n, pos, *(np.array(b.column(c).to_pylist(), "S32") for c in ("key", "comp"))]
             if carry is not None:
-                gram, n, key, comp = (np.concatenate([x, y]) for x, y in zip(carry, (gram, n, key, comp), strict=True))
-            cuts = np.flatnonzero(gram[1:] != gram[:-1]) + 1
-            cuts = np.r_[0, cuts]
+                now = [np.concatenate(x) for x in zip(carry, now, strict=True)]
+            gram = now[0]
+            cuts = np.r_[0, np.flatnonzero(gram[1:] != gram[:-1]) + 1]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if e - s > 1:
-                    yield from pairs(n[s:e], key[s:e], comp[s:e])
-            carry = gram[cuts[-1] :], n[cuts[-1] :], key[cuts[-1] :], comp[cuts[-1] :]
+                    yield from pairs(*(x[s:e] for x in now[1:]))
+            carry = [x[cuts[-1] :] for x in now]
         if carry is not None and len(carry[0]) > 1:
             yield from pairs(*carry[1:])
         if size:
@@ -237,17 +265,25 @@ def _product(every_pair: bool, percent: int):
     return run
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def written(df: DataFrame, uri: str) -> DataFrame:
+    """Cuts lineage by a table in the folder. Unlike a checkpoint's, its size is known to the planner; over many turns
+    the estimates that checkpoints pass on would grow without end."""
+    path = f"{uri}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def connected(edges: DataFrame, uri: str) -> DataFrame:
     """(key, comp) of every key in `edges` (a, b): its component's smallest key, by min-label steps and pointer jumps."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("comp")))
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), uri)
+    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("comp")), uri)
     moved = True
     while moved:
         near = both.join(label.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("comp").alias("m"))
         step = label.join(near, "key").select("key", "comp", F.least("comp", "m").alias("low"))
         # the label of one's label is at least as small
         jump = step.join(label.select(F.col("key").alias("low"), F.col("comp").alias("far")), "low", "left")
-        after = checkpointed(jump.select("key", "comp", F.least("low", F.coalesce("far", "low")).alias("new")))
+        after = written(jump.select("key", "comp", F.least("low", F.coalesce("far", "low")).alias("new")), uri)
         moved = not after.where("new <> comp").isEmpty()
         label = after.select("key", F.col("new").alias("comp"))
     return label
@@ -278,13 +314,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     2. A document's n-grams are put in order by count; of these only the first
        n - ceil(percent * n / 100) + 1 can hold the first n-gram that a linked pair shares.
        Those that occur elsewhere are the document's row in the sparse incidence matrix.
-    3. Documents with the same n-gram set are one row. The matrix, blocked by n-gram, is
-       multiplied with its transpose; counts of common n-grams are summed for each pair, and
-       pairs whose count cannot reach the bound set by their sizes are dropped. The others are
-       verified on their whole sets.
-    4. First a document is tried only with the best of the first documents of its n-grams:
-       this links a large group through few pairs. Then every pair whose ends are still in
-       different components is tried, so no link between components is lost.
+       Documents with the same n-gram set are one row.
+    3. The matrix, blocked by n-gram, is multiplied with its transpose: for each pair, common
+       n-grams are counted, and pairs are left out whose sizes, or the places of their common
+       n-grams in both orders, leave too little room for the overlap that a link needs. The
+       others are verified on their whole sets.
+    4. Before that product, a few turns try a document only with the best of the leading
+       documents of a few of its n-grams: this links a large group through few pairs. The
+       product then forms every pair whose ends are still in different components, so no link
+       between components is lost.
 
     Words are maximal runs of non-space, A-Z lower-cased; with fewer than `ngram` words the
     whole sequence is one n-gram. Null or empty texts have no n-grams and their own doc_id as
@@ -295,36 +333,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     with store.scratch(spark) as uri:
-        dealt = rows.select("text").mapInArrow(_deal(ngram, buckets), "bucket int, hashes binary")
+        dealt = rows.select("text").mapInArrow(_deal(ngram, buckets), "bucket int, hashes binary, counts binary")
         dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_ngrams(uri), "kept long").agg(F.sum("kept")).collect()
         held = f"{uri}/rows"
-        rows.mapInArrow(_prefixes(ngram, buckets, uri, percent), "doc_id long, n int, key string, prefix array<long>, part int, at long").write.parquet(held)
+        rows.mapInArrow(_prefixes(ngram, buckets, uri, percent), "doc_id long, n int, key string, alone int, prefix array<long>, part int, at long").write.parquet(held)
         made = spark.read.parquet(held)
         classes = made.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
         # a task sends a set once, but several tasks may send the same set
-        sent = made.where("at is not null")
-        live = checkpointed(sent.select("key", "n", F.explode("prefix").alias("gram")).distinct())
-        place = checkpointed(sent.groupBy("key").agg(F.min(F.struct("part", "at")).alias("p"), F.first("n").alias("n")).select("key", "n", "p.part", "p.at"))
-        sides = [place.select(*(F.col(c).alias(x if c == "key" else f"{c}_{x}") for c in place.columns)) for x in "ab"]
+        sent = made.where("at is not null").groupBy("key").agg(F.min(F.struct("part", "at", "n", "alone", "prefix")).alias("s")).select("key", "s.*")
+        sent = written(sent, uri)
+        sides = [sent.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("part", "at", "n"))) for x in "ab"]
         links, labels = None, None
-        for every in (False, True):
-            at = live.withColumn("comp", F.col("key"))
+        for turn in range(STAR_TURNS + 1):
+            every = turn == STAR_TURNS
+            at = sent.withColumn("comp", F.col("key")) if labels is None else sent.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
             if every:
-                at = live.join(labels, "key", "left").select("key", "n", "gram", F.coalesce("comp", "key").alias("comp"))
-            at = at.repartition("gram").sortWithinPartitions("gram").select("gram", "n", "key", "comp")
-            pairs = at.mapInArrow(_product(every, percent), "a string, b string, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
+                postings = at.select("key", "n", "comp", "alone", F.posexplode("prefix").alias("after", "gram"))
+            else:
+                # a few n-grams of each document, by a hash that all have in common
+                few = F.slice(F.array_sort(F.transform("prefix", lambda g: F.struct(F.xxhash64(g, F.lit(turn)).alias("h"), g.alias("g")))), 1, STAR_GRAMS)
+                postings = at.select("key", "n", "comp", "alone", F.explode(F.transform(few, lambda x: x["g"])).alias("gram")).withColumn("after", F.lit(0))
+            postings = postings.repartition("gram").sortWithinPartitions("gram").select("gram", "n", (F.col("alone") + F.col("after")).alias("pos"), "key", "comp")
+            pairs = postings.mapInArrow(_product(every, percent), "a string, b string, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
             if not every:
-                ends = F.explode(F.array("a", "b")).alias("own")
-                pairs = pairs.select("*", ends).groupBy("own").agg(F.max_by(F.struct("a", "b"), F.struct("common", "a", "b")).alias("p")).select("p.*").distinct()
-            pairs = pairs.join(sides[0], "a").join(sides[1], "b")
-            if every:
-                # beyond both prefixes, a pair shares no more than what follows one of them
-                rest = [F.ceil(F.col(c) * percent / 100) - 1 for c in ("n_a", "n_b")]
-                pairs = pairs.where((F.col("common") + F.greatest(*rest)) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
-            found = checkpointed(pairs.select("a", "part_a", "at_a", "n_a", "b", "part_b", "at_b", "n_b").mapInArrow(_verify(uri, percent), "a string, b string"))
+                own = F.explode(F.array("a", "b")).alias("own")
+                pairs = pairs.select("*", own).groupBy("own").agg(F.max_by(F.struct("a", "b"), F.struct("common", "a", "b")).alias("p")).select("p.*").distinct()
+            pairs = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "part_a", "at_a", "n_a", "b", "part_b", "at_b", "n_b")
+            found = written(pairs.mapInArrow(_verify(uri, percent), "a string, b string"), uri)
             links = found if links is None else links.union(found)
             if labels is None or not found.isEmpty():
-                labels = connected(links)
+                labels = connected(links, uri)
         comps = classes.join(labels, "key", "left").select("key", "rep", F.coalesce("comp", "key").alias("comp"))
         least = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
         of_class = comps.join(least, "comp").select(F.col("key").alias("own"), "component_id")
