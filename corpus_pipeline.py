@@ -10,7 +10,7 @@ from cairn.llm.exact_dedup import drop_exact_duplicates
 from cairn.llm.language import keep_identified
 from cairn.llm.mixing import mixed_documents
 from cairn.llm.near_dup import drop_near_duplicates
-from cairn.llm.store import scratch_path
+from cairn.llm.store import remove, scratch_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +45,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents, each written as Parquet in the shared folder and read again.
+
+    A stage's table goes when the next one is there; the last one's stays, the result reads it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = scratch_path(spark)
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(before)
+        before = path
     return docs
