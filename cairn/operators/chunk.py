@@ -45,6 +45,14 @@ def paragraph_counts(text: Column) -> Column:
     return F.transform(T.split_paragraphs(text), lambda p: F.struct(count(p).alias("n"), F.transform(T.split_sentences(p), count).alias("s")))
 
 
+def chunk_hashes(df: DataFrame, key: str, text: str, size: int = V.CHUNK_SIZE, overlap: int = V.CHUNK_OVERLAP) -> DataFrame:
+    """key, hashes: each document's distinct chunk hashes as an array, without an aggregation (so for streams, too)."""
+    rows = df.select(F.col(key), F.col(text).alias("__text"))
+    rows = rows.select(key, T.word_tokens(F.col("__text")).alias("words"), paragraph_counts(F.col("__text")).alias("paras")).withColumn("spans", chunk_spans(size, overlap))
+    one = lambda s: F.sha2(F.array_join(F.slice("words", s["start"] + 1, s["len"]), " ").cast("binary"), 256)
+    return rows.select(key, F.array_distinct(F.transform("spans", one)).alias("hashes"))
+
+
 def chunk(df: DataFrame, key: str, text: str, size: int = V.CHUNK_SIZE, overlap: int = V.CHUNK_OVERLAP) -> DataFrame:
     """key, chunk_no (from 0), chunk_text. Every chunk is a slice of the document's words; blank texts have none."""
     rows = df.select(F.col(key), F.col(text).alias("__text"))

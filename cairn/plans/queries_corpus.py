@@ -11,6 +11,8 @@ from ..operators import embed as E
 from ..operators import extract as X
 from ..operators.chunk import chunk
 from ..operators.ingest import ingest
+from ..sources import tables
+from ..streaming import ingest as S
 from .registry import Registry
 from .views import table, view
 
@@ -283,4 +285,30 @@ def ingest_results(spark, sf):
     return _ingested(spark, sf).results
 
 
+# --- streams
+
+
+@query("WITH " + _chunk_ctes("c", "documents", "doc_id", "text") + f"SELECT doc_id AS source_id, sha256({_STRIP.format('chunk_text')}) AS chunk_hash, 'new' AS state FROM c GROUP BY 1, 2")
+def stream_diff(spark, sf):
+    """The documents as a stream into the stateful diff, all of whose chunks are new at first."""
+    # a pattern, for a stream reads a file or a folder by pattern alone
+    path, folder = f"{sf.rstrip('/')}/documents.parque[t]", tables.scratch(spark)
+    stream = spark.readStream.schema(table(spark, sf, "documents").schema).parquet(path).select(F.col("doc_id").alias("source_id"), "text")
+    out = S.stream_diff(S.incoming_hashes(stream)).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(S.DIFF).parquet(f"{folder}/out")
+
+
+@query()
+def stream_ingest(spark, sf):
+    """Landed books and pages through the micro-batch ingest; the chunk snapshot that it leaves."""
+    folder = tables.scratch(spark)
+    _landed(spark, sf).write.parquet(f"{folder}/landing")
+    old, new = _revisions(spark, sf)
+    sources = view(spark, sf, "v_catalog").withColumn("content_hash", F.lit(None).cast("string"))
+    run = S.stream_ingest(spark, f"{folder}/landing", f"{folder}/state", f"{folder}/checkpoint", sources, _snapshot(old, new), content="article", heading="h1")
+    run.awaitTermination()
+    return tables.read_snapshot(spark, f"{folder}/state/chunks").select("source_id", "chunk_hash", "is_active")
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,12 @@ def read_fetched(spark: SparkSession, path: str, stream: bool = False) -> DataFr
     return reader.schema(FETCHED).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """URI of a new folder in the folder that the cluster shares (spark.checkpoint.dir), or in a local one where none is set."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{root.rstrip('/')}/cairn-{uuid.uuid4().hex}" if root else f"file://{tempfile.mkdtemp(prefix='cairn-')}"
+
+
 def active_chunks(chunks: DataFrame, source_ids: DataFrame | None = None) -> DataFrame:
     live = chunks.where(F.col("is_active").cast("boolean"))  # a partition column reads as text
     return live if source_ids is None else live.join(source_ids.select("source_id"), "source_id", "left_semi")

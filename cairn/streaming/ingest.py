@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.chunk import chunk
-from ..operators.extract import extract
+from ..operators.chunk import chunk_hashes
 from ..operators.ingest import ingest
 from ..sources import tables
 
@@ -32,12 +31,10 @@ def stream_ingest(spark: SparkSession, landing: str, state: str, checkpoint: str
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def incoming_hashes(fetched: DataFrame, **selectors) -> DataFrame:
-    """source_id, content_hash, hashes: what the stateful diff reads of each payload."""
-    texts = extract(fetched, **selectors).where("text is not null")
-    hashed = chunk(texts, "source_id", "text").withColumn("h", F.sha2(F.col("chunk_text").cast("binary"), 256))
-    lists = hashed.groupBy("source_id").agg(F.collect_set("h").alias("hashes"))
-    return texts.select("source_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash")).join(lists, "source_id", "left")
+def incoming_hashes(texts: DataFrame) -> DataFrame:
+    """source_id, content_hash, hashes: what the stateful diff reads of each (source_id, text), batch or stream."""
+    known = texts.where("text is not null").withColumn("both", F.struct("source_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash")))
+    return chunk_hashes(known, "both", "text").select("both.source_id", "both.content_hash", "hashes")
 
 
 DIFF = "source_id long, chunk_hash string, state string"
