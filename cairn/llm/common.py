@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,22 @@ def lower_az(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_LOWER)
 
 
+def tidied(run: Callable) -> Callable:
+    """A task function after which its Python worker, which Spark keeps for later tasks, returns freed memory to the machine."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def alnum_words(text: str) -> list[str]:
     return _ALNUM.findall(lower_az(text))
 

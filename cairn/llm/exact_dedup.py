@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed
+from .common import SPACE, checkpointed, tidied
 
 #: Bytes of text that one task holds in its table before it partitions to files.
 TABLE_BYTES = 48 << 20
@@ -157,8 +157,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     other columns are not read, so their names don't matter.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("best"), _normal(F.col(text)).alias("content"))
-    merged = plain.withColumn("n", F.lit(1).cast("long")).mapInArrow(_task(False, table_bytes), "h long, content binary, best long, n long")
-    groups = merged.repartition("h").select("content", "best", "n").mapInArrow(_task(True, table_bytes), "digest string, best long, n long")
+    merged = plain.withColumn("n", F.lit(1).cast("long")).mapInArrow(tidied(_task(False, table_bytes)), "h long, content binary, best long, n long")
+    groups = merged.repartition("h").select("content", "best", "n").mapInArrow(tidied(_task(True, table_bytes)), "digest string, best long, n long")
     # repeated rows are counted, not windowed, so that a third of all rows may be one repeated row
     rows = plain.select("best", F.sha2("content", 256).alias("digest")).groupBy("digest", "best").agg(F.count("*").alias("same"))
     joined = rows.join(groups.select("digest", F.col("best").alias("keep_id"), F.col("n").alias("group_size")), "digest")

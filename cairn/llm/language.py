@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fold
+from .common import fold, tidied
 
 #: Bytes of a window; every window starts from a state of zeros. Byte 256 is padding.
 SPAN = 128
@@ -208,7 +208,7 @@ def identify_languages(docs: DataFrame, per_language: int = 300, max_bytes: int
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(label, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4, per_language: int = 300, max_bytes: int = 2048, hidden: int = 8, steps: int = 400) -> DataFrame:
@@ -219,4 +219,4 @@ def keep_identified(docs: DataFrame, least: float = 0.4, per_language: int = 300
         for part, label, score in _labelled(net, batches, "text"):
             yield part.filter(pa.array([y != UNDETERMINED and s >= least for y, s in zip(label, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

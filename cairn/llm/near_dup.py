@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .common import checkpointed, space_words
+from .common import checkpointed, space_words, tidied
 
 #: N-grams that a task holds before it deals them out.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Turns that only link groups, and how many n-grams of a document each looks at. The last product is complete without them.
 STAR_TURNS, STAR_GRAMS = 2, 4
-_CACHE = 400_000
+_CACHE = 200_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -179,7 +179,7 @@ def _prefixes(n: int, buckets: int, uri: str, percent: int):
                 for i in range(b.num_rows):
                     held.append(texts[i].as_py())
                     size += len(held[-1] or "")
-                    if size > 4_000_000 or i == b.num_rows - 1:
+                    if size > 2_000_000 or i == b.num_rows - 1:
                         sizes, keys, alone, found, at = rows(held)
                         ids = b.column("doc_id").slice(begun, len(held))
                         yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(keys, pa.string()), pa.array(alone, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array([part_no] * len(sizes), pa.int32()), pa.array(at, pa.int64())], ["doc_id", "n", "key", "alone", "prefix", "part", "at"])
@@ -333,10 +333,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     with store.scratch(spark) as uri:
-        dealt = rows.select("text").mapInArrow(_deal(ngram, buckets), "bucket int, hashes binary, counts binary")
-        dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_ngrams(uri), "kept long").agg(F.sum("kept")).collect()
+        dealt = rows.select("text").mapInArrow(tidied(_deal(ngram, buckets)), "bucket int, hashes binary, counts binary")
+        dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_shared_ngrams(uri)), "kept long").agg(F.sum("kept")).collect()
         held = f"{uri}/rows"
-        rows.mapInArrow(_prefixes(ngram, buckets, uri, percent), "doc_id long, n int, key string, alone int, prefix array<long>, part int, at long").write.parquet(held)
+        rows.mapInArrow(tidied(_prefixes(ngram, buckets, uri, percent)), "doc_id long, n int, key string, alone int, prefix array<long>, part int, at long").write.parquet(held)
         made = spark.read.parquet(held)
         classes = made.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
         # a task sends a set once, but several tasks may send the same set
@@ -354,12 +354,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 few = F.slice(F.array_sort(F.transform("prefix", lambda g: F.struct(F.xxhash64(g, F.lit(turn)).alias("h"), g.alias("g")))), 1, STAR_GRAMS)
                 postings = at.select("key", "n", "comp", "alone", F.explode(F.transform(few, lambda x: x["g"])).alias("gram")).withColumn("after", F.lit(0))
             postings = postings.repartition("gram").sortWithinPartitions("gram").select("gram", "n", (F.col("alone") + F.col("after")).alias("pos"), "key", "comp")
-            pairs = postings.mapInArrow(_product(every, percent), "a string, b string, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
+            pairs = postings.mapInArrow(tidied(_product(every, percent)), "a string, b string, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
             if not every:
                 own = F.explode(F.array("a", "b")).alias("own")
                 pairs = pairs.select("*", own).groupBy("own").agg(F.max_by(F.struct("a", "b"), F.struct("common", "a", "b")).alias("p")).select("p.*").distinct()
             pairs = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "part_a", "at_a", "n_a", "b", "part_b", "at_b", "n_b")
-            found = written(pairs.mapInArrow(_verify(uri, percent), "a string, b string"), uri)
+            found = written(pairs.mapInArrow(tidied(_verify(uri, percent)), "a string, b string"), uri)
             links = found if links is None else links.union(found)
             if labels is None or not found.isEmpty():
                 labels = connected(links, uri)
