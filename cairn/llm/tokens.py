@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -17,6 +18,8 @@ PIECES = "piece_bpe_32k.model"
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 _CACHE = 300_000
+#: A run of blanks (or, if each is split off, one blank) and the word after it, or a word at a line's start.
+_WORD = {split: re.compile(f"{BLANK}{'' if split else '+'}[^{BLANK}\n]*|[^{BLANK}\n]+") for split in (False, True)}
 
 
 def piece_scores(path: str) -> list[tuple[str, float]]:
@@ -29,11 +32,14 @@ def piece_scores(path: str) -> list[tuple[str, float]]:
 class UnigramCounter:
     """Counts pieces of the best segmentation of whole texts; unknown characters count their UTF-8 bytes.
 
-    No piece holds a blank after its first character or a character that is in no piece, so the
-    best segmentation of a text is that of its words one by one, and those can be remembered.
+    A text is cut before each run of blanks and around each line's end, where no piece reaches across:
+    a piece has blanks at its start only, though any number of them. So the best segmentation of a
+    text is that of its words one by one, each with all blanks before it, and those can be remembered.
+    With `split`, texts are cut before every blank, as the library's Metaspace does unless told not to;
+    pieces of several blanks then match nothing.
     """
 
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], split: bool = True):
         if not pieces:
             raise ValueError("an empty vocabulary")
         self.automaton = ahocorasick.Automaton()
@@ -42,7 +48,8 @@ class UnigramCounter:
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         if any(BLANK in p.lstrip(BLANK) for p, _ in pieces) or any("\n" in p for p, _ in pieces):
-            raise ValueError("a piece goes over a blank or a line's end")
+            raise ValueError("a piece has a blank after another character, or a line's end")
+        self.word = _WORD[split]
         self.count: dict[str, int] = {}
         self.score: dict[str, float] = {}
 
@@ -75,27 +82,19 @@ class UnigramCounter:
 
     def __call__(self, text: str | None) -> tuple[int, float]:
         """A blank goes before the text unless it begins with one."""
-        text = (text or "").replace(BLANK, " ")
+        text = (text or "").replace(" ", BLANK)
         if not text:
             return 0, 0.0
         count, score = 0, 0.0
-        first, *later = text.split("\n")
-        words = first.split(" ")
-        if text[0] == " ":
-            words = words[1:]
-        words = [BLANK + w for w in words]
-        for line in later:
-            head, *rest = line.split(" ")
-            if head:
-                words.append(head)
-            words += [BLANK + w for w in rest]
+        words = self.word.findall(text if text[0] == BLANK else BLANK + text)
+        ends = text.count("\n")
         known, scores = self.count, self.score
         for w in words:
             if w not in known:
                 self._learn(w)
             count += known[w]
             score += scores[w]
-        return count + len(later), score + len(later) * self.unknown
+        return count + ends, score + ends * self.unknown
 
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pieces: str = f"{TOKENIZERS}/{PIECES}") -> DataFrame:
@@ -108,7 +107,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pi
     vocabulary = piece_scores(pieces)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = UnigramCounter(vocabulary)
+        counter = UnigramCounter(vocabulary, split=False)
         for b in batches:
             n, score = zip(*(counter(t.as_py()) for t in b.column("text")), strict=True) if b.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(score, pa.float64())], ["doc_id", "n_tokens", "best_score"])

@@ -154,6 +154,30 @@ def test_ties_go_to_the_earliest_start():
         assert counter.segment(word)[1] == pytest.approx(max(paths(counter, word)))
 
 
+def test_runs_of_blanks_are_segmented_whole(spark, pieces):
+    """As the unigram model over the text in one piece, with the query's vocabulary."""
+    from tokenizers import pre_tokenizers
+
+    t, counter = library(pieces), tokens.UnigramCounter(pieces, split=False)
+    t.pre_tokenizer = pre_tokenizers.Metaspace("▁", "always", False)
+    code = "if x:" + " " * 16 + "return"
+    assert counter(code) == (6, -1000030049)
+    assert [r[1:] for r in tokens.token_counts(odd(spark, [(1, code, "en", "a", 1)])).collect()] == [(6, -1000030049)]
+    rng = random.Random(7)
+    texts = [" " * n + "a" + " " * n for n in range(40)] + ["a.  B\n    c\n\n  ", "\n  x", "   ", " ▁ x"]
+    texts += ["".join(rng.choice(["a", "the", "☃", "\n", ":", " ", "  ", " " * 5, " " * 17]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    for x in texts:
+        whole = x.replace(" ", "▁")
+        whole = whole if whole[:1] in ("", "▁") else "▁" + whole
+        assert counter(x) == counter.segment(whole) and counter(x)[0] == len(t.encode(x).ids), x
+
+
+def test_pieces_over_a_cut_are_refused():
+    for bad in ("a▁b", "▁▁a▁", "a\n", "\n▁"):
+        with pytest.raises(ValueError):
+            tokens.UnigramCounter([("a", -1.0), (bad, -1.0)])
+
+
 def paths(counter, word):
     known = {}
     for end, (size, score) in counter.automaton.iter(word):
