@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -60,7 +60,9 @@ def _plain_letters() -> tuple[str, str]:
 
 
 def entity_key(name: Column) -> Column:
-    """Lower-case ASCII letters and digits, other runs as one blank; marks are dropped. Names in other scripts have an empty key."""
+    """Lower-case ASCII letters and digits, other runs as one blank; marks are dropped. Names in other scripts have an empty key.
+
+    Knows the letters of the table only; with_entity_key() is exact for all names."""
     have, want = _plain_letters()
     bare = F.regexp_replace(F.translate(name, have, want), r"\p{M}+", "")
     return F.trim(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", " "))
@@ -73,6 +75,14 @@ def entity_key_any(name: pd.Series) -> pd.Series:
     return bare.str.replace(r"[^a-z0-9]+", " ", regex=True).str.strip()
 
 
+def with_entity_key(rows: DataFrame, name: str = "display_name", key: str = "normalized_key") -> DataFrame:
+    """`rows` with the key of each name. Distinct names with characters beyond ASCII after the table get theirs in Python."""
+    rest = F.coalesce(F.translate(F.col(name), *_plain_letters()).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    rows = rows.drop(key)
+    exact = rows.where(rest).select(name).distinct().withColumn(key, entity_key_any(F.col(name)))
+    return rows.where(~rest).withColumn(key, entity_key(F.col(name))).unionByName(rows.where(rest).join(exact, name))
+
+
 def query_text(question: Column) -> Column:
     return F.concat(F.lit(V.QUERY_PREFIX), question)
 

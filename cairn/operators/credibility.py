@@ -95,9 +95,9 @@ def suggested_values(entity_type: Column, facts: Column, tradition: Column) -> C
     return F.map_from_entries(F.when(entity_type == "author", both).otherwise(none))
 
 
-def lookup_entities(requests: DataFrame, cache: DataFrame, entity_key=T.entity_key) -> DataFrame:
+def lookup_entities(requests: DataFrame, cache: DataFrame, entity_key=None) -> DataFrame:
     """normalized_key, request_id, cached: hits whose stored row counts as it is, and of the misses the first request of a key."""
-    keyed = requests.withColumn("normalized_key", entity_key(F.col("display_name")))
+    keyed = requests.withColumn("normalized_key", entity_key(F.col("display_name"))) if entity_key else T.with_entity_key(requests)
     known = cache.select("normalized_key").distinct()
     hits = keyed.join(known, "normalized_key", "left_semi").withColumn("cached", F.lit(True))
     missed = keyed.join(known, "normalized_key", "left_anti")

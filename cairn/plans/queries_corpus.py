@@ -80,7 +80,7 @@ def normalize_tradition(spark, sf):
 
 @query("SELECT request_id, trim(regexp_replace(lower(strip_accents(display_name)), '[^a-z0-9]+', ' ', 'g')) AS normalized_key FROM v_lookups", "v_lookups")
 def entity_key(spark, sf):
-    return view(spark, sf, "v_lookups").select("request_id", T.entity_key(F.col("display_name")).alias("normalized_key"))
+    return T.with_entity_key(view(spark, sf, "v_lookups")).select("request_id", "normalized_key")
 
 
 @query(f"SELECT doc_id, CAST(len({_WORDS.format('text')}) AS INTEGER) AS n_words FROM documents")

@@ -43,6 +43,20 @@ def test_entity_key_fallback_takes_ligatures(spark):
     assert [r[0] for r in values(spark, names, T.entity_key_any(F.col("t")))] == [None if n is None else key(n) for n in names]
 
 
+def test_keys_of_all_names_are_exact(spark):
+    from cairn.operators import credibility
+
+    names = [*NAMES, "ﬁeld Œuvre", "Ｐｌａｔｏ", "Ｈｏｍｅｒ", "Ｈｏｍｅｒ", "Henry Ⅷ", "x² ½", "Kelvin \u212a", "e\u0301 a\u20ddb", "İ", "ſt", None]
+    requests = spark.createDataFrame(list(enumerate(names)), "request_id int, display_name string")
+    want = {i: None if n is None else key(n) for i, n in enumerate(names)}
+    assert {r["request_id"]: r["normalized_key"] for r in T.with_entity_key(requests).collect()} == want
+    cache = spark.createDataFrame([("plato",)], "normalized_key string")
+    got = credibility.lookup_entities(requests, cache).collect()
+    assert [r["display_name"] for r in got if r["cached"]] == ["Ｐｌａｔｏ"]
+    first = {k: i for i, k in reversed(want.items()) if k != "plato"}
+    assert sorted(r["request_id"] for r in got if not r["cached"]) == sorted(first.values())
+
+
 def test_sentences_and_paragraphs(spark):
     t = "One. Two!  Three?\nFour 3.5 end\n \n  Last. "
     assert values(spark, [t], T.split_paragraphs(F.col("t")), T.split_sentences(F.lit("One. Two!  Three?\nFour 3.5 end"))) == [(["One. Two!  Three?\nFour 3.5 end", "Last."], ["One.", "Two!", "Three?", "Four 3.5 end"])]
