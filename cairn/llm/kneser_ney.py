@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigrams: counted in Spark, kept as sorted arrays, mapped by workers."""
+"""Interpolated modified Kneser-Ney bigrams or trigrams: counted in Spark, kept as sorted arrays, mapped by workers."""
 
 from __future__ import annotations
 
@@ -19,6 +19,8 @@ from .common import fold, space_words
 END = b""
 #: Token ids: a word's is its place among all word hashes; START is context only.
 START = 2**32 - 1
+#: Stands before START: a text's first word has a context of one token in every order.
+NOTHING = 2**32 - 2
 _FLUSH = 3_000_000
 _WORDS = 300_000
 _CACHE = 300_000
@@ -98,38 +100,83 @@ def _shard(context: np.ndarray, shards: int) -> np.ndarray:
     return ((context.astype(np.uint64) * np.uint64(2654435761)) % np.uint64(2**32)) * np.uint64(shards) >> np.uint64(32)
 
 
-def _count_bigrams(uri: str, parts: int, offsets: list[int], shards: int):
-    """Training texts to (shard, code, n); a code is the context's id, then the token's."""
+def _mix(code: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """64-bit hash of a trigram: the code of its last two tokens, and the first."""
+    x = code.copy()
+    for more in (left.astype(np.uint64) + np.uint64(1), np.uint64(0)):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x ^= x >> np.uint64(33)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(33)
+        x ^= more * np.uint64(0x9E3779B97F4A7C15)
+    return x
+
+
+def _merged(code: np.ndarray, left: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams in order of code and left, with their counts' sums."""
+    order = np.lexsort((left, code)) if left.any() else np.argsort(code, kind="stable")
+    code, left = code[order], left[order]
+    first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (left[1:] != left[:-1])])
+    return code[first], left[first], np.add.reduceat(n[order], first)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Compressed by byte planes."""
+    return pa.compress(np.ascontiguousarray(x.view("u1").reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, size: int, dtype: str) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    raw = pa.decompress(data, size * width, "zstd", asbytes=True)
+    return np.frombuffer(raw, "u1").reshape(width, size).T.copy().view(dtype).ravel()
+
+
+def _count_ngrams(uri: str, parts: int, offsets: list[int], shards: int, order: int):
+    """Training texts to merged, compressed runs of a shard; a code is the id of the token before the last, then the
+    last; left is the id before them (0 in a bigram model). A shard has all n-grams with one token before the last, so
+    both the contexts of trigrams and the distinct tokens before a bigram can be counted there."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held, size = Vocabulary(uri, parts, offsets), [], 0
+        vocabulary, held, lefts, size = Vocabulary(uri, parts, offsets), [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            shard = _shard(code >> np.uint64(32), shards).astype(np.int32)
-            for k in range(0, len(code), 200_000):
-                s = slice(k, k + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(shard[s]), pa.array(code[s].view(np.int64)), pa.array(n[s].astype(np.int32))], ["shard", "code", "n"])
+            code = np.concatenate(held)
+            left = np.concatenate(lefts) if order == 3 else np.zeros(len(code), np.uint32)
+            code, left, n = _merged(code, left, np.ones(len(code), np.uint32))
+            shard = _shard(code >> np.uint64(32), shards)
+            by = np.argsort(shard, kind="stable")
+            code, left, n = code[by], left[by], n.astype(np.uint32)[by]
+            cuts = np.searchsorted(shard[by], np.arange(shards + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(cuts))
+            for k in range(0, len(full), 64):
+                rows = []
+                for f in full[k : k + 64]:
+                    c = slice(cuts[f], cuts[f + 1])
+                    rows.append((int(f), int(cuts[f + 1] - cuts[f]), _pack(np.diff(code[c], prepend=np.uint64(0))), _pack(left[c]), _pack(n[c])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["shard", "size", "code", "left", "n"])
 
         for b in batches:
             for t in b.column(0):
                 w = vocabulary.ids(tokens(t.as_py())).astype(np.uint64)
                 held.append((np.r_[np.uint64(START), w[:-1]] << np.uint64(32)) | w)
+                if order == 3:
+                    lefts.append(np.r_[np.uint64(NOTHING), np.uint64(START), w[:-2]][: len(w)].astype(np.uint32))
                 size += len(w)
                 if size > _FLUSH:
                     yield from out()
-                    held, size = [], 0
+                    held, lefts, size = [], [], 0
         if size:
             yield from out()
 
     return run
 
 
-def _save_bigrams(uri: str):
-    """Sorted (shard, code, n) to each shard's arrays; sends contexts' and tokens' statistics on.
+def _save_ngrams(uri: str, order: int):
+    """Sorted runs to each shard's arrays; sends contexts' and tokens' statistics on.
 
     kind 0: a context, with its count and how many tokens follow it once, twice, more often.
     kind 1: a token and how many contexts it has here. kind 2: bigrams seen 1, 2, 3 and 4 times.
+    kind 3: trigrams likewise. In a trigram model, a bigram's count is that of the tokens before it, but for those at a text's start.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +187,33 @@ def _save_bigrams(uri: str):
                 part = [pa.array(c[k : k + 100_000]) for c in cols]
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part[0]), pa.int32()), *part], ["kind", "id", "x0", "x1", "x2", "x3"])
 
-        def close(shard: int, code: list[np.ndarray], n: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            code, n = np.concatenate(code).view(np.uint64), np.concatenate(n).astype(np.int64)
-            order = np.argsort(code, kind="stable")
-            code, n = code[order], n[order]
-            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            code, n = code[first], np.add.reduceat(n, first)
+        def save_trigrams(shard: int, code: np.ndarray, left: np.ndarray, n: np.ndarray) -> None:
+            key = _mix(code, left)
+            by = np.argsort(key, kind="stable")
+            if (key[by][1:] == key[by][:-1]).any():
+                raise ValueError("two trigrams have the same 64-bit hash")
+            store.save(uri, f"trigrams.{shard}.code", key[by])
+            store.save(uri, f"trigrams.{shard}.count", np.minimum(n[by], 2**32 - 1).astype(np.uint32))
+            context = (left.astype(np.uint64) << np.uint64(32)) | (code >> np.uint64(32))
+            by = np.argsort(context, kind="stable")
+            context, n = context[by], n[by]
+            start = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+            stats = np.stack([np.add.reduceat(x.astype(np.int64), start) for x in (n, n == 1, n == 2, n > 2)], 1)
+            if stats.max() >= 2**32:
+                raise ValueError("a context occurs too often")
+            store.save(uri, f"contexts.{shard}.code", context[start])
+            store.save(uri, f"contexts.{shard}.count", stats.astype(np.uint32).ravel())
+
+        def close(shard: int, code: list[np.ndarray], left: list[np.ndarray], n: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            code, left, n = _merged(np.concatenate(code), np.concatenate(left), np.concatenate(n).astype(np.int64))
+            if order == 3:
+                whole = left != NOTHING
+                if whole.any():
+                    save_trigrams(shard, code[whole], left[whole], n[whole])
+                yield from rows(3, [0], *([int((n[whole] == k).sum())] for k in (1, 2, 3, 4)))
+                first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+                n = np.where(code[first] >> np.uint64(32) == START, np.add.reduceat(n, first), np.diff(np.r_[first, len(code)]))
+                code = code[first]
             store.save(uri, f"bigrams.{shard}.code", code)
             store.save(uri, f"bigrams.{shard}.count", np.minimum(n, 2**32 - 1).astype(np.uint32))
             context = code >> np.uint64(32)
@@ -156,21 +224,18 @@ def _save_bigrams(uri: str):
             yield from rows(1, token, contexts)
             yield from rows(2, [0], *([int((n == k).sum())] for k in (1, 2, 3, 4)))
 
-        shard, code, n = None, [], []
+        shard, runs = None, ([], [], [])
         for b in batches:
-            own = b.column("shard").to_numpy()
-            cuts = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if s == e:
-                    continue
-                if shard is not None and own[s] != shard:
-                    yield from close(shard, code, n)
-                    code, n = [], []
-                shard = int(own[s])
-                code.append(b.column("code").to_numpy()[s:e].copy())
-                n.append(b.column("n").to_numpy()[s:e].copy())
+            for own, size, *packed in zip(*(b.column(c).to_pylist() for c in ("shard", "size", "code", "left", "n")), strict=True):
+                if shard is not None and own != shard:
+                    yield from close(shard, *runs)
+                    runs = ([], [], [])
+                shard = own
+                code, left, n = (_unpack(x, size, t) for x, t in zip(packed, ("u8", "u4", "u4"), strict=True))
+                for held, x in zip(runs, (np.cumsum(code, dtype=np.uint64), left, n), strict=True):
+                    held.append(x)
         if shard is not None:
-            yield from close(shard, code, n)
+            yield from close(shard, *runs)
 
     return run
 
@@ -211,7 +276,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 @dataclass(frozen=True)
-class BigramModel:
+class NgramModel:
     uri: str
     parts: int
     offsets: tuple[int, ...]
@@ -221,14 +286,18 @@ class BigramModel:
     total: int
     d: tuple[float, float, float]
     unk: float  # lower-order probability of an unknown token
+    order: int = 2
+    d_top: tuple[float, float, float] | None = None  # discounts of trigrams
 
     def start_stats(self) -> tuple[float, float]:
         x = store.load(self.uri, "start", "f8")
         return (float(x[0]), float(x[1])) if len(x) else (0.0, 1.0)
 
 
-def fit(train: DataFrame, text: str, uri: str, width: int = 1 << 17) -> BigramModel:
-    """Counts all of `train` and leaves the model's arrays in the folder `uri`. Only totals come to the driver."""
+def fit(train: DataFrame, text: str, uri: str, width: int = 1 << 17, order: int = 2) -> NgramModel:
+    """Counts the n-grams (`order` 2 or 3) of all of `train` and leaves the model's arrays in the folder `uri`. Only totals come to the driver."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = train.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = train.select(F.col(text).cast("string").alias("text"))
@@ -241,12 +310,11 @@ def fit(train: DataFrame, text: str, uri: str, width: int = 1 << 17) -> BigramMo
         sizes[r["part"]] = r["words"]
     offsets = [0, *np.cumsum(sizes).tolist()]
     shards = 4 * parts
-    pairs = texts.mapInArrow(_count_bigrams(uri, parts, offsets, shards), "shard int, code long, n int")
+    runs = texts.mapInArrow(_count_ngrams(uri, parts, offsets, shards, order), "shard int, size int, code binary, left binary, n binary")
     stats_at = f"{uri}/stats"
-    pairs.repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_bigrams(uri), "kind int, id long, x0 long, x1 long, x2 long, x3 long").write.parquet(stats_at)
+    runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_ngrams(uri, order), "kind int, id long, x0 long, x1 long, x2 long, x3 long").write.parquet(stats_at)
     stats = spark.read.parquet(stats_at)
-    coc = stats.where("kind = 2").agg(*(F.coalesce(F.sum(f"x{k}"), F.lit(0)).alias(f"n{k + 1}") for k in range(4))).first()
-    d = discounts(*coc)
+    d, d_top = (discounts(*stats.where(F.col("kind") == kind).agg(*(F.coalesce(F.sum(f"x{k}"), F.lit(0)).alias(f"n{k + 1}") for k in range(4))).first()) if kind <= order else None for kind in (2, 3))
     seen = F.sum(F.when(F.col("kind") == 1, F.col("x0")).otherwise(0)).alias("seen")
     by_context = [F.sum(F.when(F.col("kind") == 0, F.col(f"x{k}")).otherwise(0)).alias(n) for k, n in enumerate(("c", "n1", "n2", "n3"))]
     ids = stats.where("kind < 2").groupBy("id").agg(seen, *by_context)
@@ -260,7 +328,7 @@ def fit(train: DataFrame, text: str, uri: str, width: int = 1 << 17) -> BigramMo
     start = ids.where(F.col("id") == START).first()
     if start:
         store.save(uri, "start", np.array([start["c"], (d[0] * start["n1"] + d[1] * start["n2"] + d[2] * start["n3"]) / start["c"]]))
-    return BigramModel(uri, parts, tuple(offsets), shards, width, offsets[-1], sum(r["tokens"] for r in saved), d, gamma * unk)
+    return NgramModel(uri, parts, tuple(offsets), shards, width, offsets[-1], sum(r["tokens"] for r in saved), d, gamma * unk, order, d_top)
 
 
 def _one_part(uri: str):
@@ -294,12 +362,12 @@ class _Blocks:
         return out
 
 
-def _score(model: BigramModel):
+def _score(model: NgramModel):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(model.uri, model.parts, list(model.offsets))
         prob, count, weight = (_Blocks(model.uri, n, model.width) for n in ("prob", "count", "weight"))
         start = model.start_stats()
-        shards: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        shards: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
         counts: dict[int, np.ndarray] = {}
 
         def word_counts(ids: np.ndarray) -> np.ndarray:
@@ -311,18 +379,36 @@ def _score(model: BigramModel):
                 out[mine] = counts[k][ids[mine] - model.offsets[k]]
             return out
 
-        def bigram_counts(code: np.ndarray) -> np.ndarray:
-            out, own = np.zeros(len(code), np.int64), _shard(code >> np.uint64(32), model.shards).astype(np.int64)
+        def find(kind: str, before: np.ndarray, code: np.ndarray, width: int = 1) -> np.ndarray:
+            """Counts of codes in the shards of the tokens before the last; zeros where there are none."""
+            out, own = np.zeros((len(code), width), np.int64), _shard(before, model.shards).astype(np.int64)
             order = np.argsort(own, kind="stable")
             cuts = np.searchsorted(own[order], np.arange(model.shards + 1))
             for k in np.flatnonzero(np.diff(cuts)):
-                if k not in shards:
-                    shards[k] = store.load(model.uri, f"bigrams.{k}.code", "u8"), store.load(model.uri, f"bigrams.{k}.count", "u4")
+                if (kind, k) not in shards:
+                    shards[kind, k] = store.load(model.uri, f"{kind}.{k}.code", "u8"), store.load(model.uri, f"{kind}.{k}.count", "u4").reshape(-1, width)
                 mine = order[cuts[k] : cuts[k + 1]]
-                at, there = store.lookup(shards[k][0], code[mine])
-                out[mine[there]] = shards[k][1][at[there]]
+                at, there = store.lookup(shards[kind, k][0], code[mine])
+                out[mine[there]] = shards[kind, k][1][at[there]]
             return out
 
+        def add_trigrams(p: np.ndarray, ids: np.ndarray, context: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> None:
+            """Interpolates bigram probabilities with the trigrams' where their context was seen."""
+            left = np.r_[-1, -1, ids[:-2]][: len(ids)]
+            left[first] = -1
+            left[first[sizes > 1] + 1] = START
+            use = np.flatnonzero((left >= 0) & (context >= 0))
+            a, b = left[use].astype(np.uint64), context[use].astype(np.uint64)
+            seen, seen_at = np.unique((a << np.uint64(32)) | b, return_inverse=True)
+            total, *few = find("contexts", seen & np.uint64(2**32 - 1), seen, 4)[seen_at].astype(float).T
+            has = total > 0
+            use, a, b, total = use[has], a[has], b[has], total[has]
+            p[use] *= sum(x * y[has] for x, y in zip(model.d_top, few, strict=True)) / total
+            at = ids[use] >= 0
+            a, b, c = a[at], b[at], ids[use][at].astype(np.uint64)
+            n = find("trigrams", b, _mix((b << np.uint64(32)) | c, a))[:, 0].astype(float)
+            p[use[at]] += np.maximum(n - discount(n, model.d_top), 0) / total[at]
+
         def score(texts: list) -> list[np.ndarray]:
             """n_tokens, n_known, base and model log10 probability of each text."""
             words = [tokens(t) for t in texts]
@@ -346,9 +432,11 @@ def _score(model: BigramModel):
             n[first], back[first] = start
             both = known & (context >= 0) & (n > 0)
             code, code_at = np.unique((context[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64), return_inverse=True)
-            pair = bigram_counts(code)[code_at].astype(float)
+            pair = find("bigrams", code >> np.uint64(32), code)[code_at, 0].astype(float)
             p = back * lower
             p[both] += np.maximum(pair - discount(pair, model.d), 0) / n[both]
+            if model.order == 3:
+                add_trigrams(p, ids, context, first, sizes)
             add = lambda x: np.add.reduceat(x, first)
             return [sizes, add((c > 0).astype(np.int64)), add(base), add(np.log10(p))]
 
@@ -367,7 +455,7 @@ def _score(model: BigramModel):
     return run
 
 
-def score(docs: DataFrame, model: BigramModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: NgramModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts are the end token alone. Tokens that no training text has share the

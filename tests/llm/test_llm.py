@@ -493,6 +493,60 @@ def test_lm_of_odd_rows(spark, rows):
     assert len(got) == len(rows) and all(r["n_tokens"] >= 1 and math.isfinite(r["score"]) for r in got)
 
 
+def reference_trigrams(texts):
+    """Interpolated modified Kneser-Ney trigrams. A bigram counts the tokens before it; one at a text's start, its occurrences."""
+    tri, starts = Counter(), Counter()
+    for t in texts:
+        w = [None, *kneser_ney.tokens(t)]
+        starts[None, w[1]] += 1
+        tri.update(zip(w, w[1:], w[2:]))
+    pairs = Counter((b, c) for _, b, c in tri) + starts
+    coc = lambda c: [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
+    cut = lambda n, x: 0 if n == 0 else x[min(n, 3) - 1]
+    seen = Counter(c for _, c in pairs)
+    levels = []
+    for grams in (tri, pairs, Counter({(w,): n for w, n in seen.items()})):
+        d, total, back = kneser_ney.discounts(*coc(grams)), Counter(), defaultdict(float)
+        for g, n in grams.items():
+            total[g[:-1]] += n
+            back[g[:-1]] += cut(n, d)
+        levels.append((grams, d, total, back))
+
+    def p(g):
+        if not g:
+            return 1 / (len(seen) + 1)
+        grams, d, total, back = levels[3 - len(g)]
+        if not total[g[:-1]]:
+            return p(g[1:])
+        return max(grams[g] - cut(grams[g], d), 0) / total[g[:-1]] + back[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+    return p, seen
+
+
+def test_trigram_scores_are_the_reference_models(spark, small):
+    docs = docs_of(spark, small)[:60] + [(10**6, "a b", ""), (10**6 + 1, "", ""), (10**6 + 2, "zzz unseen the of the of", "")]
+    train = docs[:40] + docs[-3:-1]
+    p, seen = reference_trigrams([t for _, t, _ in train])
+    assert sum(p((b"of", b"the", w)) for w in seen) + p((b"of", b"the", b"?")) == pytest.approx(1)
+    df = lambda rows: spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    with store.scratch(spark) as uri:
+        model = kneser_ney.fit(df(train), "text", uri, width=1000, order=3)
+        got = {r["doc_id"]: r["score"] for r in kneser_ney.score(df(docs), model).collect()}
+    for i, t, _ in docs:
+        w = [None, *kneser_ney.tokens(t)]
+        assert got[i] == pytest.approx(sum(math.log10(p(tuple(w[max(0, k - 2) : k + 1]))) for k in range(1, len(w))), rel=1e-9)
+    with pytest.raises(ValueError):
+        kneser_ney.fit(df(train), "text", "", order=4)
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_trigrams_of_odd_rows(spark, rows):
+    with store.scratch(spark) as uri:
+        model = kneser_ney.fit(odd(spark, rows).where("doc_id < 9"), "text", uri, width=4, order=3)
+        got = kneser_ney.score(odd(spark, rows), model).collect()
+    assert len(got) == len(rows) and all(math.isfinite(r["score"]) for r in got)
+
+
 # --- 10 chat
 
 
