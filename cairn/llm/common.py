@@ -7,7 +7,9 @@ import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,29 @@ def space_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
+def text_blocks(texts: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """Consecutive slices of at most `limit` bytes of text, or of one text that is longer."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
+def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of space_words() in some texts, each word's place among them, and the texts' numbers of words.
+
+    Arrow splits and encodes whole batches; Python sees a distinct word once.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten()
+    full = pc.greater(pc.binary_length(words), 0)  # blanks at a text's ends leave empty words
+    upto = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)]
+    coded = words.filter(full).dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), np.diff(upto[split.offsets.to_numpy()])
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id is in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -13,156 +12,244 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .common import fold, space_words
+from .common import coded_words, fold, text_blocks, tidied
 
 #: The token after the last word. No word of non-space characters is empty.
 END = b""
-#: Token ids: a word's is its place among all word hashes; START is context only.
-START = 2**32 - 1
-#: Stands before START: a text's first word has a context of one token in every order.
-NOTHING = 2**32 - 2
-_FLUSH = 3_000_000
-_WORDS = 300_000
-_CACHE = 300_000
+#: Bytes of text that are tokenized at a time, words or n-grams that a task holds before it deals them out, and tokens of a shard.
+BLOCK, FLUSH, SHARD_TOKENS = 4 << 20, 4_000_000, 8_000_000
+#: Counts from here on are kept apart, in full.
+MANY = 255
+_RUNS = "shard int, size int, columns array<binary>"
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*space_words(text or ""), END]
+def tokenized(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct tokens (END is the last one), each text's tokens as places among them, and the texts' numbers of tokens."""
+    words, at, sizes = coded_words(texts)
+    sizes = sizes + 1
+    out = np.full(sizes.sum(), len(words), np.int64)
+    last = np.zeros(len(out), bool)
+    last[np.cumsum(sizes) - 1] = True
+    out[~last] = at
+    return [*words, END], out, sizes
 
 
-def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[bytes] = Counter()
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Rows of two 64-bit hashes."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in words]), ">u8").astype(np.uint64).reshape(-1, 2)
 
-    def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(w) - (1 << 63) for w in seen], pa.int64()), pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["hash", "word", "n"])
-        seen.clear()
-        return batch
 
+def mix(code: np.ndarray, left: np.ndarray | int = 0) -> np.ndarray:
+    """64-bit hash of a bigram's code, or of a trigram: the code of its last two tokens, and the first."""
+    x = code.copy()
+    for more in (np.asarray(left).astype(np.uint64) + np.uint64(1), np.uint64(0)):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x ^= x >> np.uint64(33)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(33)
+        x ^= more * np.uint64(0x9E3779B97F4A7C15)
+    return x
+
+
+def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of equal ranges a 64-bit hash is in, by its upper half."""
+    return (hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Compressed by byte planes."""
+    return pa.compress(np.ascontiguousarray(x.view("u1").reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, size: int, dtype: str) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    raw = pa.decompress(data, size * width, "zstd", asbytes=True)
+    return np.frombuffer(raw, "u1").reshape(width, size).T.copy().view(dtype).ravel()
+
+
+def _deal(shard: np.ndarray, shards: int, key: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of the key to one compressed run for each shard: the key's steps, then the columns."""
+    by = np.argsort(shard.astype(np.uint16 if shards < 1 << 16 else np.uint32), kind="stable")
+    key, columns = key[by], [c[by] for c in columns]
+    cuts = np.searchsorted(shard[by], np.arange(shards + 1, dtype=shard.dtype))
+    full = np.flatnonzero(np.diff(cuts))
+    for k in range(0, len(full), 64):
+        rows = []
+        for f in full[k : k + 64]:
+            c = slice(cuts[f], cuts[f + 1])
+            rows.append((int(f), int(cuts[f + 1] - cuts[f]), [_pack(np.diff(key[c], prepend=np.uint64(0))), *(_pack(x[c]) for x in columns)]))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.list_(pa.binary())), strict=True)], ["shard", "size", "columns"])
+
+
+def _totals(level: int, sums: np.ndarray) -> pa.RecordBatch:
+    """Sums of a whole level, as a run of a shard of their own below zero."""
+    return pa.RecordBatch.from_arrays([pa.array([-level], pa.int32()), pa.array([len(sums)], pa.int32()), pa.array([[_pack(sums.astype(np.int64))]], pa.list_(pa.binary()))], ["shard", "size", "columns"])
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes]]]:
     for b in batches:
-        for t in b.column(0):
-            seen.update(tokens(t.as_py()))
-            if len(seen) > _WORDS:
-                yield out()
-    if seen:
-        yield out()
+        yield from zip(*(b.column(c).to_pylist() for c in ("shard", "size", "columns")), strict=True)
 
 
-def _save_words(uri: str):
-    """Sorted words of one hash range to its two arrays. Two words of one hash would be an error, not a wrong count."""
+def _read(size: int, columns: list[bytes], dtypes: str) -> list[np.ndarray]:
+    key, *rest = (_unpack(x, size, f"{t[0]}{t[1]}") for x, t in zip(columns, zip(dtypes[::2], dtypes[1::2], strict=True), strict=True))
+    return [np.cumsum(key, dtype=np.uint64), *rest]
+
+
+def _by_shard(runs: Iterable[tuple[int, int, list[bytes]]], dtypes: str) -> Iterator[tuple[int, list]]:
+    """Each shard with its columns; sums of whole levels, below zero, come through as they are."""
+    shard, held = None, []
+    for own, size, columns in runs:
+        if shard is not None and own != shard:
+            yield shard, [np.concatenate(c) for c in zip(*held, strict=True)]
+            held = []
+        shard = own
+        if own < 0:
+            yield own, [size, columns]
+            shard = None
+        else:
+            held.append(_read(size, columns, dtypes))
+    if shard is not None:
+        yield shard, [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _merged(key: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys in order, with the columns' sums in 64 bits."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return [key[first], *(np.add.reduceat(c[order].astype(np.int64), first) if len(first) else c.astype(np.int64) for c in columns)]
+
+
+# --- words
+
+
+def _count_words(parts: int, flush: int, block: int):
+    """Training texts to runs of (hash, second hash, count) by hash range."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, hashes, counts = None, [], []
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def merge() -> list[np.ndarray]:
+            h, other, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, other, n = h[order], other[order], n[order]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (other[1:] != other[:-1])])
+            return [h[first], other[first], np.add.reduceat(n, first)]
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            part = b.column("part")[0].as_py()
-            hashes.append(b.column("hash").to_numpy().copy())
-            counts.append(b.column("n").to_numpy().copy())
-        if part is None:
-            return
-        h, n = np.concatenate(hashes), np.concatenate(counts)
-        if len(h) > 1 and (h[1:] == h[:-1]).any():
-            raise ValueError("two words have the same 64-bit hash")
-        store.save(uri, f"words.{part}.hash", h)
-        store.save(uri, f"words.{part}.count", n)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["part", "words", "tokens"])
+            for texts in text_blocks(b.column(0), block):
+                words, at, _ = tokenized(texts)
+                n = np.bincount(at, minlength=len(words))
+                both = _hashes(words)
+                held.append([both[:, 0], both[:, 1].astype(np.uint32), n])
+                size += len(n)
+                if size > flush:
+                    held = [merge()]
+                    size = len(held[0][0])
+                    if size > flush // 2:
+                        yield from _deal(_range_of(held[0][0], parts), parts, *held[0])
+                        held, size = [], 0
+        if held:
+            held = [merge()]
+            yield from _deal(_range_of(held[0][0], parts), parts, *held[0])
 
     return run
 
 
-class Vocabulary:
-    """Words to ids through the sorted hash arrays of all ranges."""
-
-    def __init__(self, uri: str, parts: int, offsets: list[int]):
-        self.uri, self.parts, self.offsets = uri, parts, offsets
-        self.arrays: dict[int, np.ndarray] = {}
-        self.known: dict[bytes, int] = {}
-
-    def id_of(self, word: bytes) -> int:
-        """-1 if no training text has the word."""
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        h = xxhash.xxh64_intdigest(word)
-        k = ((h >> 32) * self.parts) >> 32
-        if k not in self.arrays:
-            self.arrays[k] = store.load(self.uri, f"words.{k}.hash", "i8")
-        keys = self.arrays[k]
-        at = int(np.searchsorted(keys, np.int64(h - (1 << 63))))
-        self.known[word] = out = self.offsets[k] + at if at < len(keys) and keys[at] == h - (1 << 63) else -1
-        return out
+def _save_words(uri: str):
+    """Sorted words of each hash range to its two arrays. Two words of one hash are an error, not a wrong count."""
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        known, find = self.known, self.id_of
-        return np.fromiter((known[w] if w in known else find(w) for w in words), np.int64, len(words))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (h, other, n) in _by_shard(_runs(batches), "u8u4i8"):
+            order = np.argsort(h, kind="stable")
+            same = h[order][1:] == h[order][:-1]
+            if (other[order][1:] != other[order][:-1])[same].any():
+                raise ValueError("two words have the same 64-bit hash")
+            h, n = _merged(h, n)
+            store.save(uri, f"words.{part}.hash", h)
+            store.save(uri, f"words.{part}.count", n)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["part", "words", "tokens"])
 
+    return run
 
-def _shard(context: np.ndarray, shards: int) -> np.ndarray:
-    return ((context.astype(np.uint64) * np.uint64(2654435761)) % np.uint64(2**32)) * np.uint64(shards) >> np.uint64(32)
 
+class Vocabulary:
+    """Words to ids, their places among all word hashes, through the sorted arrays of all ranges."""
 
-def _mix(code: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """64-bit hash of a trigram: the code of its last two tokens, and the first."""
-    x = code.copy()
-    for more in (left.astype(np.uint64) + np.uint64(1), np.uint64(0)):
-        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-            x ^= x >> np.uint64(33)
-            x *= np.uint64(factor)
-        x ^= x >> np.uint64(33)
-        x ^= more * np.uint64(0x9E3779B97F4A7C15)
-    return x
+    def __init__(self, uri: str, parts: int, offsets: tuple[int, ...]):
+        self.uri, self.parts, self.offsets = uri, parts, offsets
+        self.arrays: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of distinct words; -1 and 0 if no training text has the word."""
+        h = _hashes(words)[:, 0]
+        ids, n = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
+        order = np.argsort(h)
+        cuts = np.searchsorted(_range_of(h[order], self.parts), np.arange(self.parts + 1, dtype=np.uint64))
+        for k in np.flatnonzero(np.diff(cuts)):
+            if k not in self.arrays:
+                self.arrays[k] = store.load(self.uri, f"words.{k}.hash", "u8"), store.load(self.uri, f"words.{k}.count", "i8")
+            keys, counts = self.arrays[k]
+            mine = order[cuts[k] : cuts[k + 1]]
+            at, there = store.lookup(keys, h[mine])
+            ids[mine[there]] = self.offsets[k] + at[there]
+            n[mine[there]] = counts[at[there]]
+        return ids, n
 
-def _merged(code: np.ndarray, left: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams in order of code and left, with their counts' sums."""
-    order = np.lexsort((left, code)) if left.any() else np.argsort(code, kind="stable")
-    code, left = code[order], left[order]
-    first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (left[1:] != left[:-1])])
-    return code[first], left[first], np.add.reduceat(n[order], first)
 
+# --- n-grams
 
-def _pack(x: np.ndarray) -> bytes:
-    """Compressed by byte planes."""
-    return pa.compress(np.ascontiguousarray(x.view("u1").reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
 
+def _before(at: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+    """What stands before each token: `start` at a text's first."""
+    out = np.r_[start, at[:-1]]
+    out[first] = start
+    return out
 
-def _unpack(data: bytes, size: int, dtype: str) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    raw = pa.decompress(data, size * width, "zstd", asbytes=True)
-    return np.frombuffer(raw, "u1").reshape(width, size).T.copy().view(dtype).ravel()
 
+def _count_ngrams(uri: str, parts: int, offsets: tuple[int, ...], shards: int, order: int, flush: int, block: int):
+    """Training texts to merged runs by the hash of the whole n-gram.
 
-def _count_ngrams(uri: str, parts: int, offsets: list[int], shards: int, order: int):
-    """Training texts to merged, compressed runs of a shard; a code is the id of the token before the last, then the
-    last; left is the id before them (0 in a bigram model). A shard has all n-grams with one token before the last, so
-    both the contexts of trigrams and the distinct tokens before a bigram can be counted there."""
+    A code is the id of the token before the last, then the last; in a trigram model, `left` is the id before them. The
+    id after all words' stands for a text's start, the next one for what is before the start: a text's first word has a
+    context of one token in every order.
+    """
+    start = offsets[-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held, lefts, size = Vocabulary(uri, parts, offsets), [], [], 0
+        vocabulary = Vocabulary(uri, parts, offsets)
+        held: list[np.ndarray] = []
+        lefts: list[np.ndarray] = []
+        size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             code = np.concatenate(held)
-            left = np.concatenate(lefts) if order == 3 else np.zeros(len(code), np.uint32)
-            code, left, n = _merged(code, left, np.ones(len(code), np.uint32))
-            shard = _shard(code >> np.uint64(32), shards)
-            by = np.argsort(shard, kind="stable")
-            code, left, n = code[by], left[by], n.astype(np.uint32)[by]
-            cuts = np.searchsorted(shard[by], np.arange(shards + 1, dtype=np.uint64))
-            full = np.flatnonzero(np.diff(cuts))
-            for k in range(0, len(full), 64):
-                rows = []
-                for f in full[k : k + 64]:
-                    c = slice(cuts[f], cuts[f + 1])
-                    rows.append((int(f), int(cuts[f + 1] - cuts[f]), _pack(np.diff(code[c], prepend=np.uint64(0))), _pack(left[c]), _pack(n[c])))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["shard", "size", "code", "left", "n"])
+            if order == 2:
+                code.sort()
+                first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+                n, code = np.diff(np.r_[first, len(code)]).astype(np.uint32), code[first]
+                yield from _deal(_range_of(mix(code), shards), shards, code, n)
+                return
+            left = np.concatenate(lefts)
+            by = np.lexsort((left, code))
+            code, left = code[by], left[by]
+            first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (left[1:] != left[:-1])])
+            n, code, left = np.diff(np.r_[first, len(code)]).astype(np.uint32), code[first], left[first]
+            yield from _deal(_range_of(mix(code, left), shards), shards, code, left, n)
 
         for b in batches:
-            for t in b.column(0):
-                w = vocabulary.ids(tokens(t.as_py())).astype(np.uint64)
-                held.append((np.r_[np.uint64(START), w[:-1]] << np.uint64(32)) | w)
+            for texts in text_blocks(b.column(0), block):
+                words, at, sizes = tokenized(texts)
+                ids = vocabulary(words)[0][at]
+                first = np.cumsum(sizes) - sizes
+                context = _before(ids, first, start)
+                held.append(context.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
                 if order == 3:
-                    lefts.append(np.r_[np.uint64(NOTHING), np.uint64(START), w[:-2]][: len(w)].astype(np.uint32))
-                size += len(w)
-                if size > _FLUSH:
+                    lefts.append(_before(context, first, start + 1).astype(np.uint32))
+                size += len(ids)
+                if size > flush:
                     yield from out()
                     held, lefts, size = [], [], 0
         if size:
@@ -171,95 +258,131 @@ def _count_ngrams(uri: str, parts: int, offsets: list[int], shards: int, order:
     return run
 
 
-def _save_ngrams(uri: str, order: int):
-    """Sorted runs to each shard's arrays; sends contexts' and tokens' statistics on.
+def _counts_of_counts(n: np.ndarray) -> np.ndarray:
+    return np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64)
 
-    kind 0: a context, with its count and how many tokens follow it once, twice, more often.
-    kind 1: a token and how many contexts it has here. kind 2: bigrams seen 1, 2, 3 and 4 times.
-    kind 3: trigrams likewise. In a trigram model, a bigram's count is that of the tokens before it, but for those at a text's start.
-    """
+
+def _save_counts(uri: str, name: str, code: np.ndarray, *columns: np.ndarray) -> None:
+    """Counts in a byte each; rows with a larger one are also kept in 64 bits."""
+    n = np.stack(columns, 1)
+    many = (n >= MANY).any(1)
+    store.save(uri, f"{name}.code", code)
+    store.save(uri, f"{name}.few", np.minimum(n, MANY).astype(np.uint8).ravel())
+    store.save(uri, f"{name}.many_code", code[many])
+    store.save(uri, f"{name}.many", n[many].astype(np.int64).ravel())
+
+
+class Counts:
+    """What _save_counts() has saved, by code."""
+
+    def __init__(self, uri: str, name: str, shards: int, width: int):
+        self.uri, self.name, self.shards, self.width = uri, name, shards, width
+        self.opened: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def __call__(self, code: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """A row of counts for each code; zeros where there is none."""
+        out, own = np.zeros((len(code), self.width), np.int64), _range_of(hashes, self.shards).astype(np.int64)
+        order = np.argsort(own.astype(np.uint16) if self.shards < 1 << 16 else own, kind="stable")
+        cuts = np.searchsorted(own[order], np.arange(self.shards + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            if k not in self.opened:
+                read = lambda what, t, k=k: store.load(self.uri, f"{self.name}.{k}.{what}", t)
+                self.opened[k] = read("code", "u8"), read("few", "u1").reshape(-1, self.width), read("many_code", "u8"), read("many", "i8").reshape(-1, self.width)
+            keys, few, many_keys, many = self.opened[k]
+            mine = order[cuts[k] : cuts[k + 1]]
+            at, there = store.lookup(keys, code[mine])
+            mine = mine[there]
+            out[mine] = few[at[there]]
+            large = mine[(out[mine] == MANY).any(1)]
+            if len(large):
+                out[large] = many[store.lookup(many_keys, code[large])[0]]
+        return out
+
+
+def _context_sums(context: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Contexts in order: how often they occur and how many tokens follow once, twice, more often. `context` is in order."""
+    first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    return [context[first], *(np.add.reduceat(x.astype(np.int64), first) for x in (n, n == 1, n == 2, n > 2))]
+
+
+def _save_trigrams(uri: str, start: int, shards: int):
+    """Runs of trigrams to each shard's arrays; on to the bigrams go how many tokens come before each (but for those at a
+    text's start, which count as often as they occur), and its sums as a context."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(kind: int, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cols = [np.asarray(c, np.int64) for c in cols]
-            cols += [np.zeros(len(cols[0]), np.int64)] * (5 - len(cols))
-            for k in range(0, len(cols[0]), 100_000):
-                part = [pa.array(c[k : k + 100_000]) for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part[0]), pa.int32()), *part], ["kind", "id", "x0", "x1", "x2", "x3"])
-
-        def save_trigrams(shard: int, code: np.ndarray, left: np.ndarray, n: np.ndarray) -> None:
-            key = _mix(code, left)
+        totals = np.zeros(4, np.int64)
+        for shard, (code, left, n) in _by_shard(_runs(batches), "u8u4u4"):
+            key = mix(code, left)
             by = np.argsort(key, kind="stable")
-            if (key[by][1:] == key[by][:-1]).any():
+            key, code, left, n = key[by], code[by], left[by].astype(np.uint64), n[by].astype(np.int64)
+            new = np.r_[True, key[1:] != key[:-1]]
+            if ((code[1:] != code[:-1]) | (left[1:] != left[:-1]))[~new[1:]].any():
                 raise ValueError("two trigrams have the same 64-bit hash")
-            store.save(uri, f"trigrams.{shard}.code", key[by])
-            store.save(uri, f"trigrams.{shard}.count", np.minimum(n[by], 2**32 - 1).astype(np.uint32))
-            context = (left.astype(np.uint64) << np.uint64(32)) | (code >> np.uint64(32))
+            first = np.flatnonzero(new)
+            key, code, left, n = key[first], code[first], left[first], np.add.reduceat(n, first)
+            whole = left <= start
+            _save_counts(uri, f"trigrams.{shard}", key[whole], n[whole])
+            totals += _counts_of_counts(n[whole])
+            context = (left << np.uint64(32) | code >> np.uint64(32))[whole]
             by = np.argsort(context, kind="stable")
-            context, n = context[by], n[by]
-            start = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-            stats = np.stack([np.add.reduceat(x.astype(np.int64), start) for x in (n, n == 1, n == 2, n > 2)], 1)
-            if stats.max() >= 2**32:
-                raise ValueError("a context occurs too often")
-            store.save(uri, f"contexts.{shard}.code", context[start])
-            store.save(uri, f"contexts.{shard}.count", stats.astype(np.uint32).ravel())
-
-        def close(shard: int, code: list[np.ndarray], left: list[np.ndarray], n: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            code, left, n = _merged(np.concatenate(code), np.concatenate(left), np.concatenate(n).astype(np.int64))
-            if order == 3:
-                whole = left != NOTHING
-                if whole.any():
-                    save_trigrams(shard, code[whole], left[whole], n[whole])
-                yield from rows(3, [0], *([int((n[whole] == k).sum())] for k in (1, 2, 3, 4)))
-                first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-                n = np.where(code[first] >> np.uint64(32) == START, np.add.reduceat(n, first), np.diff(np.r_[first, len(code)]))
-                code = code[first]
-            store.save(uri, f"bigrams.{shard}.code", code)
-            store.save(uri, f"bigrams.{shard}.count", np.minimum(n, 2**32 - 1).astype(np.uint32))
-            context = code >> np.uint64(32)
-            start = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-            add = lambda x: np.add.reduceat(x.astype(np.int64), start)
-            yield from rows(0, context[start], add(n), add(n == 1), add(n == 2), add(n > 2))
-            token, contexts = np.unique(code & np.uint64(2**32 - 1), return_counts=True)
-            yield from rows(1, token, contexts)
-            yield from rows(2, [0], *([int((n == k).sum())] for k in (1, 2, 3, 4)))
+            sums = _context_sums(context[by], n[whole][by]) if len(context) else [context, *[np.zeros(0, np.int64)] * 4]
+            none, one = np.zeros(len(code), np.int64), np.zeros(len(sums[0]), np.int64)
+            code, *columns = _merged(np.r_[code, sums[0]], np.r_[np.where(whole, 1, n), one], *(np.r_[none, x] for x in sums[1:]))
+            yield from _deal(_range_of(mix(code), shards), shards, code, *columns)
+        if totals.any():
+            yield _totals(3, totals)
+
+    return run
 
-        shard, runs = None, ([], [], [])
-        for b in batches:
-            for own, size, *packed in zip(*(b.column(c).to_pylist() for c in ("shard", "size", "code", "left", "n")), strict=True):
-                if shard is not None and own != shard:
-                    yield from close(shard, *runs)
-                    runs = ([], [], [])
-                shard = own
-                code, left, n = (_unpack(x, size, t) for x, t in zip(packed, ("u8", "u4", "u4"), strict=True))
-                for held, x in zip(runs, (np.cumsum(code, dtype=np.uint64), left, n), strict=True):
-                    held.append(x)
-        if shard is not None:
-            yield from close(shard, *runs)
+
+def _save_bigrams(uri: str, order: int, width: int, ranges: int):
+    """Runs of bigrams to each shard's arrays; on to the tokens go how many contexts each has, and its sums as a context."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(4, np.int64)
+        for shard, columns in _by_shard(_runs(batches), "u8u4" if order == 2 else "u8" + "i8" * 5):
+            if shard < 0:
+                yield _totals(-shard, _unpack(columns[1][0], columns[0], "i8"))
+                continue
+            code, n, *sums = _merged(*columns)
+            _save_counts(uri, f"bigrams.{shard}", code, n, *sums)
+            totals += _counts_of_counts(n)
+            context, *of_context = _context_sums(code >> np.uint64(32), n)
+            token, contexts = np.unique(code & np.uint64(2**32 - 1), return_counts=True)
+            none, zero = np.zeros(len(context), np.int64), np.zeros(len(token), np.int64)
+            key, *columns = _merged(np.r_[context, token], np.r_[none, contexts], *(np.r_[x, zero] for x in of_context))
+            yield from _deal(key // np.uint64(width), ranges, key, *columns)
+        if totals.any():
+            yield _totals(2, totals)
 
     return run
 
 
-def _save_ids(uri: str, width: int, unk: float, d: tuple[float, float, float], d_low: tuple[float, float, float], low: dict[str, float]):
-    """Per-token statistics of one range of ids to arrays by id: lower-order probability, context count, back-off weight."""
+def _save_tokens(uri: str, width: int, start: int):
+    """Runs of token statistics added up by id, one range of ids at a time: seen, c, n1, n2, n3. To the driver go sums over all."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
+        sums = np.zeros((4, 6), np.int64)
+        part, stats = None, None
+
+        def close() -> None:
+            seen = stats[: max(0, min(width, start - part * width)), 0]  # that of a text's start is no token
+            sums[1] += [*_counts_of_counts(seen), seen.sum(), (seen > 2).sum()]
+            store.save(uri, f"ids.{part}", stats.ravel())
+
+        for own, size, columns in _runs(batches):
+            if own < 0:
+                sums[-own, :4] += _unpack(columns[0], size, "i8")
                 continue
-            part = b.column("part").to_numpy()
-            for k in np.unique(part):
-                mine = part == k
-                at = b.column("id").to_numpy()[mine] - k * width
-                f = {c: b.column(c).to_numpy()[mine].astype(float) for c in ("seen", "c", "n1", "n2", "n3")}
-                prob, count, weight = np.full(width, low["gamma"] * unk), np.zeros(width), np.ones(width)
-                prob[at] += np.maximum(f["seen"] - discount(f["seen"], d_low), 0) / low["total"]
-                has = f["c"] > 0
-                count[at] = f["c"]
-                weight[at[has]] = (d[0] * f["n1"] + d[1] * f["n2"] + d[2] * f["n3"])[has] / f["c"][has]
-                for name, x in (("prob", prob), ("count", count), ("weight", weight)):
-                    store.save(uri, f"ids.{k}.{name}", x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(part).astype(np.int64))], ["part"])
+            if own != part:
+                if part is not None:
+                    close()
+                part, stats = own, np.zeros((width, 5), np.int64)
+            key, *rest = _read(size, columns, "u8" + "i8" * 5)
+            stats[key.astype(np.int64) - part * width] += np.stack(rest, 1)
+        if part is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([1, 2, 3], pa.int32()), *(pa.array(sums[1:, k]) for k in range(6))], ["level", *(f"x{k}" for k in range(6))])
 
     return run
 
@@ -279,188 +402,159 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 class NgramModel:
     uri: str
     parts: int
-    offsets: tuple[int, ...]
+    offsets: tuple[int, ...]  # where each hash range's ids begin; the last is the number of words, and the id of a text's start
     shards: int
     width: int
-    words: int
-    total: int
-    d: tuple[float, float, float]
-    unk: float  # lower-order probability of an unknown token
+    total: int  # training tokens
+    contexts: int  # sum of all tokens' numbers of contexts
+    unk: float  # lowest-order probability of an unknown token
+    d: tuple[tuple[float, float, float], ...]  # discounts by order
     order: int = 2
-    d_top: tuple[float, float, float] | None = None  # discounts of trigrams
 
-    def start_stats(self) -> tuple[float, float]:
-        x = store.load(self.uri, "start", "f8")
-        return (float(x[0]), float(x[1])) if len(x) else (0.0, 1.0)
+    @property
+    def words(self) -> int:
+        return self.offsets[-1]
+
 
+def fit(train: DataFrame, text: str, uri: str, width: int = 1 << 17, order: int = 2, flush: int = FLUSH, block: int = BLOCK) -> NgramModel:
+    """Counts the n-grams (`order` 2 or 3) of all of `train` and leaves the model's arrays in the folder `uri`.
 
-def fit(train: DataFrame, text: str, uri: str, width: int = 1 << 17, order: int = 2) -> NgramModel:
-    """Counts the n-grams (`order` 2 or 3) of all of `train` and leaves the model's arrays in the folder `uri`. Only totals come to the driver."""
+    Tasks count words by hash, then n-grams of word ids, and send merged, compressed runs. N-grams are dealt by the hash
+    of the whole n-gram, so that a frequent context is spread; what it sums up to goes on, by its own hash or id, level by
+    level. Only sizes and sums over all come to the driver. Counts have 64 bits. More than 2^32 - 2 distinct words, or
+    two words or trigrams with one 64-bit hash, are an error. Without rows, every token is unknown.
+    """
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
-    spark = train.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = train.select(F.col(text).cast("string").alias("text"))
-    words = texts.mapInArrow(_count_words, "hash long, word binary, n long").groupBy("word", "hash").agg(F.sum("n").alias("n"))
-    # the range of an unsigned hash, from its upper 32 bits
-    part = F.shiftright((F.shiftright("hash", 32) + F.lit(1 << 31)) * parts, 32).cast("int")
-    saved = words.select(part.alias("part"), "hash", "n").groupBy("part").applyInArrow(_one_part(uri), "part int, words long, tokens long").collect()
+    dealt = lambda runs: runs.repartition("shard").sortWithinPartitions("shard")
+    words = dealt(texts.mapInArrow(tidied(_count_words(parts, flush, block)), _RUNS)).mapInArrow(tidied(_save_words(uri)), "part int, words long, tokens long").collect()
     sizes = [0] * parts
-    for r in saved:
+    for r in words:
         sizes[r["part"]] = r["words"]
-    offsets = [0, *np.cumsum(sizes).tolist()]
-    shards = 4 * parts
-    runs = texts.mapInArrow(_count_ngrams(uri, parts, offsets, shards, order), "shard int, size int, code binary, left binary, n binary")
-    stats_at = f"{uri}/stats"
-    runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_ngrams(uri, order), "kind int, id long, x0 long, x1 long, x2 long, x3 long").write.parquet(stats_at)
-    stats = spark.read.parquet(stats_at)
-    d, d_top = (discounts(*stats.where(F.col("kind") == kind).agg(*(F.coalesce(F.sum(f"x{k}"), F.lit(0)).alias(f"n{k + 1}") for k in range(4))).first()) if kind <= order else None for kind in (2, 3))
-    seen = F.sum(F.when(F.col("kind") == 1, F.col("x0")).otherwise(0)).alias("seen")
-    by_context = [F.sum(F.when(F.col("kind") == 0, F.col(f"x{k}")).otherwise(0)).alias(n) for k, n in enumerate(("c", "n1", "n2", "n3"))]
-    ids = stats.where("kind < 2").groupBy("id").agg(seen, *by_context)
-    low = ids.where(F.col("id") != START).agg(F.sum("seen").alias("total"), F.sum((F.col("seen") > 2).cast("int")).alias("more"), *(F.sum((F.col("seen") == k).cast("int")).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
-    d_low = discounts(*(low[f"n{k}"] or 0 for k in (1, 2, 3, 4)))
-    total = low["total"] or 1
-    gamma = (d_low[0] * (low["n1"] or 0) + d_low[1] * (low["n2"] or 0) + d_low[2] * (low["more"] or 0)) / total if low["total"] else 1.0
-    unk = 1 / (offsets[-1] + 1)
-    ranged = ids.where(F.col("id") != START).select(F.floor(F.col("id") / width).alias("part"), "*")
-    ranged.groupBy("part").applyInArrow(_one_range(uri, width, unk, d, d_low, {"gamma": gamma, "total": total}), "part long").collect()
-    start = ids.where(F.col("id") == START).first()
-    if start:
-        store.save(uri, "start", np.array([start["c"], (d[0] * start["n1"] + d[1] * start["n2"] + d[2] * start["n3"]) / start["c"]]))
-    return NgramModel(uri, parts, tuple(offsets), shards, width, offsets[-1], sum(r["tokens"] for r in saved), d, gamma * unk, order, d_top)
-
-
-def _one_part(uri: str):
-    def run(rows: pa.Table) -> pa.Table:
-        out = list(_save_words(uri)(rows.sort_by("hash").combine_chunks().to_batches()))
-        return pa.Table.from_batches(out)
-
-    return run
-
-
-def _one_range(uri: str, *how):
-    def run(rows: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(_save_ids(uri, *how)(rows.combine_chunks().to_batches())))
-
-    return run
-
-
-class _Blocks:
-    """Arrays cut into ranges of one width, gathered by place."""
-
-    def __init__(self, uri: str, name: str, width: int):
-        self.uri, self.name, self.width, self.opened = uri, name, width, {}
-
-    def __call__(self, at: np.ndarray) -> np.ndarray:
-        out, block = np.zeros(len(at)), at // self.width
-        for k in np.unique(block):
+    offsets = (0, *np.cumsum(sizes).tolist())
+    start, total = offsets[-1], sum(r["tokens"] for r in words)
+    if start + 2 >= 2**32:
+        raise ValueError(f"{start} distinct words: an n-gram's code has 32 bits for each")
+    shards, ranges = max(parts, -(-total // SHARD_TOKENS)), start // width + 1
+    runs = dealt(texts.mapInArrow(tidied(_count_ngrams(uri, parts, offsets, shards, order, flush, block)), _RUNS))
+    if order == 3:
+        runs = dealt(runs.mapInArrow(tidied(_save_trigrams(uri, start, shards)), _RUNS))
+    runs = dealt(runs.mapInArrow(tidied(_save_bigrams(uri, order, width, ranges)), _RUNS))
+    sums = runs.mapInArrow(tidied(_save_tokens(uri, width, start)), "level int, " + ", ".join(f"x{k} long" for k in range(6)))
+    found = {r[0]: [x or 0 for x in r[1:]] for r in sums.groupBy("level").agg(*(F.sum(f"x{k}").alias(f"x{k}") for k in range(6))).collect()}
+    d = tuple(discounts(*found.get(k, [0] * 4)[:4]) for k in range(1, order + 1))
+    n1, n2, _, _, contexts, more = found.get(1, [0] * 6)
+    gamma = (d[0][0] * n1 + d[0][1] * n2 + d[0][2] * more) / contexts if contexts else 1.0
+    return NgramModel(uri, parts, offsets, shards, width, total, contexts or 1, gamma / (start + 1), d, order)
+
+
+# --- scores
+
+
+class _Tokens:
+    """Rows of token statistics, gathered by id."""
+
+    def __init__(self, model: NgramModel):
+        self.uri, self.width, self.opened = model.uri, model.width, {}
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        """seen, c, n1, n2, n3 of each id; zeros for -1."""
+        out, block = np.zeros((len(ids), 5)), np.where(ids < 0, -1, ids // self.width)
+        for k in np.unique(block[block >= 0]):
             if k not in self.opened:
-                self.opened[k] = store.load(self.uri, f"ids.{k}.{self.name}", "f8")
+                self.opened[k] = store.load(self.uri, f"ids.{k}", "i8").reshape(-1, 5)
             mine = block == k
-            out[mine] = self.opened[k][at[mine] - k * self.width]
+            if len(self.opened[k]):
+                out[mine] = self.opened[k][ids[mine] - k * self.width]
         return out
 
 
-def _score(model: NgramModel):
+def _distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, and each one's place among them."""
+    order = np.argsort(code)
+    new = np.r_[True, code[order][1:] != code[order][:-1]]
+    back = np.empty(len(code), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return code[order][new], back
+
+
+def _back_off(sums: np.ndarray, d: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts' counts and the weights that they leave to the lower order: 1 if never seen."""
+    c = sums[:, 0]
+    return c, np.where(c > 0, sums[:, 1:] @ np.array(d) / np.where(c > 0, c, 1), 1.0)
+
+
+class Scorer:
+    """Scores blocks of texts; each distinct token, bigram and trigram of a block is looked up once."""
+
+    def __init__(self, model: NgramModel):
+        self.model = model
+        self.vocabulary, self.stats = Vocabulary(model.uri, model.parts, model.offsets), _Tokens(model)
+        self.bigrams = Counts(model.uri, "bigrams", model.shards, 1 if model.order == 2 else 5)
+        self.trigrams = Counts(model.uri, "trigrams", model.shards, 1)
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """n_tokens, n_known, base and model log10 probability of each text."""
+        model, high = self.model, np.uint64(32)
+        words, at, sizes = tokenized(texts)
+        first = np.cumsum(sizes) - sizes
+        ids, n = self.vocabulary(words)
+        base = np.log10((n + 0.5) / (model.total + 0.5 * (model.words + 1)))
+        ids = np.r_[ids, model.words]  # the last place stands for a text's start
+        stats = self.stats(ids)
+        low = np.maximum(stats[:-1, 0] - discount(stats[:-1, 0], model.d[0]), 0) / model.contexts + model.unk
+        c, back = _back_off(stats[:, 1:], model.d[1])
+        pair, pair_at = _distinct(_before(at, first, len(words)).astype(np.uint64) << high | at.astype(np.uint64))
+        a, b = (pair >> high).astype(np.int64), (pair & np.uint64(2**32 - 1)).astype(np.int64)
+        p = back[a] * low[b]
+        both = np.flatnonzero((c[a] > 0) & (ids[b] >= 0))
+        code = ids[a[both]].astype(np.uint64) << high | ids[b[both]].astype(np.uint64)
+        found = np.zeros((len(pair), self.bigrams.width), np.int64)
+        found[both] = self.bigrams(code, mix(code))
+        n2 = found[both, 0]
+        p[both] += np.maximum(n2 - discount(n2, model.d[1]), 0) / c[a[both]]
+        p, p_at = (p, pair_at) if model.order == 2 else self._trigrams(p, pair_at, first, ids, a, b, found[:, 1:])
+        add = lambda x: np.add.reduceat(x, first)
+        return [sizes, add((n > 0)[at].astype(np.int64)), add(base[at]), add(np.log10(p)[p_at])]
+
+    def _trigrams(self, p: np.ndarray, pair_at: np.ndarray, first: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bigram probabilities interpolated with the trigrams' where their context, the bigram before, was seen."""
+        c, back = _back_off(sums.astype(float), self.model.d[2])
+        c, back = np.r_[c, 0.0], np.r_[back, 1.0]  # at a text's start there is no bigram before
+        both, both_at = _distinct(_before(pair_at, first, len(a)).astype(np.uint64) << np.uint64(32) | pair_at.astype(np.uint64))
+        before, own = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(2**32 - 1)).astype(np.int64)
+        out = back[before] * p[own]
+        seen = np.flatnonzero((c[before] > 0) & (ids[b[own]] >= 0))
+        x, y = before[seen], own[seen]
+        key = mix(ids[a[y]].astype(np.uint64) << np.uint64(32) | ids[b[y]].astype(np.uint64), ids[a[x]])
+        n = self.trigrams(key, key)[:, 0]
+        out[seen] += np.maximum(n - discount(n, self.model.d[2]), 0) / c[x]
+        return out, both_at
+
+
+def _score(model: NgramModel, block: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model.uri, model.parts, list(model.offsets))
-        prob, count, weight = (_Blocks(model.uri, n, model.width) for n in ("prob", "count", "weight"))
-        start = model.start_stats()
-        shards: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-        counts: dict[int, np.ndarray] = {}
-
-        def word_counts(ids: np.ndarray) -> np.ndarray:
-            out, part = np.zeros(len(ids), np.int64), np.searchsorted(model.offsets, ids, "right") - 1
-            for k in np.unique(part):
-                if k not in counts:
-                    counts[k] = store.load(model.uri, f"words.{k}.count", "i8")
-                mine = part == k
-                out[mine] = counts[k][ids[mine] - model.offsets[k]]
-            return out
-
-        def find(kind: str, before: np.ndarray, code: np.ndarray, width: int = 1) -> np.ndarray:
-            """Counts of codes in the shards of the tokens before the last; zeros where there are none."""
-            out, own = np.zeros((len(code), width), np.int64), _shard(before, model.shards).astype(np.int64)
-            order = np.argsort(own, kind="stable")
-            cuts = np.searchsorted(own[order], np.arange(model.shards + 1))
-            for k in np.flatnonzero(np.diff(cuts)):
-                if (kind, k) not in shards:
-                    shards[kind, k] = store.load(model.uri, f"{kind}.{k}.code", "u8"), store.load(model.uri, f"{kind}.{k}.count", "u4").reshape(-1, width)
-                mine = order[cuts[k] : cuts[k + 1]]
-                at, there = store.lookup(shards[kind, k][0], code[mine])
-                out[mine[there]] = shards[kind, k][1][at[there]]
-            return out
-
-        def add_trigrams(p: np.ndarray, ids: np.ndarray, context: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> None:
-            """Interpolates bigram probabilities with the trigrams' where their context was seen."""
-            left = np.r_[-1, -1, ids[:-2]][: len(ids)]
-            left[first] = -1
-            left[first[sizes > 1] + 1] = START
-            use = np.flatnonzero((left >= 0) & (context >= 0))
-            a, b = left[use].astype(np.uint64), context[use].astype(np.uint64)
-            seen, seen_at = np.unique((a << np.uint64(32)) | b, return_inverse=True)
-            total, *few = find("contexts", seen & np.uint64(2**32 - 1), seen, 4)[seen_at].astype(float).T
-            has = total > 0
-            use, a, b, total = use[has], a[has], b[has], total[has]
-            p[use] *= sum(x * y[has] for x, y in zip(model.d_top, few, strict=True)) / total
-            at = ids[use] >= 0
-            a, b, c = a[at], b[at], ids[use][at].astype(np.uint64)
-            n = find("trigrams", b, _mix((b << np.uint64(32)) | c, a))[:, 0].astype(float)
-            p[use[at]] += np.maximum(n - discount(n, model.d_top), 0) / total[at]
-
-        def score(texts: list) -> list[np.ndarray]:
-            """n_tokens, n_known, base and model log10 probability of each text."""
-            words = [tokens(t) for t in texts]
-            sizes = np.array([len(w) for w in words])
-            ids = vocabulary.ids([w for doc in words for w in doc])
-            first = np.r_[0, np.cumsum(sizes)[:-1]]
-            known = ids >= 0
-            # each distinct token and bigram is looked up once
-            token, token_at = np.unique(ids[known], return_inverse=True)
-            c = np.zeros(len(ids), np.int64)
-            c[known] = word_counts(token)[token_at]
-            base = np.log10((c + 0.5) / (model.total + 0.5 * (model.words + 1)))
-            lower = np.full(len(ids), model.unk)
-            lower[known] = prob(token)[token_at]
-            context = np.r_[-1, ids[:-1]]
-            context[first] = START
-            inner = (context >= 0) & (context != START)
-            n, back = np.zeros(len(ids)), np.ones(len(ids))
-            seen, seen_at = np.unique(context[inner], return_inverse=True)
-            n[inner], back[inner] = count(seen)[seen_at], weight(seen)[seen_at]
-            n[first], back[first] = start
-            both = known & (context >= 0) & (n > 0)
-            code, code_at = np.unique((context[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64), return_inverse=True)
-            pair = find("bigrams", code >> np.uint64(32), code)[code_at, 0].astype(float)
-            p = back * lower
-            p[both] += np.maximum(pair - discount(pair, model.d), 0) / n[both]
-            if model.order == 3:
-                add_trigrams(p, ids, context, first, sizes)
-            add = lambda x: np.add.reduceat(x, first)
-            return [sizes, add((c > 0).astype(np.int64)), add(base), add(np.log10(p))]
-
+        score = Scorer(model)
         for b in batches:
-            held, size, begun = [], 0, 0
-            texts = b.column("text")
-            for i in range(b.num_rows):
-                held.append(texts[i].as_py())
-                size += len(held[-1] or "")
-                if size > 3_000_000 or i == b.num_rows - 1:
-                    part = b.slice(begun, len(held))
-                    n, known, base, own = score(held)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), model.total), pa.int64()), pa.array(base), pa.array(own)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-                    held, size, begun = [], 0, i + 1
+            at = 0
+            for texts in text_blocks(b.column("text"), block):
+                part = b.slice(at, len(texts))
+                at += len(texts)
+                n, known, base, own = score(texts)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), model.total), pa.int64()), pa.array(base), pa.array(own)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: NgramModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: NgramModel, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts are the end token alone. Tokens that no training text has share the
     lowest order's uniform part. Contexts never seen pass all weight down. Sums are over whole
-    texts; repeated rows each get their scores; extra columns are not read.
+    texts of any length, a text at a time where it is longer than a block; repeated rows and ids
+    each get their scores; an empty table gives no rows; extra columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (fold(F.col(doc_id), 5) == 1).alias("held_out"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(tidied(_score(model, block)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

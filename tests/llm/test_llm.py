@@ -441,11 +441,15 @@ def test_exact_dedup_keeps_one_of_each(spark):
 # --- 9 language model
 
 
+def lm_tokens(text):
+    return [*re.findall(rb"[^\x20\x09-\x0D]+", common.lower_az(text or "").encode()), b""]
+
+
 def reference_model(texts):
     """Interpolated modified Kneser-Ney bigrams over token tuples."""
     pairs, ctx = Counter(), Counter()
     for t in texts:
-        w = kneser_ney.tokens(t)
+        w = lm_tokens(t)
         pairs.update(zip([None, *w[:-1]], w, strict=True))
     for (h, _), n in pairs.items():
         ctx[h] += n
@@ -466,7 +470,7 @@ def reference_model(texts):
         n = pairs[h, w]
         return max(n - cut(n, d), 0) / ctx[h] + back[h] * low
 
-    return p, Counter(w for t in texts for w in kneser_ney.tokens(t)), seen
+    return p, Counter(w for t in texts for w in lm_tokens(t)), seen
 
 
 def test_scores_are_the_reference_models(spark, small):
@@ -476,7 +480,7 @@ def test_scores_are_the_reference_models(spark, small):
     assert sum(p(b"the", w) for w in seen) + p(b"the", None) == pytest.approx(1)
     rows = {r["doc_id"]: r for r in queries.QUERIES["op9_lm_scores"](spark, small).collect()}
     for i, t, _ in docs:
-        w, r = kneser_ney.tokens(t), rows[i]
+        w, r = lm_tokens(t), rows[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (crc(i, 5) == 1, len(w), sum(x in counts for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel=1e-9)
         assert r["score"] == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip([None, *w[:-1]], w, strict=True)), rel=1e-9)
@@ -488,16 +492,39 @@ def test_scores_are_the_reference_models(spark, small):
 def test_lm_of_odd_rows(spark, rows):
     with store.scratch(spark) as uri:
         df = odd(spark, rows)
+        df = df.withColumns({c: F.lit("clash") for c in ("held_out", "score", "shard", "n_tokens")})
         model = kneser_ney.fit(df.where("doc_id < 9"), "text", uri, width=4)
         got = kneser_ney.score(df, model).collect()
     assert len(got) == len(rows) and all(r["n_tokens"] >= 1 and math.isfinite(r["score"]) for r in got)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_of_frequent_words_and_many_flushes(spark, monkeypatch, order):
+    """Counts beyond a byte, runs from many flushes, blocks of a text each."""
+    rng = random.Random(9)
+    texts = ["of " * 700 + "the", *(" ".join(rng.choice(["of", "the", "x", "y", f"w{rng.randint(0, 50)}"]) for _ in range(rng.randint(0, 60))) for _ in range(60))]
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 100)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    p, _ = reference_trigrams(texts) if order == 3 else reference_model(texts)[::2]
+    with store.scratch(spark) as uri:
+        got = {r["doc_id"]: r["score"] for r in kneser_ney.score(df, kneser_ney.fit(df, "text", uri, width=7, order=order, flush=50, block=40), block=40).collect()}
+    for i, t in enumerate(texts):
+        w = [None, *lm_tokens(t)]
+        want = [p(tuple(w[max(0, k - 2) : k + 1])) if order == 3 else p(w[k - 1], w[k]) for k in range(1, len(w))]
+        assert got[i] == pytest.approx(sum(map(math.log10, want)), rel=1e-9)
+
+
+def test_too_many_words_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "_save_words", lambda uri: lambda batches: iter([kneser_ney.pa.RecordBatch.from_pydict({"part": [0], "words": [2**32 - 2], "tokens": [5]}, kneser_ney.pa.schema([("part", "int32"), ("words", "int64"), ("tokens", "int64")]))]))
+    with pytest.raises(ValueError, match="distinct words"):
+        kneser_ney.fit(spark.createDataFrame([("a",)], "text string"), "text", "")
+
+
 def reference_trigrams(texts):
     """Interpolated modified Kneser-Ney trigrams. A bigram counts the tokens before it; one at a text's start, its occurrences."""
     tri, starts = Counter(), Counter()
     for t in texts:
-        w = [None, *kneser_ney.tokens(t)]
+        w = [None, *lm_tokens(t)]
         starts[None, w[1]] += 1
         tri.update(zip(w, w[1:], w[2:]))
     pairs = Counter((b, c) for _, b, c in tri) + starts
@@ -533,7 +560,7 @@ def test_trigram_scores_are_the_reference_models(spark, small):
         model = kneser_ney.fit(df(train), "text", uri, width=1000, order=3)
         got = {r["doc_id"]: r["score"] for r in kneser_ney.score(df(docs), model).collect()}
     for i, t, _ in docs:
-        w = [None, *kneser_ney.tokens(t)]
+        w = [None, *lm_tokens(t)]
         assert got[i] == pytest.approx(sum(math.log10(p(tuple(w[max(0, k - 2) : k + 1]))) for k in range(1, len(w))), rel=1e-9)
     with pytest.raises(ValueError):
         kneser_ney.fit(df(train), "text", "", order=4)
