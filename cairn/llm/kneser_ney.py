@@ -437,7 +437,8 @@ def fit(train: DataFrame, text: str, uri: str, width: int = 1 << 17, order: int
     start, total = offsets[-1], sum(r["tokens"] for r in words)
     if start + 2 >= 2**32:
         raise ValueError(f"{start} distinct words: an n-gram's code has 32 bits for each")
-    shards, ranges = max(parts, -(-total // SHARD_TOKENS)), start // width + 1
+    shards, width = max(parts, -(-total // SHARD_TOKENS)), min(width, start // parts + 1)
+    ranges = start // width + 1
     runs = dealt(texts.mapInArrow(tidied(_count_ngrams(uri, parts, offsets, shards, order, flush, block)), _RUNS))
     if order == 3:
         runs = dealt(runs.mapInArrow(tidied(_save_trigrams(uri, start, shards)), _RUNS))
