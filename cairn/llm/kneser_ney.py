@@ -121,6 +121,27 @@ def _merged(key: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     return [key[first], *(np.add.reduceat(c[order].astype(np.int64), first) if len(first) else c.astype(np.int64) for c in columns)]
 
 
+class _Outbox:
+    """Rows of keys and counts on their way to the next level: merged, and dealt when there are enough."""
+
+    def __init__(self, shards: int, shard_of, flush: int):
+        self.shards, self.shard_of, self.flush = shards, shard_of, flush
+        self.held: list[list[np.ndarray]] = []
+        self.size = 0
+
+    def add(self, key: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append([key, *columns])
+        self.size += len(key)
+        if self.size > self.flush:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            key, *columns = _merged(*(np.concatenate(c) for c in zip(*self.held, strict=True)))
+            self.held, self.size = [], 0
+            yield from _deal(self.shard_of(key), self.shards, key, *columns)
+
+
 # --- words
 
 
@@ -262,40 +283,43 @@ def _counts_of_counts(n: np.ndarray) -> np.ndarray:
     return np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64)
 
 
-def _save_counts(uri: str, name: str, code: np.ndarray, *columns: np.ndarray) -> None:
-    """Counts in a byte each; rows with a larger one are also kept in 64 bits."""
-    n = np.stack(columns, 1)
+def _save_counts(uri: str, name: str, code: np.ndarray, n: np.ndarray, dense: bool = False) -> None:
+    """Rows of counts in a byte each; rows with a larger one are also kept in 64 bits. Dense codes are 0, 1, 2 and so on."""
     many = (n >= MANY).any(1)
-    store.save(uri, f"{name}.code", code)
+    if not dense:
+        store.save(uri, f"{name}.code", code)
     store.save(uri, f"{name}.few", np.minimum(n, MANY).astype(np.uint8).ravel())
     store.save(uri, f"{name}.many_code", code[many])
     store.save(uri, f"{name}.many", n[many].astype(np.int64).ravel())
 
 
 class Counts:
-    """What _save_counts() has saved, by code."""
+    """What _save_counts() has saved in each shard, by code."""
 
-    def __init__(self, uri: str, name: str, shards: int, width: int):
-        self.uri, self.name, self.shards, self.width = uri, name, shards, width
+    def __init__(self, uri: str, name: str, shards: int, width: int, dense: bool = False):
+        self.uri, self.name, self.shards, self.width, self.dense = uri, name, shards, width, dense
         self.opened: dict[int, tuple[np.ndarray, ...]] = {}
 
-    def __call__(self, code: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """A row of counts for each code; zeros where there is none."""
-        out, own = np.zeros((len(code), self.width), np.int64), _range_of(hashes, self.shards).astype(np.int64)
-        order = np.argsort(own.astype(np.uint16) if self.shards < 1 << 16 else own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(self.shards + 1))
+    def __call__(self, code: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """A row of counts for each code in its own shard; zeros where there is none."""
+        out = np.zeros((len(code), self.width), np.int64)
+        order = np.argsort(own.astype(np.uint16 if self.shards < 1 << 16 else np.uint32), kind="stable")
+        cuts = np.searchsorted(own[order], np.arange(self.shards + 1, dtype=own.dtype))
         for k in np.flatnonzero(np.diff(cuts)):
             if k not in self.opened:
                 read = lambda what, t, k=k: store.load(self.uri, f"{self.name}.{k}.{what}", t)
-                self.opened[k] = read("code", "u8"), read("few", "u1").reshape(-1, self.width), read("many_code", "u8"), read("many", "i8").reshape(-1, self.width)
+                self.opened[k] = None if self.dense else read("code", "u8"), read("few", "u1").reshape(-1, self.width), read("many_code", "u8"), read("many", "i8").reshape(-1, self.width)
             keys, few, many_keys, many = self.opened[k]
             mine = order[cuts[k] : cuts[k + 1]]
-            at, there = store.lookup(keys, code[mine])
-            mine = mine[there]
-            out[mine] = few[at[there]]
+            if self.dense:
+                out[mine] = few[code[mine].astype(np.int64)]
+            else:
+                at, there = store.lookup(keys, code[mine])
+                mine = mine[there]
+                out[mine] = few[at[there]]
             large = mine[(out[mine] == MANY).any(1)]
             if len(large):
-                out[large] = many[store.lookup(many_keys, code[large])[0]]
+                out[large] = many[store.lookup(many_keys, code[large].astype(np.uint64))[0]]
         return out
 
 
@@ -305,12 +329,12 @@ def _context_sums(context: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return [context[first], *(np.add.reduceat(x.astype(np.int64), first) for x in (n, n == 1, n == 2, n > 2))]
 
 
-def _save_trigrams(uri: str, start: int, shards: int):
+def _save_trigrams(uri: str, start: int, shards: int, flush: int):
     """Runs of trigrams to each shard's arrays; on to the bigrams go how many tokens come before each (but for those at a
     text's start, which count as often as they occur), and its sums as a context."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(4, np.int64)
+        totals, out = np.zeros(4, np.int64), _Outbox(shards, lambda code: _range_of(mix(code), shards), flush)
         for shard, (code, left, n) in _by_shard(_runs(batches), "u8u4u4"):
             key = mix(code, left)
             by = np.argsort(key, kind="stable")
@@ -321,37 +345,37 @@ def _save_trigrams(uri: str, start: int, shards: int):
             first = np.flatnonzero(new)
             key, code, left, n = key[first], code[first], left[first], np.add.reduceat(n, first)
             whole = left <= start
-            _save_counts(uri, f"trigrams.{shard}", key[whole], n[whole])
+            _save_counts(uri, f"trigrams.{shard}", key[whole], n[whole, None])
             totals += _counts_of_counts(n[whole])
             context = (left << np.uint64(32) | code >> np.uint64(32))[whole]
             by = np.argsort(context, kind="stable")
             sums = _context_sums(context[by], n[whole][by]) if len(context) else [context, *[np.zeros(0, np.int64)] * 4]
             none, one = np.zeros(len(code), np.int64), np.zeros(len(sums[0]), np.int64)
-            code, *columns = _merged(np.r_[code, sums[0]], np.r_[np.where(whole, 1, n), one], *(np.r_[none, x] for x in sums[1:]))
-            yield from _deal(_range_of(mix(code), shards), shards, code, *columns)
+            yield from out.add(np.r_[code, sums[0]], np.r_[np.where(whole, 1, n), one], *(np.r_[none, x] for x in sums[1:]))
+        yield from out.rest()
         if totals.any():
             yield _totals(3, totals)
 
     return run
 
 
-def _save_bigrams(uri: str, order: int, width: int, ranges: int):
+def _save_bigrams(uri: str, order: int, width: int, ranges: int, flush: int):
     """Runs of bigrams to each shard's arrays; on to the tokens go how many contexts each has, and its sums as a context."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(4, np.int64)
+        totals, out = np.zeros(4, np.int64), _Outbox(ranges, lambda token: token // np.uint64(width), flush)
         for shard, columns in _by_shard(_runs(batches), "u8u4" if order == 2 else "u8" + "i8" * 5):
             if shard < 0:
                 yield _totals(-shard, _unpack(columns[1][0], columns[0], "i8"))
                 continue
             code, n, *sums = _merged(*columns)
-            _save_counts(uri, f"bigrams.{shard}", code, n, *sums)
+            _save_counts(uri, f"bigrams.{shard}", code, np.stack([n, *sums], 1))
             totals += _counts_of_counts(n)
             context, *of_context = _context_sums(code >> np.uint64(32), n)
             token, contexts = np.unique(code & np.uint64(2**32 - 1), return_counts=True)
             none, zero = np.zeros(len(context), np.int64), np.zeros(len(token), np.int64)
-            key, *columns = _merged(np.r_[context, token], np.r_[none, contexts], *(np.r_[x, zero] for x in of_context))
-            yield from _deal(key // np.uint64(width), ranges, key, *columns)
+            yield from out.add(np.r_[context, token], np.r_[none, contexts], *(np.r_[x, zero] for x in of_context))
+        yield from out.rest()
         if totals.any():
             yield _totals(2, totals)
 
@@ -368,7 +392,7 @@ def _save_tokens(uri: str, width: int, start: int):
         def close() -> None:
             seen = stats[: max(0, min(width, start - part * width)), 0]  # that of a text's start is no token
             sums[1] += [*_counts_of_counts(seen), seen.sum(), (seen > 2).sum()]
-            store.save(uri, f"ids.{part}", stats.ravel())
+            _save_counts(uri, f"ids.{part}", np.arange(width, dtype=np.uint64), stats, dense=True)
 
         for own, size, columns in _runs(batches):
             if own < 0:
@@ -441,8 +465,8 @@ def fit(train: DataFrame, text: str, uri: str, width: int = 1 << 17, order: int
     ranges = start // width + 1
     runs = dealt(texts.mapInArrow(tidied(_count_ngrams(uri, parts, offsets, shards, order, flush, block)), _RUNS))
     if order == 3:
-        runs = dealt(runs.mapInArrow(tidied(_save_trigrams(uri, start, shards)), _RUNS))
-    runs = dealt(runs.mapInArrow(tidied(_save_bigrams(uri, order, width, ranges)), _RUNS))
+        runs = dealt(runs.mapInArrow(tidied(_save_trigrams(uri, start, shards, flush)), _RUNS))
+    runs = dealt(runs.mapInArrow(tidied(_save_bigrams(uri, order, width, ranges, flush)), _RUNS))
     sums = runs.mapInArrow(tidied(_save_tokens(uri, width, start)), "level int, " + ", ".join(f"x{k} long" for k in range(6)))
     found = {r[0]: [x or 0 for x in r[1:]] for r in sums.groupBy("level").agg(*(F.sum(f"x{k}").alias(f"x{k}") for k in range(6))).collect()}
     d = tuple(discounts(*found.get(k, [0] * 4)[:4]) for k in range(1, order + 1))
@@ -454,24 +478,6 @@ def fit(train: DataFrame, text: str, uri: str, width: int = 1 << 17, order: int
 # --- scores
 
 
-class _Tokens:
-    """Rows of token statistics, gathered by id."""
-
-    def __init__(self, model: NgramModel):
-        self.uri, self.width, self.opened = model.uri, model.width, {}
-
-    def __call__(self, ids: np.ndarray) -> np.ndarray:
-        """seen, c, n1, n2, n3 of each id; zeros for -1."""
-        out, block = np.zeros((len(ids), 5)), np.where(ids < 0, -1, ids // self.width)
-        for k in np.unique(block[block >= 0]):
-            if k not in self.opened:
-                self.opened[k] = store.load(self.uri, f"ids.{k}", "i8").reshape(-1, 5)
-            mine = block == k
-            if len(self.opened[k]):
-                out[mine] = self.opened[k][ids[mine] - k * self.width]
-        return out
-
-
 def _distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes, and each one's place among them."""
     order = np.argsort(code)
@@ -492,7 +498,8 @@ class Scorer:
 
     def __init__(self, model: NgramModel):
         self.model = model
-        self.vocabulary, self.stats = Vocabulary(model.uri, model.parts, model.offsets), _Tokens(model)
+        self.vocabulary = Vocabulary(model.uri, model.parts, model.offsets)
+        self.tokens = Counts(model.uri, "ids", model.words // model.width + 1, 5, dense=True)
         self.bigrams = Counts(model.uri, "bigrams", model.shards, 1 if model.order == 2 else 5)
         self.trigrams = Counts(model.uri, "trigrams", model.shards, 1)
 
@@ -504,7 +511,9 @@ class Scorer:
         ids, n = self.vocabulary(words)
         base = np.log10((n + 0.5) / (model.total + 0.5 * (model.words + 1)))
         ids = np.r_[ids, model.words]  # the last place stands for a text's start
-        stats = self.stats(ids)
+        stats = np.zeros((len(ids), 5))  # seen, c, n1, n2, n3
+        known = np.flatnonzero(ids >= 0) if model.total else []
+        stats[known] = self.tokens(ids[known] % model.width, ids[known] // model.width)
         low = np.maximum(stats[:-1, 0] - discount(stats[:-1, 0], model.d[0]), 0) / model.contexts + model.unk
         c, back = _back_off(stats[:, 1:], model.d[1])
         pair, pair_at = _distinct(_before(at, first, len(words)).astype(np.uint64) << high | at.astype(np.uint64))
@@ -513,7 +522,7 @@ class Scorer:
         both = np.flatnonzero((c[a] > 0) & (ids[b] >= 0))
         code = ids[a[both]].astype(np.uint64) << high | ids[b[both]].astype(np.uint64)
         found = np.zeros((len(pair), self.bigrams.width), np.int64)
-        found[both] = self.bigrams(code, mix(code))
+        found[both] = self.bigrams(code, _range_of(mix(code), model.shards))
         n2 = found[both, 0]
         p[both] += np.maximum(n2 - discount(n2, model.d[1]), 0) / c[a[both]]
         p, p_at = (p, pair_at) if model.order == 2 else self._trigrams(p, pair_at, first, ids, a, b, found[:, 1:])
@@ -530,7 +539,7 @@ class Scorer:
         seen = np.flatnonzero((c[before] > 0) & (ids[b[own]] >= 0))
         x, y = before[seen], own[seen]
         key = mix(ids[a[y]].astype(np.uint64) << np.uint64(32) | ids[b[y]].astype(np.uint64), ids[a[x]])
-        n = self.trigrams(key, key)[:, 0]
+        n = self.trigrams(key, _range_of(key, self.model.shards))[:, 0]
         out[seen] += np.maximum(n - discount(n, self.model.d[2]), 0) / c[x]
         return out, both_at
 
