@@ -304,13 +304,15 @@ def components(rows):
     return sorted(((d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=repr)
 
 
-def near_rows(spark, rows):
+def near_rows(spark, rows, **how):
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOC)
-    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(df).collect()), key=repr)
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(df, **how).collect()), key=repr)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_near_duplicates_are_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, heavy, stars", [(0, 4096, 2), (1, 3, 2), (2, 3, 0), (3, 1, 1)])
+def test_near_duplicates_are_brute_force(spark, monkeypatch, seed, heavy, stars):
+    """With and without blocks of frequent n-grams and the turns that only save work."""
+    monkeypatch.setattr(near_dup, "STAR_TURNS", stars)
     rng = random.Random(seed)
     word = lambda: f"w{rng.randint(0, 400)}"
     passage = [word() for _ in range(30)]
@@ -326,7 +328,49 @@ def test_near_duplicates_are_brute_force(spark, seed):
     rows += ["", None, "a b", "A  b", "a b c", " ".join(passage), " ".join(passage[:-3]), " ".join(passage[2:])]
     rng.shuffle(rows)
     rows = list(enumerate(rows, 1)) + [(None, "a b"), (3, "x y z"), (3, "x y z"), (None, None)]
-    assert near_rows(spark, rows) == components(rows)
+    assert near_rows(spark, rows, heavy=heavy) == components(rows)
+
+
+def test_texts_of_one_template_that_are_not_linked(spark, monkeypatch):
+    """No pair of these is a link, and all n-grams of the template are in all texts."""
+    monkeypatch.setattr(near_dup, "STAR_TURNS", 0)
+    template = [f"t{i}" for i in range(84)]
+    rows = [(k, " ".join(template + [f"d{k}x{i}" for i in range(25)])) for k in range(400)]
+    assert near_rows(spark, rows, heavy=50) == near_rows(spark, rows) == [(k, 105, k) for k in sorted(range(400), key=lambda k: repr((k, 105, k)))]
+
+
+def test_counts_discard_pairs(spark):
+    """Blocks of the matrix give each pair its count and last places once, whichever way they are cut."""
+    rng = random.Random(4)
+    rows = [(k, sorted(rng.sample(range(60), rng.randint(3, 14))), rng.randint(15, 20)) for k in range(40)]
+    name = lambda k: f"{k:032d}"
+    postings = spark.createDataFrame([(g, n, p, name(k), name(k % 30)) for k, grams, n in rows for p, g in enumerate(grams)], "gram long, n int, pos int, key string, comp string")
+    labels = spark.createDataFrame([(name(k), name(k % 30)) for k in range(40)], "key string, comp string")
+    want = {}
+    for k, x, n in rows:
+        for j, y, m in rows:
+            both = [(x.index(g), y.index(g)) for g in x if g in y]
+            both = [(a, b) for a, b in both if min(n - a, m - b) * 175 >= 75 * (n + m)]
+            if k < j and k % 30 != j % 30 and both and 4 * min(n, m) >= 3 * max(n, m):
+                want[name(k), name(j)] = (len(both), both[-1][0], both[-1][1])
+    for heavy in (1000, 4, 1):
+        with store.scratch(spark) as uri:
+            got = near_dup._product(postings, labels, 75, heavy, uri).collect()
+        assert {(r["a"], r["b"]): (r["common"], r["last_a"], r["last_b"]) for r in got} == want and want
+
+
+def test_near_rows_of_one_id_are_told_apart(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, a), (3, a + " more"), (3, "another text of its own"), (4, None), (4, None), (5, "x y"), (5, "x y"), (None, a + " less"), (None, "free"), (6, "p q r"), (6, "P q r")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOC).withColumns({c: F.lit("clash") for c in ("mark", "own", "row", "stays", "own_id")})
+    for limit in (near_dup.BROADCAST_ROWS, 0):
+        near_dup.BROADCAST_ROWS, before = limit, near_dup.BROADCAST_ROWS
+        kept = near_dup.drop_near_duplicates(df)
+        near_dup.BROADCAST_ROWS = before
+        assert kept.columns == df.columns
+        got = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in kept.collect()), key=repr)
+        assert got == sorted([(1, a), (3, "another text of its own"), (4, ""), (4, ""), (5, "x y"), (None, "free"), (6, "p q r")], key=repr)
+    assert near_dup.drop_near_duplicates(df.limit(0)).count() == 0
 
 
 def test_a_chain_is_one_component(spark):
