@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -97,10 +98,20 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    import tempfile
-
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
+    if found.isDefined():
+        return found.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with underscores more if the columns have it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import bounded_broadcast, checkpointed
 
 WINDOW = 13
-#: Benchmark-side rows up to this many are broadcast; beyond, the joins shuffle.
+#: Benchmark-side rows up to this many, and of so many bytes, are broadcast; beyond, the joins shuffle.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,6 +26,12 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(lower_az(F.coalesce(text.cast("string"), F.lit(""))), _BREAK), "")
 
 
+def _fits(df: DataFrame, column: Column, limit: int) -> bool:
+    """Whether the rows, and the bytes of their one column of text, may be broadcast."""
+    n, size = df.agg(F.count("*"), F.sum(F.octet_length(column))).first()
+    return n <= limit and (size or 0) <= BROADCAST_BYTES
+
+
 def _words(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("words", word_array(F.col(text)))
 
@@ -39,8 +46,7 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
 def rarest_words(docs_words: DataFrame, grams: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Adds to each distinct gram its rarest word in the documents, and where the gram has it first."""
     vocabulary = checkpointed(grams.select(F.explode("gram").alias("word")).distinct())
-    n = vocabulary.count()
-    side = F.broadcast(vocabulary) if n <= limit else vocabulary
+    side = F.broadcast(vocabulary) if _fits(vocabulary, F.col("word"), limit) else vocabulary
     seen = docs_words.select(F.explode("words").alias("word")).join(side, "word", "left_semi").groupBy("word").agg(F.count("*").alias("freq"))
     terms = grams.select("gram", F.posexplode("gram").alias("offset", "word")).join(seen, "word", "left")
     rarest = F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "word", "offset")).alias("r")
@@ -59,13 +65,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     Null text has no words; it is not contaminated. A null doc_id is an id. Rows that repeat an
     id and text each get the same result; the same id with another text is judged apart. An
-    empty benchmark hits nothing; a null item_id counts as an item named by an empty string.
-    Extra columns are not read. `keyed` adds the hash of id and text that tells rows apart.
+    empty benchmark hits nothing; a null item_id counts as an item named by an empty string. An
+    empty table gives no rows. Texts of any length are read whole. Extra columns are not read. `keyed` adds the hash of id and text that tells rows apart.
     """
     base = _words(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").withColumn("key", F.xxhash64("doc_id", "text"))
     grams = checkpointed(benchmark_windows(benchmark, window=window))
     anchors = checkpointed(rarest_words(base, grams.select("gram").distinct(), limit))
-    small = anchors.count() <= limit
+    small = _fits(anchors, F.array_join("gram", " "), limit)
     near = F.broadcast(anchors) if small else anchors
     placed = base.select("doc_id", "key", "words", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
     fits = (F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + F.col("len") <= F.col("n"))
@@ -81,7 +87,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     fresh = F.greatest(F.lit(0), F.col("at") + F.col("len") - F.greatest(F.col("at"), F.coalesce(so_far, F.lit(0))))
     hits = spans.select("doc_id", "key", "at", "len").withColumn("fresh", fresh).groupBy("doc_id", "key").agg(F.sum("fresh").alias("n_hit"))
     items = grams.select("gram", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"))
-    items = F.broadcast(items) if small and grams.count() <= limit else items
+    items = F.broadcast(items) if small and _fits(grams, F.array_join("gram", " "), limit) else items
     held = spans.select("doc_id", "key", "gram").distinct().join(items, "gram").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     held = held.withColumnsRenamed({"doc_id": "held_id", "key": "held"})
     found = hits.join(held, (F.col("key") == F.col("held")) & F.col("doc_id").eqNullSafe(F.col("held_id"))).select(F.col("doc_id").alias("own_id"), F.col("key").alias("own"), "n_hit", "items")
@@ -93,7 +99,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    marked = docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text)))
-    found = contamination(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark, keyed=True).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("key").alias("__bad"))
-    return marked.join(found, (F.col("__key") == F.col("__bad")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti").drop("__key")
+    """The documents that are not contaminated, with all their columns, whatever their names.
+
+    Rows are judged by id and text: of rows that repeat an id with other texts each is judged on its own, a row that
+    repeats both stays or goes with the other. Null texts have no words and stay, as do rows with null ids that are clean;
+    an empty table gives no rows. Texts of any length are judged whole.
+    """
+    found = contamination(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark, keyed=True).where("contaminated").select("doc_id", "key").distinct()
+    bad = checkpointed(found)
+    whole = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("own_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("own"))
+    same = (F.col("own") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("doc_id"))
+    return whole.join(bounded_broadcast(bad, bad.count(), BROADCAST_ROWS), same, "left_anti").select("row.*")

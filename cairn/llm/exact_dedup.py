@@ -13,10 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed, tidied
+from .common import SPACE, bounded_broadcast, checkpointed, tidied
 
 #: Bytes of text that one task holds in its table before it partitions to files.
 TABLE_BYTES = 48 << 20
+#: Rows to drop, up to which their ids and digests are broadcast to the texts.
+BROADCAST_ROWS = 200_000
+#: Repeats of one row that are made at a time.
+_REPEATS = 1 << 16
 _FAN = 16
 _HEAD = struct.Struct("<QqqBI")
 
@@ -153,8 +157,10 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     that Spark may split where a group is hot.
 
     A null doc_id sorts after all others; a group of only null ids has a null keep_id. Of
-    repeated rows (same id, same text) exactly one is kept. An empty table gives no rows;
-    other columns are not read, so their names don't matter.
+    repeated rows (same id, same text) exactly one is kept; however often a row is repeated, its
+    repeats are made in blocks. Texts of any length are compared whole, one at a time where they
+    are longer than a table. An empty table gives no rows; other columns are not read, so their
+    names don't matter.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("best"), _normal(F.col(text)).alias("content"))
     merged = plain.withColumn("n", F.lit(1).cast("long")).mapInArrow(tidied(_task(False, table_bytes)), "h long, content binary, best long, n long")
@@ -162,18 +168,27 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # repeated rows are counted, not windowed, so that a third of all rows may be one repeated row
     rows = plain.select("best", F.sha2("content", 256).alias("digest")).groupBy("digest", "best").agg(F.count("*").alias("same"))
     joined = rows.join(groups.select("digest", F.col("best").alias("keep_id"), F.col("n").alias("group_size")), "digest")
-    first = F.col("best").eqNullSafe(F.col("keep_id"))
-    again = F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("same")), lambda i: i == 1))
-    return joined.select("*", again.alias("one")).select(F.col("best").alias("doc_id"), "keep_id", "group_size", (first & F.col("one")).alias("kept"), F.col("digest").alias("text_sha256"))
+    # the row that may be kept first, then the repeats
+    kept = F.struct(F.col("best").eqNullSafe(F.col("keep_id")).alias("kept"), F.lit(1).cast("long").alias("rows"))
+    last = F.ceil((F.col("same") - 1) / _REPEATS)
+    more = F.transform(F.sequence(F.lit(1).cast("long"), last), lambda k: F.struct(F.lit(False).alias("kept"), F.least(F.lit(_REPEATS), F.col("same") - 1 - (k - 1) * _REPEATS).alias("rows")))
+    blocks = joined.select("*", F.explode(F.when(F.col("same") > 1, F.concat(F.array(kept), more)).otherwise(F.array(kept))).alias("b"))
+    each = blocks.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("b.rows"))))
+    return each.select(F.col("best").alias("doc_id"), "keep_id", "group_size", F.col("b.kept").alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Of repeated rows (same id and text) one stays."""
-    found = checkpointed(exact_duplicates(docs, doc_id, text))
-    marked = docs.withColumn("__own", F.sha2(_normal(F.col(text)), 256))
-    away = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    same = marked["__own"].eqNullSafe(F.col("__digest")) & marked[doc_id].cast("long").eqNullSafe(F.col("__id"))
-    stay = marked.join(away.where("not kept"), same, "left_anti")
-    if not away.where("kept and rows > 1").isEmpty():
-        stay = stay.dropDuplicates([doc_id, "__own"])
-    return stay.drop("__own")
+    """The rows that stay, with all their columns, whatever their names. Of repeated rows (same id and text) one stays; a
+    null text equals an empty one, a null id sorts last; an empty table gives no rows. Texts of any length are kept as they
+    are, and go through no further shuffle unless more than BROADCAST_ROWS rows are dropped."""
+    found = exact_duplicates(docs, doc_id, text)
+    judged = checkpointed(found.groupBy("doc_id", F.col("text_sha256").alias("digest")).agg(F.max("kept").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"))
+    whole = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("own_id"), F.sha2(_normal(F.col(text)), 256).alias("own"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("digest"))
+    away, again = judged.where("not stays"), judged.where("stays")
+    kept, n = whole.join(bounded_broadcast(away, away.count(), BROADCAST_ROWS), same, "left_anti"), again.count()
+    if n:
+        side = bounded_broadcast(again, n, BROADCAST_ROWS)
+        one = kept.join(side, same, "left_semi").groupBy("own_id", "own").agg(F.first("row").alias("row"))
+        kept = kept.join(side, same, "left_anti").select("row").unionByName(one.select("row"))
+    return kept.select("row.*")

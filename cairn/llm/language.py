@@ -15,6 +15,8 @@ from .common import fold, tidied
 
 #: Bytes of a window; every window starts from a state of zeros. Byte 256 is padding.
 SPAN = 128
+#: Bytes of a piece to learn from, and groups by hash that a language's texts and pieces are chosen in.
+TRAIN_SPAN, SALTS = 64, 64
 PAD = 256
 UNDETERMINED = "und"
 _ROWS = 2048
@@ -115,7 +117,7 @@ class ByteTagger:
         return logits.sum(0).T
 
 
-def train(data: list[bytes], labels: list[str], hidden: int = 8, span: int = 64, batch: int = 256, steps: int = 400, rate: float = 0.02, seed: int = 7) -> ByteTagger | None:
+def train(data: list[bytes], labels: list[str], hidden: int = 8, span: int = TRAIN_SPAN, batch: int = 256, steps: int = 400, rate: float = 0.02, seed: int = 7) -> ByteTagger | None:
     """Fits the network on random windows, languages in equal parts, to label each byte with its text's language."""
     names = sorted(set(labels))
     if not names:
@@ -156,13 +158,27 @@ def train(data: list[bytes], labels: list[str], hidden: int = 8, span: int = 64,
     return net
 
 
-def training_sample(docs: DataFrame, per_language: int, max_bytes: int) -> tuple[list[bytes], list[str]]:
-    """At most `per_language` training texts of each language, chosen by hash; at most `max_bytes` of each."""
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "data"))
-    part = F.substring(F.encode(F.col("text"), "UTF-8"), 1, max_bytes)
-    chosen = rows.select("lang", F.xxhash64("doc_id").alias("mark"), part.alias("data")).withColumn("n", first).where(F.col("n") <= per_language)
-    found = sorted((r["lang"], r["n"], bytes(r["data"])) for r in chosen.select("lang", "n", "data").collect() if len(r["data"]))
+def _first_by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most about `most` rows of each key: the first of each of SALTS groups by `mark`, so that a frequent key is many
+    groups. `mark` is a hash."""
+    order = Window.partitionBy(key, F.pmod("mark", F.lit(SALTS))).orderBy("mark", "data")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= -(-most // SALTS)).drop("place")
+
+
+def training_sample(docs: DataFrame, languages: int, per_language: int, per_network: int) -> tuple[list[bytes], list[str]]:
+    """Pieces of TRAIN_SPAN bytes of training texts, and their languages.
+
+    Of the most frequent `languages` (ties by name), about `per_language` whole texts are chosen by hash, and of all their
+    pieces about `per_network`, so that what reaches the driver is bounded. Numbers are rounded up to a multiple of SALTS.
+    """
+    rows = docs.where((F.octet_length("text") > 0) & F.col("lang").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
+    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    rows = rows.join(F.broadcast(known), "lang")  # at most `languages` rows
+    chosen = _first_by_hash(rows.select("lang", F.xxhash64("doc_id", "text").alias("mark"), F.encode("text", "UTF-8").alias("data")), "lang", per_language)
+    starts = F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / TRAIN_SPAN).cast("int"))
+    cut = chosen.select("lang", "mark", F.posexplode(F.transform(starts, lambda k: F.substring(F.col("data"), k * TRAIN_SPAN + 1, F.lit(TRAIN_SPAN)))).alias("no", "data"))
+    pieces = _first_by_hash(cut.select("lang", F.xxhash64("mark", "no").alias("mark"), "data"), "lang", per_network)
+    found = sorted((r["lang"], r["mark"], bytes(r["data"])) for r in pieces.collect())
     return [d for _, _, d in found], [y for y, _, _ in found]
 
 
@@ -189,31 +205,40 @@ def _labelled(net: ByteTagger | None, batches: Iterable[pa.RecordBatch], text: s
                 data, begun, size = [], i + 1, 0
 
 
-def identify_languages(docs: DataFrame, per_language: int = 300, max_bytes: int = 2048, hidden: int = 8, steps: int = 400) -> DataFrame:
+def labelled(docs: DataFrame, net: ByteTagger | None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each whole text by a network."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, label, score in _labelled(net, batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(label, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+
+    rows = docs.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def identify_languages(docs: DataFrame, languages: int = 200, per_language: int = 300, per_network: int = 8000, hidden: int = 8, steps: int = 400) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     The network labels every byte of every whole text, in windows of SPAN bytes that both
-    directions read; a document's probabilities are the means over its bytes. It learns from at
-    most `per_language` texts of a language outside the held-out fold, `max_bytes` of each;
-    the language column serves as the target of training and nowhere else.
+    directions read; a document's probabilities are the means over its bytes. It learns from a
+    bounded sample of whole texts outside the held-out fold (see training_sample); the language
+    column serves as the target of training and nowhere else.
 
     A text that is null, empty or has no letter is `und` with score 0, as is every text if there
-    is nothing to learn from. Repeated rows each get their label; extra columns are not read.
+    is nothing to learn from. Repeated rows each get their label; texts of any length are labelled
+    whole; an empty table gives no rows; extra columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
-    net = train(*training_sample(docs, per_language, max_bytes), hidden=hidden, steps=steps)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, label, score in _labelled(net, batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(label, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+    return labelled(docs, train(*training_sample(docs, languages, per_language, per_network), hidden=hidden, steps=steps))
 
-    rows = docs.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
-    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
+def keep_identified(docs: DataFrame, least: float = 0.4, languages: int = 200, per_language: int = 300, per_network: int = 8000, hidden: int = 8, steps: int = 400) -> DataFrame:
+    """The rows whose language the network tells with at least the score `least`, with all their columns, in one pass.
 
-def keep_identified(docs: DataFrame, least: float = 0.4, per_language: int = 300, max_bytes: int = 2048, hidden: int = 8, steps: int = 400) -> DataFrame:
-    """The rows whose language the network tells with at least the score `least`, with all their columns, in one pass."""
-    net = train(*training_sample(docs.select("doc_id", "text", "lang"), per_language, max_bytes), hidden=hidden, steps=steps)
+    Null, empty and letterless texts go, as do all if there is nothing to learn from. Each row is judged by its whole text
+    alone, repeated ones alike; ids and other columns may be null or have any name. An empty table gives no rows.
+    """
+    net = train(*training_sample(docs.select("doc_id", "text", "lang"), languages, per_language, per_network), hidden=hidden, steps=steps)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, label, score in _labelled(net, batches, "text"):

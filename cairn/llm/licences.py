@@ -1,4 +1,4 @@
-"""Licence scans by a positional index of rare licence words."""
+"""Licence scans: each file's rarest licence words, looked up in a positional index of templates."""
 
 from __future__ import annotations
 
@@ -13,22 +13,77 @@ from pyspark.sql import functions as F
 
 from .common import alnum_words
 
-# The base phrases, and short licence notices with the phrases that each must have.
+# The base phrases, and public licence notices with the phrases that each must have.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-NOTICES = {
-    "mit": ("released under the mit license", ("mit license",)),
-    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
-    "apache-2.0": ("licensed under the apache license version 2 0", ("apache license version 2",)),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
-    "gpl-3": ("this work is licensed under the gnu general public license version 3", ("general public license version 3",)),
-    "gpl-2": ("this work is licensed under the gnu general public license version 2", ("general public license version 2",)),
-    "lgpl": ("under the terms of the gnu lesser general public license", ("lesser general public license",)),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    "cc-by-nc-4": ("licensed under cc by nc 4 0", ("cc by nc 4",)),
-    "cc-by-sa-4": ("licensed under cc by sa 4 0", ("cc by sa 4",)),
-    "cc0": ("to the extent possible under law the author has waived all copyright", ("waived all copyright",)),
-    "proprietary": ("this software is proprietary and confidential", ("proprietary and confidential",)),
-}
+NOTICES = [
+    ("mit", "released under the mit license", ["mit license"]),
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted free of charge"]),
+    (
+        "mit-text",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        ["permission is hereby granted free of charge", "to deal in the software without restriction", "this permission notice shall be included in all copies or substantial portions"],
+    ),
+    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2"]),
+    (
+        "apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        ["apache license version 2", "except in compliance with the license", "without warranties or conditions of any kind"],
+    ),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        ["redistribution and use in source and binary forms", "must retain the above copyright notice", "must reproduce the above copyright notice"],
+    ),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", ["general public license version 3"]),
+    ("gpl-2", "this work is licensed under the gnu general public license version 2", ["general public license version 2"]),
+    (
+        "gpl-3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        ["gnu general public license as published by the free software foundation", "either version 3 of the license"],
+    ),
+    (
+        "gpl-2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        ["gnu general public license as published by the free software foundation", "either version 2 of the license"],
+    ),
+    (
+        "agpl-3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        ["affero general public license", "either version 3 of the license"],
+    ),
+    ("lgpl", "under the terms of the gnu lesser general public license", ["lesser general public license"]),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        ["lesser general public license", "published by the free software foundation"],
+    ),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    (
+        "mpl-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        ["mozilla public license", "a copy of the mpl was not distributed with this file"],
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        ["for any purpose with or without fee is hereby granted", "this permission notice appear in all copies"],
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        ["free and unencumbered software", "released into the public domain"],
+    ),
+    ("cc-by-nc-4", "licensed under cc by nc 4 0", ["cc by nc 4"]),
+    ("cc-by-sa-4", "licensed under cc by sa 4 0", ["cc by sa 4"]),
+    ("cc0", "to the extent possible under law the author has waived all copyright", ["waived all copyright"]),
+    (
+        "cc0",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+        ["dedicated all copyright and related and neighboring rights", "to the public domain worldwide"],
+    ),
+    ("proprietary", "this software is proprietary and confidential", ["proprietary and confidential"]),
+]
 
 
 @dataclass(frozen=True)
@@ -41,7 +96,7 @@ class Template:
 
 def templates() -> list[Template]:
     out = [Template(label, w := tuple(alnum_words(p)), ((0, w),), True) for p, label in BASE_PHRASES.items()]
-    for label, (text, phrases) in NOTICES.items():
+    for label, text, phrases in NOTICES:
         words = tuple(alnum_words(text))
         keys = []
         for p in phrases:
@@ -52,34 +107,52 @@ def templates() -> list[Template]:
 
 
 class PositionalIndex:
-    """Postings (template, position) of licence words; a template is looked up by its rarest words."""
+    """Postings (template, position) of the words that templates must have."""
 
     def __init__(self, all_templates: list[Template], idf: dict[str, float], rare: int = 3):
         self.templates = all_templates
         self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.must: list[frozenset[str]] = []
         self.needed: list[int] = []
         for t, x in enumerate(all_templates):
-            # of a template's mandatory words, the rarest are indexed: all of them stand in any true match
             must = {q + i: w for q, k in x.keys for i, w in enumerate(k)}
-            chosen = sorted(must, key=lambda i: (-idf.get(must[i], math.inf), i))[:rare]
-            for i in chosen:
-                self.postings[must[i]].append((t, i))
-            self.needed.append(len(chosen))
+            for i, w in sorted(must.items()):
+                self.postings[w].append((t, i))
+            self.must.append(frozenset(must.values()))
+            self.needed.append(min(rare, len(must)))
+        self.idf = {w: idf.get(w, math.inf) for w in self.postings}
 
     def matches(self, words: list[str]) -> Iterator[tuple[int, int, float]]:
-        """Template, start and matched share of every place where all indexed words and key phrases stand."""
-        votes: Counter[tuple[int, int]] = Counter()
+        """Template, start and matched share of every place where all key phrases stand.
+
+        A file's licence words are looked up from the highest IDF down, until each template whose words it has is met
+        by `rare` postings (by all, if it has fewer). A template's places are those that all its postings agree on, so
+        none is lost; there its key phrases are compared word for word.
+        """
+        at: dict[str, list[int]] = defaultdict(list)
         postings = self.postings
         for p, w in enumerate(words):
             if w in postings:
-                for t, i in postings[w]:
-                    votes[t, p - i] += 1
-        for (t, at), n in votes.items():
+                at[w].append(p)
+        left = {t: n for t, n in enumerate(self.needed) if at.keys() >= self.must[t]}
+        starts: dict[int, set[int]] = {}
+        open_ = set(left)
+        for w in sorted(at, key=lambda w: (-self.idf[w], w)):
+            if not open_:
+                break
+            for t, i in postings[w]:
+                if t in open_:
+                    here = starts.get(t)
+                    starts[t] = {p - i for p in at[w]} if here is None else here.intersection([p - i for p in at[w]])
+                    left[t] -= 1
+                    if not left[t] or not starts[t]:
+                        open_.discard(t)
+        for t, places in starts.items():
             x = self.templates[t]
-            if n < self.needed[t] or any(at + q < 0 or tuple(words[at + q : at + q + len(k)]) != k for q, k in x.keys):
-                continue
-            same = sum(0 <= at + i < len(words) and words[at + i] == w for i, w in enumerate(x.words))
-            yield t, at, same / len(x.words)
+            for s in places:
+                if any(s + q < 0 or tuple(words[s + q : s + q + len(k)]) != k for q, k in x.keys):
+                    continue
+                yield t, s, sum(0 <= s + i < len(words) and words[s + i] == w for i, w in enumerate(x.words)) / len(x.words)
 
 
 def licence_idf(docs: DataFrame, all_templates: list[Template], text: str = "text") -> dict[str, float]:
@@ -105,8 +178,8 @@ def licence_idf(docs: DataFrame, all_templates: list[Template], text: str = "tex
 def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.6) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
-    A document's rarest licence words give, through their positions in the templates, the places
-    where a template may stand; a place counts if all looked-up words agree on it and every
+    A document's licence words of highest IDF give, through their positions in the templates, the
+    places where a template may stand; a place counts if all looked-up words agree on it and every
     mandatory phrase stands there word for word. Base phrases are templates that are mandatory
     as a whole. Other templates add their label when `threshold` of their words match.
     `score` is the best matched share (0: none); `matches` holds label, start and share.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NONSPACE, SPACE, bounded_broadcast, checkpointed
+from .common import NONSPACE, SPACE, bounded_broadcast, checkpointed, free_name
 
 #: Sources up to this many go out as a broadcast table; more are joined by shuffle.
 BROADCAST_SOURCES = 50_000
@@ -63,7 +63,7 @@ def mixing_plan(rows: DataFrame, weights: tuple[int, ...], share: float, epochs:
     is at `base`.
     """
     by_bucket = rows.groupBy("source", F.substring("mark", 1, _BUCKET_HEX).alias("bucket")).agg(F.sum("size").alias("words"))
-    filled = ranked_sources(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
+    filled = checkpointed(ranked_sources(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights))  # a row per source, read in each round
     total = filled.agg(F.sum("source_size").alias("t"), F.count("*").alias("n")).first()
     budget = (total["t"] or 0) * Fraction(str(share))
     filled = water_fill(filled, float(budget), epochs)
@@ -97,8 +97,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     boundary; only that bucket's rows, one in 4,096, are put in order.
 
     Null text has size 0; a null source is a source, the last in order; null ids hash as an
-    empty string. Repeated rows count each time. An empty table gives no rows; extra columns
-    are not read.
+    empty string. Repeated rows count each time. Whole texts are counted, of any length. An
+    empty table gives no rows; extra columns are not read.
     """
     rows = checkpointed(_marked(docs, doc_id, text, source, seed).drop("row"))  # two passes over these short rows, one over the texts
     out = _with_share(rows, *mixing_plan(rows, weights, share, epochs))
@@ -106,7 +106,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix-1") -> DataFrame:
-    """The mix itself: each row of `docs` once for each time it is taken, with mix_copy (from 1) and mix_words.
+    """The mix itself: each row of `docs` once for each time it is taken, with mix_copy (from 1) and mix_words; where the
+    rows have such columns, they stay and the mix's names get an underscore more.
 
     A partial copy, one at most for each source, has only its first mix_words words as text,
     joined by blanks. Rows without words, and those that the mix leaves out, are not there.
@@ -117,7 +118,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies = F.sequence(F.lit(1).cast("long"), F.col("whole") + (F.col("again") > 0).cast("long"))
     taken = _with_share(rows, plan, n).where((F.col("size") > 0) & (F.col("whole") + F.col("again") > 0)).withColumn("copy", F.explode(copies))
     words = F.when(F.col("copy") <= F.col("whole"), F.col("size")).otherwise(F.col("again"))
-    out = taken.withColumn("words", words).select("row.*", F.col("copy").alias("mix_copy__"), F.col("words").alias("mix_words__"), F.col("size").alias("mix_size__"))
-    first = F.array_join(F.slice(F.array_remove(F.split(F.col(text), SPACE), ""), F.lit(1), F.col("mix_words__").cast("int")), " ")
-    out = out.withColumn(text, F.when(F.col("mix_words__") < F.col("mix_size__"), first).otherwise(F.col(text)))
-    return out.withColumns({"mix_copy": F.col("mix_copy__"), "mix_words": F.col("mix_words__")}).drop("mix_copy__", "mix_words__", "mix_size__")
+    first = F.array_join(F.slice(F.array_remove(F.split(F.col(f"row.{text}"), SPACE), ""), F.lit(1), words.cast("int")), " ")
+    row = F.when(words < F.col("size"), F.col("row").withField(text, first)).otherwise(F.col("row"))
+    names = [free_name(x, docs.columns) for x in ("mix_copy", "mix_words")]
+    return taken.select(row.alias("row"), F.col("copy").alias("mix_copy"), words.alias("mix_words")).select("row.*", F.col("mix_copy").alias(names[0]), F.col("mix_words").alias(names[1]))

@@ -17,7 +17,8 @@ PIECES = "piece_bpe_32k.model"
 #: The mark that stands for a blank, and what an unknown character costs below the worst piece.
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-_CACHE = 300_000
+#: Words that a counter remembers, and the length up to which it does.
+_CACHE, _LONG = 300_000, 256
 #: A run of blanks (or, if each is split off, one blank) and the word after it, or a word at a line's start.
 _WORD = {split: re.compile(f"{BLANK}{'' if split else '+'}[^{BLANK}\n]*|[^{BLANK}\n]+") for split in (False, True)}
 
@@ -49,6 +50,7 @@ class UnigramCounter:
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         if any(BLANK in p.lstrip(BLANK) for p, _ in pieces) or any("\n" in p for p, _ in pieces):
             raise ValueError("a piece has a blank after another character, or a line's end")
+        self.longest = max(len(p) for p, _ in pieces)
         self.word = _WORD[split]
         self.count: dict[str, int] = {}
         self.score: dict[str, float] = {}
@@ -56,23 +58,27 @@ class UnigramCounter:
     def segment(self, word: str) -> tuple[int, float]:
         """Pieces and score of the best path. A path takes another's place only if it is better, and those with
         an earlier last start are tried first; a character without a piece of its own is unknown."""
-        n = len(word)
-        best: list[float | None] = [0.0] + [None] * n
-        count = [0] * (n + 1)
-        at: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(word):
-            at[end].append(match)
-        for end in range(n):
+        keep = self.longest + 1
+        best, count, gone = [0.0], [0], 0  # by position in the word, of which the first `gone` are forgotten
+        matches = self.automaton.iter(word)
+        match = next(matches, None)
+        for end in range(len(word)):
             top, pieces, single = None, 0, False
-            for size, score in at[end]:  # the longest, so the earliest start, comes first
-                start = end + 1 - size
+            while match is not None and match[0] == end:  # the longest, so the earliest start, comes first
+                size, score = match[1]
+                start = end + 1 - size - gone
                 single |= size == 1
                 if top is None or best[start] + score > top:
                     top, pieces = best[start] + score, count[start] + 1
-            if not single and (top is None or best[end] + self.unknown > top):
-                top, pieces = best[end] + self.unknown, count[end] + len(word[end].encode("utf-8", "replace"))
-            best[end + 1], count[end + 1] = top, pieces
-        return count[n], best[n]
+                match = next(matches, None)
+            if not single and (top is None or best[-1] + self.unknown > top):
+                top, pieces = best[-1] + self.unknown, count[-1] + len(word[end].encode("utf-8", "replace"))
+            best.append(top)
+            count.append(pieces)
+            if len(best) > 4096 + keep:
+                gone += len(best) - keep
+                del best[:-keep], count[:-keep]
+        return count[-1], best[-1]
 
     def _learn(self, word: str) -> None:
         if len(self.count) > _CACHE:
@@ -80,20 +86,30 @@ class UnigramCounter:
             self.score.clear()
         self.count[word], self.score[word] = self.segment(word)
 
+    def _of(self, word: str) -> tuple[int, float]:
+        if len(word) > _LONG:
+            return self.segment(word)
+        if word not in self.count:
+            self._learn(word)
+        return self.count[word], self.score[word]
+
     def __call__(self, text: str | None) -> tuple[int, float]:
         """A blank goes before the text unless it begins with one."""
         text = (text or "").replace(" ", BLANK)
         if not text:
             return 0, 0.0
         count, score = 0, 0.0
-        words = self.word.findall(text if text[0] == BLANK else BLANK + text)
         ends = text.count("\n")
         known, scores = self.count, self.score
-        for w in words:
-            if w not in known:
-                self._learn(w)
-            count += known[w]
-            score += scores[w]
+        for m in self.word.finditer(text if text[0] == BLANK else BLANK + text):
+            w = m[0]
+            n = known.get(w)
+            if n is None:
+                n, more = self._of(w)
+                score += more
+            else:
+                score += scores[w]
+            count += n
         return count + ends, score + ends * self.unknown
 
 
@@ -101,7 +117,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pi
     """One row per document: doc_id, n_tokens, best_score.
 
     Null and empty texts have no tokens and score 0. Whole texts are counted, whatever their
-    length. Repeated rows each get their count; an empty table gives no rows; extra columns are
+    length: a word of any length takes the memory of its longest piece's positions. Repeated rows each get their count; an empty table gives no rows; extra columns are
     not read. The vocabulary goes to the tasks as a list of bounded size, the tokenizer's own.
     """
     vocabulary = piece_scores(pieces)

@@ -113,6 +113,13 @@ def test_mixed_documents_are_the_mix(spark):
     assert mixing.mixed_documents(odd(spark, [])).count() == 0 and mixing.mix(odd(spark, [])).count() == 0
 
 
+def test_mixed_documents_keep_columns_of_the_mixs_names(spark):
+    df = odd(spark).withColumns({c: F.lit("clash") for c in ("mix_copy", "MIX_WORDS", "copy", "again", "bucket")})
+    got = mixing.mixed_documents(df)
+    assert got.columns == [*df.columns, "mix_copy_", "mix_words_"]
+    assert {r["mix_copy"] for r in got.collect()} == {"clash"} and got.agg(F.min("mix_copy_")).first()[0] == 1
+
+
 def test_mixing_without_broadcast(spark, monkeypatch):
     df = odd(spark)
     before = sorted(map(tuple, mixing.mix(df).collect()), key=repr)
@@ -172,6 +179,30 @@ def test_runs_of_blanks_are_segmented_whole(spark, pieces):
         assert counter(x) == counter.segment(whole) and counter(x)[0] == len(t.encode(x).ids), x
 
 
+def test_a_very_long_word_takes_little_memory(pieces):
+    import tracemalloc
+
+    rng = random.Random(6)
+    word = "".join(rng.choice("abcde/+é日") for _ in range(200_000))
+    counter = tokens.UnigramCounter(pieces, split=False)
+    tracemalloc.start()
+    n, score = counter(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(word) and not counter.count
+    best, count = [0.0], [0]  # all positions kept
+    by = dict(pieces)
+    text, longest = "▁" + word, max(map(len, by))
+    for e in range(1, len(text) + 1):
+        found = [(best[s] + by[text[s:e]], count[s] + 1) for s in range(max(0, e - longest), e) if text[s:e] in by]
+        if text[e - 1] not in by:
+            found.append((best[e - 1] + counter.unknown, count[e - 1] + len(text[e - 1].encode())))
+        top = max(f[0] for f in found)
+        best.append(top)
+        count.append(next(f[1] for f in found if f[0] == top))
+    assert (n, score) == (count[-1], best[-1])
+
+
 def test_pieces_over_a_cut_are_refused():
     for bad in ("a▁b", "▁▁a▁", "a\n", "\n▁"):
         with pytest.raises(ValueError):
@@ -239,6 +270,50 @@ def test_gradients_are_the_slopes():
             assert slope == pytest.approx(float(g[at]), abs=2e-2)
 
 
+def test_labels_are_those_of_the_network_byte_by_byte(spark):
+    """A fixed network, its gates written out for one byte at a time."""
+    net = language.train([b"the gods sing", b"le vent du nord", b"der wind"] * 3, ["en", "fr", "de"] * 3, hidden=3, steps=20)
+    texts = ["the north wind", "", "été " * 50, "x", "12"]
+    sigma = lambda v: 1 / (1 + np.exp(-v.astype(float)))
+
+    def states(d, data):
+        (table, u), k, h, out = d.params, d.hidden, np.zeros(d.hidden), []
+        for c in data:
+            a, g = table[:, c], u @ h
+            z, r = sigma(a[:k] + g[:k]), sigma(a[k : 2 * k] + g[k : 2 * k])
+            n = np.tanh(a[2 * k :] + r * g[2 * k :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    def whole(data):
+        total = np.zeros(3)
+        for at in range(0, len(data), language.SPAN):
+            part = data[at : at + language.SPAN]
+            pad = [language.PAD] * (language.SPAN - len(part))
+            f, b = states(net.forward, part), states(net.backward, [*pad, *part[::-1]])[len(pad) :][::-1]
+            for x, y in zip(f, b, strict=True):
+                e = np.exp(net.out[0] @ x + net.out[1] @ y + net.out[2])
+                total += e / e.sum()
+        return total / len(data)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language.labelled(df, net).collect():
+        t = texts[r["doc_id"]]
+        if not any(c.isalpha() for c in t):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+        else:
+            p = whole(t.encode())
+            assert r["lang_pred"] == net.labels[p.argmax()] and r["score"] == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_language_sample_is_bounded_and_of_whole_texts(spark):
+    rows = [(3 * i, "a" * 6400 + "z" * 64, "en" if i % 9 else "fr", None, 0) for i in range(900)] + [(i, "q", "de", None, 0) for i in range(3)]
+    data, labels = language.training_sample(odd(spark, rows), 2, 70, 640)
+    assert set(labels) == {"en", "fr"} and labels.count("en") <= 640 and {len(d) for d in data} == {64}
+    assert b"z" * 64 in data
+
+
 # --- 4 licences
 
 
@@ -261,6 +336,35 @@ def test_licence_base_is_brute_force(spark, small):
     assert some > 3
 
 
+def test_all_labels_are_brute_force(spark):
+    rng = random.Random(8)
+    words = sorted({w for t in licences.templates() for w in t.words})
+    texts = []
+    for _ in range(300):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3)):
+            new = list(rng.choice(licences.templates()).words)
+            for _ in range(rng.choice([0, 0, 1, 4])):
+                new[rng.randrange(len(new))] = rng.choice(words)
+            text += new[rng.choice([0, 0, 0, 3]) : rng.choice([None, None, -2])] + [rng.choice(words)]
+        texts.append(" ".join(text))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = Counter()
+    for r in licences.scan_licences(df).collect():
+        w = texts[r["doc_id"]].split()
+        found = []
+        for t in licences.templates():
+            for s in range(-len(t.words), len(w)):
+                if all(s + q >= 0 and tuple(w[s + q : s + q + len(k)]) == k for q, k in t.keys):
+                    share = sum(0 <= s + i < len(w) and w[s + i] == x for i, x in enumerate(t.words)) / len(t.words)
+                    if t.base or share >= 0.6:
+                        found.append((s, t.label, share))
+        assert sorted((m["start"], m["label"], m["share"]) for m in r["matches"]) == sorted(found)
+        assert r["labels"] == ",".join(sorted({x for _, x, _ in found})) and r["score"] == max([x for *_, x in found], default=0)
+        seen.update(x for _, x, _ in found)
+    assert set(seen) == {t.label for t in licences.templates()}
+
+
 def test_licence_notices_and_odd_rows(spark):
     texts = ["Released under the MIT License.", "the word MIT, License", "This work is licensed under the GNU General Public License, version 3.", "mit release", "Licensed under CC BY-NC 4.0 CC BY, cc by", None]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC)
@@ -410,8 +514,9 @@ def test_decontamination_without_broadcast_and_odd_rows(spark):
     assert len(got) == len(rows)
     assert by[9][1:4] == (8, 8, 2) and by[9][4] == hashlib.sha256(b",1").hexdigest() and by[9][5]
     assert by[11][1:4] == (32, 27, 1) and by[12][2] == 0 and by[3][1:4] == (0, 0, 0) and not by[3][5]
+    df = df.withColumns({c: F.lit("clash") for c in ("__key", "own_id", "n_words")})
     kept = decontaminate.drop_contaminated(df, items)
-    assert kept.columns == df.columns and kept.count() == len(rows) - 2
+    assert kept.columns == df.columns and {r["__key"] for r in kept.collect()} == {"clash"} and kept.count() == len(rows) - 2
     assert decontaminate.contamination(df, items.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(odd(spark, []), items).count() == 0
 
@@ -428,6 +533,30 @@ def test_quality_held_out(spark, small):
     assert all(r["held_out"] == (crc(i, 5) == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for i, r in rows.items())
 
 
+def test_quality_of_a_fixed_model_is_brute_force(spark):
+    import zstandard
+
+    model = quality.CompressionModel(b"the gods sing " * 40, b"buy now cheap " * 40, 9.0, -0.5, 0.25, 1)
+    size = lambda d, x: len(zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(x))
+    for r, (i, text, *_) in zip(sorted(quality.scored(odd(spark), model, 0.3).collect(), key=lambda r: repr(r["doc_id"])), sorted(ODD, key=lambda r: repr(r[0])), strict=True):
+        data = (text or "").encode()
+        parts = [data[k : k + 256] for k in range(0, len(data), 256)]
+        g, b = (sum(size(d, x) for x in parts) for d in (model.good, model.bad))
+        if i is not None:
+            assert r["score"] == pytest.approx(1 / (1 + math.exp(-(9 * (b - g) / (b + g) - 0.5))) if data else 0.25)
+        assert r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_quality_learns_from_whole_texts_and_one_row_an_id(spark):
+    rows = [(i, ("x" * 10_000 + " gods sing of old" * 900) if i % 2 else "buy cheap pills now " * 20, "en", "a", 0) for i in range(1, 60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    df = odd(spark, rows + [(1, "a repeat", "en", "a", 0)] * 50)
+    model = quality.fit(df.select("doc_id", "text"), labels, 20, 100_000, 16 << 10, 1)
+    assert model.good and model.bad and b"gods" in model.good
+    held = {r["doc_id"]: r for r in quality.scored(df, model, 0.3).collect()}
+    assert held[2]["score"] < 0.5
+
+
 def test_quality_of_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = quality.quality_scores(odd(spark), none).collect()
@@ -464,6 +593,15 @@ def test_exact_dedup_with_and_without_spilling(spark, limit):
     assert got == brute_dedup(rows)
 
 
+def test_a_row_that_is_repeated_very_often(spark):
+    many = spark.range(1_000_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("a  b").alias("text"))
+    rest = spark.createDataFrame([(7, "a b"), (None, "a\tb"), (8, "c")], "doc_id long, text string")
+    got = exact_dedup.exact_duplicates(many.unionByName(rest)).groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(5, 5, 1_000_002, True, 1), (5, 5, 1_000_002, False, 999_999), (7, 5, 1_000_002, False, 1), (None, 5, 1_000_002, False, 1), (8, 8, 1, True, 1)], key=repr)
+    kept = exact_dedup.drop_exact_duplicates(many.limit(1000).unionByName(rest).withColumns({c: F.lit("clash") for c in ("__own", "own", "row", "digest", "stays")}))
+    assert sorted((r["doc_id"], r["__own"]) for r in kept.collect()) == [(5, "clash"), (8, "clash")]
+
+
 def test_grace_recursion_with_colliding_hashes(tmp_path):
     rng = random.Random(2)
     rows = [(h << 60 | 7, f"{rng.randint(0, 90)}".encode(), i, 1) for i, h in ((i, rng.choice([0, 0, 0, 5])) for i in range(500))]
@@ -477,6 +615,10 @@ def test_grace_recursion_with_colliding_hashes(tmp_path):
 
 def test_exact_dedup_keeps_one_of_each(spark):
     kept = exact_dedup.drop_exact_duplicates(odd(spark))
+    for limit in (exact_dedup.BROADCAST_ROWS, 0):
+        exact_dedup.BROADCAST_ROWS, before = limit, exact_dedup.BROADCAST_ROWS
+        kept = exact_dedup.drop_exact_duplicates(odd(spark))
+        exact_dedup.BROADCAST_ROWS = before
     assert kept.columns == odd(spark).columns
     assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == [-1, 1, 3, 5, 6, 7, 8, 9, 10]
     assert exact_dedup.exact_duplicates(odd(spark, [])).count() == 0
@@ -646,6 +788,24 @@ def test_examples_and_odd_turns(spark):
     assert chat.prefix_target_examples(df.limit(0)).count() == 0
 
 
+def test_many_turns_without_a_reply(spark):
+    """Long runs go out in several rows, in time that grows with the turns; digests are the same however they are cut."""
+    turns = spark.range(200_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 199_990, "assistant").otherwise("user").alias("role"), F.lit("t").alias("text"))
+    cut = chat.prefix_target_examples(turns, piece_chars=1000)
+    assert cut.count() > 1000 and cut.where("loss_start is not null").count() == 1
+    assert chat.conversation_digests(cut).collect() == chat.conversation_digests(chat.prefix_target_examples(turns)).collect()
+    few = chat.prefix_target_examples(turns.where("turn > 199980"), piece_chars=20)
+    reply = next(r for r in chat.whole_examples(few).collect() if r["loss_start"] is not None)
+    assert [r for r, _ in chat.parse_turns(reply["formatted"][: reply["context_chars"]])] == ["user"] * 9
+
+
+def test_an_example_with_another_context_is_an_error(spark):
+    df = spark.createDataFrame([(1, 0, "user", "U"), (1, 1, "assistant", "A")], "conv_id long, turn long, role string, text string")
+    bad = chat.prefix_target_examples(df).withColumn("context_chars", F.col("context_chars") - 1)
+    with pytest.raises(Exception, match="differ from its turns"):
+        chat.conversation_digests(bad).collect()
+
+
 # --- pipeline
 
 
