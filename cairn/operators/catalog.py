@@ -14,6 +14,12 @@ def list_sources(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     return sources.join(counts, "source_id", "left").fillna(0, ["chunk_count"]).orderBy(F.desc("created_at"), F.desc("source_id"))
 
 
+def chunk_counts(sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    """source_id, chunk_count: active chunks of each source, 0 without any."""
+    counts = chunks.where("is_active").groupBy("source_id").agg(F.count("*").alias("chunk_count"))
+    return sources.select("source_id").join(counts, "source_id", "left").fillna(0, ["chunk_count"])
+
+
 def chunk_count(chunks: DataFrame, source_id: int) -> DataFrame:
     return chunks.where(F.col("is_active") & (F.col("source_id") == source_id)).agg(F.count("*").alias("chunk_count"))
 

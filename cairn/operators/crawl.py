@@ -62,15 +62,16 @@ def split_url(url: pd.Series) -> pd.DataFrame:
 def robots_filter(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """Adds `allowed`: by the first rule of the origin that the path begins with; true without one.
 
-    urls: url, once each. The rules are joined on the origin, broadcast when counted small.
+    Distinct URLs are decided and joined back, so repeated ones stay. The rules are joined on the origin, broadcast when
+    counted small.
     """
-    rules = robots_rules(robots, agent).persist()
+    rules = robots_rules(robots, agent)
     n = rules.count()
-    placed = urls.withColumn("__p", split_url("url"))
+    placed = urls.select("url").distinct().withColumn("__p", split_url("url"))
     side = rules.withColumnsRenamed({"path": "__rule", "origin": "__origin"})
     joined = placed.join(F.broadcast(side) if n <= BROADCAST_RULES else side, (F.col("__p.origin") == F.col("__origin")) & F.col("__p.path").startswith(F.col("__rule")), "left")
-    first = F.min_by("allow", "rule_no")
-    return joined.groupBy(*urls.columns).agg(F.coalesce(first, F.lit(True)).alias("allowed"))
+    decided = joined.groupBy(F.col("url").alias("__url")).agg(F.coalesce(F.min_by("allow", "rule_no"), F.lit(True)).alias("allowed"))
+    return urls.join(decided, F.col("url").eqNullSafe(F.col("__url"))).drop("__url")
 
 
 def throttle(requests: DataFrame, host: str, ts: str, order: str, interval_s: float = V.HOST_INTERVAL_S, bucket_s: int = 3600) -> DataFrame:

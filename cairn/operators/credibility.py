@@ -95,14 +95,49 @@ def suggested_values(entity_type: Column, facts: Column, tradition: Column) -> C
     return F.map_from_entries(F.when(entity_type == "author", both).otherwise(none))
 
 
-def lookup_entities(requests: DataFrame, cache: DataFrame, entity_key=None) -> DataFrame:
-    """normalized_key, request_id, cached: hits whose stored row counts as it is, and of the misses the first request of a key."""
-    keyed = requests.withColumn("normalized_key", entity_key(F.col("display_name"))) if entity_key else T.with_entity_key(requests)
-    known = cache.select("normalized_key").distinct()
-    hits = keyed.join(known, "normalized_key", "left_semi").withColumn("cached", F.lit(True))
-    missed = keyed.join(known, "normalized_key", "left_anti")
-    misses = missed.groupBy("normalized_key").agg(F.min_by(F.struct(*missed.columns), "request_id").alias("r")).select("r.*").withColumn("cached", F.lit(False))
-    return hits.unionByName(misses)
+ENTITY = ("entity_type", "display_name", "normalized_key", "facts", "fact_provenance", "suggested_values")
+
+
+def lookup_entities(requests: DataFrame, cache: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """request_id, cached and the ENTITY columns: for a hit the stored row as it is, whatever type or tradition is asked
+    for; for the first request of each key that is not stored, a computed row.
+
+    requests: request_id, entity_type, display_name, tradition, pasted (JSON of facts in an admin's text) and found (JSON of
+    attributed facts in search results). A request with a pasted text uses that one. results: request_id, idx, url of the
+    search results that attributed facts name. cache: the ENTITY columns, a row for each key. Columns of requests that are
+    missing are null; stored columns that the cache doesn't have are the request's.
+    """
+    lacking = [c for c in ("entity_type", "tradition", "pasted", "found") if c not in requests.columns]
+    keyed = T.with_entity_key(requests.withColumns({c: F.lit(None).cast("string") for c in lacking}))
+    stored = cache.select(*[c for c in ENTITY if c in cache.columns])
+    own = ["request_id", "normalized_key", *[c for c in ("entity_type", "display_name") if c not in stored.columns]]
+    hits = keyed.select(*own).join(stored, "normalized_key").withColumn("cached", F.lit(True))
+    hits = hits.withColumns({c: F.lit(None).cast(kind) for c, kind in (("facts", "map<string,string>"), ("fact_provenance", "map<string,string>"), ("suggested_values", f"map<string,{SUGGESTION}>")) if c not in hits.columns}).select("request_id", "cached", *ENTITY)
+    missed = keyed.join(stored.select("normalized_key"), "normalized_key", "left_anti")
+    first = missed.groupBy("normalized_key").agg(F.min_by(F.struct(*missed.columns), "request_id").alias("r")).select("r.*")
+    return hits.unionByName(new_entities(first, results).select("request_id", F.lit(False).alias("cached"), *ENTITY))
+
+
+def new_entities(requests: DataFrame, results: DataFrame | None) -> DataFrame:
+    """Adds facts, their provenance and suggestions to requests with a key; see lookup_entities()."""
+    with_text = F.coalesce(F.col("pasted") != "", F.lit(False))
+    text = extract_facts(requests.where(with_text), "request_id", "pasted", "tradition").select("request_id", F.col("facts").alias("of_text"))
+    out = requests.join(text, "request_id", "left")
+    none = F.lit(None).cast("map<string,string>")
+    if results is None:
+        out = out.withColumn("of_search", none).withColumn("urls", none)
+    else:
+        asked = requests.where(~with_text)
+        rows = extract_attributed_facts(asked, results, "request_id", "found", True)
+        pair = lambda c: F.map_from_entries(F.collect_list(F.struct("fact", c)))
+        search = rows.groupBy("request_id").agg(pair("value").alias("of_search"), pair("url").alias("urls"))
+        # without a tradition, the two facts that are about one are not asked for
+        plain = lambda c: F.when(F.col("tradition") != "", F.col(c)).otherwise(F.map_filter(c, lambda k, _: k.isin(*V.FACT_KEYS)))
+        out = out.join(search, "request_id", "left").withColumns({c: plain(c) for c in ("of_search", "urls")})
+    out = out.withColumn("facts", F.coalesce("of_text", "of_search"))
+    provenance = F.when(F.col("of_text").isNotNull(), pasted_provenance(F.col("facts"))).otherwise(F.map_filter("urls", lambda _, v: v.isNotNull()))
+    out = out.withColumn("fact_provenance", provenance)
+    return out.withColumn("suggested_values", suggested_values(F.col("entity_type"), F.col("facts"), F.col("tradition"))).drop("of_text", "of_search", "urls")
 
 
 def search_results(rows: DataFrame, key: str, payload: str) -> DataFrame:

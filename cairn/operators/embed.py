@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,13 +18,21 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 def hashed_words(dimension: int = V.DIMENSION) -> Encoder:
     """The default encoder: signed hashed bag of lower-cased words, L2-normalised. Any other factory can take its place."""
+    known: dict[str, tuple[int, int]] = {}
+
+    def place(w: str) -> tuple[int, int]:
+        if len(known) > 200_000:
+            known.clear()
+        h = int.from_bytes(hashlib.md5(w.encode()).digest()[:4])
+        known[w] = out = h % dimension, 1 if h & 0x10000 else -1
+        return out
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimension))
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = zlib.crc32(w.encode())
-                out[i, h % dimension] += 1 if h & 0x10000 else -1
+                at, sign = known.get(w) or place(w)
+                out[i, at] += sign
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1, norm)
 

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..functions import vocabulary as V
 
+# What is no text of a page.
 NOISE = ("style", "script", "table", "sup.reference", ".navbox", ".mw-editsection", ".ws-noexport", ".noprint", ".printfooter")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -108,9 +107,24 @@ def page_text(pages: DataFrame, key: str, html: str, content: str, heading: str,
     return out.withColumnRenamed("k", key)
 
 
-@F.pandas_udf(StringType())
-def resolve_link(base: pd.Series, href: pd.Series) -> pd.Series:
-    return pd.Series([None if h is None else urljoin(b or "", h) for b, h in zip(base, href, strict=True)], dtype=object)
+def resolve_link(base: Column, href: Column) -> Column:
+    """The link of a page, as a URL: relative to the page's scheme, host or folder, without dot segments."""
+    page = F.regexp_extract(base, "^[^?#]*", 0)
+    origin = F.regexp_extract(page, "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", 0)
+    at = F.substr(page, F.char_length(origin) + 1)
+    own, tail = F.regexp_extract(href, "^[^?#]*", 0), F.regexp_replace(href, "^[^?#]*", "")
+    path = F.when(own.startswith("/"), own).otherwise(F.concat(F.regexp_replace(at, "[^/]*$", ""), own))
+    parts = F.split(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)), "/")
+    none = F.array().cast("array<string>")
+    up = lambda a: F.when(F.size(a) > 1, F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(a)
+    kept = F.aggregate(parts, none, lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return (
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(origin, "^[^:]*:", 0), href))
+        .when(own == "", F.concat(page, tail))
+        .otherwise(F.concat(origin, F.array_join(kept, "/"), tail))
+    )
 
 
 def catalog_text_link(url: Column, html: Column) -> Column:

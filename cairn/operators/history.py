@@ -13,6 +13,12 @@ def list_conversations(conversations: DataFrame, messages: DataFrame, user: Colu
     return conversations.where(F.col("user_id") == user).join(counts, "conversation_id", "left").fillna(0, ["message_count"]).orderBy(F.desc("created_at"), F.desc("conversation_id"))
 
 
+def conversation_details(conversations: DataFrame, messages: DataFrame, asked: DataFrame) -> DataFrame:
+    """Messages of each asked conversation (conversation_id, user_id) that is the user's."""
+    own = conversations.join(asked.select("conversation_id", "user_id").distinct(), ["conversation_id", "user_id"], "left_semi")
+    return messages.join(own.select("conversation_id"), "conversation_id", "left_semi")
+
+
 def conversation_detail(conversations: DataFrame, messages: DataFrame, conversation_id: int, user: int) -> DataFrame:
     """The conversation's messages in order, if it is the user's; no row otherwise."""
     own = conversations.where((F.col("conversation_id") == conversation_id) & (F.col("user_id") == user)).select("conversation_id")

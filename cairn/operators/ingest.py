@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import diff as D
+from ..sources.tables import staged
 from .chunk import chunk
 from .embed import embed_new
 from .extract import extract, fetch_outcome
@@ -21,19 +22,29 @@ class Ingested:
     results: DataFrame  # source_id, changed, error
 
 
-def ingest(sources: DataFrame, chunks: DataFrame, fetched: DataFrame, with_embeddings: bool = False, **selectors) -> Ingested:
-    """One atomic step: sources that failed keep their rows but for the outcome; unchanged content is not chunked again."""
+def ingest(sources: DataFrame, chunks: DataFrame, fetched: DataFrame, with_embeddings: bool = True, staging: str | None = None, **selectors) -> Ingested:
+    """One atomic step: sources that failed keep their rows but for the outcome; unchanged content is not chunked again,
+    and only new chunks are embedded.
+
+    In the folder `staging`, texts and new chunks are written once and read by the results, which otherwise each extract,
+    chunk and embed for themselves.
+    """
+    keep = lambda df, name: staged(df, f"{staging}/{name}") if staging else df
+    if with_embeddings and "embedding" not in chunks.columns:
+        chunks = chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
     f = fetched.withColumn("outcome", fetch_outcome(F.col("status_code")))
     texts = extract(f.where("outcome = 'fetched'"), **selectors)
     joined = f.join(texts.withColumnsRenamed({"title": "inferred_title", "error": "extract_error"}), "source_id", "left")
     outcome = F.when((F.col("outcome") == "fetched") & F.col("text").isNull(), "failed").otherwise(F.col("outcome"))
     done = joined.select("source_id", outcome.alias("outcome"), "etag", "last_modified", "inferred_title", "text", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.coalesce("extract_error", F.when(F.col("outcome") == "failed", F.concat(F.lit("HTTP status "), F.col("status_code").cast("string")))).alias("error"))
+    done = keep(done, "texts")
     after = D.refresh_validators(sources, done)
     changed = done.where("outcome = 'fetched'").join(after.where("changed").select("source_id"), "source_id", "left_semi")
-    incoming = D.hashed_chunks(chunk(changed, "source_id", "text"))
+    incoming = keep(D.hashed_chunks(chunk(changed, "source_id", "text")), "chunks")
     existing = chunks.where("is_active").join(changed.select("source_id"), "source_id", "left_semi")
-    state = D.diff_chunks(existing, incoming)
+    state = keep(D.diff_chunks(existing, incoming), "diff")
+    incoming = incoming.join(state.where("state = 'new'"), ["source_id", "chunk_hash"], "left_semi")
     if with_embeddings:
-        incoming = embed_new(incoming.join(state.where("state = 'new'"), ["source_id", "chunk_hash"], "left_semi"))
+        incoming = keep(embed_new(incoming), "embedded")
     results = done.join(after.select("source_id", "changed"), "source_id").select("source_id", "changed", F.when(F.col("outcome") == "failed", F.col("error")).alias("error"))
     return Ingested(after.drop("changed"), D.apply_diff(chunks, state, incoming), state, results)

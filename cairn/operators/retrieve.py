@@ -14,44 +14,64 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions import vocabulary as V
 
-#: Questions of one block: their matrix goes to every task. More questions are more blocks, one scan each.
-QUESTION_BLOCK = 4_000
+#: Questions of about one block: their matrix goes to every task. More questions are more blocks, one scan each.
+QUESTION_BLOCK = 16_000
+#: Distances that a task holds at a time.
+CELLS = 4_000_000
 
 
 def active(chunks: DataFrame) -> DataFrame:
     return chunks.where("is_active")
 
 
-def _vectors(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the rows that are not null, not zero and of the first row's dimension, and which rows they are."""
-    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    if not sizes.any():
-        return np.zeros((0, 0)), np.zeros(0, np.int64)
-    rows = np.flatnonzero(sizes == sizes[sizes > 0][0])
+def _vectors(column: pa.ListArray, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the rows that are not null, not zero and of the dimension, and which rows they are."""
+    rows = np.flatnonzero(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False) == dimension)
+    if not len(rows) or not dimension:
+        return np.zeros((0, dimension)), np.zeros(0, np.int64)
     m = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
     length = np.linalg.norm(m, axis=1)
     good = length > 0  # not for vectors with a null either
     return m[good] / length[good, None], rows[good]
 
 
-def nearest(questions: DataFrame, chunks: DataFrame, k: int = V.TOP_K, threshold: float | None = V.RELEVANCE, by_tradition: bool = True, block: int = QUESTION_BLOCK) -> DataFrame:
+def _best(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k smallest finite values, ties by id."""
+    rounded = d.round(12)
+    edge = np.partition(rounded, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf
+    i, j = np.nonzero((rounded <= edge) & np.isfinite(rounded))
+    order = np.lexsort((ids[j], rounded[i, j], i))
+    i, j = i[order], j[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], j[place < k]
+
+
+def nearest(questions: DataFrame, chunks: DataFrame, k: int = V.TOP_K, threshold: float | None = V.RELEVANCE, by_tradition: bool = True, block: int = QUESTION_BLOCK, cells: int = CELLS) -> DataFrame:
     """question_id, chunk_id, source_id, distance, place: the k nearest chunks of each question, ties by chunk_id.
 
-    Questions come in blocks of at most `block` rows, each sent to the tasks that scan the
-    chunks; a task multiplies its batch with the block and passes only its own k best on, so
-    what is shuffled grows with questions and tasks, not with chunks. A question's tradition,
-    if not null, must equal the chunk's exactly.
+    Questions come in blocks of about `block` rows, each sent to the tasks that scan the
+    chunks; a task multiplies its batch with the block, `cells` distances at a time, and passes
+    only its own k best on, so what is shuffled grows with questions and tasks, not with chunks.
+    A question's tradition, if not null, must equal the chunk's exactly.
+
+    Questions' vectors have one dimension, or it is an error; null, empty and zero vectors have
+    no hits. Chunks whose vector is null, zero or of another dimension are no hits, in whatever
+    order they come.
     """
     spark = chunks.sparkSession
     wanted = ["chunk_id", "source_id", "embedding", *(["tradition"] if by_tradition else [])]
     base = chunks.select(*wanted)
     ordered = questions.select("question_id", "embedding", (F.col("tradition") if by_tradition else F.lit(None).cast("string")).alias("tradition"))
-    n = ordered.count()
+    size = F.nullif(F.size(F.coalesce("embedding", F.array().cast("array<float>"))), F.lit(0))
+    n, least, dimension = ordered.agg(F.count("*"), F.min(size), F.max(size)).first()
+    if least != dimension:
+        raise ValueError(f"questions have vectors of {least} and of {dimension} dimensions")
+    dimension = dimension or 0
     parts = [ordered] if n <= block else [ordered.where(F.pmod(F.xxhash64("question_id"), F.lit(-(-n // block))) == b) for b in range(-(-n // block))]
     found = None
     for part in parts:
-        rows = part.toArrow()  # one block of questions, of counted size
-        q, at = _vectors(rows.column("embedding").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float32())))
+        rows = part.toArrow()  # one block of questions
+        q, at = _vectors(rows.column("embedding").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float32())), dimension)
         ids = np.array(rows.column("question_id").to_pylist(), dtype=object)[at]
         traditions = np.array(rows.column("tradition").to_pylist(), dtype=object)[at]
         sent = spark.sparkContext.broadcast((q, ids, traditions))
@@ -59,23 +79,23 @@ def nearest(questions: DataFrame, chunks: DataFrame, k: int = V.TOP_K, threshold
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             q, ids, traditions = sent.value
             for b in batches:
-                c, rows = _vectors(b.column("embedding"))
+                c, rows = _vectors(b.column("embedding"), dimension)
                 if not len(c) or not len(q):
                     continue
-                d = 1 - q @ c.T
                 chunk, source = b.column("chunk_id").to_numpy()[rows], b.column("source_id").to_numpy()[rows]
-                if by_tradition:
-                    own = np.array(b.column("tradition").to_pylist(), dtype=object)[rows]
-                    for t in set(traditions) - {None}:
-                        d[np.ix_(traditions == t, own != t)] = np.inf
-                if threshold is not None:
-                    # a margin for rounding; the exact cut is made after the join of all tasks
-                    d[d > threshold + 1e-9] = np.inf
-                order = np.lexsort((np.broadcast_to(chunk, d.shape), d.round(12)), axis=1)[:, :k]
-                best = np.take_along_axis(d, order, 1)
-                i, j = np.nonzero(np.isfinite(best))
-                pick = order[i, j]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i].tolist(), pa.int64()), pa.array(chunk[pick], pa.int64()), pa.array(source[pick], pa.int64()), pa.array(best[i, j])], ["question_id", "chunk_id", "source_id", "distance"])
+                own = np.array(b.column("tradition").to_pylist(), dtype=object)[rows] if by_tradition else None
+                strip = max(1, cells // len(c))
+                for s in range(0, len(q), strip):
+                    d = 1 - q[s : s + strip] @ c.T
+                    if by_tradition:
+                        asked = traditions[s : s + strip]
+                        for t in set(asked) - {None}:
+                            d[np.ix_(asked == t, own != t)] = np.inf
+                    if threshold is not None:
+                        # a margin for rounding; the exact cut is made after the join of all tasks
+                        d[d > threshold + 1e-9] = np.inf
+                    i, j = _best(d, chunk, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[s + i].tolist(), pa.int64()), pa.array(chunk[j], pa.int64()), pa.array(source[j], pa.int64()), pa.array(d[i, j])], ["question_id", "chunk_id", "source_id", "distance"])
 
         own = base.mapInArrow(run, "question_id long, chunk_id long, source_id long, distance double")
         found = own if found is None else found.unionByName(own)

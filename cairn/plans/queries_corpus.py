@@ -119,26 +119,39 @@ def violations(spark, sf):
 # --- extraction
 
 
-@query(
-    rf"""SELECT source_id, CASE WHEN b > e THEN '' ELSE {_STRIP.format('substr(raw, b, e - b)')} END AS body FROM (SELECT source_id, raw,
+_BODY = rf"""(SELECT source_id, CASE WHEN b > e THEN '' ELSE {_STRIP.format('substr(raw, b, e - b)')} END AS body FROM (SELECT source_id, raw,
 CASE WHEN instr(raw, '{V.BOOK_START}') > 0 AND instr(substr(raw, instr(raw, '{V.BOOK_START}')), chr(10)) > 0 THEN instr(raw, '{V.BOOK_START}') + instr(substr(raw, instr(raw, '{V.BOOK_START}')), chr(10)) ELSE 1 END AS b,
-CASE WHEN instr(raw, '{V.BOOK_END}') > 0 THEN instr(raw, '{V.BOOK_END}') ELSE length(raw) + 1 END AS e FROM v_books)""",
-    "v_books",
-)
+CASE WHEN instr(raw, '{V.BOOK_END}') > 0 THEN instr(raw, '{V.BOOK_END}') ELSE length(raw) + 1 END AS e FROM v_books))"""
+
+
+@query(f"SELECT source_id, body FROM {_BODY}", "v_books")
 def plaintext_body(spark, sf):
     return view(spark, sf, "v_books").select("source_id", X.plaintext_body(F.col("raw")).alias("body"))
 
 
 _HEADER = f"CASE WHEN instr(raw, '{V.BOOK_START}') > 0 THEN substr(raw, 1, instr(raw, '{V.BOOK_START}') - 1) ELSE raw END"
-_TITLE = rf"regexp_extract({_HEADER}, '(?m)^Title:\s*(.+)$', 1)"
+_TITLE = rf"nullif(regexp_replace(regexp_extract({_HEADER}, '(?m)^Title:\s*(.+)$', 1), '^\s+|\s+$', '', 'g'), '')"
 
 
-@query(f"SELECT source_id, nullif({_STRIP.format(_TITLE)}, '') AS title FROM v_books", "v_books")
+@query(f"SELECT source_id, {_TITLE} AS title FROM v_books", "v_books")
 def plaintext_title(spark, sf):
     return view(spark, sf, "v_books").select("source_id", X.plaintext_title(F.col("raw")).alias("title"))
 
 
-@query()
+
+
+def _decoded(html: str) -> str:
+    for name, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
+        html = f"replace({html}, '&{name};', '{c}')"
+    return html
+
+
+_ARTICLE = _decoded("regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', chr(10), 'g')")
+_PAGE_TEXT = f"""array_to_string(list_filter(list_transform(string_split({_ARTICLE}, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> ''), chr(10))"""
+_PAGE_TITLE = f"nullif({_STRIP.format(_decoded("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))}, '')"
+
+
+@query(f"SELECT page_id, {_PAGE_TEXT} AS text, {_PAGE_TITLE} AS title, CAST(NULL AS VARCHAR) AS error FROM pages")
 def page_text(spark, sf):
     return X.page_text(table(spark, sf, "pages"), "page_id", "html", "article", "h1", (*X.NOISE, "nav", "footer", "aside"))
 
@@ -164,7 +177,16 @@ def _landed(spark, sf):
     return books.unionByName(pages)
 
 
-@query()
+_LANDED = f"""landed AS (SELECT b.source_id, CASE WHEN b.source_id % 17 <> 0 THEN CASE WHEN b.source_id % 13 = 0 THEN 'manual_upload' ELSE 'gutenberg_text' END END AS source_type,
+  CASE WHEN b.source_id % 10 = 0 THEN 304 WHEN b.source_id % 10 = 5 THEN 500 ELSE 200 END AS status_code, x.body, {_TITLE} AS title FROM v_books b JOIN {_BODY} x USING (source_id))"""
+_NO_EXTRACTOR = "CASE WHEN source_type IS NULL THEN 'no extractor for a source without a type' WHEN source_type = 'manual_upload' THEN 'no extractor for manual_upload' END"
+
+
+@query(
+    f"""WITH {_LANDED} SELECT source_id, CASE WHEN source_type = 'gutenberg_text' THEN body END AS text, CASE WHEN source_type = 'gutenberg_text' THEN title END AS title, {_NO_EXTRACTOR} AS error FROM landed
+UNION ALL SELECT page_id + 10000000, {_PAGE_TEXT}, {_PAGE_TITLE}, NULL FROM pages""",
+    "v_books",
+)
 def extract(spark, sf):
     return X.extract(_landed(spark, sf), "article", "h1")
 
@@ -236,11 +258,22 @@ def apply_diff(spark, sf):
     return D.apply_diff(chunks, diff, new).select("source_id", "chunk_hash", "is_active")
 
 
-@query(_HASHED + "SELECT DISTINCT chunk_hash FROM d WHERE state = 'new'", "v_revision")
+_HASHED_WORDS = f"CAST('0x' || substr(md5(lower(w)), 1, 8) AS BIGINT)"
+
+
+@query(
+    _HASHED + rf""", fresh AS (SELECT chunk_hash, min(chunk_text) AS chunk_text FROM (SELECT source_id, chunk_text, sha256({_STRIP.format('chunk_text')}) AS chunk_hash FROM cn) JOIN d USING (source_id, chunk_hash) WHERE state = 'new' GROUP BY chunk_hash),
+w AS (SELECT chunk_hash, {_HASHED_WORDS} AS h FROM (SELECT chunk_hash, unnest({_WORDS.format('chunk_text')}) AS w FROM fresh)),
+v AS (SELECT chunk_hash, h % {V.DIMENSION} AS place, CAST(sum(CASE WHEN h & 65536 > 0 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM w GROUP BY chunk_hash, h % {V.DIMENSION})
+SELECT chunk_hash, place, round(CAST(CAST(x / sqrt(sum(x * x) OVER (PARTITION BY chunk_hash)) AS FLOAT) AS DOUBLE), 6) AS x FROM v WHERE x <> 0""",
+    "v_revision",
+)
 def embed_new_only(spark, sf):
+    """The vectors of new chunks, each text's once: their components that aren't 0."""
     old, new = _revisions(spark, sf)
     fresh = new.join(D.diff_chunks(old, new).where("state = 'new'"), ["source_id", "chunk_hash"], "left_semi")
-    return E.embed_new(fresh).select("chunk_hash").distinct()
+    rows = E.embed_new(fresh).groupBy("chunk_hash").agg(F.any_value("embedding").alias("embedding")).select("chunk_hash", F.posexplode("embedding").alias("place", "v")).where("v <> 0")
+    return rows.select("chunk_hash", F.col("place").cast("long").alias("place"), F.round(F.col("v").cast("double"), 6).alias("x"))
 
 
 @query("SELECT source_id, coalesce(title, nullif(CASE WHEN source_id % 8 = 0 THEN '' ELSE 'Inferred' END, '')) AS title FROM v_sources", "v_sources")
@@ -263,24 +296,41 @@ def refresh_validators(spark, sf):
     return D.refresh_validators(sources, fetched).select("source_id", "title", "content_hash", "etag", "last_modified", "changed")
 
 
-def _ingested(spark, sf, **how):
+def _ingested(spark, sf):
     old, new = _revisions(spark, sf)
-    chunks = _snapshot(old, new)
     sources = view(spark, sf, "v_catalog").withColumn("content_hash", F.lit(None).cast("string"))
-    return ingest(sources, chunks, _landed(spark, sf), content="article", heading="h1", **how)
+    return ingest(sources, _snapshot(old, new), _landed(spark, sf), staging=tables.scratch(spark), content="article", heading="h1")
+
 
+_INGEST = ("v_books", "v_catalog", "v_revision")
+_RAN = f"""{_LANDED}, ran AS (SELECT l.*, status_code = 200 AND coalesce(source_type, '') = 'gutenberg_text' AS changed,
+  CASE WHEN status_code = 500 THEN 'HTTP status 500' WHEN status_code = 200 THEN {_NO_EXTRACTOR} END AS error FROM landed l WHERE source_id IN (SELECT source_id FROM v_catalog))"""
+_INGESTED = f"""{_HASHED}, {_RAN}, {_chunk_ctes('ci', "(SELECT source_id, body FROM ran WHERE changed)", "source_id", "body")},
+hi AS (SELECT DISTINCT source_id, sha256({_STRIP.format('chunk_text')}) AS chunk_hash FROM ci)
+SELECT source_id, chunk_hash, NOT (source_id IN (SELECT source_id FROM ran WHERE changed) AND hi.chunk_hash IS NULL) AS is_active, false AS embedded FROM ho LEFT JOIN hi USING (source_id, chunk_hash)
+UNION ALL SELECT source_id, chunk_hash, false, false FROM hn
+UNION ALL SELECT source_id, chunk_hash, true, true FROM hi WHERE NOT EXISTS (SELECT 1 FROM ho WHERE ho.source_id = hi.source_id AND ho.chunk_hash = hi.chunk_hash)"""
 
-@query()
+
+def _with_vectors(chunks):
+    return chunks.select("source_id", "chunk_hash", "is_active", F.coalesce(F.size("embedding") == V.DIMENSION, F.lit(False)).alias("embedded"))
+
+
+@query(_INGESTED, *_INGEST)
 def ingest_chunks(spark, sf):
-    return _ingested(spark, sf).chunks.select("source_id", "chunk_hash", "is_active")
+    return _with_vectors(_ingested(spark, sf).chunks)
 
 
-@query()
+@query(
+    f"""WITH {_RAN} SELECT c.source_id, url, tradition, status, created_at, last_checked_at, last_scraped_at, CASE WHEN changed THEN coalesce(c.title, r.title) ELSE c.title END AS title,
+CASE WHEN changed THEN sha256(body) END AS content_hash, CASE WHEN changed THEN '"2"' ELSE etag END AS etag, CASE WHEN changed THEN 'Tue' ELSE last_modified END AS last_modified FROM v_catalog c LEFT JOIN (SELECT source_id, changed, title, body FROM ran) r USING (source_id)""",
+    "v_books", "v_catalog",
+)
 def ingest_sources(spark, sf):
     return _ingested(spark, sf).sources
 
 
-@query()
+@query(f"WITH {_RAN} SELECT source_id, changed, error FROM ran", "v_books", "v_catalog")
 def ingest_results(spark, sf):
     return _ingested(spark, sf).results
 
@@ -299,16 +349,55 @@ def stream_diff(spark, sf):
     return spark.read.schema(S.DIFF).parquet(f"{folder}/out")
 
 
-@query()
-def stream_ingest(spark, sf):
-    """Landed books and pages through the micro-batch ingest; the chunk snapshot that it leaves."""
+_REVISED = "in_new AND NOT (in_old AND old_text = new_text)"
+
+
+@query(
+    _HASHED + f"""SELECT source_id, chunk_hash, 'new' AS state FROM ho
+UNION ALL SELECT source_id, chunk_hash, state FROM d WHERE source_id IN (SELECT source_id FROM v_revision WHERE {_REVISED})""",
+    "v_revision",
+)
+def stream_diff_revision(spark, sf):
+    """Two revisions of the documents, one after the other, into the stateful diff."""
+    folder, r = tables.scratch(spark), view(spark, sf, "v_revision")
+    kind = "source_id long, content_hash string, hashes array<string>"
+    for text, seen in (("old_text", "in_old"), ("new_text", "in_new")):
+        S.incoming_hashes(r.where(seen).select("source_id", F.col(text).alias("text"))).write.mode("append").parquet(f"{folder}/hashes")
+        out = S.stream_diff(spark.readStream.schema(kind).parquet(f"{folder}/hashes")).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out")
+        out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(S.DIFF).parquet(f"{folder}/out")
+
+
+_NOW = "2024-01-20 00:00:00"
+
+
+def _streamed(spark, sf):
+    """Landed books and pages through the micro-batch ingest; the folder of the snapshots that it leaves."""
     folder = tables.scratch(spark)
     _landed(spark, sf).write.parquet(f"{folder}/landing")
     old, new = _revisions(spark, sf)
     sources = view(spark, sf, "v_catalog").withColumn("content_hash", F.lit(None).cast("string"))
-    run = S.stream_ingest(spark, f"{folder}/landing", f"{folder}/state", f"{folder}/checkpoint", sources, _snapshot(old, new), content="article", heading="h1")
+    run = S.stream_ingest(spark, f"{folder}/landing", f"{folder}/state", f"{folder}/checkpoint", sources, _snapshot(old, new), buckets=8, now=F.expr(f"TIMESTAMP_NTZ'{_NOW}'"), content="article", heading="h1")
     run.awaitTermination()
-    return tables.read_snapshot(spark, f"{folder}/state/chunks").select("source_id", "chunk_hash", "is_active")
+    return f"{folder}/state"
+
+
+@query(_INGESTED, *_INGEST)
+def stream_ingest(spark, sf):
+    return _with_vectors(tables.read_snapshot(spark, f"{_streamed(spark, sf)}/chunks"))
+
+
+@query(
+    f"""WITH {_RAN} SELECT c.source_id, CASE WHEN r.source_id IS NULL THEN c.status WHEN r.error IS NULL THEN 'completed' ELSE 'failed' END AS status,
+CASE WHEN r.source_id IS NULL THEN c.last_checked_at ELSE TIMESTAMP '{_NOW}' END AS last_checked_at, CASE WHEN r.error IS NULL AND r.changed THEN TIMESTAMP '{_NOW}' ELSE c.last_scraped_at END AS last_scraped_at, r.error AS job_error
+FROM v_catalog c LEFT JOIN ran r USING (source_id)""",
+    "v_books", "v_catalog",
+)
+def stream_outcomes(spark, sf):
+    """Sources after a streaming ingest, with the error of their job."""
+    state = _streamed(spark, sf)
+    jobs = spark.read.parquet(f"{state}/jobs").select("source_id", F.col("error_message").alias("job_error"))
+    return tables.read_snapshot(spark, f"{state}/sources").select("source_id", "status", "last_checked_at", "last_scraped_at").join(jobs, "source_id", "left")
 
 
 QUERIES, ORACLES = query.queries, query.oracles

@@ -32,9 +32,9 @@ def list_sources(spark, sf):
     return G.list_sources(view(spark, sf, "v_catalog"), view(spark, sf, "v_chunks")).select("source_id", "url", "title", "status", "created_at", "chunk_count")
 
 
-@query("SELECT count(*) AS chunk_count FROM v_chunks WHERE is_active AND source_id = 7", "v_chunks")
+@query("SELECT s.source_id, coalesce(n, 0) AS chunk_count FROM v_sources s LEFT JOIN (SELECT source_id, count(*) AS n FROM v_chunks WHERE is_active GROUP BY source_id) USING (source_id)", "v_sources", "v_chunks")
 def chunk_count(spark, sf):
-    return G.chunk_count(view(spark, sf, "v_chunks"), 7)
+    return G.chunk_counts(view(spark, sf, "v_sources"), view(spark, sf, "v_chunks"))
 
 
 _ASKED = "SELECT event_id AS request_id, concat('https://src', CAST(user_id % 21 AS STRING), '.example.org/', CAST(user_id AS STRING)) AS url FROM {events}"
@@ -125,17 +125,23 @@ def overdue_jobs(spark, sf):
 
 
 @query(
-    """SELECT t.conversation_id, t.created_at, coalesce(n, 0) AS message_count, last_question FROM v_threads t LEFT JOIN
-(SELECT conversation_id, count(*) AS n, arg_max(question, message_id) AS last_question FROM v_messages GROUP BY conversation_id) USING (conversation_id) WHERE user_id = 3""",
+    """SELECT t.conversation_id, t.user_id, t.created_at, coalesce(n, 0) AS message_count, last_question FROM v_threads t LEFT JOIN
+(SELECT conversation_id, count(*) AS n, arg_max(question, message_id) AS last_question FROM v_messages GROUP BY conversation_id) USING (conversation_id) WHERE user_id IS NOT NULL""",
     "v_threads", "v_messages",
 )
 def list_conversations(spark, sf):
-    return H.list_conversations(view(spark, sf, "v_threads"), view(spark, sf, "v_messages"), F.lit(3)).select("conversation_id", "created_at", "message_count", "last_question")
+    return H.list_conversations(view(spark, sf, "v_threads"), view(spark, sf, "v_messages"), F.col("user_id")).select("conversation_id", "user_id", "created_at", "message_count", "last_question")
 
 
-@query("SELECT conversation_id, message_id, question, answer FROM v_messages WHERE conversation_id = 13 AND conversation_id IN (SELECT conversation_id FROM v_threads WHERE user_id = 3)", "v_threads", "v_messages")
+@query(
+    "SELECT conversation_id, message_id, question, answer FROM v_messages m WHERE EXISTS (SELECT 1 FROM v_threads t WHERE t.conversation_id = m.conversation_id AND t.user_id = t.conversation_id % 7)",
+    "v_threads", "v_messages",
+)
 def conversation_detail(spark, sf):
-    return H.conversation_detail(view(spark, sf, "v_threads"), view(spark, sf, "v_messages"), 13, 3).select("conversation_id", "message_id", "question", "answer")
+    """Every conversation is asked for, some by a user whose it isn't."""
+    threads = view(spark, sf, "v_threads")
+    asked = threads.select("conversation_id", (F.col("conversation_id") % 7).alias("user_id"))
+    return H.conversation_details(threads, view(spark, sf, "v_messages"), asked).select("conversation_id", "message_id", "question", "answer")
 
 
 @query(
@@ -260,15 +266,68 @@ def suggested_values(spark, sf):
     return _facts(spark, sf).select("entity_id", F.explode(s).alias("field", "s")).select("entity_id", "field", _flat(F.col("s")).alias("suggestion"))
 
 
+_LOOKED = f"""WITH k AS (SELECT *, trim(regexp_replace(lower(strip_accents(display_name)), '[^a-z0-9]+', ' ', 'g')) AS normalized_key FROM v_lookups),
+c AS (SELECT *, stored_key || ' muller ' || n AS normalized_key, '"' || balance || '"' AS balance_json FROM v_entities, (SELECT unnest(range(25)) AS n)),
+m AS (SELECT *, CASE WHEN request_id % 3 = 0 THEN 'institution' ELSE 'author' END AS entity_type, CASE WHEN request_id % 2 = 0 THEN 'Norse' END AS tradition FROM
+  (SELECT *, row_number() OVER (PARTITION BY normalized_key ORDER BY request_id) AS no FROM k WHERE normalized_key NOT IN (SELECT normalized_key FROM c)) WHERE no = 1)
+"""
+_PASTED = '{"occupation":"scholar","practice_lineage":"taught"}'
+_FOUND = '{"facts":{"occupation":{"value":"poet","source":1},"tradition_engagement":{"value":true,"source":2},"birth_year":{"value":1,"source":9}}}'
+
+
+def _looked(spark, sf):
+    """Hits with facts of their own, misses with a pasted text (every fifth) or search results."""
+    q = view(spark, sf, "v_lookups").withColumns(
+        {
+            "entity_type": F.when(F.col("request_id") % 3 == 0, "institution").otherwise("author"),
+            "tradition": F.when(F.col("request_id") % 2 == 0, "Norse"),
+            "pasted": F.when(F.col("request_id") % 5 == 0, _PASTED),
+            "found": F.lit(_FOUND),
+        }
+    )
+    results = q.select("request_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("idx")).withColumn("url", F.concat(F.lit("u"), F.col("idx").cast("string")))
+    stored = view(spark, sf, "v_entities").select("*", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("n"))
+    stored = stored.withColumns(
+        {
+            "normalized_key": F.concat("stored_key", F.lit(" muller "), F.col("n").cast("string")),
+            "facts": F.create_map(F.lit("balance"), F.concat(F.lit('"'), "balance", F.lit('"'))),
+            "fact_provenance": F.create_map(F.lit("balance"), F.lit("stored")),
+            "suggested_values": F.create_map().cast(f"map<string,{I.SUGGESTION}>"),
+        }
+    )
+    return I.lookup_entities(q, stored, results)
+
+
 @query(
-    """WITH k AS (SELECT *, trim(regexp_replace(lower(strip_accents(display_name)), '[^a-z0-9]+', ' ', 'g')) AS normalized_key FROM v_lookups), c AS (SELECT normalized_key || ' muller ' || n AS normalized_key FROM v_cache, (SELECT unnest(range(25)) AS n))
-SELECT request_id, normalized_key, true AS cached FROM k WHERE normalized_key IN (SELECT normalized_key FROM c)
-UNION ALL SELECT min(request_id), normalized_key, false FROM k WHERE normalized_key NOT IN (SELECT normalized_key FROM c) GROUP BY normalized_key""",
-    "v_lookups", "v_cache",
+    _LOOKED + """SELECT k.request_id, true AS cached, k.normalized_key, c.entity_type, c.display_name FROM k JOIN c USING (normalized_key)
+UNION ALL SELECT request_id, false, normalized_key, entity_type, display_name FROM m""",
+    "v_lookups", "v_entities",
 )
 def lookup_entities(spark, sf):
-    cache = view(spark, sf, "v_cache").select(F.explode(F.sequence(F.lit(0), F.lit(24))).alias("n"), "normalized_key").select(F.concat("normalized_key", F.lit(" muller "), F.col("n").cast("string")).alias("normalized_key"))
-    return I.lookup_entities(view(spark, sf, "v_lookups"), cache).select("request_id", "normalized_key", "cached")
+    return _looked(spark, sf).select("request_id", "cached", "normalized_key", "entity_type", "display_name")
+
+
+@query(
+    _LOOKED + """SELECT k.request_id, 'balance' AS fact, c.balance_json AS value, 'stored' AS provenance FROM k JOIN c USING (normalized_key)
+UNION ALL SELECT request_id, 'occupation', CASE WHEN request_id % 5 = 0 THEN '"scholar"' ELSE '"poet"' END, CASE WHEN request_id % 5 = 0 THEN 'admin_text' ELSE 'u1' END FROM m
+UNION ALL SELECT request_id, 'practice_lineage', '"taught"', 'admin_text' FROM m WHERE request_id % 5 = 0
+UNION ALL SELECT request_id, 'tradition_engagement', 'true', 'u2' FROM m WHERE request_id % 5 <> 0 AND tradition IS NOT NULL""",
+    "v_lookups", "v_entities",
+)
+def lookup_facts(spark, sf):
+    """The facts that have a value, with where each comes from."""
+    rows = _looked(spark, sf).select("request_id", "fact_provenance", F.explode("facts").alias("fact", "value")).where("value is not null")
+    return rows.select("request_id", "fact", "value", F.try_element_at("fact_provenance", F.col("fact")).alias("provenance"))
+
+
+@query(
+    _LOOKED + f"""SELECT request_id, 'author_epistemic_basis' AS field, CASE WHEN request_id % 5 = 0 THEN 'lived_practice|' || {_Q(V.REASON_LINEAGE)} || '|practice_lineage'
+  WHEN tradition IS NOT NULL THEN 'mixed|' || {_Q(V.REASON_ENGAGEMENT)} || '|tradition_engagement' ELSE 'unknown|' || {_Q(V.REASON_NO_BASIS)} || '|' END AS suggestion FROM m WHERE entity_type = 'author'
+UNION ALL SELECT request_id, 'author_origin', 'unknown|' || {_Q(V.REASON_NO_ORIGIN)} || '|' FROM m WHERE entity_type = 'author' AND tradition IS NOT NULL""",
+    "v_lookups", "v_entities",
+)
+def lookup_suggestions(spark, sf):
+    return _looked(spark, sf).select("request_id", F.explode("suggested_values").alias("field", "s")).select("request_id", "field", _flat(F.col("s")).alias("suggestion"))
 
 
 _RESULTS = """WITH r AS (SELECT entity_id, 1 AS idx, 'https://a.example.org/' || entity_id AS url, 'A' AS title, 'alpha' AS content, NULL AS error FROM v_search_json WHERE entity_id % 4 <> 0
@@ -306,14 +365,21 @@ def lookup_prompt(spark, sf):
 # --- crawl
 
 
-@query()
+_ORIGIN_OF = "regexp_extract(url, '^[a-z]+://[^/]+', 0)"
+
+
+@query(
+    f"""SELECT page_id, url, CASE kind WHEN 0 THEN NOT starts_with(path, '/en/') WHEN 1 THEN false ELSE true END AS allowed FROM
+(SELECT *, substr(url, length(origin) + 1) AS path, CAST('0x' || substr(md5(origin), 1, 4) AS BIGINT) % 3 AS kind FROM (SELECT page_id, url, {_ORIGIN_OF} AS origin FROM pages UNION ALL SELECT page_id, url, {_ORIGIN_OF} FROM pages))"""
+)
 def robots_filter(spark, sf):
-    urls = table(spark, sf, "pages").select("url").distinct()
-    origins = urls.select(J.split_url(F.col("url"))["origin"].alias("origin")).distinct()
-    kind = F.crc32(F.col("origin").cast("binary")) % 3
-    body = F.when(kind == 0, "User-agent: *\nDisallow: /private\nAllow: /\n").when(kind == 1, "User-agent: cairnbot\nDisallow: /\n\nUser-agent: *\nDisallow:\n")
-    robots = origins.select("origin", body.alias("body"))
-    return J.robots_filter(urls, robots, "cairnbot/1.0")
+    """All pages' URLs, each asked for twice; a third of the hosts forbids English pages, a third all to this agent."""
+    urls = table(spark, sf, "pages").select("page_id", "url")
+    origin = F.expr(_ORIGIN_OF)
+    origins = urls.select(origin.alias("origin")).distinct()
+    kind = F.conv(F.substring(F.md5(F.col("origin").cast("binary")), 1, 4), 16, 10).cast("long") % 3
+    body = F.when(kind == 0, "User-agent: *\nDisallow: /en/\nAllow: /\n").when(kind == 1, "User-agent: cairnbot\nDisallow: /\n\nUser-agent: *\nDisallow:\n")
+    return J.robots_filter(urls.unionByName(urls), origins.select("origin", body.alias("body")), "cairnbot/1.0")
 
 
 @query(

@@ -125,14 +125,28 @@ def l2_normalize(spark, sf):
     return e.select("vec_id", F.col("at").cast("long").alias("at"), F.round("x", 6).alias("x"))
 
 
-@query()
+def _encoded_sql(key: str, text: str, source: str) -> str:
+    """Nonzero components of the default encoder's vectors: words hashed to a place and a sign, sums over their norm."""
+    words = r"list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda w: w <> '')".format(text)
+    h = "CAST('0x' || substr(md5(w), 1, 8) AS BIGINT)"
+    return f"""WITH w AS (SELECT {key}, unnest({words}) AS w FROM {source}), h AS (SELECT {key}, {h} AS h FROM w),
+s AS (SELECT {key}, h % {V.DIMENSION} AS place, CAST(sum(CASE WHEN h & 65536 > 0 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM h GROUP BY {key}, h % {V.DIMENSION})
+SELECT {key}, place, round(CAST(CAST(x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE), 6) AS x FROM s WHERE x <> 0"""
+
+
+def _components(df, *key):
+    rows = df.select(*key, F.posexplode("embedding").alias("place", "v")).where("v <> 0")
+    return rows.select(*key, F.col("place").cast("long").alias("place"), F.round(F.col("v").cast("double"), 6).alias("x"))
+
+
+@query(_encoded_sql("doc_id", "text", "documents"))
 def embed_documents(spark, sf):
-    return E.embed(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+    return _components(E.embed(table(spark, sf, "documents").select("doc_id", "text"), "text"), "doc_id")
 
 
-@query()
+@query(_encoded_sql("conversation_id, message_id", f"'{V.QUERY_PREFIX}' || question", "v_messages"), "v_messages")
 def embed_questions(spark, sf):
-    return E.embed(view(spark, sf, "v_messages").select("conversation_id", "message_id", "question"), "question", is_query=True).drop("question")
+    return _components(E.embed(view(spark, sf, "v_messages").select("conversation_id", "message_id", "question"), "question", is_query=True), "conversation_id", "message_id")
 
 
 _RANKED = """WITH ranked AS (SELECT question_id, chunk_id, similarity, row_number() OVER (PARTITION BY question_id ORDER BY round(1 - similarity, 12), chunk_id) AS rank FROM

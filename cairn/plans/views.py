@@ -20,7 +20,7 @@ SELECT doc_id AS source_id, concat('https://', source, '.example.org/', CAST(doc
 FROM {documents}""",
     # several chunks per source, one in ten inactive, questions' own vectors among them
     "v_chunks": """
-SELECT vec_id AS chunk_id, vec_id % 60 AS source_id, concat('Excerpt ', CAST(vec_id AS STRING)) AS chunk_text, embedding, label, vec_id % 10 <> 0 AS is_active
+SELECT vec_id AS chunk_id, vec_id - vec_id % 3 AS source_id, concat('Excerpt ', CAST(vec_id AS STRING)) AS chunk_text, embedding, label, vec_id % 10 <> 0 AS is_active
 FROM {embeddings}""",
     # every vector whose id is divisible by 50 asks all others; every third of them has a tradition
     "v_questions": """
@@ -84,6 +84,9 @@ SELECT c_custkey AS entity_id, CASE WHEN c_custkey % 4 = 0 THEN '{{"results":[]}
        ELSE concat('{{"results":[{{"url":"https://a.example.org/', CAST(c_custkey AS STRING), '","title":"A","content":"alpha"}},{{"url":"https://b.example.org"}}]}}') END AS payload FROM {customer}""",
     "v_lookups": """
 SELECT o_orderkey AS request_id, concat('Dr. É', c.c_name, '  Müller-', CAST(c.c_nationkey AS STRING)) AS display_name FROM {orders} JOIN {customer} c ON o_custkey = c.c_custkey""",
+    # each second key that is asked for is stored, with facts of its own
+    "v_entities": """
+SELECT 'institution' AS entity_type, concat('Stored ', CAST(c_custkey AS STRING)) AS display_name, concat('dr ecustomer ', CAST(c_custkey AS STRING)) AS stored_key, CAST(c_acctbal AS STRING) AS balance FROM {customer} WHERE c_acctbal > 0""",
     "v_cache": "SELECT concat('dr ecustomer ', CAST(c_custkey AS STRING)) AS normalized_key FROM {customer} WHERE c_acctbal > 0",
     # books: every second document gets a title line, every third no end marker
     "v_books": """

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FETCHED = "source_id long, source_type string, url string, status_code int, raw string, etag string, last_modified string"
@@ -20,9 +21,23 @@ def read_fetched(spark: SparkSession, path: str, stream: bool = False) -> DataFr
 def scratch(spark: SparkSession) -> str:
     """URI of a new folder in the folder that the cluster shares (spark.checkpoint.dir), or in a local one where none is set."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     return f"{root.rstrip('/')}/cairn-{uuid.uuid4().hex}" if root else f"file://{tempfile.mkdtemp(prefix='cairn-')}"
 
 
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """Writes the rows once and reads them from there."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this engine made, wherever Spark can write."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def active_chunks(chunks: DataFrame, source_ids: DataFrame | None = None) -> DataFrame:
     live = chunks.where(F.col("is_active").cast("boolean"))  # a partition column reads as text
     return live if source_ids is None else live.join(source_ids.select("source_id"), "source_id", "left_semi")
@@ -37,9 +52,38 @@ def write_snapshot(df: DataFrame, root: str, version: int, partition_by: tuple[s
     return path
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
-    from pyspark.errors import AnalysisException
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def touched_buckets(keys: DataFrame, buckets: int, key: str = "source_id") -> list[int]:
+    """The buckets of the keys: a list no longer than `buckets`."""
+    return sorted(r[0] for r in keys.select(bucket_of(key, buckets)).distinct().collect())
+
+
+def write_buckets(df: DataFrame, root: str, version: int, buckets: int, touched: list[int] | None = None, key: str = "source_id") -> None:
+    """Writes the rows of some buckets (all, if none are named) as root/v=N/bucket=K; all other buckets stay where version
+    N - 1 has them. root/_buckets/v=N says which version of each bucket counts. Writing a version again replaces it."""
+    spark, path = df.sparkSession, f"{root}/v={version}"
+    df.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    own = [(r[0], version) for r in spark.read.schema("bucket int").parquet(path).distinct().collect()]
+    before = [] if touched is None else [x for x in _bucket_versions(spark, root, version - 1) if x[0] not in touched]
+    spark.createDataFrame(own + before, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{root}/_buckets/v={version}")
+    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{root}/_versions")
+
 
+def _bucket_versions(spark: SparkSession, root: str, version: int) -> list[tuple[int, int]]:
+    return [tuple(r) for r in spark.read.schema("bucket int, version int").parquet(f"{root}/_buckets/v={version}").collect()]
+
+
+def read_buckets(spark: SparkSession, root: str, version: int, only: list[int] | None = None, schema: str | None = None) -> DataFrame:
+    """A version's rows, of some buckets or of all."""
+    paths = [f"{root}/v={v}/bucket={b}" for b, v in _bucket_versions(spark, root, version) if only is None or b in only]
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def current_version(spark: SparkSession, root: str) -> int | None:
     try:
         return spark.read.parquet(f"{root}/_versions").agg(F.max("version")).first()[0]
     except AnalysisException as e:
@@ -49,15 +93,27 @@ def current_version(spark: SparkSession, root: str) -> int | None:
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest snapshot, None before the first."""
+    """The newest snapshot, whole or in buckets, None before the first and for buckets without rows."""
     version = current_version(spark, root)
-    return None if version is None else spark.read.parquet(f"{root}/v={version}")
+    if version is None:
+        return None
+    try:
+        return read_buckets(spark, root, version) if _bucket_versions(spark, root, version) else None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.read.parquet(f"{root}/v={version}")
+        raise
 
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_entities(entities: DataFrame, path: str) -> None:
+    """New credibility entities, one row a key: what lookup_entities() has computed for misses."""
+    append(entities.where("not cached").drop("cached", "request_id"), path)
+
+
 def append_messages(responses: DataFrame, path: str) -> None:
     """Only users who are logged in leave a history."""
     append(responses.where("user_id is not null"), path)

@@ -5,27 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.catalog import job_outcomes
 from ..operators.chunk import chunk_hashes
 from ..operators.ingest import ingest
 from ..sources import tables
 
 
-def stream_ingest(spark: SparkSession, landing: str, state: str, checkpoint: str, sources: DataFrame, chunks: DataFrame, trigger: dict | None = None, **selectors) -> StreamingQuery:
-    """Ingests landed payloads in micro-batches. Snapshots of sources and chunks go to state/sources and state/chunks;
-    a batch's version is its id plus one, so a batch that runs again writes the same snapshot."""
+def stream_ingest(spark: SparkSession, landing: str, state: str, checkpoint: str, sources: DataFrame, chunks: DataFrame, trigger: dict | None = None, buckets: int = 64, now: Column | None = None, with_embeddings: bool = True, **selectors) -> StreamingQuery:
+    """Ingests landed payloads in micro-batches.
+
+    Snapshots of sources and chunks go to state/sources and state/chunks, in buckets by source_id: a batch reads and writes
+    only the buckets of its own sources, so its work grows with what has landed. Each source that ran gets its job's status
+    and times, and a row in state/jobs. A batch's version is its id plus one, and all that it writes is replaced if it runs
+    again. Version 0 is what was there at the start.
+    """
+    if with_embeddings and "embedding" not in chunks.columns:
+        chunks = chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
+    for c, kind in (("status", "string"), ("last_checked_at", "timestamp"), ("last_scraped_at", "timestamp")):
+        if c not in sources.columns:
+            sources = sources.withColumn(c, F.lit(None).cast(kind))
+    first = {"sources": sources, "chunks": chunks}
+    clock = F.current_timestamp() if now is None else now
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        own = lambda name, first: spark.read.parquet(f"{state}/{name}/v={batch_id}") if batch_id else first
+        staging = f"{state}/staging/batch={batch_id}"
+        if batch_id == 0:
+            for name, df in first.items():
+                tables.write_buckets(df, f"{state}/{name}", 0, buckets)
         # of several payloads of a source in one batch, the last one counts
         last = batch.groupBy("source_id").agg(F.max_by(F.struct(*batch.columns), F.struct("last_modified", "etag", F.xxhash64("raw"))).alias("f")).select("f.*")
-        out = ingest(own("sources", sources), own("chunks", chunks), last, **selectors)
-        tables.write_snapshot(out.chunks, f"{state}/chunks", batch_id + 1)
-        tables.write_snapshot(out.sources, f"{state}/sources", batch_id + 1)
-        out.results.write.mode("overwrite").parquet(f"{state}/results/batch={batch_id}")
+        last = tables.staged(last, f"{staging}/landed")
+        touched = tables.touched_buckets(last, buckets)
+        own = {name: tables.read_buckets(spark, f"{state}/{name}", batch_id, touched, df.schema) for name, df in first.items()}
+        out = ingest(own["sources"], own["chunks"], last, with_embeddings, staging, **selectors)
+        results = tables.staged(out.results, f"{state}/results/batch={batch_id}")
+        after, jobs = job_outcomes(out.sources, results, clock)
+        tables.write_buckets(out.chunks.select(*chunks.columns), f"{state}/chunks", batch_id + 1, buckets, touched)
+        tables.write_buckets(after.select(*[F.col(f.name).cast(f.dataType) for f in sources.schema]), f"{state}/sources", batch_id + 1, buckets, touched)
+        jobs.write.mode("overwrite").parquet(f"{state}/jobs/batch={batch_id}")
+        tables.remove(spark, staging)
 
     stream = tables.read_fetched(spark, landing, stream=True)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

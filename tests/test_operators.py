@@ -3,6 +3,7 @@
 import datetime as dt
 import urllib.robotparser
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,48 @@ def test_retrieve(spark):
     assert refused == {1: False, 2: False, 3: True, 4: True}
 
 
+def test_dimensions_of_vectors(spark):
+    chunks = [(1, 1, [1.0, 0.0], None), (2, 1, [1.0, 0.0, 0.0], None), (3, 1, [0.6, 0.8], None), (4, 1, [0.0, 0.0], None), (5, 1, [], None)]
+    kind = "chunk_id long, source_id long, embedding array<float>, tradition string"
+    q = spark.createDataFrame([(7, [1.0, 0.0], None), (8, None, None)], "question_id long, embedding array<float>, tradition string")
+    for rows in (chunks, chunks[::-1]):
+        got = R.nearest(q, spark.createDataFrame(rows, kind).coalesce(1), k=3, threshold=None).collect()
+        assert sorted((r["question_id"], r["chunk_id"], r["place"]) for r in got) == [(7, 1, 1), (7, 3, 2)]
+    with pytest.raises(ValueError, match="dimensions"):
+        R.nearest(q.unionByName(spark.createDataFrame([(9, [1.0], None)], q.schema)), spark.createDataFrame(chunks, kind))
+
+
+def test_strips_of_distances_give_the_same(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 7, rng.integers(-1, 2, 4).astype(float).tolist(), None) for i in range(300)]
+    c = spark.createDataFrame(rows, "chunk_id long, source_id long, embedding array<float>, tradition string")
+    q = c.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("question_id"), "embedding", "tradition")
+    got = {(r["question_id"], r["place"]): r["chunk_id"] for r in R.nearest(q, c, k=4, threshold=None, cells=700).collect()}
+    m = np.array([r[2] for r in rows])
+    for i in range(0, 300, 10):
+        ok = np.flatnonzero(np.linalg.norm(m, axis=1) > 0)
+        if not m[i].any():
+            continue
+        d = (1 - m[ok] @ m[i] / np.linalg.norm(m[ok], axis=1) / np.linalg.norm(m[i])).round(9)
+        best = ok[np.lexsort((ok, d))][:4]
+        assert [got[i, p] for p in range(1, 5)] == best.tolist()
+
+
+def test_links_are_resolved_as_urls(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://h.org/a/b/c.html", "https://h.org", "http://h.org/", "http://h.org/a/?q=/x/y#f/g"]
+    links = ["x.txt", "/r/x.txt", "../x.txt", "../../../x.txt", "./x/./y.txt", "//o.org/x.txt", "http://z.org/../x.txt", "?f=x.txt", "d/../x.txt?q=../a", "x.txt#a/b", "mailto:x.txt"]
+    df = spark.createDataFrame([(b, h) for b in bases for h in links], "b string, h string").select("b", "h", X.resolve_link(F.col("b"), F.col("h")).alias("u"))
+    assert {(r["b"], r["h"]): r["u"] for r in df.collect()} == {(b, h): urljoin(b, h) for b in bases for h in links}
+
+
+def test_repeated_urls_stay(spark):
+    urls = spark.createDataFrame([("http://a.org/x", 1), ("http://a.org/x", 1), (None, 2)], "url string, n int")
+    robots = spark.createDataFrame([("http://a.org", "User-agent: *\nDisallow: /x")], "origin string, body string")
+    assert sorted((r["n"], r["allowed"]) for r in J.robots_filter(urls, robots, "bot").collect()) == [(1, False), (1, False), (2, True)]
+
+
 def test_context_groups_by_source(spark):
     q, c, s = corpus(spark)
     hits = R.retrieve(q, c, s, k=3)

@@ -1,4 +1,8 @@
+from pyspark.sql import functions as F
+
 from cairn.functions import vocabulary as V
+from cairn.operators import credibility as I
+from cairn.operators.embed import hashed_words
 from cairn.operators.ingest import ingest
 from cairn.sources import tables
 from cairn.streaming import ingest as S
@@ -20,6 +24,8 @@ def tables_of(spark):
 def test_batch_ingest(spark):
     sources, chunks = tables_of(spark)
     out = ingest(sources, chunks, spark.createDataFrame(LANDED, tables.FETCHED), with_embeddings=True)
+    vector = {r["chunk_text"]: r["embedding"] for r in out.chunks.collect()}
+    assert vector["x"] is None and vector["One two."] == hashed_words()(["One two."])[0].astype("f4").tolist()
     assert {(r["source_id"], r["chunk_text"], r["is_active"]) for r in out.chunks.collect()} == {(1, "old", False), (1, "One two.", True), (4, "x", True)}
     got = {r["source_id"]: (r["changed"], r["error"]) for r in out.results.collect()}
     assert got[1] == (True, None) and got[4] == (False, None)
@@ -40,6 +46,33 @@ def test_stream_equals_batch(spark, tmp_path):
     assert tables.current_version(spark, f"{tmp_path}/state/chunks") == 1
 
 
+def test_stream_batches_write_the_buckets_of_their_sources(spark, tmp_path):
+    sources, chunks = tables_of(spark)
+    for n, (key, text) in enumerate([(1, "First text."), (2, "Other text."), (1, "Second text.")]):
+        spark.createDataFrame([(key, "gutenberg_text", "u", 200, book(text), f"e{n}", "m")], tables.FETCHED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/landing")
+        S.stream_ingest(spark, f"{tmp_path}/landing", f"{tmp_path}/state", f"{tmp_path}/check", sources, chunks, buckets=4).awaitTermination(120)
+    rows = {(r["source_id"], r["chunk_text"]): (r["is_active"], r["embedding"] is not None) for r in tables.read_snapshot(spark, f"{tmp_path}/state/chunks").collect()}
+    assert rows == {(1, "old"): (False, False), (4, "x"): (True, False), (1, "First text."): (False, True), (1, "Second text."): (True, True), (2, "Other text."): (True, True)}
+    own = tables.touched_buckets(spark.createDataFrame([(1,)], "source_id long"), 4)
+    assert [int(p.name.split("=")[1]) for p in (tmp_path / "state/chunks/v=3").glob("bucket=*")] == own
+    after = {r["source_id"]: r for r in tables.read_snapshot(spark, f"{tmp_path}/state/sources").collect()}
+    assert len(after) == 5 and after[1]["status"] == "completed" and after[1]["last_scraped_at"] and after[1]["etag"] == "e2" and after[3]["status"] is None
+    assert spark.read.parquet(f"{tmp_path}/state/jobs").count() == 3 and not list((tmp_path / "state/staging").glob("*"))
+
+
+def test_entities_are_appended_once(spark, tmp_path):
+    q = spark.createDataFrame([(1, "author", "Max Müller", "Norse", '{"occupation":"s"}', None), (2, "author", "max muller!", None, None, None)], "request_id long, entity_type string, display_name string, tradition string, pasted string, found string")
+    none = spark.createDataFrame([], "entity_type string, display_name string, normalized_key string, facts map<string,string>, fact_provenance map<string,string>, suggested_values map<string,string>").withColumn("suggested_values", F.lit(None).cast(f"map<string,{I.SUGGESTION}>"))
+    tables.append_entities(I.lookup_entities(q, none), f"{tmp_path}/e")
+    stored = spark.read.parquet(f"{tmp_path}/e")
+    first = stored.collect()
+    assert len(first) == 1 and first[0]["facts"]["occupation"] == '"s"' and first[0]["fact_provenance"] == {"occupation": "admin_text"} and set(first[0]["suggested_values"]) == {"author_epistemic_basis", "author_origin"}
+    again = I.lookup_entities(q, stored)
+    assert {(r["request_id"], r["cached"], r["display_name"]) for r in again.collect()} == {(1, True, "Max Müller"), (2, True, "Max Müller")}
+    tables.append_entities(again, f"{tmp_path}/e")
+    assert spark.read.parquet(f"{tmp_path}/e").count() == 1
+
+
 def test_stateful_diff_over_two_batches(spark, tmp_path):
     first = spark.createDataFrame([(1, "c1", ["a", "b"]), (2, "c", ["x"])], "source_id long, content_hash string, hashes array<string>")
     second = spark.createDataFrame([(1, "c2", ["b", "d"]), (2, "c", ["x"])], first.schema)
