@@ -87,7 +87,6 @@ SELECT o_orderkey AS request_id, concat('Dr. É', c.c_name, '  Müller-', CAST(c
     # each second key that is asked for is stored, with facts of its own
     "v_entities": """
 SELECT 'institution' AS entity_type, concat('Stored ', CAST(c_custkey AS STRING)) AS display_name, concat('dr ecustomer ', CAST(c_custkey AS STRING)) AS stored_key, CAST(c_acctbal AS STRING) AS balance FROM {customer} WHERE c_acctbal > 0""",
-    "v_cache": "SELECT concat('dr ecustomer ', CAST(c_custkey AS STRING)) AS normalized_key FROM {customer} WHERE c_acctbal > 0",
     # books: every second document gets a title line, every third no end marker
     "v_books": """
 SELECT doc_id AS source_id, concat(CASE WHEN doc_id % 2 = 0 THEN concat('Title: Book ', CAST(doc_id AS STRING), chr(10), '   and more', chr(10)) ELSE concat('Preface', chr(10)) END,
