@@ -16,7 +16,7 @@ from .common import coded_words, fold, text_blocks, tidied
 
 #: The token after the last word. No word of non-space characters is empty.
 END = b""
-#: Bytes of text that are tokenized at a time, words or n-grams that a task holds before it deals them out, and tokens of a shard.
+#: Bytes of text that are tokenized at a time, words or n-grams that a task holds before it deals them out (n-grams: 8 a shard, if that is more), and tokens of a shard.
 BLOCK, FLUSH, SHARD_TOKENS = 4 << 20, 4_000_000, 8_000_000
 #: Counts from here on are kept apart, in full.
 MANY = 255
@@ -201,7 +201,7 @@ class Vocabulary:
 
     def __init__(self, uri: str, parts: int, offsets: tuple[int, ...]):
         self.uri, self.parts, self.offsets = uri, parts, offsets
-        self.arrays: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.arrays = store.Opened(lambda k: (store.load(uri, f"words.{k}.hash", "u8"), store.load(uri, f"words.{k}.count", "i8")), 2)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts of distinct words; -1 and 0 if no training text has the word."""
@@ -210,9 +210,7 @@ class Vocabulary:
         order = np.argsort(h)
         cuts = np.searchsorted(_range_of(h[order], self.parts), np.arange(self.parts + 1, dtype=np.uint64))
         for k in np.flatnonzero(np.diff(cuts)):
-            if k not in self.arrays:
-                self.arrays[k] = store.load(self.uri, f"words.{k}.hash", "u8"), store.load(self.uri, f"words.{k}.count", "i8")
-            keys, counts = self.arrays[k]
+            keys, counts = self.arrays(k)
             mine = order[cuts[k] : cuts[k + 1]]
             at, there = store.lookup(keys, h[mine])
             ids[mine[there]] = self.offsets[k] + at[there]
@@ -298,7 +296,11 @@ class Counts:
 
     def __init__(self, uri: str, name: str, shards: int, width: int, dense: bool = False):
         self.uri, self.name, self.shards, self.width, self.dense = uri, name, shards, width, dense
-        self.opened: dict[int, tuple[np.ndarray, ...]] = {}
+        self.opened = store.Opened(self._open, 4)
+
+    def _open(self, k: int) -> tuple[np.ndarray | None, ...]:
+        read = lambda what, t: store.load(self.uri, f"{self.name}.{k}.{what}", t)
+        return None if self.dense else read("code", "u8"), read("few", "u1").reshape(-1, self.width), read("many_code", "u8"), read("many", "i8").reshape(-1, self.width)
 
     def __call__(self, code: np.ndarray, own: np.ndarray) -> np.ndarray:
         """A row of counts for each code in its own shard; zeros where there is none."""
@@ -306,10 +308,7 @@ class Counts:
         order = np.argsort(own.astype(np.uint16 if self.shards < 1 << 16 else np.uint32), kind="stable")
         cuts = np.searchsorted(own[order], np.arange(self.shards + 1, dtype=own.dtype))
         for k in np.flatnonzero(np.diff(cuts)):
-            if k not in self.opened:
-                read = lambda what, t, k=k: store.load(self.uri, f"{self.name}.{k}.{what}", t)
-                self.opened[k] = None if self.dense else read("code", "u8"), read("few", "u1").reshape(-1, self.width), read("many_code", "u8"), read("many", "i8").reshape(-1, self.width)
-            keys, few, many_keys, many = self.opened[k]
+            keys, few, many_keys, many = self.opened(k)
             mine = order[cuts[k] : cuts[k + 1]]
             if self.dense:
                 out[mine] = few[code[mine].astype(np.int64)]
@@ -462,6 +461,7 @@ def fit(train: DataFrame, text: str, uri: str, width: int = 1 << 17, order: int
     if start + 2 >= 2**32:
         raise ValueError(f"{start} distinct words: an n-gram's code has 32 bits for each")
     shards, width = max(parts, -(-total // SHARD_TOKENS)), min(width, start // parts + 1)
+    flush = max(flush, 8 * shards)
     ranges = start // width + 1
     runs = dealt(texts.mapInArrow(tidied(_count_ngrams(uri, parts, offsets, shards, order, flush, block)), _RUNS))
     if order == 3:

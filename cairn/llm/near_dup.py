@@ -8,7 +8,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from . import store
 from .common import bounded_broadcast, checkpointed, coded_words, text_blocks, tidied
 
-#: N-grams that a task holds before it deals them out, and bytes of text that it takes at a time.
+#: N-grams that a task holds before it deals them out (or 8 a range, if that is more), and bytes of text that it takes at a time.
 BLOCK, TEXT_BYTES = 1_000_000, 2_000_000
 #: Bytes of text for each range of n-gram hashes; there are two ranges a shuffle partition at least.
 BUCKET_BYTES = 128 << 20
@@ -72,22 +71,24 @@ def _bucket_edges(buckets: int) -> np.ndarray:
 
 
 def _deal(n: int, buckets: int):
-    edges = _bucket_edges(buckets)
+    edges, block = _bucket_edges(buckets), max(BLOCK, 8 * buckets)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
             x, count = np.unique(np.concatenate(held), return_counts=True)  # a frequent n-gram goes out once
-            cuts = np.searchsorted(x, edges)
-            planes, counts = [_planes(p) for p in np.split(x, cuts)], [c.astype(np.uint32).tobytes() for c in np.split(count, cuts)]
-            return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(planes, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "hashes", "counts"])
+            cuts = np.r_[0, np.searchsorted(x, edges), len(x)]
+            full = np.flatnonzero(np.diff(cuts))
+            parts = [slice(cuts[k], cuts[k + 1]) for k in full]
+            planes, counts = [_planes(x[p]) for p in parts], [count[p].astype(np.uint32).tobytes() for p in parts]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(planes, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "hashes", "counts"])
 
         for b in batches:
             for texts in text_blocks(b.column(0), TEXT_BYTES):
                 held += shingle_sets(texts, n)
                 size = sum(map(len, held))
-                if size > BLOCK:
+                if size > block:
                     yield out()
                     held, size = [], 0
         if size:
@@ -131,7 +132,7 @@ def _prefixes(n: int, buckets: int, uri: str, percent: int):
     edges = _bucket_edges(buckets)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        shared = store.Opened(lambda k: (store.load(uri, f"{k}.hash", "u8"), store.load(uri, f"{k}.count", "u4")), 2)
         seen: set[bytes] = set()  # sets of which this task has sent the n-grams
         part_no = TaskContext.get().partitionId()
 
@@ -140,9 +141,7 @@ def _prefixes(n: int, buckets: int, uri: str, percent: int):
             out = np.ones(len(x), np.uint32)
             cuts = np.r_[0, np.searchsorted(x, edges), len(x)]
             for k in np.flatnonzero(np.diff(cuts)):
-                if k not in opened:
-                    opened[k] = store.load(uri, f"{k}.hash", "u8"), store.load(uri, f"{k}.count", "u4")
-                keys, count = opened[k]
+                keys, count = shared(k)
                 at, there = store.lookup(keys, x[cuts[k] : cuts[k + 1]])
                 out[cuts[k] : cuts[k + 1]][there] = count[at[there]]
             return out

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import resource
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -13,6 +14,9 @@ from pyspark.sql import SparkSession
 
 from .common import shared_root
 
+#: Mapped files that one of a task's collections of arrays may hold at most; fewer where a process may open fewer files.
+MAPS = 4_096
+
 
 def _resolve(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
@@ -65,6 +69,25 @@ def load(uri: str, name: str, dtype: str) -> np.ndarray:
         return np.memmap(copy, dtype, "r")
 
 
+class Opened:
+    """Arrays by key, read at first use and kept for the keys used last, of which each has `files` files: a process may map
+    only so many files at a time, and a large input has more shards than that."""
+
+    def __init__(self, read: Callable, files: int = 1):
+        allowed = resource.getrlimit(resource.RLIMIT_NOFILE)[0]
+        most = MAPS if allowed == resource.RLIM_INFINITY else min(MAPS, allowed // 8)
+        self.read, self.most, self.held = read, max(1, most // files), {}
+
+    def __call__(self, key: Hashable):
+        found = self.held.pop(key, None)
+        if found is None:
+            found = self.read(key)
+            if len(self.held) >= self.most:
+                del self.held[next(iter(self.held))]  # the one not used for the longest time
+        self.held[key] = found
+        return found
+
+
 class Writer:
     """Appends arrays to one file, which gets its name when all is written."""
 
@@ -93,13 +116,14 @@ class Reader:
 
     def __init__(self, uri: str, dtype: str):
         self.fs, self.folder = _resolve(uri)
-        self.dtype, self.local, self.opened = np.dtype(dtype), isinstance(self.fs, pafs.LocalFileSystem), {}
+        self.dtype, self.local, self.opened = np.dtype(dtype), isinstance(self.fs, pafs.LocalFileSystem), Opened(self._open)
+
+    def _open(self, name: str):
+        path = f"{self.folder}/{name}"
+        return np.memmap(path, self.dtype, "r") if self.local else self.fs.open_input_file(path)
 
     def __call__(self, name: str, at: int, n: int) -> np.ndarray:
-        if name not in self.opened:
-            path = f"{self.folder}/{name}"
-            self.opened[name] = np.memmap(path, self.dtype, "r") if self.local else self.fs.open_input_file(path)
-        f = self.opened[name]
+        f = self.opened(name)
         if self.local:
             return f[at : at + n]
         f.seek(at * self.dtype.itemsize)
@@ -113,5 +137,3 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = np.searchsorted(keys, wanted)
     at[at == len(keys)] = 0
     return at, keys[at] == wanted
-
-

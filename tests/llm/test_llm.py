@@ -700,6 +700,32 @@ def test_lm_of_frequent_words_and_many_flushes(spark, monkeypatch, order):
         assert got[i] == pytest.approx(sum(map(math.log10, want)), rel=1e-9)
 
 
+def test_few_mapped_files_give_the_same_scores(spark, monkeypatch):
+    """A task that may map fewer files than the model has maps those in use anew."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randint(0, 60)}" for _ in range(40)) for _ in range(50)]
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 100)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    with store.scratch(spark) as uri:
+        model = kneser_ney.fit(df, "text", uri, width=7, order=3, flush=500)
+        block = kneser_ney.pa.array(texts)
+        many = kneser_ney.Scorer(model)
+        want = many(block)
+        monkeypatch.setattr(store, "MAPS", 8)
+        few = kneser_ney.Scorer(model)
+        got = few(block)
+    assert model.shards > 10 and len(many.bigrams.opened.held) == model.shards and len(few.bigrams.opened.held) == 2
+    assert all((x == y).all() for x, y in zip(want, got, strict=True))
+
+
+def test_the_arrays_used_last_stay_open(monkeypatch):
+    monkeypatch.setattr(store, "MAPS", 2)
+    read = []
+    opened = store.Opened(lambda k: read.append(k) or [k])
+    assert [opened(k) for k in "abacab"] == [[k] for k in "abacab"]
+    assert read == ["a", "b", "c", "b"] and list(opened.held) == ["a", "b"]
+
+
 def test_too_many_words_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "_save_words", lambda uri: lambda batches: iter([kneser_ney.pa.RecordBatch.from_pydict({"part": [0], "words": [2**32 - 2], "tokens": [5]}, kneser_ney.pa.schema([("part", "int32"), ("words", "int64"), ("tokens", "int64")]))]))
     with pytest.raises(ValueError, match="distinct words"):
