@@ -122,7 +122,7 @@ def _merged(key: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
 
 
 class _Outbox:
-    """Rows of keys and counts on their way to the next level: merged, and dealt when there are enough."""
+    """Rows of keys and counts on their way to the next level: merged, and dealt when there are `flush` numbers in them."""
 
     def __init__(self, shards: int, shard_of, flush: int):
         self.shards, self.shard_of, self.flush = shards, shard_of, flush
@@ -131,7 +131,7 @@ class _Outbox:
 
     def add(self, key: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append([key, *columns])
-        self.size += len(key)
+        self.size += len(key) * (1 + len(columns))
         if self.size > self.flush:
             yield from self.rest()
 
@@ -333,7 +333,7 @@ def _save_trigrams(uri: str, start: int, shards: int, flush: int):
     text's start, which count as often as they occur), and its sums as a context."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, out = np.zeros(4, np.int64), _Outbox(shards, lambda code: _range_of(mix(code), shards), flush)
+        totals, out = np.zeros(4, np.int64), _Outbox(shards, lambda code: _range_of(mix(code), shards), 2 * flush)
         for shard, (code, left, n) in _by_shard(_runs(batches), "u8u4u4"):
             key = mix(code, left)
             by = np.argsort(key, kind="stable")
@@ -362,7 +362,7 @@ def _save_bigrams(uri: str, order: int, width: int, ranges: int, flush: int):
     """Runs of bigrams to each shard's arrays; on to the tokens go how many contexts each has, and its sums as a context."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, out = np.zeros(4, np.int64), _Outbox(ranges, lambda token: token // np.uint64(width), flush)
+        totals, out = np.zeros(4, np.int64), _Outbox(ranges, lambda token: token // np.uint64(width), 2 * flush)
         for shard, columns in _by_shard(_runs(batches), "u8u4" if order == 2 else "u8" + "i8" * 5):
             if shard < 0:
                 yield _totals(-shard, _unpack(columns[1][0], columns[0], "i8"))
@@ -460,7 +460,8 @@ def fit(train: DataFrame, text: str, uri: str, width: int = 1 << 17, order: int
     start, total = offsets[-1], sum(r["tokens"] for r in words)
     if start + 2 >= 2**32:
         raise ValueError(f"{start} distinct words: an n-gram's code has 32 bits for each")
-    shards, width = max(parts, -(-total // SHARD_TOKENS)), min(width, start // parts + 1)
+    # rows of trigrams and of what they send on take about four times the memory
+    shards, width = max(parts, -(-total // (SHARD_TOKENS if order == 2 else SHARD_TOKENS // 4))), min(width, start // parts + 1)
     flush = max(flush, 8 * shards)
     ranges = start // width + 1
     runs = dealt(texts.mapInArrow(tidied(_count_ngrams(uri, parts, offsets, shards, order, flush, block)), _RUNS))
