@@ -134,7 +134,7 @@ def _prefixes(n: int, buckets: int, uri: str, percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = store.Opened(lambda k: (store.load(uri, f"{k}.hash", "u8"), store.load(uri, f"{k}.count", "u4")), 2)
         seen: set[bytes] = set()  # sets of which this task has sent the n-grams
-        part_no = TaskContext.get().partitionId()
+        part_no = TaskContext.get().taskAttemptId()  # a task that runs again may see its rows in another order
 
         def counts(x: np.ndarray) -> np.ndarray:
             """How many documents have each of the sorted n-grams, of which one is in hand."""
@@ -182,7 +182,7 @@ def _prefixes(n: int, buckets: int, uri: str, percent: int):
                     sizes, keys, alone, found, at = rows(texts)
                     ids, marks = (b.column(c).slice(begun, len(texts)) for c in ("doc_id", "mark"))
                     begun += len(texts)
-                    yield pa.RecordBatch.from_arrays([ids, marks, pa.array(sizes, pa.int32()), pa.array(keys, pa.string()), pa.array(alone, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array([part_no] * len(sizes), pa.int32()), pa.array(at, pa.int64())], ["doc_id", "mark", "n", "key", "alone", "prefix", "part", "at"])
+                    yield pa.RecordBatch.from_arrays([ids, marks, pa.array(sizes, pa.int32()), pa.array(keys, pa.string()), pa.array(alone, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array([part_no] * len(sizes), pa.int64()), pa.array(at, pa.int64())], ["doc_id", "mark", "n", "key", "alone", "prefix", "part", "at"])
 
     return run
 
@@ -410,7 +410,7 @@ def _linked(docs: DataFrame, doc_id: str, text: str, ngram: int, percent: int, h
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, size // BUCKET_BYTES)
     dealt = rows.select("text").mapInArrow(tidied(_deal(ngram, buckets)), "bucket int, hashes binary, counts binary")
     dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_shared_ngrams(uri)), "kept long").agg(F.sum("kept")).collect()
-    made = written(rows.mapInArrow(tidied(_prefixes(ngram, buckets, uri, percent)), "doc_id long, mark long, n int, key string, alone int, prefix array<long>, part int, at long"), uri)
+    made = written(rows.mapInArrow(tidied(_prefixes(ngram, buckets, uri, percent)), "doc_id long, mark long, n int, key string, alone int, prefix array<long>, part long, at long"), uri)
     # a task sends a set once, but several tasks may send the same set
     sent = made.where("at is not null").groupBy("key").agg(F.min(F.struct("part", "at", "n", "alone", "prefix")).alias("s")).select("key", "s.*")
     sent = written(sent, uri)

@@ -463,6 +463,23 @@ def test_counts_discard_pairs(spark):
         assert {(r["a"], r["b"]): (r["common"], r["last_a"], r["last_b"]) for r in got} == want and want
 
 
+def test_two_attempts_of_a_task_keep_their_sets_apart(spark, tmp_path):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randint(0, 99)}" for _ in range(9 + k)) for k in range(12)]
+    grams = near_dup.shingle_sets(near_dup.pa.array(texts), 5)
+    every, uri = np.unique(np.concatenate(grams)), f"file://{tmp_path}"
+    store.save(uri, "0.hash", every)
+    store.save(uri, "0.count", np.full(len(every), 2, np.uint32))
+    seen = []
+    for order in (texts, texts[::-1]):
+        rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(order)], "doc_id long, mark long, text string").coalesce(1)
+        seen += rows.mapInArrow(near_dup._prefixes(5, 1, uri, 75), "doc_id long, mark long, n int, key string, alone int, prefix array<long>, part long, at long").collect()
+    sets = store.Reader(uri, "u8")
+    assert len(seen) == 2 * len(texts)
+    for r in seen:
+        assert hashlib.blake2b(sets(f"{r.part}.sets", r["at"], r.n).tobytes(), digest_size=16).hexdigest() == r.key
+
+
 def test_near_rows_of_one_id_are_told_apart(spark):
     a = " ".join(f"a{i}" for i in range(40))
     rows = [(1, a), (3, a + " more"), (3, "another text of its own"), (4, None), (4, None), (5, "x y"), (5, "x y"), (None, a + " less"), (None, "free"), (6, "p q r"), (6, "P q r")]
