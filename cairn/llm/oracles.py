@@ -63,4 +63,48 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLES = {"op1_mix_sources": OP1, "op5_near_dup_join": OP5, "op6_decontaminate": OP6, "op8_exact_dedup": OP8, "op10_chat_format": OP10}
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+f AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total::HUGEINT + 5 * l.v) AS p,
+             1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total::HUGEINT + 5 * l.v) AS q
+      FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term)),
+v AS (SELECT lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM f a JOIN f b USING (lang, term) WHERE a.source <> b.source GROUP BY lang, a.source, b.source),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(v.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM f WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u) WHERE part = 'pair' OR rank <= 50
+"""
+
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_FIELDS = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_TREE = """{0}(tree, level, pos, node, n) AS (SELECT tree, 0::BIGINT, pos, node, count(*) OVER (PARTITION BY tree) FROM {1}
+  UNION ALL SELECT tree, any_value(level) + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 2) // 3) FROM {0} WHERE n > 1 GROUP BY tree, pos // 3)"""
+_STEPS = """SELECT b.rid, {2} AS k, string_agg(u.node, '' ORDER BY u.pos) FILTER (WHERE u.pos < b.pos // CAST(pow(3, u.level) AS BIGINT)) AS l,
+  string_agg(u.node, '' ORDER BY u.pos) FILTER (WHERE u.pos > b.pos // CAST(pow(3, u.level) AS BIGINT)) AS r
+  FROM {1} b JOIN {0} u ON u.tree = b.tree AND u.n > 1 AND u.pos // 3 = b.pos // CAST(pow(3, u.level + 1) AS BIGINT) GROUP BY b.rid, u.level"""
+
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, *, sha256({_FIELDS} || {_FIELD.format('text')}) AS node,
+    list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM documents),
+s AS (SELECT rid, doc_id, coalesce('=' || source, '') AS tree, node, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256({_FIELDS} || {_FIELD.format("replace(text, chr(10), '')")}) ELSE node END AS seen,
+      row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, node) - 1 AS pos FROM d),
+{_TREE.format('up', 's')},
+o AS (SELECT '' AS tree, tree AS name, node, row_number() OVER (ORDER BY tree) - 1 AS pos FROM up WHERE n = 1),
+{_TREE.format('over', 'o')},
+w AS (SELECT s.rid, o.tree, o.pos FROM s JOIN o ON o.name = s.tree),
+steps AS ({_STEPS.format('up', 's', 'u.level')} UNION ALL {_STEPS.format('over', 'w', '100 + u.level')}),
+numbered AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY k) AS k, coalesce(l, '') AS l, coalesce(r, '') AS r FROM steps),
+fold(rid, k, node) AS (SELECT rid, 0::BIGINT, seen FROM s UNION ALL SELECT f.rid, f.k + 1, sha256(l || f.node || r) FROM fold f JOIN numbered x ON x.rid = f.rid AND x.k = f.k + 1)
+SELECT doc_id, s.node AS leaf, o.node AS subroot, top.node AS root, sha256(coalesce((SELECT string_agg(l || r, '' ORDER BY k) FROM numbered x WHERE x.rid = s.rid), '')) AS proof_sha256,
+       last.node AS folded_root, last.node = top.node AS verified
+FROM s JOIN o ON o.name = s.tree JOIN (SELECT node FROM over WHERE n = 1) top ON true JOIN (SELECT rid, arg_max(node, k) AS node FROM fold GROUP BY rid) last ON last.rid = s.rid
+"""
+
+ORACLES = {"op1_mix_sources": OP1, "op5_near_dup_join": OP5, "op6_decontaminate": OP6, "op8_exact_dedup": OP8, "op10_chat_format": OP10, "op12_source_divergence": OP12, "op13_merkle_manifest": OP13}

@@ -9,12 +9,15 @@ from . import kneser_ney, store
 from .chat import conversation_digests, prefix_target_examples
 from .common import checkpointed, fold, table
 from .decontaminate import contamination
+from .divergence import source_divergence
 from .exact_dedup import exact_duplicates
 from .language import identify_languages
 from .licences import scan_licences
+from .merkle import manifest
 from .mixing import mix
 from .near_dup import near_duplicates
 from .oracles import ORACLES  # noqa: F401
+from .pii import personal_data
 from .quality import quality_scores
 from .tokens import token_counts
 
@@ -64,5 +67,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(prefix_target_examples(turns.unionByName(probe)))
 
 
-_ALL = (op1_mix_sources, op2_token_counts, op3_language_id, op4_licence_scan, op5_near_dup_join, op6_decontaminate, op7_quality, op8_exact_dedup, op9_lm_scores, op10_chat_format)
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_mix_sources, op2_token_counts, op3_language_id, op4_licence_scan, op5_near_dup_join, op6_decontaminate, op7_quality, op8_exact_dedup, op9_lm_scores, op10_chat_format, op11_personal_data, op12_source_divergence, op13_merkle_manifest)
 QUERIES = {f.__name__: f for f in _ALL}
