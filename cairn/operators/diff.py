@@ -30,16 +30,20 @@ def title_backfill(title: Column, inferred: Column) -> Column:
     return F.coalesce(title, F.nullif(inferred, F.lit("")))
 
 
-def apply_diff(chunks: DataFrame, diff: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The next chunk snapshot. Stale active rows turn inactive, new chunks come in as active rows of their own
-    (a chunk that returns is a new row), all else stays. New ids are hashes of source, chunk and old row count. Columns that
-    incoming chunks share with the snapshot, as embeddings, come along."""
-    stale = diff.where("state = 'stale'").select("source_id", "chunk_hash", F.lit(True).alias("gone"))
-    kept = chunks.join(stale, ["source_id", "chunk_hash"], "left").withColumn("is_active", F.col("is_active") & F.col("gone").isNull()).select(*chunks.columns)
+def new_rows(chunks: DataFrame, diff: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Rows of the new chunks, active, with the snapshot's columns that they have. Ids are hashes of source, chunk and the
+    number of rows that the source's chunk had before: a chunk that returns is a new row."""
     before = chunks.groupBy("source_id", "chunk_hash").agg(F.count("*").alias("before"))
     fresh = incoming.join(diff.where("state = 'new'"), ["source_id", "chunk_hash"], "left_semi").join(before, ["source_id", "chunk_hash"], "left")
     made = fresh.select(F.xxhash64("source_id", "chunk_hash", F.coalesce("before", F.lit(0))).alias("chunk_id"), "source_id", "chunk_hash", F.lit(True).alias("is_active"), *[c for c in chunks.columns if c in incoming.columns and c not in ("chunk_id", "source_id", "chunk_hash", "is_active")])
-    return kept.unionByName(made.select(*[c for c in chunks.columns if c in made.columns]), allowMissingColumns=True)
+    return made.select(*[c for c in chunks.columns if c in made.columns])
+
+
+def apply_diff(chunks: DataFrame, diff: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The next chunk snapshot. Stale active rows turn inactive, new chunks come in as rows of their own, all else stays."""
+    stale = diff.where("state = 'stale'").select("source_id", "chunk_hash", F.lit(True).alias("gone"))
+    kept = chunks.join(stale, ["source_id", "chunk_hash"], "left").withColumn("is_active", F.col("is_active") & F.col("gone").isNull()).select(*chunks.columns)
+    return kept.unionByName(new_rows(chunks, diff, incoming), allowMissingColumns=True)
 
 
 def refresh_validators(sources: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -39,24 +39,44 @@ def hashed_words(dimension: int = V.DIMENSION) -> Encoder:
     return encode
 
 
-def embed(df: DataFrame, text: str, to: str = "embedding", factory: Callable[[], Encoder] = hashed_words, is_query: bool = False, batch: int = 50) -> DataFrame:
-    """Adds an array<float> column. The encoder is made once in a Python worker; the key stays in the row, so order is no matter."""
-
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _vectors(encoder: Encoder, texts: list[str]) -> tuple[list, list]:
+    """Vectors and errors. Where a batch fails, its texts are encoded one by one, so that only those that fail have none."""
+    try:
+        return encoder(texts).astype("f4").tolist(), [None] * len(texts)
+    except Exception as e:
+        if len(texts) == 1:
+            return [None], [f"{type(e).__name__}: {e}"]
+    parts = [_vectors(encoder, [t]) for t in texts]
+    return [v for p in parts for v in p[0]], [e for p in parts for e in p[1]]
+
+
+def embed(df: DataFrame, text: str, to: str = "embedding", factory: Callable[[], Encoder] = hashed_words, is_query: bool = False, batch: int = 50, errors: str | None = None) -> DataFrame:
+    """Adds an array<float> column. The encoder is made once in a Python worker; the key stays in the row, so order is no matter.
+
+    With `errors`, that column says why a text has no vector (null where it has one). Without, a text that the encoder
+    fails on ends the query.
+    """
+
+    @F.pandas_udf("vector array<float>, error string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = factory()
         for s in parts:
             texts = s.fillna("").tolist()
-            rows = [v for k in range(0, len(texts), batch) for v in encoder(texts[k : k + batch]).astype("f4").tolist()]
-            yield pd.Series(rows, dtype=object)
+            done = [_vectors(encoder, texts[k : k + batch]) for k in range(0, len(texts), batch)]
+            yield pd.DataFrame({"vector": pd.Series([v for d in done for v in d[0]], dtype=object), "error": pd.Series([e for d in done for e in d[1]], dtype=object)})
 
-    return df.withColumn(to, run(T.query_text(F.col(text)) if is_query else F.col(text)))
+    free = "__embedded"
+    out = df.withColumn(free, run(T.query_text(F.col(text)) if is_query else F.col(text)))
+    failed = F.col(f"{free}.error")
+    if errors is None:
+        return out.withColumn(to, F.when(failed.isNull(), F.col(f"{free}.vector")).otherwise(F.raise_error(failed).cast("array<float>"))).drop(free)
+    return out.withColumns({to: F.col(f"{free}.vector"), errors: failed}).drop(free)
 
 
-def embed_new(chunks: DataFrame, **how) -> DataFrame:
-    """Embeds each distinct chunk_hash once and joins the vectors back."""
+def embed_new(chunks: DataFrame, errors: str | None = None, **how) -> DataFrame:
+    """Embeds each distinct chunk_hash once and joins the vectors (and errors, if named) back."""
     distinct = chunks.groupBy("chunk_hash").agg(F.min("chunk_text").alias("chunk_text"))
-    vectors = embed(distinct, "chunk_text", **how).select("chunk_hash", "embedding")
+    vectors = embed(distinct, "chunk_text", errors=errors, **how).drop("chunk_text")
     return chunks.join(vectors, "chunk_hash")
 
 

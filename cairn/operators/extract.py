@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -89,19 +89,26 @@ def _pick(html: str, selector: str, noise: tuple[str, ...] = ()) -> list[str] |
     return p.parts if p.found else None
 
 
-def page_text(pages: DataFrame, key: str, html: str, content: str, heading: str, noise: tuple[str, ...] = NOISE) -> DataFrame:
-    """key, text, title, error: body lines and heading of each page. A page without the content element is an error row."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for k, raw in zip(f["k"], f["html"], strict=True):
+def page_rows(frames: Iterable[pd.DataFrame], content: str, heading: str, noise: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+    """Body lines and heading of batches of pages (k, html)."""
+    for f in frames:
+        rows = []
+        for k, raw in zip(f["k"], f["html"], strict=True):
+            try:
                 body, head = _pick(raw, content, noise), _pick(raw, heading)
-                lines = [x.strip() for x in "\n".join(body).splitlines()] if body is not None else []
-                title = "".join(x.strip() for x in head or []) or None
-                rows.append((k, "\n".join(x for x in lines if x) if body is not None else None, title, None if body is not None else "no content element"))
-            yield pd.DataFrame(rows, columns=["k", "text", "title", "error"])
+            except Exception as e:  # one page must not end the batch
+                rows.append((k, None, None, f"{type(e).__name__}: {e}"))
+                continue
+            lines = [x.strip() for x in "\n".join(body).splitlines()] if body is not None else []
+            title = "".join(x.strip() for x in head or []) or None
+            rows.append((k, "\n".join(x for x in lines if x) if body is not None else None, title, None if body is not None else "no content element"))
+        yield pd.DataFrame(rows, columns=["k", "text", "title", "error"])
 
+
+def page_text(pages: DataFrame, key: str, html: str, content: str, heading: str, noise: tuple[str, ...] = NOISE) -> DataFrame:
+    """key, text, title, error: body lines and heading of each page. A page without the content element, or one that the
+    parser fails on, is an error row."""
+    run = lambda frames: page_rows(frames, content, heading, noise)
     kind = pages.schema[key].dataType.simpleString()
     out = pages.select(F.col(key).alias("k"), F.col(html).alias("html")).mapInPandas(run, f"k {kind}, text string, title string, error string")
     return out.withColumnRenamed("k", key)

@@ -11,7 +11,7 @@ from ..operators import embed as E
 from ..operators import extract as X
 from ..operators.chunk import chunk
 from ..operators.ingest import ingest
-from ..sources import tables
+from ..sources import log, tables
 from ..streaming import ingest as S
 from .registry import Registry
 from .views import table, view
@@ -371,20 +371,22 @@ def stream_diff_revision(spark, sf):
 _NOW = "2024-01-20 00:00:00"
 
 
-def _streamed(spark, sf):
-    """Landed books and pages through the micro-batch ingest; the folder of the snapshots that it leaves."""
+def _streamed(spark, sf, compact_every):
+    """Sources and chunks after landed books and pages went through the micro-batch ingest, and the folder of its state."""
     folder = tables.scratch(spark)
     _landed(spark, sf).write.parquet(f"{folder}/landing")
     old, new = _revisions(spark, sf)
     sources = view(spark, sf, "v_catalog").withColumn("content_hash", F.lit(None).cast("string"))
-    run = S.stream_ingest(spark, f"{folder}/landing", f"{folder}/state", f"{folder}/checkpoint", sources, _snapshot(old, new), buckets=8, now=F.expr(f"TIMESTAMP_NTZ'{_NOW}'"), content="article", heading="h1")
+    run = S.stream_ingest(spark, f"{folder}/landing", f"{folder}/state", f"{folder}/checkpoint", sources, _snapshot(old, new), compact_every=compact_every, now=F.expr(f"TIMESTAMP_NTZ'{_NOW}'"), content="article", heading="h1")
     run.awaitTermination()
-    return f"{folder}/state"
+    kept = S.log_tables(*S.with_ingest_columns(sources, _snapshot(old, new)))
+    return (*[log.read(spark, f"{folder}/state", t) for t in kept], f"{folder}/state")
 
 
 @query(_INGESTED, *_INGEST)
 def stream_ingest(spark, sf):
-    return _with_vectors(tables.read_snapshot(spark, f"{_streamed(spark, sf)}/chunks"))
+    """Chunks after a streaming ingest and a compaction of its log."""
+    return _with_vectors(_streamed(spark, sf, 1)[1])
 
 
 @query(
@@ -395,9 +397,62 @@ FROM v_catalog c LEFT JOIN ran r USING (source_id)""",
 )
 def stream_outcomes(spark, sf):
     """Sources after a streaming ingest, with the error of their job."""
-    state = _streamed(spark, sf)
+    sources, _, state = _streamed(spark, sf, 16)
     jobs = spark.read.parquet(f"{state}/jobs").select("source_id", F.col("error_message").alias("job_error"))
-    return tables.read_snapshot(spark, f"{state}/sources").select("source_id", "status", "last_checked_at", "last_scraped_at").join(jobs, "source_id", "left")
+    return sources.select("source_id", "status", "last_checked_at", "last_scraped_at").join(jobs, "source_id", "left")
+
+
+def _payload(r, text, day, modified):
+    """A landed book without markers, with the time at which it landed."""
+    columns = [F.lit("gutenberg_text").alias("source_type"), F.lit("u").alias("url"), F.lit(200).alias("status_code"), F.col(text).alias("raw"), F.lit(None).cast("string").alias("etag"), F.lit(modified).alias("last_modified"), F.to_timestamp(day).alias("landed_at")]
+    return r.select("source_id", *columns)
+
+
+def _landings(spark, sf, batches):
+    """Sources after batches of payloads, each ingested before the next one lands, and the folder of the state."""
+    folder, r = tables.scratch(spark), view(spark, sf, "v_revision")
+    sources = r.select("source_id", *[F.lit(None).cast("string").alias(c) for c in ("title", "content_hash", "etag", "last_modified")])
+    chunks = spark.createDataFrame([], "chunk_id long, source_id long, chunk_hash string, chunk_text string, is_active boolean")
+    for batch in batches(r):
+        batch.write.mode("append").parquet(f"{folder}/landing")
+        S.stream_ingest(spark, f"{folder}/landing", f"{folder}/state", f"{folder}/checkpoint", sources, chunks, with_embeddings=False).awaitTermination()
+    of_sources, _ = S.log_tables(*S.with_ingest_columns(sources, chunks, False))
+    return log.read(spark, f"{folder}/state", of_sources), f"{folder}/state"
+
+
+@query(
+    f"SELECT source_id, CASE WHEN in_new THEN sha256({_STRIP.format('new_text')}) WHEN in_old THEN sha256({_STRIP.format('old_text')}) END AS content_hash, CASE WHEN in_old OR in_new THEN 'completed' END AS status FROM v_revision",
+    "v_revision",
+)
+def stream_payloads(spark, sf):
+    """Two payloads of a source in one batch: the one that landed last counts, whatever date the server gave."""
+
+    def batches(r):
+        new = _payload(r.where("in_new"), "new_text", F.lit("2024-01-08 00:00:00"), "Tue, 02 Jan 2024 00:00:00 GMT")
+        yield new.unionByName(_payload(r.where("in_old"), "old_text", F.lit("2024-01-03 00:00:00"), "Wed, 03 Jan 2024 00:00:00 GMT"))
+
+    return _landings(spark, sf, batches)[0].select("source_id", "content_hash", "status")
+
+
+_LATE = "in_new AND in_old AND source_id % 2 = 0"
+
+
+@query(
+    f"""SELECT source_id, CASE WHEN in_new AND (source_id % 2 = 0 OR NOT in_old) THEN sha256({_STRIP.format('new_text')}) WHEN in_old THEN sha256({_STRIP.format('old_text')}) END AS content_hash,
+CASE WHEN in_new AND (source_id % 2 = 0 OR NOT in_old) THEN TIMESTAMP '2024-01-08 00:00:00' WHEN in_old AND source_id % 2 = 0 THEN TIMESTAMP '2024-01-02 00:00:00' WHEN in_old THEN TIMESTAMP '2024-01-09 00:00:00' END AS content_of, {_LATE} AS late FROM v_revision""",
+    "v_revision",
+)
+def stream_late_payload(spark, sf):
+    """A batch, and then one in which every other payload had landed before the first batch's: those change nothing."""
+
+    def batches(r):
+        yield _payload(r.where("in_new"), "new_text", F.lit("2024-01-08 00:00:00"), "b")
+        day = F.when(F.col("source_id") % 2 == 0, "2024-01-02 00:00:00").otherwise("2024-01-09 00:00:00")
+        yield _payload(r.where("in_old"), "old_text", day, "c")
+
+    sources, state = _landings(spark, sf, batches)
+    late = spark.read.schema("source_id long, landed_at timestamp").parquet(f"{state}/late").select("source_id", F.lit(True).alias("late"))
+    return sources.join(late, "source_id", "left").select("source_id", "content_hash", F.col("landed_at").cast("timestamp_ntz").alias("content_of"), F.coalesce("late", F.lit(False)).alias("late"))
 
 
 QUERIES, ORACLES = query.queries, query.oracles

@@ -6,16 +6,25 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FETCHED = "source_id long, source_type string, url string, status_code int, raw string, etag string, last_modified string"
 
 
 def read_fetched(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Landed payloads as a table or a stream, with the declared schema."""
+    """Landed payloads as a table or a stream: the declared columns and landed_at, the time that a payload carries with it
+    or else the one at which its file came."""
     reader = spark.readStream if stream else spark.read
-    return reader.schema(FETCHED).parquet(path)
+    rows = reader.schema(f"{FETCHED}, landed_at timestamp").parquet(path)
+    return rows.withColumn("landed_at", F.coalesce("landed_at", "_metadata.file_modification_time"))
+
+
+def newest_payloads(fetched: DataFrame) -> DataFrame:
+    """One payload a source, the one that landed last. Equal times go by the date that the server gave, then by etag and content."""
+    day = F.regexp_extract("last_modified", r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
+    order = F.struct("landed_at", F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss")), "etag", F.xxhash64("raw", "status_code", "last_modified"))
+    return fetched.groupBy("source_id").agg(F.max_by(F.struct(*fetched.columns), order).alias("f")).select("f.*")
 
 
 def scratch(spark: SparkSession) -> str:
@@ -52,37 +61,6 @@ def write_snapshot(df: DataFrame, root: str, version: int, partition_by: tuple[s
     return path
 
 
-def bucket_of(key: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-
-
-def touched_buckets(keys: DataFrame, buckets: int, key: str = "source_id") -> list[int]:
-    """The buckets of the keys: a list no longer than `buckets`."""
-    return sorted(r[0] for r in keys.select(bucket_of(key, buckets)).distinct().collect())
-
-
-def write_buckets(df: DataFrame, root: str, version: int, buckets: int, touched: list[int] | None = None, key: str = "source_id") -> None:
-    """Writes the rows of some buckets (all, if none are named) as root/v=N/bucket=K; all other buckets stay where version
-    N - 1 has them. root/_buckets/v=N says which version of each bucket counts. Writing a version again replaces it."""
-    spark, path = df.sparkSession, f"{root}/v={version}"
-    df.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    own = [(r[0], version) for r in spark.read.schema("bucket int").parquet(path).distinct().collect()]
-    before = [] if touched is None else [x for x in _bucket_versions(spark, root, version - 1) if x[0] not in touched]
-    spark.createDataFrame(own + before, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{root}/_buckets/v={version}")
-    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{root}/_versions")
-
-
-def _bucket_versions(spark: SparkSession, root: str, version: int) -> list[tuple[int, int]]:
-    return [tuple(r) for r in spark.read.schema("bucket int, version int").parquet(f"{root}/_buckets/v={version}").collect()]
-
-
-def read_buckets(spark: SparkSession, root: str, version: int, only: list[int] | None = None, schema: str | None = None) -> DataFrame:
-    """A version's rows, of some buckets or of all."""
-    paths = [f"{root}/v={v}/bucket={b}" for b, v in _bucket_versions(spark, root, version) if only is None or b in only]
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
 def current_version(spark: SparkSession, root: str) -> int | None:
     try:
         return spark.read.parquet(f"{root}/_versions").agg(F.max("version")).first()[0]
@@ -93,16 +71,9 @@ def current_version(spark: SparkSession, root: str) -> int | None:
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest snapshot, whole or in buckets, None before the first and for buckets without rows."""
+    """The newest snapshot, None before the first."""
     version = current_version(spark, root)
-    if version is None:
-        return None
-    try:
-        return read_buckets(spark, root, version) if _bucket_versions(spark, root, version) else None
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return spark.read.parquet(f"{root}/v={version}")
-        raise
+    return None if version is None else spark.read.parquet(f"{root}/v={version}")
 
 
 def append(df: DataFrame, path: str) -> None:

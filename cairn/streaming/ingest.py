@@ -11,42 +11,69 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.catalog import job_outcomes
 from ..operators.chunk import chunk_hashes
+from ..operators.embed import Encoder, hashed_words
 from ..operators.ingest import ingest
-from ..sources import tables
+from ..sources import log, tables
 
 
-def stream_ingest(spark: SparkSession, landing: str, state: str, checkpoint: str, sources: DataFrame, chunks: DataFrame, trigger: dict | None = None, buckets: int = 64, now: Column | None = None, with_embeddings: bool = True, **selectors) -> StreamingQuery:
-    """Ingests landed payloads in micro-batches.
+def log_tables(sources: DataFrame, chunks: DataFrame) -> tuple[log.Table, log.Table]:
+    """The two tables that a streaming ingest keeps."""
+    kinds = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return log.Table("sources", ("source_id",), kinds(sources)), log.Table("chunks", ("source_id", "chunk_hash"), kinds(chunks), "is_active")
 
-    Snapshots of sources and chunks go to state/sources and state/chunks, in buckets by source_id: a batch reads and writes
-    only the buckets of its own sources, so its work grows with what has landed. Each source that ran gets its job's status
-    and times, and a row in state/jobs. A batch's version is its id plus one, and all that it writes is replaced if it runs
-    again. Version 0 is what was there at the start.
-    """
+
+def with_ingest_columns(sources: DataFrame, chunks: DataFrame, with_embeddings: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Both tables with all columns that a streaming ingest fills."""
     if with_embeddings and "embedding" not in chunks.columns:
         chunks = chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
-    for c, kind in (("status", "string"), ("last_checked_at", "timestamp"), ("last_scraped_at", "timestamp")):
+    for c, kind in (("status", "string"), ("last_checked_at", "timestamp"), ("last_scraped_at", "timestamp"), ("landed_at", "timestamp")):
         if c not in sources.columns:
             sources = sources.withColumn(c, F.lit(None).cast(kind))
-    first = {"sources": sources, "chunks": chunks}
+    return sources, chunks
+
+
+def stream_ingest(spark: SparkSession, landing: str, state: str, checkpoint: str, sources: DataFrame, chunks: DataFrame, trigger: dict | None = None, compact_every: int = 16, now: Column | None = None, with_embeddings: bool = True, factory: Callable[[], Encoder] = hashed_words, **selectors) -> StreamingQuery:
+    """Ingests landed payloads in micro-batches.
+
+    Sources and chunks are one log in `state` (sources/log.py): a batch appends new chunks, tombstones of stale ones and
+    the rows of its own sources, and then becomes one version of both; what it writes grows with what has landed. After
+    every `compact_every` batches the log is compacted. Each source that ran gets its job's status and times, and a row
+    in state/jobs. A batch's version is its id plus one, and all that it writes is replaced if it runs again. Version 0 is
+    what was there at the start.
+
+    Of several payloads of a source in one batch the one that landed last counts. A payload that landed before the one
+    that the source's row is from (landed_at) changes nothing; it is a row of state/late.
+    """
+    sources, chunks = with_ingest_columns(sources, chunks, with_embeddings)
+    of_sources, of_chunks = log_tables(sources, chunks)
     clock = F.current_timestamp() if now is None else now
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        staging = f"{state}/staging/batch={batch_id}"
-        if batch_id == 0:
-            for name, df in first.items():
-                tables.write_buckets(df, f"{state}/{name}", 0, buckets)
-        # of several payloads of a source in one batch, the last one counts
-        last = batch.groupBy("source_id").agg(F.max_by(F.struct(*batch.columns), F.struct("last_modified", "etag", F.xxhash64("raw"))).alias("f")).select("f.*")
-        last = tables.staged(last, f"{staging}/landed")
-        touched = tables.touched_buckets(last, buckets)
-        own = {name: tables.read_buckets(spark, f"{state}/{name}", batch_id, touched, df.schema) for name, df in first.items()}
-        out = ingest(own["sources"], own["chunks"], last, with_embeddings, staging, **selectors)
+        staging, version = f"{state}/staging/batch={batch_id}", batch_id + 1
+        if log.current(spark, state) is None:
+            log.create(state, {of_sources: sources, of_chunks: chunks})
+        landed = tables.staged(tables.newest_payloads(batch), f"{staging}/landed")
+        mine = log.read(spark, state, of_sources, batch_id, landed)
+        mine = tables.staged(mine, f"{staging}/sources")
+        seen = landed.join(mine.select("source_id", F.col("landed_at").alias("seen_at")), "source_id", "left")
+        late = F.coalesce(F.col("landed_at") < F.col("seen_at"), F.lit(False))
+        seen.where(late).select("source_id", "landed_at").write.mode("overwrite").parquet(f"{state}/late/batch={batch_id}")
+        last = seen.where(~late).drop("seen_at")
+        own = log.read(spark, state, of_chunks, batch_id, last)
+        out = ingest(mine, own, last.drop("landed_at"), with_embeddings, staging, factory, **selectors)
         results = tables.staged(out.results, f"{state}/results/batch={batch_id}")
         after, jobs = job_outcomes(out.sources, results, clock)
-        tables.write_buckets(out.chunks.select(*chunks.columns), f"{state}/chunks", batch_id + 1, buckets, touched)
-        tables.write_buckets(after.select(*[F.col(f.name).cast(f.dataType) for f in sources.schema]), f"{state}/sources", batch_id + 1, buckets, touched)
+        read = results.where("error is null").select("source_id")  # a failure says nothing of how old the content is
+        when = last.join(read, "source_id", "left_semi").select("source_id", F.col("landed_at").alias("came_at"))
+        after = after.join(when, "source_id", "left").withColumn("landed_at", F.coalesce("came_at", "landed_at")).drop("came_at")
+        log.write_rows(after.select(*[F.col(f.name).cast(f.dataType) for f in sources.schema]), state, of_sources, version)
+        missing = {c: F.lit(None).cast(chunks.schema[c].dataType) for c in chunks.columns if c not in out.fresh.columns}
+        log.write_rows(out.fresh.withColumns(missing).select(*chunks.columns), state, of_chunks, version)
+        log.write_gone(out.diff.where("state = 'stale'"), state, of_chunks, version)
         jobs.write.mode("overwrite").parquet(f"{state}/jobs/batch={batch_id}")
+        log.commit(spark, state, version)
+        if version % compact_every == 0:
+            log.compact(spark, state, [of_sources, of_chunks])
         tables.remove(spark, staging)
 
     stream = tables.read_fetched(spark, landing, stream=True)
@@ -87,4 +114,4 @@ def stream_diff(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("source_id").applyInPandasWithState(diff_step(), DIFF, "content string, active array<string>", "append", "NoTimeout")
 
 
-__all__ = ["stream_ingest", "stream_diff", "incoming_hashes"]
+__all__ = ["stream_ingest", "stream_diff", "incoming_hashes", "log_tables", "with_ingest_columns"]

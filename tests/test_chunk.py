@@ -1,9 +1,11 @@
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from cairn.operators.chunk import chunk, chunk_spans
+from cairn.operators.chunk import chunk, chunk_hashes, chunk_spans
 
 
 def by_words(text, size, overlap):
@@ -62,3 +64,25 @@ def test_overlap_is_the_tail(spark):
 def test_bad_parameters(size, overlap):
     with pytest.raises(ValueError):
         chunk_spans(size, overlap)
+
+
+def test_time_grows_with_the_text(spark):
+    """Four times the words take about four times as long, in chunks and in hashes."""
+    def seconds(n, cut):
+        df = spark.range(1).select(F.lit(1).alias("i"), F.expr(f"array_join(transform(sequence(1, {n}), x -> concat('w', x % 1000, if(x % 7 = 0, '.', ''), if(x % 5000 = 0, '\n\n', ''))), ' ')").alias("t"))
+        df = spark.createDataFrame(df.collect(), df.schema)
+        began = time.time()
+        cut(df)
+        return time.time() - began
+
+    for cut in (lambda df: chunk(df, "i", "t", 20, 5).agg(F.sum(F.length("chunk_text"))).collect(), lambda df: chunk_hashes(df, "i", "t", 20, 5).select(F.size("hashes"), F.sha2(F.array_join("hashes", ""), 256)).collect()):
+        seconds(40_000, cut)
+        small = seconds(80_000, cut)
+        assert seconds(320_000, cut) < 8 * small + 1
+
+
+def test_spans_of_many_blocks(spark):
+    """More units than a block of the fold holds, of both kinds."""
+    rng = random.Random(5)
+    text = "\n\n".join(" ".join(rng.choice(["w", "v.", "u"]) for _ in range(rng.choice([1, 3, 9, 40]))) for _ in range(900))
+    assert chunks(spark, [text], 12, 3) == [by_words(text, 12, 3)]

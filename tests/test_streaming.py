@@ -1,10 +1,14 @@
+import datetime
+
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import vocabulary as V
 from cairn.operators import credibility as I
-from cairn.operators.embed import hashed_words
+from cairn.operators.embed import embed, hashed_words
 from cairn.operators.ingest import ingest
-from cairn.sources import tables
+from cairn.sources import log, tables
 from cairn.streaming import ingest as S
 
 
@@ -35,6 +39,11 @@ def test_batch_ingest(spark):
     assert again.results.first()["changed"] is False and again.diff.count() == 0
 
 
+def kept(spark, sources, chunks, state, name):
+    of = {t.name: t for t in S.log_tables(*S.with_ingest_columns(sources, chunks))}
+    return log.read(spark, state, of[name])
+
+
 def test_stream_equals_batch(spark, tmp_path):
     sources, chunks = tables_of(spark)
     spark.createDataFrame(LANDED, tables.FETCHED).coalesce(1).write.parquet(f"{tmp_path}/landing")
@@ -42,22 +51,120 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = ingest(sources, chunks, spark.createDataFrame(LANDED, tables.FETCHED))
     key = lambda df: sorted(map(tuple, df.select("source_id", "chunk_hash", "is_active").collect()))
-    assert key(tables.read_snapshot(spark, f"{tmp_path}/state/chunks")) == key(want.chunks)
-    assert tables.current_version(spark, f"{tmp_path}/state/chunks") == 1
+    assert key(kept(spark, sources, chunks, f"{tmp_path}/state", "chunks")) == key(want.chunks)
+    assert log.current(spark, f"{tmp_path}/state") == 1
+
+
+def land(spark, path, rows):
+    spark.createDataFrame(rows, tables.FETCHED + ", landed_at timestamp").coalesce(1).write.mode("append").parquet(f"{path}/landing")
 
 
-def test_stream_batches_write_the_buckets_of_their_sources(spark, tmp_path):
+def test_stream_batches_write_what_they_change(spark, tmp_path):
     sources, chunks = tables_of(spark)
-    for n, (key, text) in enumerate([(1, "First text."), (2, "Other text."), (1, "Second text.")]):
-        spark.createDataFrame([(key, "gutenberg_text", "u", 200, book(text), f"e{n}", "m")], tables.FETCHED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/landing")
-        S.stream_ingest(spark, f"{tmp_path}/landing", f"{tmp_path}/state", f"{tmp_path}/check", sources, chunks, buckets=4).awaitTermination(120)
-    rows = {(r["source_id"], r["chunk_text"]): (r["is_active"], r["embedding"] is not None) for r in tables.read_snapshot(spark, f"{tmp_path}/state/chunks").collect()}
-    assert rows == {(1, "old"): (False, False), (4, "x"): (True, False), (1, "First text."): (False, True), (1, "Second text."): (True, True), (2, "Other text."): (True, True)}
-    own = tables.touched_buckets(spark.createDataFrame([(1,)], "source_id long"), 4)
-    assert [int(p.name.split("=")[1]) for p in (tmp_path / "state/chunks/v=3").glob("bucket=*")] == own
-    after = {r["source_id"]: r for r in tables.read_snapshot(spark, f"{tmp_path}/state/sources").collect()}
-    assert len(after) == 5 and after[1]["status"] == "completed" and after[1]["last_scraped_at"] and after[1]["etag"] == "e2" and after[3]["status"] is None
-    assert spark.read.parquet(f"{tmp_path}/state/jobs").count() == 3 and not list((tmp_path / "state/staging").glob("*"))
+    many = spark.range(1000, 21000).selectExpr("id as chunk_id", "id as source_id", "sha2(cast(id as string), 256) as chunk_hash", "repeat('word ', 20) as chunk_text", "true as is_active")
+    chunks = chunks.unionByName(many)
+    state = f"{tmp_path}/state"
+
+    def written():
+        return sum(f.stat().st_size for f in (tmp_path / "state").rglob("*.parquet"))
+
+    sizes = []
+    for n, (key, text) in enumerate([(1, "First text."), (2, "Other text."), (1, "Second text."), (1, "First text.")]):
+        land(spark, tmp_path, [(key, "gutenberg_text", "u", 200, book(text), f"e{n}", "m", None)])
+        S.stream_ingest(spark, f"{tmp_path}/landing", state, f"{tmp_path}/check", sources, chunks).awaitTermination(120)
+        sizes.append(written())
+    base = sum(f.stat().st_size for f in (tmp_path / "state/chunks/base").rglob("*.parquet"))
+    assert base > 200_000 and max(b - a for a, b in zip(sizes, sizes[1:], strict=False)) < 60_000  # none copies the table
+    assert spark.read.parquet(f"{state}/chunks/rows/v=3").count() == 1 and spark.read.parquet(f"{state}/chunks/gone/v=3").count() == 1
+    rows = lambda: sorted((r["source_id"], r["chunk_text"], r["is_active"], r["embedding"] is not None) for r in kept(spark, sources, chunks, state, "chunks").where("source_id < 1000").collect())
+    before = rows()
+    assert before == [(1, "First text.", False, True), (1, "First text.", True, True), (1, "Second text.", False, True), (1, "old", False, False), (2, "Other text.", True, True), (4, "x", True, False)]
+    after = {r["source_id"]: r for r in kept(spark, sources, chunks, state, "sources").collect()}
+    assert len(after) == 5 and after[1]["status"] == "completed" and after[1]["last_scraped_at"] and after[1]["etag"] == "e3" and after[3]["status"] is None
+    assert spark.read.parquet(f"{state}/jobs").count() == 4 and not list((tmp_path / "state/staging").glob("*"))
+    # compacted: the same rows, without the deltas; a second time it does nothing
+    of = list(S.log_tables(*S.with_ingest_columns(sources, chunks)))
+    assert log.compact(spark, state, of, keep=1) == 4 and log.committed(spark, state) == [(4, 0), (4, 4)]
+    assert rows() == before and kept(spark, sources, chunks, state, "chunks").count() == 20006
+    log.compact(spark, state, of, keep=1)
+    land(spark, tmp_path, [(2, "gutenberg_text", "u", 200, book("Third text."), "e", "m", None)])
+    S.stream_ingest(spark, f"{tmp_path}/landing", state, f"{tmp_path}/check", sources, chunks, compact_every=1).awaitTermination(120)
+    assert log.current(spark, state) == 5 and (2, "Other text.", False, True) in rows() and (2, "Third text.", True, True) in rows()
+    log.compact(spark, state, of, keep=1)
+    assert not list((tmp_path / "state/chunks/rows").glob("v=[1-4]"))
+
+
+def test_reader_sees_one_version_of_both_tables(spark, tmp_path):
+    sources, chunks = tables_of(spark)
+    of = S.log_tables(*S.with_ingest_columns(sources, chunks))
+    first = dict(zip(of, S.with_ingest_columns(sources, chunks), strict=True))
+    root = f"{tmp_path}/log"
+    assert log.current(spark, root) is None
+    log.create(root, first)
+    log.write_rows(first[of[1]].limit(1).withColumn("source_id", F.lit(7).cast("long")), root, of[1], 1)  # written, not committed
+    assert log.read(spark, root, of[1]).where("source_id = 7").count() == 0
+    log.commit(spark, root, 1)
+    assert log.read(spark, root, of[1]).where("source_id = 7").count() == 1
+    assert log.read(spark, root, of[1], version=0).count() == 2 and log.read(spark, root, of[0]).count() == 5
+    log.write_gone(log.read(spark, root, of[1]).limit(0), root, of[1], 2)
+    log.commit(spark, root, 2)
+    log.commit(spark, root, 2)  # a batch that runs again
+    assert log.current(spark, root) == 2 and log.read(spark, root, of[1]).count() == 3
+
+
+def test_last_payload_by_landing_time(spark, tmp_path):
+    at = lambda d: datetime.datetime(2024, 1, d)
+    page = lambda k, text, modified, d: (k, "gutenberg_text", "u", 200, book(text), None, modified, at(d))
+    rows = [page(1, "New.", "Tue, 02 Jan 2024 00:00:00 GMT", 9), page(1, "Old.", "Wed, 31 Jan 2024 00:00:00 GMT", 8), page(2, "Late date.", "Mon, 08 Jan 2024 00:00:00 GMT", 8), page(2, "Early date.", "Tue, 02 Jan 2024 00:00:00 GMT", 8), page(3, "One.", None, 8)]
+    got = tables.newest_payloads(spark.createDataFrame(rows, tables.FETCHED + ", landed_at timestamp"))
+    assert {r["source_id"]: r["raw"] for r in got.collect()} == {1: book("New."), 2: book("Late date."), 3: book("One.")}
+    # across batches: an older payload that comes later changes nothing, a failure doesn't make content newer
+    sources, chunks = tables_of(spark)
+    for batch in ([page(1, "Now.", None, 9), (2, "gutenberg_text", "u", 500, None, None, None, at(9))], [page(1, "Before.", None, 8), page(2, "Before.", None, 8)]):
+        land(spark, tmp_path, batch)
+        S.stream_ingest(spark, f"{tmp_path}/landing", f"{tmp_path}/state", f"{tmp_path}/check", sources, chunks).awaitTermination(120)
+    active = kept(spark, sources, chunks, f"{tmp_path}/state", "chunks").where("is_active")
+    assert {(r["source_id"], r["chunk_text"]) for r in active.collect()} == {(1, "Now."), (2, "Before."), (4, "x")}
+    assert [r["source_id"] for r in spark.read.parquet(f"{tmp_path}/state/late").collect()] == [1]
+
+
+def test_sources_fail_alone(spark, tmp_path):
+    def moody():
+        inner = hashed_words()
+
+        def encode(texts):
+            if any("boom" in t for t in texts):
+                raise ValueError("no vector for it")
+            return inner(texts)
+
+        return encode
+
+    sources, chunks = tables_of(spark)
+    land(spark, tmp_path, [(k, "gutenberg_text", "u", 200, book(t), "e", "m", None) for k, t in [(1, "Some boom."), (2, "Fine."), (3, "Fine too.")]])
+    S.stream_ingest(spark, f"{tmp_path}/landing", f"{tmp_path}/state", f"{tmp_path}/check", sources, chunks, factory=moody).awaitTermination(120)
+    after = {r["source_id"]: r for r in kept(spark, sources, chunks, f"{tmp_path}/state", "sources").collect()}
+    assert [after[k]["status"] for k in (1, 2, 3)] == ["failed", "completed", "completed"]
+    assert after[1]["content_hash"] is None and after[1]["etag"] is None and after[2]["content_hash"]
+    errors = {r["source_id"]: r["error_message"] for r in spark.read.parquet(f"{tmp_path}/state/jobs").collect()}
+    assert "no vector for it" in errors[1] and errors[2] is None
+    rows = {(r["source_id"], r["chunk_text"], r["is_active"]) for r in kept(spark, sources, chunks, f"{tmp_path}/state", "chunks").collect()}
+    assert rows == {(1, "old", True), (4, "x", True), (2, "Fine.", True), (3, "Fine too.", True)}
+    with pytest.raises(Exception, match="no vector"):
+        embed(spark.createDataFrame([("boom",)], "t string"), "t", factory=moody).collect()
+
+
+def test_a_page_that_the_parser_fails_on_fails_alone(spark, monkeypatch):
+    from cairn.operators import extract as X
+
+    def picky(html, selector, noise=()):
+        if "bad" in html:
+            raise RuntimeError("odd page")
+        return ["body"]
+
+    monkeypatch.setattr(X, "_pick", picky)
+    pages = pd.DataFrame({"k": [1, 2], "html": ["bad", "good"]})
+    made = list(X.page_rows([pages], "c", "h", ()))[0]
+    assert made["text"].tolist() == [None, "body"] and made["error"].tolist() == ["RuntimeError: odd page", None]
 
 
 def test_entities_are_appended_once(spark, tmp_path):
@@ -105,5 +212,6 @@ def test_snapshots_and_active_scan(spark, tmp_path):
 
 def test_read_fetched_has_the_declared_schema(spark, tmp_path):
     spark.createDataFrame(LANDED, tables.FETCHED).write.parquet(f"{tmp_path}/l")
-    assert tables.read_fetched(spark, f"{tmp_path}/l").columns == [c.split()[0] for c in tables.FETCHED.split(", ")]
+    got = tables.read_fetched(spark, f"{tmp_path}/l")
+    assert got.columns == [*[c.split()[0] for c in tables.FETCHED.split(", ")], "landed_at"] and got.where("landed_at is null").count() == 0
     assert tables.read_fetched(spark, f"{tmp_path}/l", stream=True).isStreaming
