@@ -22,12 +22,12 @@ _BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _COUNTED = "lang string, source string, term string, count long, docs long"
 
 
-def counted_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def counted_terms(batches: Iterable[pa.RecordBatch], limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
     """Counts and documents of the terms of each group in a block of texts; a group also has a row without a term."""
     for batch in batches:
         table = pa.Table.from_batches([batch])
         at = 0
-        for texts in text_blocks(batch.column("text"), TEXT_BYTES):
+        for texts in text_blocks(batch.column("text"), limit):
             rows = table.slice(at, len(texts)).combine_chunks()
             at += len(texts)
             groups = rows.group_by(["lang", "source"]).aggregate([])
@@ -54,21 +54,21 @@ def _share(count: Column, total: Column, terms: Column) -> Column:
     return F.call_function("div", top, under) + 1
 
 
-def kept_terms(counts: DataFrame, least: int = MIN_DOCS) -> DataFrame:
+def kept_terms(counts: DataFrame, least: int = MIN_DOCS, block: int = BLOCK) -> DataFrame:
     """lang, term, lang_count, block, bit: terms of enough documents, filed by size of count so that a block's counts are alike.
 
     A class of counts (those with as many binary digits) is dealt to blocks by hash; only a block is put in order.
     """
     totals = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("lang_count")).where(F.col("docs") >= least)
     kept = checkpointed(totals.select("lang", "term", "lang_count", F.floor(F.log2("lang_count")).cast("int").alias("class")))
-    blocks = kept.groupBy("lang", "class").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = kept.groupBy("lang", "class").agg(F.ceil(F.count("*") / block).alias("blocks"))
     filed = kept.join(bounded_broadcast(blocks, blocks.count(), BROADCAST_ROWS), ["lang", "class"]).withColumn("part", F.pmod(F.xxhash64("term"), "blocks"))
     order = Window.partitionBy("lang", "class", "part").orderBy(F.desc("lang_count"), "term")
     return filed.select("lang", "term", "lang_count", F.concat_ws(".", "class", "part").alias("block"), (F.row_number().over(order) - 1).alias("bit"))
 
 
-def joint_values(key: tuple, table: pa.Table) -> pa.Table:
-    """Sums of |p - q| over the terms of a block, for each pair of the two tiles' sources.
+def joint_values(key: tuple, table: pa.Table, width: int) -> pa.Table:
+    """Sums of |p - q| over the terms of a block, for each pair of sources of two tiles (of `width` sources).
 
     With n_ab the terms that have count a in one group and b in the other (AND, popcount), the cells of zeros are what is
     left of rows, columns and the block: the sum is size f_00 + sum_a n_a (f_a0 - f_00) + sum_b n_b (f_0b - f_00)
@@ -101,12 +101,12 @@ def joint_values(key: tuple, table: pa.Table) -> pa.Table:
             f = np.abs(q[s:e, None] - q[None, :]) - np.abs(q[s:e, None] - none[w][None, :]) - np.abs(none[i] - q[None, :]) + apart[i, w][None, :]
             np.add.at(total[i], w, (joint * f).sum(0))
     x, y = np.meshgrid(np.arange(len(ids)), np.arange(len(ids)), indexing="ij")
-    tile = ids // TILE
+    tile = ids // width
     wanted = (ids[x] < ids[y]) & (tile[x] == low) & (tile[y] == high)
     return pa.table({"lang": pa.array([key[0].as_py()] * int(wanted.sum()), pa.string()), "one": ids[x[wanted]], "two": ids[y[wanted]], "value": total[x[wanted], y[wanted]]})
 
 
-def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = MIN_DOCS, top: int = TOP) -> DataFrame:
+def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = MIN_DOCS, top: int = TOP, block: int = BLOCK, tile: int = TILE, limit: int = TEXT_BYTES) -> DataFrame:
     """lang, source, part, item, value, rank: of each (lang, source), its distance to each other source of the language
     (part `pair`) and the `top` terms that it has more of than the language (part `term`).
 
@@ -125,8 +125,8 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     read.
     """
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    counts = checkpointed(plain.mapInArrow(tidied(counted_terms), _COUNTED).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")))
-    terms = checkpointed(kept_terms(counts, least))
+    counts = checkpointed(plain.mapInArrow(tidied(lambda batches: counted_terms(batches, limit)), _COUNTED).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")))
+    terms = checkpointed(kept_terms(counts, least, block))
     sized = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_count").alias("lang_total"))
     held = checkpointed(counts.where("term is not null").select("lang", "source", "term", "count").join(terms, ["lang", "term"]))
     sums = held.groupBy("lang", "source").agg(F.sum("count").alias("total"))
@@ -143,11 +143,11 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     sizes = terms.groupBy("lang", "block").agg(F.count("*").alias("size"))
     heads = groups.join(sizes, "lang", "left").select("lang", F.coalesce("block", F.lit("")).alias("block"), F.lit(None).cast("long").alias("word"), "no", F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("mask"), "zero", F.coalesce("size", F.lit(0)).alias("size"))
     rows = heads.unionByName(bitmaps.drop("count"), allowMissingColumns=True)
-    tiles = groups.groupBy("lang").agg(F.floor(F.max("no") / TILE).alias("last"))
-    mine = F.floor(F.col("no") / TILE)
+    tiles = groups.groupBy("lang").agg(F.floor(F.max("no") / tile).alias("last"))
+    mine = F.floor(F.col("no") / tile)
     dealt = rows.join(near(tiles), "lang").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     dealt = dealt.withColumns({"low": F.least(mine, F.col("other")), "high": F.greatest(mine, F.col("other"))}).drop("other", "last")
-    pairs = dealt.groupBy("lang", "block", "low", "high").applyInArrow(joint_values, "lang string, one long, two long, value long").groupBy("lang", "one", "two").agg(F.sum("value").alias("value"))
+    pairs = dealt.groupBy("lang", "block", "low", "high").applyInArrow(lambda key, table: joint_values(key, table, tile), "lang string, one long, two long, value long").groupBy("lang", "one", "two").agg(F.sum("value").alias("value"))
     both = pairs.select("lang", F.explode(F.array(F.struct(F.col("one").alias("no"), F.col("two").alias("item_no")), F.struct(F.col("two").alias("no"), F.col("one").alias("item_no")))).alias("p"), "value").select("lang", "p.*", "value")
     names = groups.select("lang", "no", "source")
     pair = both.join(near(names), ["lang", "no"]).join(near(names.select("lang", F.col("no").alias("item_no"), F.col("source").alias("item"))), ["lang", "item_no"]).select("lang", "source", F.lit("pair").alias("part"), "item", "value")

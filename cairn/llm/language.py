@@ -17,6 +17,8 @@ from .common import fold, tidied
 SPAN = 128
 #: Bytes of a piece to learn from, and groups by hash that a language's texts and pieces are chosen in.
 TRAIN_SPAN, SALTS = 64, 64
+#: Probabilities (positions, labels and windows) that are held at a time.
+CELLS = 16_000_000
 PAD = 256
 UNDETERMINED = "und"
 _ROWS = 2048
@@ -126,10 +128,11 @@ def train(data: list[bytes], labels: list[str], hidden: int = 8, span: int = TRA
     net = ByteTagger(names, Direction(hidden, rng), Direction(hidden, rng), [rng.normal(0, 0.3, (len(names), hidden)).astype("f4") for _ in range(2)] + [np.zeros(len(names), "f4")])
     if len(names) == 1:
         return net
-    pools = []
-    for name in names:
-        rows, _ = windows([d for d, y in zip(data, labels, strict=True) if y == name], span)
-        pools.append(rows)
+    of = {name: [] for name in names}
+    for d, y in zip(data, labels, strict=True):
+        of[y].append(d)
+    pools = [windows(of[name], span)[0] for name in names]
+    batch = max(8, min(batch, CELLS // (span * len(names))))  # with very many languages a step sees fewer windows
     params = [*net.forward.params, *net.backward.params, *net.out]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
@@ -159,26 +162,28 @@ def train(data: list[bytes], labels: list[str], hidden: int = 8, span: int = TRA
 
 
 def _first_by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """At most about `most` rows of each key: the first of each of SALTS groups by `mark`, so that a frequent key is many
-    groups. `mark` is a hash."""
-    order = Window.partitionBy(key, F.pmod("mark", F.lit(SALTS))).orderBy("mark", "data")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= -(-most // SALTS)).drop("place")
+    """At most about `most` rows of each key: the first of each of SALTS groups (fewer for few rows) by `mark`, so that a
+    frequent key is many groups. `mark` is a hash."""
+    salts = min(SALTS, most)
+    order = Window.partitionBy(key, F.pmod("mark", F.lit(salts))).orderBy("mark", "data")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= -(-most // salts)).drop("place")
 
 
-def training_sample(docs: DataFrame, languages: int, per_language: int, per_network: int) -> tuple[list[bytes], list[str]]:
+def training_sample(docs: DataFrame, pieces: int, per_language: int, per_network: int, least: int = 8) -> tuple[list[bytes], list[str]]:
     """Pieces of TRAIN_SPAN bytes of training texts, and their languages.
 
-    Of the most frequent `languages` (ties by name), about `per_language` whole texts are chosen by hash, and of all their
-    pieces about `per_network`, so that what reaches the driver is bounded. Numbers are rounded up to a multiple of SALTS.
+    All languages share `pieces`: each has about as many of them as any other, `per_network` at most and `least` at least,
+    taken from whole texts that are chosen by hash, `per_language` at most. So every language that a training text has can
+    be predicted, and what reaches the driver grows with the number of languages only, by a few pieces each.
     """
     rows = docs.where((F.octet_length("text") > 0) & F.col("lang").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    rows = rows.join(F.broadcast(known), "lang")  # at most `languages` rows
-    chosen = _first_by_hash(rows.select("lang", F.xxhash64("doc_id", "text").alias("mark"), F.encode("text", "UTF-8").alias("data")), "lang", per_language)
+    languages = rows.select("lang").distinct().count()
+    each = max(least, min(per_network, pieces // max(1, languages)))
+    chosen = _first_by_hash(rows.select("lang", F.xxhash64("doc_id", "text").alias("mark"), F.encode("text", "UTF-8").alias("data")), "lang", min(per_language, each))
     starts = F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / TRAIN_SPAN).cast("int"))
     cut = chosen.select("lang", "mark", F.posexplode(F.transform(starts, lambda k: F.substring(F.col("data"), k * TRAIN_SPAN + 1, F.lit(TRAIN_SPAN)))).alias("no", "data"))
-    pieces = _first_by_hash(cut.select("lang", F.xxhash64("mark", "no").alias("mark"), "data"), "lang", per_network)
-    found = sorted((r["lang"], r["mark"], bytes(r["data"])) for r in pieces.collect())
+    taken = _first_by_hash(cut.select("lang", F.xxhash64("mark", "no").alias("mark"), "data"), "lang", each)
+    found = sorted((r["lang"], r["mark"], bytes(r["data"])) for r in taken.collect())
     return [d for _, _, d in found], [y for y, _, _ in found]
 
 
@@ -189,8 +194,9 @@ def _labelled(net: ByteTagger | None, batches: Iterable[pa.RecordBatch], text: s
         known = [i for i, d in enumerate(data) if d] if net else []
         sums = np.zeros((len(data), len(net.labels) if net else 1))
         rows, owner = windows([data[i] for i in known], SPAN)
-        for k in range(0, len(rows), _ROWS):
-            np.add.at(sums, np.asarray(known)[owner[k : k + _ROWS]], net.probabilities(rows[k : k + _ROWS]))
+        some = max(16, min(_ROWS, CELLS // (SPAN * sums.shape[1])))
+        for k in range(0, len(rows), some):
+            np.add.at(sums, np.asarray(known)[owner[k : k + some]], net.probabilities(rows[k : k + some]))
         label = [net.labels[b] if d and net else UNDETERMINED for b, d in zip(sums.argmax(1), data, strict=True)]
         return label, np.minimum(1.0, sums.max(1) / np.array([max(1, len(d)) for d in data]))
 
@@ -216,7 +222,7 @@ def labelled(docs: DataFrame, net: ByteTagger | None) -> DataFrame:
     return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def identify_languages(docs: DataFrame, languages: int = 200, per_language: int = 300, per_network: int = 8000, hidden: int = 8, steps: int = 400) -> DataFrame:
+def identify_languages(docs: DataFrame, pieces: int = 200_000, per_language: int = 300, per_network: int = 8000, hidden: int = 8, steps: int = 400) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     The network labels every byte of every whole text, in windows of SPAN bytes that both
@@ -229,16 +235,16 @@ def identify_languages(docs: DataFrame, languages: int = 200, per_language: int
     whole; an empty table gives no rows; extra columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
-    return labelled(docs, train(*training_sample(docs, languages, per_language, per_network), hidden=hidden, steps=steps))
+    return labelled(docs, train(*training_sample(docs, pieces, per_language, per_network), hidden=hidden, steps=steps))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4, languages: int = 200, per_language: int = 300, per_network: int = 8000, hidden: int = 8, steps: int = 400) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.4, pieces: int = 200_000, per_language: int = 300, per_network: int = 8000, hidden: int = 8, steps: int = 400) -> DataFrame:
     """The rows whose language the network tells with at least the score `least`, with all their columns, in one pass.
 
     Null, empty and letterless texts go, as do all if there is nothing to learn from. Each row is judged by its whole text
     alone, repeated ones alike; ids and other columns may be null or have any name. An empty table gives no rows.
     """
-    net = train(*training_sample(docs.select("doc_id", "text", "lang"), languages, per_language, per_network), hidden=hidden, steps=steps)
+    net = train(*training_sample(docs.select("doc_id", "text", "lang"), pieces, per_language, per_network), hidden=hidden, steps=steps)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, label, score in _labelled(net, batches, "text"):

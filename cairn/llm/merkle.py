@@ -43,10 +43,10 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
     return checkpointed(dealt.join(near, ["tree", "range"]).withColumn("pos", F.col("mark") - F.col("first")).drop("mark", "range", "first"))
 
 
-def climb(nodes: list[str], last: bool) -> list[list[str]]:
-    """The levels above consecutive nodes of an aligned subtree: EVERY levels, or up to the root if these are all nodes."""
+def climb(nodes: list[str], last: bool, every: int) -> list[list[str]]:
+    """The levels above consecutive nodes of an aligned subtree: `every` levels, or up to the root if these are all nodes."""
     levels = [nodes]
-    for _ in range(EVERY):
+    for _ in range(every):
         if last and len(levels[-1]) == 1:
             break
         below = levels[-1]
@@ -58,20 +58,27 @@ def _sorted(table: pa.Table) -> pa.Table:
     return table.sort_by("pos")
 
 
-def _top(key: tuple, table: pa.Table) -> pa.Table:
+def _tops(every: int) -> Callable:
     """The stored node above one aligned subtree."""
-    t = _sorted(table)
-    size = t["size"][0].as_py()
-    levels = climb(t["node"].to_pylist(), size <= FANOUT**EVERY)
-    return pa.table({"tree": pa.array([key[0].as_py()], pa.string()), "pos": [key[1].as_py()], "node": [levels[-1][0]], "size": [-(-size // FANOUT**EVERY)]})
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        t = _sorted(table)
+        size = t["size"][0].as_py()
+        levels = climb(t["node"].to_pylist(), size <= FANOUT**every, every)
+        return pa.table({"tree": pa.array([key[0].as_py()], pa.string()), "pos": [key[1].as_py()], "node": [levels[-1][0]], "size": [-(-size // FANOUT**every)]})
+
+    return run
 
 
-def stored_levels(leaves: DataFrame) -> list[DataFrame]:
-    """The leaves (tree, pos, node, size of the tree's level) and every EVERY-th level above, up to one node a tree."""
-    chunk = F.floor(F.col("pos") / FANOUT**EVERY).alias("chunk")
+def _chunk(every: int) -> Column:
+    return F.floor(F.col("pos") / FANOUT**every).alias("chunk")
+
+
+def stored_levels(leaves: DataFrame, every: int = EVERY) -> list[DataFrame]:
+    """The leaves (tree, pos, node, size of the tree's level) and every `every`-th level above, up to one node a tree."""
     levels = [leaves]
     while not (above := levels[-1].where("size > 1")).isEmpty():
-        levels.append(checkpointed(above.groupBy("tree", chunk).applyInArrow(_top, "tree string, pos long, node string, size long")))
+        levels.append(checkpointed(above.groupBy("tree", _chunk(every)).applyInArrow(_tops(every), "tree string, pos long, node string, size long")))
     return levels
 
 
@@ -84,9 +91,9 @@ def roots(levels: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _steps(nodes: list[str], last: bool) -> list[list[dict]]:
+def _steps(nodes: list[str], last: bool, every: int) -> list[list[dict]]:
     """For each of the nodes, what stands to its left and right in its run, level by level of the recomputed subtree."""
-    levels = climb(nodes, last)
+    levels = climb(nodes, last, every)
     out = []
     for i in range(len(nodes)):
         own, at = [], i
@@ -98,33 +105,36 @@ def _steps(nodes: list[str], last: bool) -> list[list[dict]]:
     return out
 
 
-def _regenerated(key: tuple, table: pa.Table, above: pa.Table) -> tuple[pa.Table, list[list[dict]]]:
+def _regenerated(table: pa.Table, above: pa.Table, every: int) -> tuple[pa.Table, list[list[dict]]]:
+    """The nodes of an aligned subtree in order, and the siblings of each from its run up to the root."""
+    if not len(table):
+        return table, []
     t = _sorted(table)
     upper = above["path"][0].as_py() if len(above) else []
-    return t, [s + upper for s in _steps(t["node"].to_pylist(), t["size"][0].as_py() <= FANOUT**EVERY)]
+    return t, [s + upper for s in _steps(t["node"].to_pylist(), t["size"][0].as_py() <= FANOUT**every, every)]
 
 
-def _paths(key: tuple, table: pa.Table, above: pa.Table) -> pa.Table:
-    if not len(table):
-        return pa.table({"tree": pa.array([], pa.string()), "pos": pa.array([], pa.int64()), "path": pa.array([], _ARROW_STEP)})
-    t, paths = _regenerated(key, table, above)
-    return pa.table({"tree": t["tree"], "pos": t["pos"], "path": pa.array(paths, _ARROW_STEP)})
+def _paths(every: int) -> Callable:
+    def run(key: tuple, table: pa.Table, above: pa.Table) -> pa.Table:
+        t, paths = _regenerated(table, above, every)
+        return pa.table({"tree": t["tree"], "pos": t["pos"], "path": pa.array(paths, _ARROW_STEP)})
+
+    return run
 
 
-def node_paths(levels: list[DataFrame], ends: DataFrame, leaf: Callable = _paths, schema: str = f"tree string, pos long, path {_STEP}") -> DataFrame:
+def node_paths(levels: list[DataFrame], ends: DataFrame, leaf: Callable = _paths, schema: str = f"tree string, pos long, path {_STEP}", every: int = EVERY) -> DataFrame:
     """The siblings of each leaf from its run up to the root and on to `ends` (tree, path): what a tree's root has above it.
 
     From the top down, each stored level is read with the level above: a task regenerates the nodes of one aligned
     subtree from its stored nodes, emits their siblings, and forgets them.
     """
-    chunk = F.floor(F.col("pos") / FANOUT**EVERY).alias("chunk")
     # the root of a tree may be at any stored level; its path starts there
     tops = [x.where("size = 1").select("tree", "pos").join(ends, "tree") for x in levels]
     paths = tops[-1]
     for k in range(len(levels) - 2, -1, -1):
         make, kind = (leaf, schema) if k == 0 else (_paths, f"tree string, pos long, path {_STEP}")
         below = levels[k].where("size > 1")
-        made = below.groupBy("tree", chunk).cogroup(paths.groupBy("tree", F.col("pos").alias("chunk"))).applyInArrow(make, kind)
+        made = below.groupBy("tree", _chunk(every)).cogroup(paths.groupBy("tree", F.col("pos").alias("chunk"))).applyInArrow(make(every), kind)
         if k == 0:
             return made
         paths = checkpointed(made.unionByName(tops[k]))
@@ -138,24 +148,25 @@ def fold(node: str, path: list[dict]) -> str:
     return node
 
 
-def _proofs(key: tuple, table: pa.Table, above: pa.Table) -> pa.Table:
+def _proofs(every: int) -> Callable:
     """A leaf's proof digest, and the root that its (perhaps tampered) row folds to."""
-    if not len(table):
-        t, paths = table, []
-    else:
-        t, paths = _regenerated(key, table, above)
-    proof = [digest("".join(s["left"] + s["right"] for s in p)) for p in paths]
-    own = [seen or n for seen, n in zip(t["seen"].to_pylist(), t["node"].to_pylist(), strict=True)]
-    folded = [fold(n, p) for n, p in zip(own, paths, strict=True)]
-    return pa.table({"id": t["id"], "tree": t["tree"], "leaf": t["node"], "proof_sha256": pa.array(proof, pa.string()), "folded_root": pa.array(folded, pa.string())})
+
+    def run(key: tuple, table: pa.Table, above: pa.Table) -> pa.Table:
+        t, paths = _regenerated(table, above, every)
+        proof = [digest("".join(s["left"] + s["right"] for s in p)) for p in paths]
+        own = [seen or n for seen, n in zip(t["seen"].to_pylist(), t["node"].to_pylist(), strict=True)]
+        folded = [fold(n, p) for n, p in zip(own, paths, strict=True)]
+        return pa.table({"id": t["id"], "tree": t["tree"], "leaf": t["node"], "proof_sha256": pa.array(proof, pa.string()), "folded_root": pa.array(folded, pa.string())})
+
+    return run
 
 
-def manifest(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", text: str = "text") -> DataFrame:
+def manifest(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", text: str = "text", every: int = EVERY) -> DataFrame:
     """One row per row: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified.
 
     A leaf is the digest of doc_id, source, lang, n_chars and text. Leaves of a source are in order of doc_id (null first,
     ties by leaf); every FANOUT consecutive nodes become one, until one is left: the source's subroot. Subroots by source
-    (null first, in UTF-8 order) give the root in the same way. Only every EVERY-th level is stored; proofs regenerate
+    (null first, in UTF-8 order) give the root in the same way. Only one level in `every` is stored; proofs regenerate
     the levels between from the stored nodes of an aligned subtree. A row whose doc_id has an even crc32 is tampered with
     (its text loses line feeds), and folds to the root only if its text had none.
 
@@ -173,18 +184,18 @@ def manifest(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", la
     # a tree's name sorts as its source does, the null one first
     named = plain.select("id", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("tree"), leaf.alias("node"), seen.alias("seen"))
     leaves = placed(named, ["id", "node"])
-    levels = stored_levels(leaves)
+    levels = stored_levels(leaves, every)
     subroots = checkpointed(roots(levels))
     over = placed(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "node"), ["name"])
-    above = stored_levels(over)
+    above = stored_levels(over, every)
     root = roots(above).first()
-    ways = node_paths(above, over.sparkSession.createDataFrame([("", [])], f"tree string, path {_STEP}"))
+    ways = node_paths(above, over.sparkSession.createDataFrame([("", [])], f"tree string, path {_STEP}"), every=every)
     ends = checkpointed(over.select("name", "pos").join(ways.select("pos", "path"), "pos").select(F.col("name").alias("tree"), "path"))
     kind = f"id {plain.schema['id'].dataType.simpleString()}, tree string, leaf string, proof_sha256 string, folded_root string"
     # a source of one row: its leaf is its subroot, whose proof begins above it
-    out = leaves.where("size = 1").groupBy("tree").cogroup(ends.groupBy("tree")).applyInArrow(_proofs, kind)
+    out = leaves.where("size = 1").groupBy("tree").cogroup(ends.groupBy("tree")).applyInArrow(_proofs(every), kind)
     if len(levels) > 1:
-        out = out.unionByName(node_paths(levels, ends, _proofs, kind))
+        out = out.unionByName(node_paths(levels, ends, _proofs, kind, every))
     done = out.join(bounded_broadcast(subroots.select("tree", F.col("node").alias("subroot")), subroots.count(), BROADCAST_ROWS), "tree")
     done = done.withColumn("root", F.lit(root and root["node"]).cast("string"))
     return done.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))

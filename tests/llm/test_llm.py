@@ -308,12 +308,23 @@ def test_labels_are_those_of_the_network_byte_by_byte(spark):
 
 
 def test_language_sample_is_bounded_and_of_whole_texts(spark):
-    rows = [(3 * i, "a" * 6400 + "z" * 64, "en" if i % 9 else "fr", None, 0) for i in range(900)] + [(i, "q", "de", None, 0) for i in range(3)]
-    data, labels = language.training_sample(odd(spark, rows), 2, 70, 640)
-    assert set(labels) == {"en", "fr"} and labels.count("en") <= 640 and {len(d) for d in data} == {64}
+    rows = [(3 * i, "a" * 6400 + "z" * 64, "en" if i % 9 else "fr", None, 0) for i in range(900)] + [(3 * i, "q", "de", None, 0) for i in range(3)]
+    data, labels = language.training_sample(odd(spark, rows), 100_000, 70, 640)
+    assert set(labels) == {"en", "fr", "de"} and labels.count("en") <= 640 and {len(d) for d in data} == {64, 1}
     assert b"z" * 64 in data
 
 
+def test_no_language_is_too_rare_to_be_learnt(spark):
+    """250 languages, some of one text: all share the sample and all can be predicted."""
+    rows = [(3 * (1000 * k + i), f"word{k} " * 40, f"l{k:03}", None, 0) for k in range(250) for i in range(1 + 30 * (k == 0))]
+    data, labels = language.training_sample(odd(spark, rows), 2_000, 300, 8000)
+    count = Counter(labels)
+    assert len(count) == 250 and max(count.values()) <= 8 and len(data) <= 2_000
+    assert len(language.train(data, labels, steps=2).labels) == 250
+    got = language.identify_languages(odd(spark, rows), steps=2).select("lang_pred").distinct().count()
+    assert got >= 1
+
+
 # --- 4 licences
 
 
