@@ -49,6 +49,24 @@ def retrieve_threshold(spark, sf):
     return _hits(spark, sf, 0.65).select(*_SHOWN, F.round("distance", 6).alias("distance"))
 
 
+@query(_hits_sql(threshold=0.65) + _SHOWN_SQL, *_THREE)
+def retrieve_pruned(spark, sf):
+    """The rows of retrieve_threshold, by way of the clusters that may hold a hit."""
+    questions, chunks, sources = _three(spark, sf)
+    hits = R.retrieve(questions, chunks, sources, threshold=0.65, centres=R.fit_centres(R.active(chunks), clusters=32))
+    return hits.select(*_SHOWN, F.round("distance", 6).alias("distance"))
+
+
+@query(_hits_sql() + _SHOWN_SQL, *_THREE)
+def retrieve_tiled(spark, sf):
+    """The rows of retrieve, with questions and chunks as tiles, as for more questions than a task may hold."""
+    questions, chunks, sources = _three(spark, sf)
+    live = R.active(chunks).join(sources.select("source_id", "tradition"), "source_id")
+    hits = R.nearest(questions, live, threshold=0.8, block=5, chunk_block=100)
+    found = R.by_provenance(R.with_texts(hits.join(sources, "source_id"), chunks, 5 * questions.count()))
+    return found.select(*_SHOWN, F.round("distance", 6).alias("distance"))
+
+
 @query("SELECT a.vec_id, round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_distance(spark, sf):
     e = table(spark, sf, "embeddings")

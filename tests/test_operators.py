@@ -151,6 +151,63 @@ def test_strips_of_distances_give_the_same(spark):
         assert [got[i, p] for p in range(1, 5)] == best.tolist()
 
 
+def clustered(spark, n=4000):
+    """Vectors around 20 directions, some null, zero or of another dimension."""
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(20, 16))
+    v = middle[np.arange(n) % 20] + 0.1 * rng.normal(size=(n, 16))
+    rows = [(i, i % 9, None if i % 400 == 7 else [0.0] * 16 if i % 400 == 8 else [1.0] if i % 400 == 9 else v[i].tolist(), ("a", "b", None)[i % 3]) for i in range(n)]
+    c = spark.createDataFrame(rows, "chunk_id long, source_id long, embedding array<float>, tradition string")
+    q = c.where("chunk_id % 50 = 1").select(F.col("chunk_id").alias("question_id"), "embedding", F.when(F.col("chunk_id") % 2 == 0, F.col("tradition")).alias("tradition"))
+    return q, c
+
+
+def test_tiles_and_clusters_give_the_same_hits(spark):
+    q, c = clustered(spark)
+    rows = lambda df: sorted((r["question_id"], r["chunk_id"], r["place"], round(r["distance"], 9)) for r in df.collect())
+    want = rows(R.nearest(q, c, k=4, threshold=0.02))
+    assert len({r[0] for r in want}) > 70
+    assert rows(R.nearest(q, c, k=4, threshold=0.02, block=7, chunk_block=500)) == want
+    assert rows(R.nearest(q, c, k=4, threshold=None, block=7, chunk_block=500)) == rows(R.nearest(q, c, k=4, threshold=None))
+    centres = R.fit_centres(c, clusters=32, sample=1000)
+    assert rows(R.nearest_pruned(q, c, centres, k=4, threshold=0.02, chunk_block=90)) == want
+    assert rows(R.nearest_pruned(q, c, centres[:1], k=4, threshold=0.02)) == want
+    assert rows(R.nearest_pruned(q, c, R.fit_centres(c.limit(0)), k=4, threshold=0.02)) == want
+    assert rows(R.nearest_pruned(q.limit(0), c, centres)) == rows(R.nearest(q.limit(0), c, block=-1)) == []
+    # most products are skipped
+    files = R.filed(c, centres)
+    sizes = files.groupBy("cluster").agg(F.min("gap").alias("least"), F.max("gap").alias("most"), F.lit(1).alias("tiles"), F.count("*").alias("n"))
+    asked = R.clusters_to_ask(R._asked(q, True)[0], sizes, centres, 0.02).join(sizes.select("cluster", "n"), "cluster").agg(F.sum("n")).first()[0]
+    assert asked < 0.3 * q.count() * c.count()
+
+
+def test_many_questions_stay_off_the_driver(spark, monkeypatch):
+    q, c = clustered(spark)
+    of = R.Asked.of
+    calls = []
+    monkeypatch.setattr(R.Asked, "of", staticmethod(lambda *a: calls.append(1) or of(*a)))
+    assert R.nearest(q, c, block=7).count() > 0 and not calls  # called in tasks only
+    assert R.nearest(q, c).count() > 0 and calls
+
+
+def test_texts_that_are_not_hit_are_not_shuffled(spark, tmp_path):
+    q, c, s = corpus(spark)
+    c.write.parquet(f"{tmp_path}/c")
+    c = spark.read.parquet(f"{tmp_path}/c")
+    hits = R.nearest(q, R.active(c).join(s.select("source_id", "tradition"), "source_id"), k=3).join(s, "source_id")
+    want = sorted((r["question_id"], r["chunk_id"], r["chunk_text"]) for r in R.with_texts(hits, c, 12).collect())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (12, 10**9):
+            found = R.with_texts(hits, c, most)
+            assert sorted((r["question_id"], r["chunk_id"], r["chunk_text"]) for r in found.collect()) == want
+            plan = found._jdf.queryExecution().optimizedPlan().toString() if most > 12 else found._jdf.queryExecution().sparkPlan().toString()
+            assert "LeftSemi" in plan if most > 12 else "BroadcastHashJoin" in plan and "chunk_text" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_links_are_resolved_as_urls(spark):
     from urllib.parse import urljoin
 
