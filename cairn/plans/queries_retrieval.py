@@ -153,8 +153,10 @@ SELECT {key}, place, round(CAST(CAST(x / sqrt(sum(x * x) OVER (PARTITION BY {key
 
 
 def _components(df, *key):
-    rows = df.select(*key, F.posexplode("embedding").alias("place", "v")).where("v <> 0")
-    return rows.select(*key, F.col("place").cast("long").alias("place"), F.round(F.col("v").cast("double"), 6).alias("x"))
+    """A row for each component that isn't 0."""
+    parts = F.transform("embedding", lambda v, i: F.struct(i.cast("long").alias("place"), v.alias("v")))
+    rows = df.select(*key, F.explode(F.filter(parts, lambda p: p["v"] != 0)).alias("p"))
+    return rows.select(*key, "p.place", F.round(F.col("p.v").cast("double"), 6).alias("x"))
 
 
 @query(_encoded_sql("doc_id", "text", "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.catalog import job_outcomes
 from ..operators.chunk import chunk_hashes
@@ -89,29 +89,47 @@ def incoming_hashes(texts: DataFrame) -> DataFrame:
 DIFF = "source_id long, chunk_hash string, state string"
 
 
-def diff_step() -> Callable:
-    """Per source: the last content hash and the active chunk hashes, kept as state, give each payload's diff."""
+#: Map state is kept by this store only.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        content, active = state.get if state.exists else (None, [])
-        out = []
-        for f in frames:
+
+class ChunkDiff(StatefulProcessor):
+    """Per source: the content hash in one value, the active chunk hashes as a map's keys. A payload reads the keys and
+    writes those that come or go; hashes that stay are not written again."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.content = handle.getValueState("content", "content_hash string")
+        self.active = handle.getMapState("active", "chunk_hash string", "there boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        content = self.content.get()[0] if self.content.exists() else None
+        before, was = None, content
+        for f in rows:
+            out = []
             for new_content, hashes in zip(f["content_hash"], f["hashes"], strict=True):
-                fresh = set(hashes if hashes is not None else [])
                 if new_content == content:
                     continue
-                before = set(active)
+                if before is None:
+                    before = {k[0] for k in self.active.keys()} if content is not None else set()
+                fresh = set(hashes if hashes is not None else [])
                 out += [(key[0], h, s) for s, hs in (("new", fresh - before), ("stale", before - fresh), ("unchanged", fresh & before)) for h in sorted(hs)]
-                content, active = new_content, sorted(fresh)
-        state.update((content, list(active)))
-        yield pd.DataFrame(out, columns=["source_id", "chunk_hash", "state"])
-
-    return run
+                for h in fresh - before:
+                    self.active.updateValue((h,), (True,))
+                for h in before - fresh:
+                    self.active.removeKey((h,))
+                content, before = new_content, fresh
+            yield pd.DataFrame(out, columns=["source_id", "chunk_hash", "state"])
+        if content != was:
+            self.content.update((content,))
 
 
 def stream_diff(hashes: DataFrame) -> DataFrame:
-    """A stream of (source_id, content_hash, hashes) to chunk diffs against the state of each source. State has no end of life."""
-    return hashes.groupBy("source_id").applyInPandasWithState(diff_step(), DIFF, "content string, active array<string>", "append", "NoTimeout")
+    """A stream of (source_id, content_hash, hashes) to chunk diffs against the state of each source, which has no end of life.
+
+    Spark keeps map state in RocksDB: the session's state store is set to it, for this and later streams.
+    """
+    hashes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return hashes.groupBy("source_id").transformWithStateInPandas(ChunkDiff(), DIFF, "Append", "None")
 
 
 __all__ = ["stream_ingest", "stream_diff", "incoming_hashes", "log_tables", "with_ingest_columns"]

@@ -195,6 +195,14 @@ def test_stateful_diff_over_two_batches(spark, tmp_path):
     drain()
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
     assert got == sorted([(1, "a", "new"), (1, "b", "new"), (2, "x", "new"), (1, "b", "unchanged"), (1, "d", "new"), (1, "a", "stale")])
+    # another start from the checkpoint: state is a value and a hash each
+    third = [(1, "c3", None), (2, "c2", ["x", "y"]), (3, "c", [])]
+    spark.createDataFrame(third, first.schema).coalesce(1).write.mode("append").parquet(landing)
+    drain()
+    more = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert sorted(set(more) - set(got)) == [(1, "b", "stale"), (1, "d", "stale"), (2, "x", "unchanged"), (2, "y", "new")]
+    kept = spark.read.format("statestore").option("stateVarName", "active").load(f"{tmp_path}/c")
+    assert {(r["key"][0], r["user_map_key"][0]) for r in kept.collect()} == {(2, "x"), (2, "y")}
 
 
 def test_snapshots_and_active_scan(spark, tmp_path):
