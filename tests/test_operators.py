@@ -325,11 +325,29 @@ def test_robots_like_the_standard_parser(spark):
         assert got[u] == p.can_fetch("cairnbot/1.0", u), u
 
 
+def test_a_busy_origin_is_many_tasks(spark):
+    df = spark.createDataFrame([(f"http://a.org/{i % 7}/{i}",) for i in range(500)] + [("http://b.org/1/x",), (None,), ("http://c.org/1/x",)], "url string")
+    body = "User-agent: *\nAllow: /1/1\nDisallow: /1\nDisallow: /2/\nAllow: /\nDisallow: /3"
+    robots = spark.createDataFrame([("http://a.org", body), ("http://b.org", body), ("http://d.org", body)], "origin string, body string")
+    want = {r["url"]: r["allowed"] for r in J.robots_filter(df, robots, "bot").collect()}
+    assert want["http://a.org/1/15"] and not want["http://a.org/1/8"] and not want["http://b.org/1/x"] and want["http://c.org/1/x"] and want[None] and not want["http://a.org/2/9"] and want["http://a.org/3/10"]
+    assert {r["url"]: r["allowed"] for r in J.robots_filter(df, robots, "bot", block=20).collect()} == want and len(want) == 503
+
+
+def test_one_host_at_one_time_is_many_tasks(spark):
+    """All requests of one host in the same second: blocks of bounded rows, slots an interval apart."""
+    df = spark.range(2000).selectExpr("'h' as host", "timestamp'2024-01-01 00:00:00' as ts", "cast(id * 7919 % 2000 as long) as i").repartition(5)
+    out = J.throttle(df, "host", "ts", "i", interval_s=2.0, block=50)
+    first = 1704067200_000_000
+    assert [(r["i"], r["slot_us"]) for r in out.orderBy("i").collect()] == [(k, first + k * 2_000_000) for k in range(2000)]
+
+
 def test_throttle_is_waiting_one_by_one(spark):
     base = dt.datetime(2024, 1, 1)
     rows = [(i, "ab"[i % 2], base + dt.timedelta(seconds=(i * i) % 17 / 3)) for i in range(40)]
     df = spark.createDataFrame(rows, "i int, host string, ts timestamp_ntz")
     got = {r["i"]: r["slot_us"] for r in J.throttle(df, "host", "ts", "i").collect()}
+    assert {r["i"]: r["slot_us"] for r in J.throttle(df, "host", "ts", "i", block=3).collect()} == got
     last = {}
     for i, host, t in sorted(rows, key=lambda r: (r[2], r[0])):
         us = round((t - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
