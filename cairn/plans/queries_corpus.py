@@ -252,7 +252,8 @@ SELECT s.source_id, s.chunk_hash, s.is_active AND coalesce(d.state, '') <> 'stal
     "v_revision",
 )
 def apply_diff(spark, sf):
-    old, new = _revisions(spark, sf)
+    folder = tables.scratch(spark)
+    old, new = (tables.staged(df, f"{folder}/{n}") for n, df in zip(("old", "new"), _revisions(spark, sf), strict=True))
     chunks = _snapshot(old, new)
     diff = D.diff_chunks(chunks.where("is_active"), new)
     return D.apply_diff(chunks, diff, new).select("source_id", "chunk_hash", "is_active")

@@ -10,6 +10,7 @@ from ..operators import catalog as G
 from ..operators import crawl as J
 from ..operators import credibility as I
 from ..operators import history as H
+from ..sources import tables
 from .registry import Registry
 from .views import table, view
 
@@ -181,6 +182,14 @@ def persist_rejected(spark, sf):
     return _persisted(spark, sf)[1]
 
 
+@query("SELECT request_id, user_id, question FROM v_responses WHERE user_id IS NOT NULL", "v_responses")
+def append_messages(spark, sf):
+    """Responses through the sink of messages, and read again: anonymous ones leave nothing."""
+    path = f"{tables.scratch(spark)}/messages"
+    tables.append_messages(view(spark, sf, "v_responses"), path)
+    return spark.read.parquet(path).select("request_id", "user_id", "question")
+
+
 # --- credibility
 
 
@@ -307,6 +316,14 @@ def lookup_entities(spark, sf):
     return _looked(spark, sf).select("request_id", "cached", "normalized_key", "entity_type", "display_name")
 
 
+@query(_LOOKED + "SELECT normalized_key, entity_type, display_name FROM m", "v_lookups", "v_entities")
+def append_entities(spark, sf):
+    """What lookups computed through the sink of entities, and read again: a row a key that wasn't stored."""
+    path = f"{tables.scratch(spark)}/entities"
+    tables.append_entities(_looked(spark, sf), path)
+    return spark.read.parquet(path).select("normalized_key", "entity_type", "display_name")
+
+
 @query(
     _LOOKED + """SELECT k.request_id, 'balance' AS fact, c.balance_json AS value, 'stored' AS provenance FROM k JOIN c USING (normalized_key)
 UNION ALL SELECT request_id, 'occupation', CASE WHEN request_id % 5 = 0 THEN '"scholar"' ELSE '"poet"' END, CASE WHEN request_id % 5 = 0 THEN 'admin_text' ELSE 'u1' END FROM m
