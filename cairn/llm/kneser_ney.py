@@ -180,16 +180,16 @@ def _count_words(parts: int, flush: int, block: int):
 
 
 def _save_words(uri: str):
-    """Sorted words of each hash range to its two arrays. Two words of one hash are an error, not a wrong count."""
+    """Sorted words of each hash range to its arrays. Words of one hash stand side by side, told apart by the second hash."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (h, other, n) in _by_shard(_runs(batches), "u8u4i8"):
-            order = np.argsort(h, kind="stable")
-            same = h[order][1:] == h[order][:-1]
-            if (other[order][1:] != other[order][:-1])[same].any():
-                raise ValueError("two words have the same 64-bit hash")
-            h, n = _merged(h, n)
+            order = np.lexsort((other, h))
+            h, other, n = h[order], other[order], n[order]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (other[1:] != other[:-1])])
+            h, other, n = h[first], other[first], np.add.reduceat(n, first)
             store.save(uri, f"words.{part}.hash", h)
+            store.save(uri, f"words.{part}.other", other)
             store.save(uri, f"words.{part}.count", n)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["part", "words", "tokens"])
 
@@ -201,18 +201,24 @@ class Vocabulary:
 
     def __init__(self, uri: str, parts: int, offsets: tuple[int, ...]):
         self.uri, self.parts, self.offsets = uri, parts, offsets
-        self.arrays = store.Opened(lambda k: (store.load(uri, f"words.{k}.hash", "u8"), store.load(uri, f"words.{k}.count", "i8")), 2)
+        self.arrays = store.Opened(lambda k: tuple(store.load(uri, f"words.{k}.{what}", t) for what, t in (("hash", "u8"), ("other", "u4"), ("count", "i8"))), 3)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts of distinct words; -1 and 0 if no training text has the word."""
-        h = _hashes(words)[:, 0]
+        both = _hashes(words)
+        h, other = both[:, 0], both[:, 1].astype(np.uint32)
         ids, n = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         order = np.argsort(h)
         cuts = np.searchsorted(_range_of(h[order], self.parts), np.arange(self.parts + 1, dtype=np.uint64))
         for k in np.flatnonzero(np.diff(cuts)):
-            keys, counts = self.arrays(k)
+            keys, others, counts = self.arrays(k)
             mine = order[cuts[k] : cuts[k + 1]]
             at, there = store.lookup(keys, h[mine])
+            while (next_ := np.flatnonzero(there)[others[at[there]] != other[mine[there]]]).size:  # words of one hash
+                at[next_] += 1
+                there[next_] = at[next_] < len(keys)
+                at[~there] = 0
+                there[next_] &= keys[at[next_]] == h[mine[next_]]
             ids[mine[there]] = self.offsets[k] + at[there]
             n[mine[there]] = counts[at[there]]
         return ids, n
@@ -291,6 +297,15 @@ def _save_counts(uri: str, name: str, code: np.ndarray, n: np.ndarray, dense: bo
     store.save(uri, f"{name}.many", n[many].astype(np.int64).ravel())
 
 
+def _save_trigram_counts(uri: str, shard: int, key: np.ndarray, code: np.ndarray, left: np.ndarray, n: np.ndarray) -> None:
+    """Counts by key; trigrams that share their key with others are kept once more, whole."""
+    first = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    shared = ~first | ~np.r_[first[1:], True][: len(key)]
+    _save_counts(uri, f"trigrams.{shard}", key[first], n[first, None])
+    if shared.any():
+        store.save(uri, f"trigrams.{shard}.shared", np.stack([key, code, left, n.astype(np.uint64)])[:, shared].ravel())
+
+
 class Counts:
     """What _save_counts() has saved in each shard, by code."""
 
@@ -335,16 +350,13 @@ def _save_trigrams(uri: str, start: int, shards: int, flush: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, out = np.zeros(4, np.int64), _Outbox(shards, lambda code: _range_of(mix(code), shards), 2 * flush)
         for shard, (code, left, n) in _by_shard(_runs(batches), "u8u4u4"):
-            key = mix(code, left)
-            by = np.argsort(key, kind="stable")
-            key, code, left, n = key[by], code[by], left[by].astype(np.uint64), n[by].astype(np.int64)
-            new = np.r_[True, key[1:] != key[:-1]]
-            if ((code[1:] != code[:-1]) | (left[1:] != left[:-1]))[~new[1:]].any():
-                raise ValueError("two trigrams have the same 64-bit hash")
-            first = np.flatnonzero(new)
+            key, left = mix(code, left), left.astype(np.uint64)
+            by = np.lexsort((left, code, key))
+            key, code, left, n = key[by], code[by], left[by], n[by].astype(np.int64)
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (code[1:] != code[:-1]) | (left[1:] != left[:-1])])
             key, code, left, n = key[first], code[first], left[first], np.add.reduceat(n, first)
             whole = left <= start
-            _save_counts(uri, f"trigrams.{shard}", key[whole], n[whole, None])
+            _save_trigram_counts(uri, shard, key[whole], code[whole], left[whole], n[whole])
             totals += _counts_of_counts(n[whole])
             context = (left << np.uint64(32) | code >> np.uint64(32))[whole]
             by = np.argsort(context, kind="stable")
@@ -444,8 +456,8 @@ def fit(train: DataFrame, text: str, uri: str, width: int = 1 << 17, order: int
 
     Tasks count words by hash, then n-grams of word ids, and send merged, compressed runs. N-grams are dealt by the hash
     of the whole n-gram, so that a frequent context is spread; what it sums up to goes on, by its own hash or id, level by
-    level. Only sizes and sums over all come to the driver. Counts have 64 bits. More than 2^32 - 2 distinct words, or
-    two words or trigrams with one 64-bit hash, are an error. Without rows, every token is unknown.
+    level. Only sizes and sums over all come to the driver. Counts have 64 bits. Words have 96-bit keys and trigrams that
+    share a 64-bit key are told apart. More than 2^32 - 2 distinct words are an error. Without rows, every token is unknown.
     """
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
@@ -503,6 +515,7 @@ class Scorer:
         self.tokens = Counts(model.uri, "ids", model.words // model.width + 1, 5, dense=True)
         self.bigrams = Counts(model.uri, "bigrams", model.shards, 1 if model.order == 2 else 5)
         self.trigrams = Counts(model.uri, "trigrams", model.shards, 1)
+        self.shared = store.Opened(lambda k: store.load(model.uri, f"trigrams.{k}.shared", "u8").reshape(4, -1))
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """n_tokens, n_known, base and model log10 probability of each text."""
@@ -539,8 +552,14 @@ class Scorer:
         out = back[before] * p[own]
         seen = np.flatnonzero((c[before] > 0) & (ids[b[own]] >= 0))
         x, y = before[seen], own[seen]
-        key = mix(ids[a[y]].astype(np.uint64) << np.uint64(32) | ids[b[y]].astype(np.uint64), ids[a[x]])
-        n = self.trigrams(key, _range_of(key, self.model.shards))[:, 0]
+        code, left = ids[a[y]].astype(np.uint64) << np.uint64(32) | ids[b[y]].astype(np.uint64), ids[a[x]].astype(np.uint64)
+        key = mix(code, left)
+        own = _range_of(key, self.model.shards)
+        n = self.trigrams(key, own)[:, 0]
+        for k in np.unique(own):
+            keys, codes, lefts, counts = self.shared(int(k))
+            for i in np.flatnonzero((own == k) & np.isin(key, keys)) if keys.size else ():  # one of some that share a key
+                n[i] = counts[(keys == key[i]) & (codes == code[i]) & (lefts == left[i])].sum()
         out[seen] += np.maximum(n - discount(n, self.model.d[2]), 0) / c[x]
         return out, both_at
 

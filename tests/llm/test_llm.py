@@ -754,6 +754,50 @@ def test_the_arrays_used_last_stay_open(monkeypatch):
     assert read == ["a", "b", "c", "b"] and list(opened.held) == ["a", "b"]
 
 
+def in_process(task, batches):
+    """A task's runs, in order of shards, as the shuffle gives them to one task."""
+    rows = sorted((r for b in task(batches) for r in b.to_pylist()), key=lambda r: r["shard"])
+    return [kneser_ney.pa.RecordBatch.from_pylist(rows, kneser_ney.pa.schema([("shard", "int32"), ("size", "int32"), ("columns", kneser_ney.pa.list_(kneser_ney.pa.binary()))]))] if rows else []
+
+
+def fit_in_process(texts, uri, order):
+    K = kneser_ney
+    batch = K.pa.RecordBatch.from_pydict({"text": texts})
+    words = [r for b in K._save_words(uri)(in_process(K._count_words(1, 10**6, 10**6), [batch])) for r in b.to_pylist()]
+    offsets = (0, words[0]["words"])
+    runs = in_process(K._count_ngrams(uri, 1, offsets, 2, order, 10**6, 10**6), [batch])
+    if order == 3:
+        runs = in_process(K._save_trigrams(uri, offsets[-1], 2, 10**6), runs)
+    runs = in_process(K._save_bigrams(uri, order, 1000, 1, 10**6), runs)
+    found = {r["level"]: [r[f"x{k}"] for k in range(6)] for b in K._save_tokens(uri, 1000, offsets[-1])(runs) for r in b.to_pylist()}
+    d = tuple(K.discounts(*found[k][:4]) for k in range(1, order + 1))
+    n1, n2, _, _, contexts, more = found[1]
+    gamma = (d[0][0] * n1 + d[0][1] * n2 + d[0][2] * more) / contexts
+    return K.NgramModel(uri, 1, offsets, 2, 1000, words[0]["tokens"], contexts, gamma / (offsets[-1] + 1), d, order)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_equal_hashes_give_the_same_scores(tmp_path, monkeypatch, order):
+    """All words of one 64-bit hash, and all trigrams of one key: the scores are those of distinct ones."""
+    rng = random.Random(order)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    asked = kneser_ney.pa.array([*texts, "a b z z a", "", "z"])
+    results = []
+    for k in range(2):
+        if k:
+            own, mixed = kneser_ney._hashes, kneser_ney.mix
+            monkeypatch.setattr(kneser_ney, "_hashes", lambda w: own(w) * np.array([0, 1], np.uint64) + np.array([7, 0], np.uint64))
+            monkeypatch.setattr(kneser_ney, "mix", lambda code, left=None: mixed(code) if left is None else (code & np.uint64(1)) << np.uint64(63))
+        (tmp_path / str(k)).mkdir()
+        model = fit_in_process(texts, f"file://{tmp_path}/{k}", order)
+        results.append(kneser_ney.Scorer(model)(asked))
+    assert all(np.allclose(x, y, rtol=1e-12) for x, y in zip(*results, strict=True))
+    p, _ = reference_trigrams(texts) if order == 3 else (None, None)
+    if p:
+        want = [sum(math.log10(p(tuple(([None, *lm_tokens(t)])[max(0, i - 2) : i + 1]))) for i in range(1, len(lm_tokens(t)) + 1)) for t in texts[:5]]
+        assert np.allclose(results[1][3][:5], want)
+
+
 def test_too_many_words_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "_save_words", lambda uri: lambda batches: iter([kneser_ney.pa.RecordBatch.from_pydict({"part": [0], "words": [2**32 - 2], "tokens": [5]}, kneser_ney.pa.schema([("part", "int32"), ("words", "int64"), ("tokens", "int64")]))]))
     with pytest.raises(ValueError, match="distinct words"):
