@@ -14,27 +14,32 @@ from cairn.llm.store import remove, scratch_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is known stay."""
+    """Rows whose language is known stay, with all their columns. Null, empty and letterless texts go; repeated rows go or
+    stay alike; ids and other columns may be null; an empty table gives no rows."""
     return keep_identified(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
+    """Of equal texts the row with the smallest doc_id stays (a null one only if there is no other; of rows that repeat an
+    id too, one). Null counts as empty; texts are compared whole; an empty table gives no rows."""
     return drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one with the smallest doc_id stays."""
+    """Of linked documents the one with the smallest doc_id stays. Texts without words are linked with nothing and stay, null
+    ones too; rows of one id with other texts are told apart; an empty table gives no rows."""
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold too much of the benchmark go."""
+    """Documents that hold too much of the benchmark go. Null and empty texts and null ids stay if they are clean, repeated
+    rows alike; an empty benchmark or table takes nothing away."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's share asks for, with mix_copy and mix_words."""
+    """Each document as often as its source's share asks for, with mix_copy and mix_words. A null source is a source; texts
+    without words go, as they add nothing to a mix; an empty table gives no rows."""
     return mixed_documents(docs)
 
 
