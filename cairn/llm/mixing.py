@@ -112,6 +112,10 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A partial copy, one at most for each source, has only its first mix_words words as text,
     joined by blanks. Rows without words, and those that the mix leaves out, are not there.
     Texts are not shuffled: the plan by source comes to them.
+
+    A null id is an id like others, a null source a source, a null text has no words. Rows that are the same in id and text
+    are each taken as the mix takes them, ties in its order going to either. Texts of any length are cut whole. An empty
+    table gives no rows.
     """
     rows = _marked(docs, doc_id, text, source, seed)
     plan, n = mixing_plan(checkpointed(rows.drop("row")), weights, share, epochs)

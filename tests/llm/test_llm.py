@@ -946,6 +946,29 @@ def test_pipeline_stages_are_brute_force(spark, small):
     assert all(abs(got[s] - want[s]) <= 1 for s in size)
 
 
+def test_filters_of_empty_tables(spark):
+    none = odd(spark, [])
+    assert language.keep_identified(none).count() == 0 and language.keep_identified(none).columns == none.columns
+    kept = exact_dedup.drop_exact_duplicates(none)
+    assert kept.count() == 0 and kept.columns == none.columns
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path, small, rows):
+    """Extra columns with clashing names stay to the end; only the last stage's table is left behind."""
+    import corpus_pipeline as P
+
+    odd(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{small}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    root = Path(common.shared_root(spark).removeprefix("file://"))
+    before = set(root.glob("cairn-*"))
+    out = P.run(spark, str(tmp_path))
+    assert set(odd(spark, rows).columns) < set(out.columns) and {"mix_copy", "mix_words"} <= set(out.columns)
+    assert out.count() >= (len(rows) > 0) and {r["size"] for r in out.collect()} <= {"clash"}
+    left = [sorted(x.name for x in f.iterdir()) for f in set(root.glob("cairn-*")) - before if f.is_dir()]
+    assert ["4-mixture"] in left and not any(n.startswith(("0-", "1-", "2-", "3-")) for names in left for n in names)
+
+
 def test_the_rest_does_without_this_subpackage():
     root = Path(__file__).resolve().parents[2]
     for f in root.glob("cairn/**/*.py"):
