@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
+from functools import cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -34,59 +37,116 @@ def plaintext_title(raw: Column) -> Column:
     return F.nullif(T.strip(F.regexp_extract(header, r"(?md)^Title:(?U)[\s\x1c-\x1f]*(.+)$", 1)), F.lit(""))
 
 
-def _matches(selector: str, tag: str, attrs: dict[str, str]) -> bool:
-    """Simple selectors: tag, .class, #id and tag.class."""
-    name, dot, cls = selector.partition(".")
-    if "#" in name:
-        name, _, ident = name.partition("#")
-        if attrs.get("id") != ident:
-            return False
-    return (not name or name == tag) and (not dot or cls in (attrs.get("class") or "").split())
+@dataclass(frozen=True)
+class _Simple:
+    """One compound of a selector, and whether it must be the parent of the one after it, or any ancestor."""
+
+    tag: str
+    ids: tuple[str, ...]
+    classes: tuple[str, ...]
+    parent: bool = False
+
+    def names(self, tag: str, attrs: dict[str, str]) -> bool:
+        own = attrs.get("class", "").split() if self.classes else ()
+        return self.tag in ("", "*", tag) and all(attrs.get("id") == i for i in self.ids) and all(c in own for c in self.classes)
+
+
+@cache
+def selector(text: str) -> tuple[tuple[_Simple, ...], ...]:
+    """A selector's alternatives: lists (`a, b`) of compounds (`tag`, `.class`, `#id` and their combinations) with descendant
+    and child combinators (`a b`, `a > b`). Anything else is an error."""
+    out = []
+    for part in text.split(","):
+        words = re.sub(r"\s*>\s*", " > ", part).split()
+        steps: list[_Simple] = []
+        for i, w in enumerate(words):
+            if w == ">":
+                if not steps or i + 1 == len(words) or words[i + 1] == ">":
+                    raise ValueError(f"not a selector: {text!r}")
+                steps[-1] = replace(steps[-1], parent=True)
+                continue
+            m = re.fullmatch(r"(\*|[A-Za-z][\w-]*)?((?:[.#][\w-]+)*)", w)
+            if not m:
+                raise ValueError(f"not a selector: {text!r}")
+            marks = re.findall(r"[.#][\w-]+", m[2])
+            steps.append(_Simple((m[1] or "").lower(), tuple(x[1:] for x in marks if x[0] == "#"), tuple(x[1:] for x in marks if x[0] == ".")))
+        if not steps:
+            raise ValueError(f"not a selector: {text!r}")
+        out.append(tuple(steps))
+    return tuple(out)
+
+
+def _matches(steps: tuple[_Simple, ...], path: list[tuple[str, dict[str, str]]]) -> bool:
+    """Whether the last of the open elements is what the compounds name."""
+    if not steps[-1].names(*path[-1]):
+        return False
+    if len(steps) == 1:
+        return True
+    above = (len(path) - 1,) if steps[-2].parent else range(len(path) - 1, 0, -1)
+    return any(n > 0 and _matches(steps[:-1], path[:n]) for n in above)
+
+
+class _Capture:
+    """Text nodes below the first element that a selector names, without noise elements."""
+
+    def __init__(self, wanted: str, noise: tuple[str, ...]):
+        self.wanted, self.noise = selector(wanted), [s for n in noise for s in selector(n)]
+        self.inside, self.skip, self.found, self.done = 0, 0, False, False
+        self.parts: list[str] = []
+
+    def opened(self, path: list[tuple[str, dict[str, str]]]) -> None:
+        if not self.inside:
+            if any(_matches(s, path) for s in self.wanted):
+                self.inside, self.found = len(path), True
+        elif not self.skip and any(_matches(s, path) for s in self.noise):
+            self.skip = len(path)
+
+    def closed(self, depth: int) -> None:
+        if self.skip == depth:
+            self.skip = 0
+        if self.inside == depth:
+            self.inside, self.done = 0, True
 
 
 class _Picker(HTMLParser):
-    """Text nodes below the first element that a selector names, without noise elements."""
+    """One parse of a page for several captures."""
 
-    def __init__(self, selector: str, noise: tuple[str, ...]):
+    def __init__(self, captures: list[_Capture]):
         super().__init__(convert_charrefs=True)
-        self.selector, self.noise = selector, noise
-        self.depth, self.inside, self.skip, self.found, self.done = 0, 0, 0, False, False
-        self.open: list[str] = []
-        self.parts: list[str] = []
+        self.captures = captures
+        self.path: list[tuple[str, dict[str, str]]] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _VOID or self.done:
+        if tag in _VOID:
             return
-        have = {k: v or "" for k, v in attrs}
-        self.open.append(tag)
-        if not self.inside:
-            if _matches(self.selector, tag, have):
-                self.inside, self.found = len(self.open), True
-        elif not self.skip and any(_matches(s, tag, have) for s in self.noise):
-            self.skip = len(self.open)
+        self.path.append((tag, {k: v or "" for k, v in attrs}))
+        for c in self.captures:
+            if not c.done:
+                c.opened(self.path)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in self.open or self.done:
+        if not any(t == tag for t, _ in self.path):
             return
-        while self.open:
-            at, last = len(self.open), self.open.pop()
-            if self.skip == at:
-                self.skip = 0
-            if self.inside == at:
-                self.inside, self.done = 0, True
+        while self.path:
+            depth, (last, _) = len(self.path), self.path.pop()
+            for c in self.captures:
+                c.closed(depth)
             if last == tag:
                 break
 
     def handle_data(self, data: str) -> None:
-        if self.inside and not self.skip and not self.done:
-            self.parts.append(data)
+        for c in self.captures:
+            if c.inside and not c.skip and not c.done:
+                c.parts.append(data)
 
 
-def _pick(html: str, selector: str, noise: tuple[str, ...] = ()) -> list[str] | None:
-    p = _Picker(selector, noise)
+def _pick(html: str, *wanted: tuple[str, tuple[str, ...]]) -> list[list[str] | None]:
+    """For each (selector, noise) the text nodes, None where the page doesn't have the element."""
+    captures = [_Capture(s, n) for s, n in wanted]
+    p = _Picker(captures)
     p.feed(html or "")
     p.close()
-    return p.parts if p.found else None
+    return [c.parts if c.found else None for c in captures]
 
 
 def page_rows(frames: Iterable[pd.DataFrame], content: str, heading: str, noise: tuple[str, ...]) -> Iterator[pd.DataFrame]:
@@ -95,7 +155,7 @@ def page_rows(frames: Iterable[pd.DataFrame], content: str, heading: str, noise:
         rows = []
         for k, raw in zip(f["k"], f["html"], strict=True):
             try:
-                body, head = _pick(raw, content, noise), _pick(raw, heading)
+                body, head = _pick(raw, (content, noise), (heading, ()))
             except Exception as e:  # one page must not end the batch
                 rows.append((k, None, None, f"{type(e).__name__}: {e}"))
                 continue
@@ -107,7 +167,9 @@ def page_rows(frames: Iterable[pd.DataFrame], content: str, heading: str, noise:
 
 def page_text(pages: DataFrame, key: str, html: str, content: str, heading: str, noise: tuple[str, ...] = NOISE) -> DataFrame:
     """key, text, title, error: body lines and heading of each page. A page without the content element, or one that the
-    parser fails on, is an error row."""
+    parser fails on, is an error row. Selectors are those that selector() reads."""
+    for each in (content, heading, *noise):
+        selector(each)  # a wrong one is an error of the query, not of each page
     run = lambda frames: page_rows(frames, content, heading, noise)
     kind = pages.schema[key].dataType.simpleString()
     out = pages.select(F.col(key).alias("k"), F.col(html).alias("html")).mapInPandas(run, f"k {kind}, text string, title string, error string")

@@ -208,6 +208,36 @@ def test_texts_that_are_not_hit_are_not_shuffled(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+@pytest.mark.parametrize(
+    "wanted, text",
+    [
+        ("#c", "one two three"),
+        ("div p", "two"),
+        ("div > p", "three"),
+        ("main .x p", "two"),
+        ("main > .x > p", None),
+        ("article, p", "two"),
+        ("section.x.y", "two"),
+        ("div#c > p.last", "three"),
+        ("* > em", "one"),
+        ("body em", None),
+    ],
+)
+def test_selectors(wanted, text):
+    html = "<main id=m><div id=c><em>one</em><br><section class='y x'><p>two</p></section><p class='last'>three</p></div></main>"
+    found = X._pick(html, (wanted, ()))[0]
+    assert (" ".join(found) if found is not None else None) == text
+
+
+def test_wrong_selectors_are_errors(spark):
+    for wrong in ("", "a,", "> a", "a >", "a[href]", "a:hover", "a > > b"):
+        with pytest.raises(ValueError, match="selector"):
+            X.selector(wrong)
+    with pytest.raises(ValueError, match="selector"):
+        X.page_text(spark.createDataFrame([(1, "")], "k int, h string"), "k", "h", "a[b]", "h1")
+    assert X._pick("<p>a<sup class=reference>1</sup><table><tr><td>x</table>b</p>", ("p", X.NOISE), ("table td", ())) == [["a", "b"], ["x"]]
+
+
 def test_links_are_resolved_as_urls(spark):
     from urllib.parse import urljoin
 

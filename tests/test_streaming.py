@@ -156,10 +156,10 @@ def test_sources_fail_alone(spark, tmp_path):
 def test_a_page_that_the_parser_fails_on_fails_alone(spark, monkeypatch):
     from cairn.operators import extract as X
 
-    def picky(html, selector, noise=()):
+    def picky(html, *wanted):
         if "bad" in html:
             raise RuntimeError("odd page")
-        return ["body"]
+        return [["body"], None]
 
     monkeypatch.setattr(X, "_pick", picky)
     pages = pd.DataFrame({"k": [1, 2], "html": ["bad", "good"]})
