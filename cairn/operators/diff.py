@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Changes of so many chunks are broadcast to the scan of a snapshot.
+BROADCAST_ROWS = 500_000
+
 
 def content_unchanged(previous: Column, current: Column) -> Column:
     return F.coalesce(previous == current, F.lit(False))
@@ -30,20 +35,32 @@ def title_backfill(title: Column, inferred: Column) -> Column:
     return F.coalesce(title, F.nullif(inferred, F.lit("")))
 
 
-def new_rows(chunks: DataFrame, diff: DataFrame, incoming: DataFrame) -> DataFrame:
+def _near(diff: DataFrame, limit: int) -> Callable[[DataFrame], DataFrame]:
+    """Broadcasts sides that have a row for each change at most, if the changes, counted, are within the limit."""
+    few = diff.where("state <> 'unchanged'").count() <= limit
+    return lambda df: F.broadcast(df) if few else df
+
+
+def new_rows(chunks: DataFrame, diff: DataFrame, incoming: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of the new chunks, active, with the snapshot's columns that they have. Ids are hashes of source, chunk and the
     number of rows that the source's chunk had before: a chunk that returns is a new row."""
-    before = chunks.groupBy("source_id", "chunk_hash").agg(F.count("*").alias("before"))
-    fresh = incoming.join(diff.where("state = 'new'"), ["source_id", "chunk_hash"], "left_semi").join(before, ["source_id", "chunk_hash"], "left")
-    made = fresh.select(F.xxhash64("source_id", "chunk_hash", F.coalesce("before", F.lit(0))).alias("chunk_id"), "source_id", "chunk_hash", F.lit(True).alias("is_active"), *[c for c in chunks.columns if c in incoming.columns and c not in ("chunk_id", "source_id", "chunk_hash", "is_active")])
+    near, keys = _near(diff, limit), ["source_id", "chunk_hash"]
+    new = near(diff.where("state = 'new'").select(*keys))
+    before = chunks.select(*keys).join(new, keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("before"))
+    fresh = incoming.join(new, keys, "left_semi").join(near(before), keys, "left")
+    made = fresh.select(F.xxhash64("source_id", "chunk_hash", F.coalesce("before", F.lit(0))).alias("chunk_id"), *keys, F.lit(True).alias("is_active"), *[c for c in chunks.columns if c in incoming.columns and c not in ("chunk_id", "source_id", "chunk_hash", "is_active")])
     return made.select(*[c for c in chunks.columns if c in made.columns])
 
 
-def apply_diff(chunks: DataFrame, diff: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The next chunk snapshot. Stale active rows turn inactive, new chunks come in as rows of their own, all else stays."""
+def apply_diff(chunks: DataFrame, diff: DataFrame, incoming: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The next chunk snapshot. Stale active rows turn inactive, new chunks come in as rows of their own, all else stays.
+
+    The diff is read several times, so it had better be stored. Its changes are counted: up to `limit` they go to the scan
+    of the snapshot, whose rows, with texts and vectors, are then not shuffled.
+    """
     stale = diff.where("state = 'stale'").select("source_id", "chunk_hash", F.lit(True).alias("gone"))
-    kept = chunks.join(stale, ["source_id", "chunk_hash"], "left").withColumn("is_active", F.col("is_active") & F.col("gone").isNull()).select(*chunks.columns)
-    return kept.unionByName(new_rows(chunks, diff, incoming), allowMissingColumns=True)
+    kept = chunks.join(_near(diff, limit)(stale), ["source_id", "chunk_hash"], "left").withColumn("is_active", F.col("is_active") & F.col("gone").isNull()).select(*chunks.columns)
+    return kept.unionByName(new_rows(chunks, diff, incoming, limit), allowMissingColumns=True)
 
 
 def refresh_validators(sources: DataFrame, fetched: DataFrame) -> DataFrame:

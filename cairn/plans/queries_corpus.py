@@ -255,7 +255,7 @@ def apply_diff(spark, sf):
     folder = tables.scratch(spark)
     old, new = (tables.staged(df, f"{folder}/{n}") for n, df in zip(("old", "new"), _revisions(spark, sf), strict=True))
     chunks = _snapshot(old, new)
-    diff = D.diff_chunks(chunks.where("is_active"), new)
+    diff = tables.staged(D.diff_chunks(chunks.where("is_active"), new), f"{folder}/diff")
     return D.apply_diff(chunks, diff, new).select("source_id", "chunk_hash", "is_active")
 
 

@@ -208,6 +208,25 @@ def test_texts_that_are_not_hit_are_not_shuffled(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_applying_a_diff_leaves_the_snapshot_where_it_is(spark, tmp_path):
+    kind = "chunk_id long, source_id long, chunk_hash string, chunk_text string, is_active boolean"
+    spark.createDataFrame([(i, i % 5, f"h{i}", "t", i % 4 > 0) for i in range(40)], kind).write.parquet(f"{tmp_path}/c")
+    chunks = spark.read.parquet(f"{tmp_path}/c")
+    diff = spark.createDataFrame([(1, "h1", "stale"), (2, "h2", "unchanged"), (0, "h0", "new"), (1, "x", "new")], "source_id long, chunk_hash string, state string")
+    incoming = spark.createDataFrame([(0, "h0", "t0"), (1, "x", "tx"), (2, "h2", "t2")], "source_id long, chunk_hash string, chunk_text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near, far = D.apply_diff(chunks, diff, incoming), D.apply_diff(chunks, diff, incoming, limit=0)
+        assert rows(near) == rows(far) and near.count() == 42
+        assert {tuple(r)[1:] for r in near.where("source_id = 1 and chunk_hash in ('h1', 'x') or chunk_hash = 'h0'").collect()} == {(1, "h1", "t", False), (1, "x", "tx", True), (0, "h0", "t", False), (0, "h0", "t0", True)}
+        kept = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Union")[1].split("BroadcastExchange")[0]
+        assert "BroadcastHashJoin" in kept(near) and "Exchange hashpartitioning" not in kept(near)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 @pytest.mark.parametrize(
     "wanted, text",
     [
