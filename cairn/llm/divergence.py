@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import store
 from .common import bounded_broadcast, checkpointed, text_blocks, tidied
 
 MIN_DOCS, TOP = 30, 50
@@ -125,10 +126,21 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     read.
     """
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    counts = checkpointed(plain.mapInArrow(tidied(lambda batches: counted_terms(batches, limit)), _COUNTED).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")))
+    with store.scratch(docs.sparkSession) as uri:  # the counts go when the result is there
+        return checkpointed(_divergence(plain, least, top, block, tile, limit, lambda df, name: _written(df, f"{uri}/{name}")))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """The rows in a compressed table of the shared folder."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _divergence(plain: DataFrame, least: int, top: int, block: int, tile: int, limit: int, written: Callable) -> DataFrame:
+    counts = written(plain.mapInArrow(tidied(lambda batches: counted_terms(batches, limit)), _COUNTED).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "counts")
     terms = checkpointed(kept_terms(counts, least, block))
     sized = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_count").alias("lang_total"))
-    held = checkpointed(counts.where("term is not null").select("lang", "source", "term", "count").join(terms, ["lang", "term"]))
+    held = written(counts.where("term is not null").select("lang", "source", "term", "count").join(terms, ["lang", "term"]), "held")
     sums = held.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     by_name = Window.partitionBy("lang").orderBy("source")
     groups = counts.where("term is null").select("lang", "source").join(sums, ["lang", "source"], "left").join(sized, "lang", "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"), (F.row_number().over(by_name) - 1).cast("long").alias("no"))
