@@ -65,7 +65,7 @@ def selector(text: str) -> tuple[tuple[_Simple, ...], ...]:
                     raise ValueError(f"not a selector: {text!r}")
                 steps[-1] = replace(steps[-1], parent=True)
                 continue
-            m = re.fullmatch(r"(\*|[A-Za-z][\w-]*)?((?:[.#][\w-]+)*)", w)
+            m = re.match(r"(\*|[A-Za-z][\w-]*)?((?:[.#][\w-]+)*)\Z", w)
             if not m:
                 raise ValueError(f"not a selector: {text!r}")
             marks = re.findall(r"[.#][\w-]+", m[2])
