@@ -100,6 +100,22 @@ def test_mixing_follows_the_rounds(spark):
     assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, got), key=repr)
 
 
+def test_boundary_of_a_hot_source_is_searched_in_finer_buckets(spark):
+    """One source with nearly all rows, and ids that many rows share: the same mix, and few rows to put in order."""
+    ids = F.when(F.col("id") % 50 == 0, 7).otherwise(F.col("id"))
+    source = F.when(F.col("id") % 9 == 0, "b").when(F.col("id") % 10 < 9, "a")
+    df = spark.range(60_000).select(ids.alias("doc_id"), source.alias("source"), F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 5).cast("int")), " ").alias("text"))
+    result = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert result(mixing.mix(df, edge_rows=1)) == result(mixing.mix(df, edge_rows=10**9))
+    words = lambda df: sorted((r["doc_id"], r["mix_copy"], r["mix_words"]) for r in df.select("doc_id", "mix_copy", "mix_words").collect())
+    assert words(mixing.mixed_documents(df, edge_rows=1)) == words(mixing.mixed_documents(df, edge_rows=10**9))
+    rows = common.checkpointed(mixing._marked(df, "doc_id", "text", "source", "mix-1").drop("row"))
+    edges = {r["own"]: r["edge"] for r in mixing.mixing_plan(rows, (5, 2, 1), 1.5, 2, edge_rows=4)[0].collect() if r["edge"]}
+    assert edges and any(len(e) > 3 for e in edges.values())
+    held = {s: sum(r["source"] == s and r["mark"].startswith(e) for r in rows.collect()) for s, e in edges.items()}
+    assert all(n <= 4 for n in held.values()), held
+
+
 def test_mixed_documents_are_the_mix(spark):
     df = odd(spark)
     mixed = mixing.mixed_documents(df).collect()
