@@ -920,6 +920,51 @@ def test_an_example_with_another_context_is_an_error(spark):
         chat.conversation_digests(bad).collect()
 
 
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def chat_turns(spark):
+    """Conversations of all shapes, one with many replies, one without an id."""
+    rng = random.Random(10)
+    rows = [(c, i, rng.choice(["user", "assistant", "assistant", "system", None]), rng.choice([None, "", "</s>[INST] ok [/INST]", "\\", "é[", "x" * 30])) for c, n in [(1, 1), (2, 9), (3, 120), (None, 40)] for i in range(n)]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    return rows, spark.createDataFrame(rows, CHAT)
+
+
+def test_every_example_holds_its_whole_context(spark):
+    rows, df = chat_turns(spark)
+    want = {}
+    for conv in (None, 1, 2, 3):
+        said = [(r or "", t or "") for c, _, r, t in rows if c == conv]
+        ends = [i for i, (r, _) in enumerate(said) if r == "assistant"] + ([len(said)] if said[-1][0] != "assistant" else [])
+        want |= {(conv, k): said[: i + 1] for k, i in enumerate(ends)}
+    got = chat.prefix_target_examples(df).collect()
+    assert {(x["conv_id"], x["example"]): list(chat.parse_turns(x["piece"])) for x in got} == want and len(got) == len(want)
+    for x in got:
+        reply = [] if x["loss_start"] is None else [("assistant", chat.unescape(x["piece"][x["loss_start"] : x["loss_end"]]))]
+        assert list(chat.parse_turns(x["piece"][: x["context_chars"]])) + reply == want[x["conv_id"], x["example"]]
+
+
+@pytest.mark.parametrize("piece_chars, share_chars", [(1, 1 << 20), (50, 100), (1 << 20, 1)])
+def test_examples_in_several_rows_and_tasks_are_the_same(spark, piece_chars, share_chars):
+    _, df = chat_turns(spark)
+    plain, cut = chat.prefix_target_examples(df), chat.prefix_target_examples(df, piece_chars, share_chars)
+    assert (cut.where("parts > 1").count() > 0) == (share_chars < 1000) and (cut.where("row > 0").count() > 0) == (piece_chars < 1000)
+    a, b = (sorted(chat.whole_examples(x).collect(), key=str) for x in (plain, cut))
+    assert a == b
+    a, b = (sorted(chat.conversation_digests(x).collect(), key=str) for x in (plain, cut))
+    assert a == b and len(a) == 4
+
+
+@pytest.mark.parametrize("change", ["replace(piece, 'U1', 'V1')", "replace(piece, '[INST]user\\nU1[/INST]', '')", "replace(piece, '[INST]', ' [INST]')"])
+def test_a_changed_context_is_an_error(spark, change):
+    """The context of a later example, whose other turns and last reply are as they were."""
+    df = spark.createDataFrame([(1, 0, "user", "U1"), (1, 1, "assistant", "A"), (1, 2, "user", "U2"), (1, 3, "assistant", "B")], CHAT)
+    bad = chat.prefix_target_examples(df).withColumn("piece", F.when(F.col("example") == 1, F.expr(change)).otherwise(F.col("piece")))
+    with pytest.raises(Exception, match="differ from its turns"):
+        chat.conversation_digests(bad).collect()
+
+
 # --- pipeline
 
 
