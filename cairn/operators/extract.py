@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import cache
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -17,6 +18,8 @@ from ..functions import vocabulary as V
 
 # What is no text of a page.
 NOISE = ("style", "script", "table", "sup.reference", ".navbox", ".mw-editsection", ".ws-noexport", ".noprint", ".printfooter")
+#: An ampersand, with the rest of the character reference if a semicolon ends it.
+_REFERENCE = re.compile(r"&(?:#[0-9]+;|#[xX][0-9a-fA-F]+;|([A-Za-z][A-Za-z0-9]*;))?")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -149,28 +152,38 @@ def _pick(html: str, *wanted: tuple[str, tuple[str, ...]]) -> list[list[str] | N
     return [c.parts if c.found else None for c in captures]
 
 
-def page_rows(frames: Iterable[pd.DataFrame], content: str, heading: str, noise: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+def _marked(html: str | None) -> tuple[str, str]:
+    """The page with a character that it doesn't have for each ampersand of no closed reference, and that character: the
+    parser would read `&amp` as `&amp;`."""
+    html = html or ""
+    mark = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in html)
+    return _REFERENCE.sub(lambda m: m[0] if len(m[0]) > 1 and (m[1] is None or m[1] in html5) else mark + m[0][1:], html), mark
+
+
+def page_rows(frames: Iterable[pd.DataFrame], content: str, heading: str, noise: tuple[str, ...], closed_only: bool = False) -> Iterator[pd.DataFrame]:
     """Body lines and heading of batches of pages (k, html)."""
     for f in frames:
         rows = []
         for k, raw in zip(f["k"], f["html"], strict=True):
             try:
+                raw, mark = _marked(raw) if closed_only else (raw, "&")
                 body, head = _pick(raw, (content, noise), (heading, ()))
             except Exception as e:  # one page must not end the batch
                 rows.append((k, None, None, f"{type(e).__name__}: {e}"))
                 continue
             lines = [x.strip() for x in "\n".join(body).splitlines()] if body is not None else []
-            title = "".join(x.strip() for x in head or []) or None
-            rows.append((k, "\n".join(x for x in lines if x) if body is not None else None, title, None if body is not None else "no content element"))
+            title = "".join(x.strip() for x in head or []).replace(mark, "&") or None
+            rows.append((k, "\n".join(x for x in lines if x).replace(mark, "&") if body is not None else None, title, None if body is not None else "no content element"))
         yield pd.DataFrame(rows, columns=["k", "text", "title", "error"])
 
 
-def page_text(pages: DataFrame, key: str, html: str, content: str, heading: str, noise: tuple[str, ...] = NOISE) -> DataFrame:
+def page_text(pages: DataFrame, key: str, html: str, content: str, heading: str, noise: tuple[str, ...] = NOISE, closed_only: bool = False) -> DataFrame:
     """key, text, title, error: body lines and heading of each page. A page without the content element, or one that the
-    parser fails on, is an error row. Selectors are those that selector() reads."""
+    parser fails on, is an error row. Selectors are those that selector() reads. Character references are read as HTML does,
+    with `&amp` at the end of a cut text as `&`, or with `closed_only` if they end in a semicolon."""
     for each in (content, heading, *noise):
         selector(each)  # a wrong one is an error of the query, not of each page
-    run = lambda frames: page_rows(frames, content, heading, noise)
+    run = lambda frames: page_rows(frames, content, heading, noise, closed_only)
     kind = pages.schema[key].dataType.simpleString()
     out = pages.select(F.col(key).alias("k"), F.col(html).alias("html")).mapInPandas(run, f"k {kind}, text string, title string, error string")
     return out.withColumnRenamed("k", key)

@@ -48,6 +48,44 @@ def test_page_text_leaves_noise_out(spark):
     assert rows[2]["text"] is None and rows[2]["error"] and rows[3]["error"]
 
 
+CUT = "<h1>Bread &amp; wine &amp</h1><article><script>a &amp b</script><p>x&amp;lt; &lt y &#38; &#38 &notit; &copy;&amp</p></article>"
+
+
+def test_page_text_with_closed_references_only(spark):
+    df = spark.createDataFrame([(1, CUT), (2, None)], "id long, html string")
+    read = lambda **more: {r["id"]: r for r in X.page_text(df, "id", "html", "article", "h1", (), **more).collect()}
+    got = read(closed_only=True)
+    assert (got[1]["title"], got[1]["text"]) == ("Bread & wine &amp", "a &amp b\nx&lt; &lt y & &#38 &notit; ©&amp")
+    assert got[2]["error"] == "no content element"
+    plain = read()  # as HTML has it
+    assert (plain[1]["title"], plain[1]["text"]) == ("Bread & wine &", "a &amp b\nx&lt; < y & & ¬it; ©&")
+
+
+@pytest.fixture
+def cut_pages(tmp_path):
+    """The smallest tables, with pages whose headings are cut in a character reference."""
+    from pathlib import Path
+
+    import duckdb
+
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        if p.name != "pages.parquet":
+            (tmp_path / p.name).symlink_to(p)
+    cuts = ["x &amp", "x &amp; y &lt", "&#x27", "&", "&am", "&amp;amp", "x &quot;&quot"]
+    pages = " UNION ALL ".join(f"SELECT {i} AS page_id, 'http://a.org/{i}' AS url, '<nav>n</nav><article><h1>{t}</h1><p>{t}; {t}<br>{t}</p></article>' AS html" for i, t in enumerate(cuts))
+    duckdb.connect().execute(f"COPY (SELECT CAST(page_id AS BIGINT) AS page_id, url, html FROM ({pages})) TO '{tmp_path}/pages.parquet' (FORMAT parquet)")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["page_text"])
+def test_cut_references_as_in_the_sql(spark, cut_pages, name):
+    from compare import connect, same
+
+    from cairn.plans import catalogue
+
+    same(catalogue.QUERIES[name](spark, cut_pages), catalogue.ORACLES[name], connect(cut_pages))
+
+
 def test_catalog_link_and_outcome(spark):
     df = spark.createDataFrame([("https://x.org/a.txt/", ""), ("https://x.org/e/1", '<a class="b" href="/f/1.txt.utf-8">t</a>'), ("https://x.org/e/1", "<a href='x'>")], "u string, h string")
     assert [r[0] for r in df.select(X.catalog_text_link(F.col("u"), F.col("h"))).collect()] == ["https://x.org/a.txt/", "https://x.org/f/1.txt.utf-8", None]
