@@ -220,11 +220,12 @@ def fetch_outcome(status: Column) -> Column:
     return F.when(status == 304, "unchanged").when(status.between(200, 299), "fetched").otherwise("failed")
 
 
-def extract(fetched: DataFrame, content: str = "#mw-content-text", heading: str = "#firstHeading") -> DataFrame:
-    """source_id, text, title, error by source type; only HTML rows go through Python. A type without an extractor is an error row."""
+def extract(fetched: DataFrame, content: str = "#mw-content-text", heading: str = "#firstHeading", closed_only: bool = False) -> DataFrame:
+    """source_id, text, title, error by source type; only HTML rows go through Python. A type without an extractor is an error
+    row. `closed_only` is that of page_text()."""
     raw = F.col("raw")
     books = fetched.where("source_type = 'gutenberg_text'").select("source_id", plaintext_body(raw).alias("text"), plaintext_title(raw).alias("title"), F.lit(None).cast("string").alias("error"))
-    pages = page_text(fetched.where("source_type in ('wikisource', 'wikipedia')"), "source_id", "raw", content, heading)
+    pages = page_text(fetched.where("source_type in ('wikisource', 'wikipedia')"), "source_id", "raw", content, heading, closed_only=closed_only)
     known = F.coalesce(F.col("source_type").isin("gutenberg_text", "wikisource", "wikipedia"), F.lit(False))
     none = F.lit(None).cast("string")
     other = fetched.where(~known).select("source_id", none.alias("text"), none.alias("title"), F.concat(F.lit("no extractor for "), F.coalesce("source_type", F.lit("a source without a type"))).alias("error"))

@@ -77,7 +77,7 @@ def cut_pages(tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["page_text"])
+@pytest.mark.parametrize("name", ["page_text", "extract"])
 def test_cut_references_as_in_the_sql(spark, cut_pages, name):
     from compare import connect, same
 
