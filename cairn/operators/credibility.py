@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..sources.tables import scratch, staged
 
 SUGGESTION = "struct<value:string,reasoning:string,based_on_facts:array<string>>"
 
@@ -20,15 +21,18 @@ def _json(value: Column) -> Column:
     return F.nullif(F.to_json(value), F.lit("null"))
 
 
+def facts_of(v: Column, has: Column) -> Column:
+    """Map of JSON values of a variant, null where missing; null for a null variant. The two tradition facts are there with `has`."""
+    entry = lambda k: F.struct(F.lit(k).alias("key"), _json(F.try_variant_get(v, F.lit(f"$.{k}"), "variant")).alias("value"))
+    plain, more = F.array(*map(entry, V.FACT_KEYS)), F.array(*map(entry, V.TRADITION_FACT_KEYS))
+    return F.when(v.isNotNull(), F.map_from_entries(F.when(has, F.concat(plain, more)).otherwise(plain)))
+
+
 def extract_facts(rows: DataFrame, key: str, payload: str, tradition: str | None = None) -> DataFrame:
     """key, facts (map of JSON values, null where missing), error. The two tradition facts are there when a tradition is."""
-    v = F.try_parse_json(F.col(payload))
     has = F.coalesce(F.col(tradition) != "", F.lit(False)) if tradition else F.lit(False)
-    entry = lambda k: F.struct(F.lit(k).alias("key"), _json(F.try_variant_get(F.col("v"), F.lit(f"$.{k}"), "variant")).alias("value"))
-    plain, more = F.array(*map(entry, V.FACT_KEYS)), F.array(*map(entry, V.TRADITION_FACT_KEYS))
-    parsed = rows.select(key, v.alias("v"), has.alias("has"))
-    facts = F.map_from_entries(F.when(F.col("has"), F.concat(plain, more)).otherwise(plain))
-    return parsed.select(key, F.when(F.col("v").isNotNull(), facts).alias("facts"), F.when(F.col("v").isNull(), "not valid JSON").alias("error"))
+    parsed = rows.select(key, F.try_parse_json(F.col(payload)).alias("v"), has.alias("has"))
+    return parsed.select(key, facts_of(F.col("v"), F.col("has")).alias("facts"), F.when(F.col("v").isNull(), "not valid JSON").alias("error"))
 
 
 def extract_attributed_facts(payloads: DataFrame, results: DataFrame, key: str, payload: str, with_tradition: bool = False) -> DataFrame:
@@ -106,31 +110,36 @@ def lookup_entities(requests: DataFrame, cache: DataFrame, results: DataFrame |
     attributed facts in search results). A request with a pasted text uses that one. results: request_id, idx, url of the
     search results that attributed facts name. cache: the ENTITY columns, a row for each key. Columns of requests that are
     missing are null; stored columns that the cache doesn't have are the request's.
+
+    Requests with their keys, and the first ones of new keys, are stored once for what reads them. No side of a join is
+    broadcast: Spark takes its size from files, however many rows come out of them.
     """
-    lacking = [c for c in ("entity_type", "tradition", "pasted", "found") if c not in requests.columns]
-    keyed = T.with_entity_key(requests.withColumns({c: F.lit(None).cast("string") for c in lacking}))
-    stored = cache.select(*[c for c in ENTITY if c in cache.columns])
+    folder, asked = scratch(requests.sparkSession), ("entity_type", "tradition", "pasted", "found")
+    requests = requests.select("request_id", "display_name", *[c if c in requests.columns else F.lit(None).cast("string").alias(c) for c in asked])
+    keyed = staged(T.with_entity_key(requests), f"{folder}/requests")
+    stored = cache.select(*[c for c in ENTITY if c in cache.columns]).hint("merge")
     own = ["request_id", "normalized_key", *[c for c in ("entity_type", "display_name") if c not in stored.columns]]
     hits = keyed.select(*own).join(stored, "normalized_key").withColumn("cached", F.lit(True))
     hits = hits.withColumns({c: F.lit(None).cast(kind) for c, kind in (("facts", "map<string,string>"), ("fact_provenance", "map<string,string>"), ("suggested_values", f"map<string,{SUGGESTION}>")) if c not in hits.columns}).select("request_id", "cached", *ENTITY)
     missed = keyed.join(stored.select("normalized_key"), "normalized_key", "left_anti")
     first = missed.groupBy("normalized_key").agg(F.min_by(F.struct(*missed.columns), "request_id").alias("r")).select("r.*")
+    first = staged(first, f"{folder}/first")
     return hits.unionByName(new_entities(first, results).select("request_id", F.lit(False).alias("cached"), *ENTITY))
 
 
 def new_entities(requests: DataFrame, results: DataFrame | None) -> DataFrame:
     """Adds facts, their provenance and suggestions to requests with a key; see lookup_entities()."""
     with_text = F.coalesce(F.col("pasted") != "", F.lit(False))
-    text = extract_facts(requests.where(with_text), "request_id", "pasted", "tradition").select("request_id", F.col("facts").alias("of_text"))
-    out = requests.join(text, "request_id", "left")
+    parsed = requests.withColumn("v", F.when(with_text, F.try_parse_json("pasted")))
+    out = parsed.withColumn("of_text", facts_of(F.col("v"), F.coalesce(F.col("tradition") != "", F.lit(False)))).drop("v")
     none = F.lit(None).cast("map<string,string>")
     if results is None:
         out = out.withColumn("of_search", none).withColumn("urls", none)
     else:
         asked = requests.where(~with_text)
-        rows = extract_attributed_facts(asked, results, "request_id", "found", True)
+        rows = extract_attributed_facts(asked, results.hint("merge"), "request_id", "found", True)
         pair = lambda c: F.map_from_entries(F.collect_list(F.struct("fact", c)))
-        search = rows.groupBy("request_id").agg(pair("value").alias("of_search"), pair("url").alias("urls"))
+        search = rows.groupBy("request_id").agg(pair("value").alias("of_search"), pair("url").alias("urls")).hint("merge")
         # without a tradition, the two facts that are about one are not asked for
         plain = lambda c: F.when(F.col("tradition") != "", F.col(c)).otherwise(F.map_filter(c, lambda k, _: k.isin(*V.FACT_KEYS)))
         out = out.join(search, "request_id", "left").withColumns({c: plain(c) for c in ("of_search", "urls")})

@@ -390,6 +390,21 @@ def test_lookup_first_request_wins(spark):
     assert {(r["request_id"], r["cached"]) for r in I.lookup_entities(q, cache).collect()} == {(1, True), (2, True), (3, False)}
 
 
+@pytest.mark.parametrize("name", ["lookup_entities"])
+def test_no_side_of_a_lookup_is_broadcast(spark, small, monkeypatch, name):
+    """A cache of 25 rows for each one that is read, whose files say that it is small."""
+    from cairn.plans import catalogue
+    from cairn.sources import tables
+
+    plans = []
+    write = lambda f: lambda df, path: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or f(df, path)
+    monkeypatch.setattr(I, "staged", write(tables.staged), raising=False)
+    monkeypatch.setattr(tables, "append", write(tables.append))
+    plans.append(catalogue.QUERIES[name](spark, small)._jdf.queryExecution().sparkPlan().toString())
+    joins = [x for p in plans for x in p.splitlines() if "Join " in x and ("normalized_key" in x or "request_id" in x)]
+    assert joins and not [x for x in joins if "Broadcast" in x]
+
+
 def test_search_results_and_excerpts(spark):
     df = spark.createDataFrame([(1, '{"results":[{"url":"a","title":"t","content":"c"},{"url":"b"}]}'), (2, '{"results":[]}'), (3, "{}")], "i long, p string")
     r = I.search_results(df, "i", "p")
