@@ -390,7 +390,7 @@ def test_lookup_first_request_wins(spark):
     assert {(r["request_id"], r["cached"]) for r in I.lookup_entities(q, cache).collect()} == {(1, True), (2, True), (3, False)}
 
 
-@pytest.mark.parametrize("name", ["lookup_entities", "append_entities", "lookup_facts"])
+@pytest.mark.parametrize("name", ["lookup_entities", "append_entities", "lookup_facts", "lookup_suggestions"])
 def test_no_side_of_a_lookup_is_broadcast(spark, small, monkeypatch, name):
     """A cache of 25 rows for each one that is read, whose files say that it is small."""
     from cairn.plans import catalogue
