@@ -25,6 +25,8 @@ BROADCAST_HITS = 200_000
 CLUSTERS, CENTRE_SAMPLE = 256, 20_000
 #: Distances that a task holds at a time.
 CELLS = 4_000_000
+#: Questions or chunks that are passed on and multiplied as one stack, where a tile is not larger.
+STACK = 4_000
 
 
 def active(chunks: DataFrame) -> DataFrame:
@@ -124,20 +126,60 @@ def _first(found: DataFrame, k: int, threshold: float | None) -> DataFrame:
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def _tile(key: str, rows: int, of: int) -> tuple[Column, int]:
-    """A hash tile of about `of` rows, and the number of tiles."""
-    n = max(1, -(-rows // of))
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), n
+def _stacks(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """The rows of each batch of a task as stacks of up to `size` rows: an Arrow stream a stack, in the column `name`."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, b.schema) as w:
+                    w.write_batch(b.slice(at, size))
+                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], [name])
+
+    return rows.mapInArrow(run, f"{name} binary")
+
+
+def _merged(found: list[pa.RecordBatch], k: int) -> list[pa.RecordBatch]:
+    """The k best hits of each question in one batch, ties by chunk."""
+    t = pa.Table.from_batches(found).combine_chunks()
+    q, c, d = (t.column(n).to_numpy() for n in ("question_id", "chunk_id", "distance"))
+    order = np.lexsort((c, d.round(12), q))
+    place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+    return t.take(pa.array(order[place < k])).combine_chunks().to_batches()
+
+
+def _every_pair(questions: DataFrame, chunks: DataFrame, dimension: int, k: int, threshold: float | None, by_tradition: bool, cells: int) -> DataFrame:
+    """Products of all stacks of questions (`asked`) with all of chunks (`filed`), of each task the k best of a question.
+
+    A cross join by pairs of partitions, each of which reads its two from where the stacks are stored: no copy of a row is
+    written, however many pairs there are. A task has the pairs of one stack of questions one after the other.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, asked, found = None, None, []
+        for b in batches:
+            for x, y in zip(b.column("asked"), b.column("filed"), strict=True):
+                if last is None or not last.equals(x.as_buffer()):
+                    yield from found
+                    last, found = pa.py_buffer(x.as_py()), []
+                    asked = Asked.of(pa.ipc.open_stream(last).read_all(), dimension)
+                new = [h for h in _hits(asked, pa.ipc.open_stream(y.as_buffer()).read_all(), dimension, k, threshold, by_tradition, cells) if h.num_rows]
+                found = _merged(found + new, k) if new else found
+        yield from found
+
+    return questions.hint("shuffle_replicate_nl").crossJoin(chunks).mapInArrow(run, _HITS)
 
 
 def nearest(questions: DataFrame, chunks: DataFrame, k: int = V.TOP_K, threshold: float | None = V.RELEVANCE, by_tradition: bool = True, block: int = QUESTION_BLOCK, cells: int = CELLS, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
     """question_id, chunk_id, source_id, distance, place: the k nearest chunks of each question, ties by chunk_id.
 
     Up to `block` questions, counted first, go to the tasks that scan the chunks, which are then not shuffled. More are a
-    table of tiles: each task multiplies one tile of about `block` questions with one of about `chunk_block` chunks,
-    `cells` distances at a time, so that no question passes through the driver, and either table is scanned a fixed
-    number of times, however many tiles there are. A task passes only its own k best on, of which the best are kept. A
-    question's tradition, if not null, must equal the chunk's exactly.
+    table of tiles: stacks of up to `block` questions and of up to `chunk_block` chunks (STACK rows where that is more, or
+    passing them on would take longer than the products) are stored once, and each task multiplies all of its stacks of
+    questions with all of its stacks of chunks, `cells` distances at a time, so that no question passes through the driver
+    and the disk holds either table once, however many tiles there are. A task passes only its own k best on, of which
+    the best are kept. A question's tradition, if not null, must equal the chunk's exactly.
 
     Questions' vectors have one dimension, or it is an error; null, empty and zero vectors have
     no hits. Chunks whose vector is null, zero or of another dimension are no hits, in whatever
@@ -153,10 +195,10 @@ def nearest(questions: DataFrame, chunks: DataFrame, k: int = V.TOP_K, threshold
                 yield from _hits(sent.value, b, dimension, k, threshold, by_tradition, cells)
 
         return _first(base.mapInArrow(run, _HITS), k, threshold)
-    (of_q, n_q), (of_c, n_c) = _tile("question_id", n, block), _tile("chunk_id", base.count(), chunk_block)
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    q, c = ordered.withColumns({"tq": of_q, "tc": every(n_c)}), base.withColumns({"tc": of_c, "tq": every(n_q)})
-    return _first(_multiplied(q, c, ["tq", "tc"], dimension, k, threshold, by_tradition, cells), k, threshold)
+    folder = scratch(chunks.sparkSession)
+    q = staged(_stacks(ordered, max(block, STACK), "asked"), f"{folder}/questions")
+    c = staged(_stacks(base, max(chunk_block, STACK), "filed"), f"{folder}/chunks")
+    return _first(_every_pair(q, c, dimension, k, threshold, by_tradition, cells), k, threshold)
 
 
 def fit_centres(chunks: DataFrame, clusters: int = CLUSTERS, sample: int = CENTRE_SAMPLE, rounds: int = 8) -> np.ndarray:

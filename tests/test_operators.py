@@ -228,6 +228,24 @@ def test_many_questions_stay_off_the_driver(spark, monkeypatch):
     assert R.nearest(q, c).count() > 0 and calls
 
 
+def test_tiles_are_stored_once_however_many(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    q, c = clustered(spark)
+    rows = lambda df: sorted((r["question_id"], r["chunk_id"], r["place"], round(r["distance"], 9)) for r in df.collect())
+    want = rows(R.nearest(q, c, k=4, threshold=0.02))
+    monkeypatch.setattr(R, "STACK", 1, raising=False)
+    for block in (3, 40):
+        monkeypatch.setattr(R, "scratch", lambda _, b=block: f"{tmp_path}/{b}")
+        found = R.nearest(q, c, k=4, threshold=0.02, block=block, chunk_block=10 * block)
+        assert rows(found) == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "CoGroup" not in plan
+        for part, table, size in (("questions", q, block), ("chunks", c, 10 * block)):
+            stored = [pa.ipc.open_stream(bytes(r[0])).read_all().num_rows for r in spark.read.parquet(f"{tmp_path}/{block}/{part}").collect()]
+            assert sum(stored) == table.count() and max(stored) <= size and len(stored) > 1
+
+
 def test_texts_that_are_not_hit_are_not_shuffled(spark, tmp_path):
     q, c, s = corpus(spark)
     c.write.parquet(f"{tmp_path}/c")
